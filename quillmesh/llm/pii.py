@@ -109,7 +109,10 @@ def _by_first_letter(words: list[str]) -> str:
 
 _QUICK = _by_first_letter(sorted(SPELLED, key=len, reverse=True))
 _RUN_HINT = re.compile(rf"(?<!\w)(?=[{''.join(sorted({w[0] for w in SPELLED}))}])(?:{_QUICK})[\s,.-]+(?:{_QUICK})(?!\w)")
-_AT = re.compile(r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+(?=[A-Za-z0-9-]+\s*(?:[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]|\s(?:dot|punkt|point|punto)\s))", re.IGNORECASE)
+# Last labels of host names that a bare "at ... dot ..." may end with.
+_LAST = "com|org|net|edu|gov|info|biz|io|dev|app|me|eu|de|at|ch|fr|es|it|nl|uk|us|ca|au|mx|ar|br"
+_BARE = r"(?:dot|punkt|point|punto)"
+_AT = re.compile(rf"\s*[\[({{<]\s*at\s*[\])}}>]\s*|\s+at\s+(?=[a-z0-9-]+(?:\s+{_BARE}\s+[a-z0-9-]+)*?\s+{_BARE}\s+(?:{_LAST})(?![a-z0-9-]))", re.IGNORECASE)
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+", re.IGNORECASE)
 _HINTS = ("dot", "punkt", "point", "punto")
 _BRACKET_AT = re.compile(r"[\[({<]\s*at\s*[\])}>]")
