@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quillmesh.llm import jaccard_join, pii, quality_rules, secrets, suffix_dedup, token_output
+from quillmesh.llm import jaccard_join, pii, quality_rules, secrets, suffix_dedup, suffix_tree_lm, token_output
 
 QUERIES: dict[str, Callable] = {
     "op1_pii": pii.op1_pii,
     "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_lm_scoring": suffix_tree_lm.op4_lm_scoring,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op10_token_output": token_output.op10_token_output,

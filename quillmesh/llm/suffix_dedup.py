@@ -25,7 +25,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillmesh.llm import chunks as C
 from quillmesh.llm.work import Work
