@@ -18,6 +18,8 @@ an empty table gives no rows; other columns are ignored.  Word windows are compa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +46,11 @@ def _bare(word: Column) -> Column:
     return F.lower(F.rtrim(word, F.lit(".,;:!?*#$%&")))
 
 
-def features(docs: DataFrame, flagged: list[str]) -> DataFrame:
-    """doc_id, lang and the counts of every text."""
+def features(docs: DataFrame, flagged: list[str], also: list[str] | None = None) -> DataFrame:
+    """doc_id, lang and the counts of every text, and the columns ``also``."""
+    also = also or []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("t")).withColumn("w", word_array(F.col("t")))
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), text.alias("t"), *also).withColumn("w", word_array(F.col("t")))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     windows = F.when(
         F.size("w") >= 3,
@@ -55,7 +58,7 @@ def features(docs: DataFrame, flagged: list[str]) -> DataFrame:
     )
     hits = F.size(F.filter("w", lambda x: _bare(x).isin(flagged))) if flagged else F.lit(0)
     two = one.select(
-        "doc_id", "lang",
+        "doc_id", "lang", *also,
         F.size("w").cast("long").alias("n_words"),
         F.coalesce(F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + F.length(x)), F.lit(0)).alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -64,7 +67,7 @@ def features(docs: DataFrame, flagged: list[str]) -> DataFrame:
         lines.alias("lines"), windows.alias("h"),
     )
     three = two.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_exclamations", "n_flagged",
+        "doc_id", "lang", *also, "n_words", "word_chars", "n_symbols", "n_exclamations", "n_flagged",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).alias("s"),
@@ -132,20 +135,35 @@ def cutoffs(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     return allowed.groupBy("lang").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in GRID))
 
 
+def verdict() -> tuple[Column, Column, list[Column]]:
+    """base_failed, kept, and whether each rule rejects, of counts joined with their stratum's cutoffs."""
+    over = [F.coalesce(s >= F.col(f"cut_{r}"), F.lit(False)) for r, s in scores().items()]
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return base, reduce(lambda a, o: a & ~o, over, ~base), over
+
+
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Counts, base_failed and kept for every row of ``docs`` (doc_id, text, lang)."""
     work = Work(spark, "quality")
     counted = work.save(features(docs, flagged_words(docs, labels)), "counted")
     limits = work.save(cutoffs(counted, labels, alpha, delta), "cutoffs").withColumnRenamed("lang", "stratum")
     both = counted.join(limits, counted["lang"] == limits["stratum"], "left")
-    over = [F.coalesce(s >= F.col(f"cut_{r}"), F.lit(False)) for r, s in scores().items()]
-    rejected = over[0]
-    for o in over[1:]:
-        rejected = rejected | o
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    base, kept, over = verdict()
     broken = F.array_compact(F.array(*(F.when(o, F.lit(r)) for r, o in zip(GRID, over, strict=True))))
-    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~rejected).alias("kept"), F.array_join(broken, ",").alias("broken_rules"))
+    return both.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), kept.alias("kept"), F.array_join(broken, ",").alias("broken_rules"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def kept_rows(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns as they were."""
+    work = Work(spark, "quality")
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "lang")
+    flagged = flagged_words(docs.select("doc_id", "text"), labels)
+    known = clean_labels(labels).where("half = 1 and quality = 1 and toxic = 0").select(F.col("of").alias("doc_id"))
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(known, "doc_id", "left_semi")
+    limits = work.save(cutoffs(features(held, flagged), labels), "cutoffs")
+    both = features(marked, flagged, ["row"]).join(limits.withColumnRenamed("lang", "stratum"), F.col("lang") == F.col("stratum"), "left")
+    return both.where(verdict()[1]).select("row.*")
