@@ -23,7 +23,7 @@ from quillmesh.llm.work import Work
 
 #: Stands for a null doc_id inside chunks; it orders before every id.
 NULL_ID = np.iinfo(np.int64).min
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 CHUNK_SCHEMA = "chunk_id long, n_docs long, n_bytes long, payload binary"
 SENT_SCHEMA = "bucket int, chunk_id long, payload binary"
 ANSWER_SCHEMA = "chunk_id long, tag string, bucket int, payload binary"
@@ -212,7 +212,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -97,16 +97,16 @@ def _emit(buckets: int):
 
 def _count(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     """Documents that hold each key, in every chunk's order; 65535 stands for that many or more."""
-    got = [(c, *C.unpack_arrays(p)) for c, p in rows]
-    keys = [C.unpack_sorted(d) for _, d, _ in got]
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    every = every[order]
-    counts = np.concatenate([n for _, _, n in got])[order].astype(np.int64)
-    starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-    unique, total = every[starts], np.add.reduceat(counts, starts)
-    total = np.minimum(total, 65535).astype(np.uint16)
-    return [(c, C.pack_arrays(total[np.searchsorted(unique, k)])) for (c, _, _), k in zip(got, keys, strict=True)]
+    got = []
+    for c, p in rows:
+        deltas, counts = C.unpack_arrays(p)
+        got.append((c, C.unpack_sorted(deltas) << np.uint64(8) | counts))
+    every = np.concatenate([k for _, k in got])
+    every.sort()
+    starts = np.flatnonzero(np.append(True, every[1:] >> np.uint64(8) != every[:-1] >> np.uint64(8)))
+    unique = every[starts] >> np.uint64(8)
+    total = np.minimum(np.add.reduceat(every & np.uint64(255), starts), np.uint64(65535)).astype(np.uint16)
+    return [(c, C.pack_arrays(total[np.searchsorted(unique, k >> np.uint64(8))])) for c, k in got]
 
 
 ROWS_SCHEMA = "doc_id long, key binary, n long, prefix array<long>, shingles binary"
@@ -249,7 +249,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80)
     """(doc_id, n_shingles, component_id, class_rows) for every row of ``docs`` (doc_id, text)."""
     work = Work(spark, "jaccard")
     chunks = C.build_chunks(work, docs)
-    buckets = C.buckets_for(chunks, 32 << 20)
+    buckets = C.buckets_for(chunks, 12 << 20)
     df = work.save(C.reduce_buckets(C.send(chunks, _emit(buckets)), "df", _count), "df", "uncompressed")
     rows = work.save(C.per_chunk(chunks, _prefixes(buckets, percent), ROWS_SCHEMA, df), "rows", "uncompressed")
     work.drop("chunks", "df")
@@ -283,3 +283,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80)
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of their group, with all columns; of rows that repeat a doc_id, one."""
+    found = jaccard_components(spark, docs.select("doc_id", "text"), percent)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    rows = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("stays")), "left_semi")
+    return rows.dropDuplicates(["doc_id"])
