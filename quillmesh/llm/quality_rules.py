@@ -164,6 +164,8 @@ def kept_rows(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     flagged = flagged_words(docs.select("doc_id", "text"), labels)
     known = clean_labels(labels).where("half = 1 and quality = 1 and toxic = 0").select(F.col("of").alias("doc_id"))
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(known, "doc_id", "left_semi")
-    limits = work.save(cutoffs(features(held, flagged), labels), "cutoffs")
-    both = features(marked, flagged, ["row"]).join(limits.withColumnRenamed("lang", "stratum"), F.col("lang") == F.col("stratum"), "left")
-    return both.where(verdict()[1]).select("row.*")
+    limits = work.save(cutoffs(work.save(features(held, flagged), "counted"), labels), "cutoffs")
+    # a column that is not deterministic keeps the filter from being moved below the projections, where it would repeat them
+    counted = features(marked, flagged, ["row"]).withColumn("once", F.monotonically_increasing_id())
+    both = counted.join(limits.withColumnRenamed("lang", "stratum"), F.col("lang") == F.col("stratum"), "left")
+    return both.where(verdict()[1] & (F.col("once") >= 0)).select("row.*")

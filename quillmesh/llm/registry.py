@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quillmesh.llm import decontamination, jaccard_join, mixing, pii, quality_rules, secrets, suffix_dedup, suffix_tree_lm, token_output
+from quillmesh.llm import decontamination, html_extract, jaccard_join, mixing, pii, quality_rules, secrets, suffix_dedup, suffix_tree_lm, token_output
 
 QUERIES: dict[str, Callable] = {
     "op1_pii": pii.op1_pii,
@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable] = {
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_lm_scoring": suffix_tree_lm.op4_lm_scoring,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_html_extraction": html_extract.op6_html_extraction,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
