@@ -1,19 +1,723 @@
-"""Named queries over the supplied tables, with the SQL each is checked against."""
+"""Named queries over the supplied tables, with the SQL each is checked against.
+
+Floating results are rounded to six digits on both sides, as sums depend on order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillmesh import config
+from quillmesh.functions import scoring as S
+from quillmesh.functions import text as X
+from quillmesh.operators import evaluation as E
+from quillmesh.operators import metrics as M
+from quillmesh.operators import relations as R
+from quillmesh.operators import weights as W
+from quillmesh.plans.articles import SQL as ART
+from quillmesh.plans.articles import articles, table
+
+_FOUND: dict[str, tuple[Callable, str | None]] = {}
+STOP = ["the", "and", "of", "that", "with"]
+TOPICS = {"conjunction": ["and", "with"], "article": ["the", "der"], "other": ["que"]}
+GROUP_ROWS = "dom AS (SELECT unnest(['absent','click','error','purchase','signup','view']) AS sector)"
+NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), 'https?://[^ \\t\\n\\r]+|www\\.[^ \\t\\n\\r]+', ' ', 'g'), '[^a-z0-9 \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
+
+
+def query(sql: str | None):
+    def keep(fn: Callable) -> Callable:
+        _FOUND[fn.__name__] = (fn, sql)
+        return fn
+
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for k, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _FOUND.items() if s}
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(f.name, digits).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return sector_metrics_enhanced(spark, sf_dir)
+
+
+# --- filters ---
+
+
+@query(f"WITH {ART} SELECT article_id, sector FROM art WHERE published_at >= (SELECT max(published_at) FROM art) - INTERVAL 10 DAYS")
+def working_set_filter(spark, d):
+    a = articles(spark, d)
+    newest = a.agg(F.max("published_at").alias("m"))
+    return a.crossJoin(F.broadcast(newest)).where(F.col("published_at").isNull() | (F.col("published_at") >= F.col("m") - F.expr("INTERVAL 10 DAYS"))).select("article_id", "sector")
+
+
+@query(f"WITH {ART} SELECT article_id FROM art WHERE published_at BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-11 00:00:00'")
+def window_24h(spark, d):
+    return articles(spark, d).where("published_at BETWEEN TIMESTAMP_NTZ '2024-01-10 00:00:00' AND TIMESTAMP_NTZ '2024-01-11 00:00:00'").select("article_id")
+
+
+@query(f"WITH {ART} SELECT article_id, sector FROM art WHERE published_at >= (SELECT max(published_at) FROM art) - INTERVAL 7 DAYS")
+def attention_window(spark, d):
+    return M.attention_window(articles(spark, d)).select("article_id", "sector")
+
+
+@query(f"WITH {ART} SELECT article_id, publisher FROM art WHERE sector = 'error'")
+def macro_filter(spark, d):
+    return articles(spark, d).where("sector = 'error'").select("article_id", "publisher")
+
+
+@query(f"WITH {ART} SELECT article_id FROM art WHERE published_at >= DATE '2024-01-05' AND published_at < DATE '2024-01-08'")
+def date_range(spark, d):
+    return articles(spark, d).where("published_at >= TIMESTAMP_NTZ '2024-01-05' AND published_at < TIMESTAMP_NTZ '2024-01-08'").select("article_id")
+
+
+@query(f"WITH {ART} SELECT article_id FROM art WHERE source IN ('src1','src2','src3') AND sector IN ('view','click') AND (user_id % 7 IN (1, 2) OR user_id % 5 IN (1, 2))")
+def multi_select_overlap(spark, d):
+    sets = F.array(F.col("user_id") % 7, F.col("user_id") % 5)
+    return articles(spark, d).where(F.col("source").isin("src1", "src2", "src3") & F.col("sector").isin("view", "click") & F.arrays_overlap(sets, F.array(F.lit(1).cast("long"), F.lit(2).cast("long")))).select("article_id")
+
+
+@query(
+    f"""WITH {ART}, m AS (SELECT max(published_at) AS t FROM art), n AS (SELECT count(DISTINCT CASE WHEN published_at >= t - INTERVAL 48 HOURS THEN event_key END) AS a,
+    count(DISTINCT CASE WHEN published_at >= t - INTERVAL 72 HOURS THEN event_key END) AS b FROM art, m)
+    SELECT article_id, CASE WHEN a >= 300 THEN 48 WHEN b >= 300 THEN 72 ELSE 168 END AS hours FROM art, m, n
+    WHERE published_at >= t - to_hours(CASE WHEN a >= 300 THEN 48 WHEN b >= 300 THEN 72 ELSE 168 END)"""
+)
+def adaptive_window(spark, d):
+    a = articles(spark, d)
+    newest = F.broadcast(a.agg(F.max("published_at").alias("t")))
+    dated = a.crossJoin(newest)
+    within = lambda h: F.col("published_at") >= F.col("t") - F.expr(f"INTERVAL {h} HOURS")
+    n = dated.agg(F.count_distinct(F.when(within(48), F.col("event_key"))).alias("n48"), F.count_distinct(F.when(within(72), F.col("event_key"))).alias("n72"))
+    hours = F.when(F.col("n48") >= 300, 48).when(F.col("n72") >= 300, 72).otherwise(168)
+    ok = F.when(F.col("hours") == 48, within(48)).when(F.col("hours") == 72, within(72)).otherwise(within(168))
+    return dated.crossJoin(F.broadcast(n.select(hours.alias("hours")))).where(ok).select("article_id", F.col("hours").cast("int").alias("hours"))
+
+
+@query("SELECT event_id, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(value AS VARCHAR) END AS DOUBLE), 0) AS value, lower(event_type) IN ('true', 'view') AS flag FROM events")
+def coerce_numeric(spark, d):
+    e = table(spark, d, "events").withColumn("text", F.when(F.col("event_id") % 3 == 0, "x").otherwise(F.col("value").cast("string")))
+    return e.select("event_id", S.number("text").alias("value"), F.lower("event_type").isin("true", "view").alias("flag"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'baseline' ELSE event_type END AS formula, coalesce(CASE WHEN event_id % 5 <> 0 THEN value END, user_id) AS volume FROM events")
+def legacy_marking(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.lit(" ")).otherwise(F.col("event_type")).alias("f"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("v"), "user_id")
+    return e.select("event_id", F.when(F.col("f").isNull() | (F.trim("f") == ""), "baseline").otherwise(F.col("f")).alias("formula"), F.coalesce("v", F.col("user_id").cast("double")).alias("volume"))
+
+
+# --- joins and set operations ---
+
+
+@query("SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1)")
+def join_validated(spark, d):
+    labels = table(spark, d, "labels")
+    unique = labels.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic")).where("n = 1").drop("n")
+    return table(spark, d, "documents").select("doc_id", "lang").join(unique, "doc_id")
+
+
+@query("SELECT e.event_id, coalesce(nullif(d.source, ''), e.event_type) AS source, (d.source IS NOT NULL) AS changed FROM events e LEFT JOIN documents d ON e.event_id = d.doc_id")
+def left_update(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("s"))
+    e = table(spark, d, "events")
+    return e.join(docs, e.event_id == docs.doc_id, "left").select("event_id", F.coalesce(F.nullif("s", F.lit("")), "event_type").alias("source"), F.col("s").isNotNull().alias("changed"))
+
+
+@query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT doc_id FROM documents)")
+def new_ids_anti(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    e = table(spark, d, "events").select("event_id")
+    return e.join(docs, e.event_id == docs.doc_id, "left_anti")
+
+
+@query(f"WITH {ART}, {GROUP_ROWS} SELECT sector, coalesce(n, 0) AS n FROM dom LEFT JOIN (SELECT sector, count(*) AS n FROM art GROUP BY 1) USING (sector)")
+def zero_fill(spark, d):
+    return W.zero_fill(spark, articles(spark, d).groupBy("sector").agg(F.count("*").alias("n")), config.GROUPS)
+
+
+@query(
+    """WITH r AS (SELECT event_id AS id, epoch(ts) AS at, [user_id % 70, 100 + user_id % 50] AS e FROM events WHERE event_id % 10 = 0)
+    SELECT x.id AS a, y.id AS b FROM r x JOIN r y ON x.id < y.id AND abs(x.at - y.at) <= 172800 AND list_has_any(x.e, y.e)"""
+)
+def range_overlap_pairs(spark, d):
+    e = table(spark, d, "events").where("event_id % 10 = 0")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return R.range_overlap_pairs(e.select(F.col("event_id").alias("id"), at.alias("at"), F.array(F.col("user_id") % 70, 100 + F.col("user_id") % 50).alias("entities")))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, string_split({NORMAL.format('text')}, ' ')[1:5] AS p, length({NORMAL.format('text')}) AS n FROM documents)
+    SELECT x.doc_id AS later, min(y.doc_id) AS earlier FROM t x JOIN t y ON x.p = y.p AND y.doc_id < x.doc_id AND len(x.p) = 5 GROUP BY 1"""
+)
+def prefix_block_pairs(spark, d):
+    words = F.slice(F.split(X.normal_title(F.col("text")), " "), 1, 5)
+    t = table(spark, d, "documents").select("doc_id", words.alias("p")).where(F.size("p") == 5)
+    first = F.min("doc_id").over(Window.partitionBy("p"))
+    return t.select(F.col("doc_id").alias("later"), first.alias("earlier")).where("earlier < later")
+
+
+@query(f"WITH {ART}, v AS (SELECT sector, day, sum(agg_weight) AS x FROM art GROUP BY 1, 2) SELECT c.sector, round(c.x - p.x, 6) AS delta FROM v c JOIN v p ON c.sector = p.sector AND c.day = DATE '2024-01-20' AND p.day = DATE '2024-01-19'")
+def snapshot_delta(spark, d):
+    v = M.daily_volume(articles(spark, d))
+    now, then = (v.where(F.col("day") == F.lit(x).cast("date")).select("sector", F.col("volume").alias(n)) for x, n in (("2024-01-20", "now"), ("2024-01-19", "then")))
+    return rounded(now.join(then, "sector").select("sector", (F.col("now") - F.col("then")).alias("delta")))
+
+
+@query(f"WITH {ART} SELECT event_key, arg_max(article_id, agg_weight * 1e9 - article_id) AS evidence FROM art WHERE article_id % 3 = 0 GROUP BY 1")
+def evidence_lookup(spark, d):
+    return articles(spark, d).where("article_id % 3 = 0").groupBy("event_key").agg(F.max_by("article_id", F.col("agg_weight") * 1e9 - F.col("article_id")).alias("evidence"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'new' ELSE p_brand END AS p_brand FROM part UNION ALL SELECT max(p_partkey) + 1, 'new' FROM part")
+def upsert(spark, d):
+    old = table(spark, d, "part").select("p_partkey", "p_brand")
+    new = old.where("p_partkey % 4 = 0").select("p_partkey", F.lit("new").alias("p_brand")).unionByName(old.agg((F.max("p_partkey") + 1).alias("p_partkey")).withColumn("p_brand", F.lit("new")))
+    return R.upsert(old, new, ["p_partkey"])
+
+
+@query("SELECT doc_id AS id, 'document' AS kind FROM documents UNION ALL SELECT item_id, 'item' FROM benchmark")
+def union_all(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind")).unionByName(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("item").alias("kind")))
+
+
+@query("SELECT DISTINCT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def key_except(spark, d):
+    return table(spark, d, "documents").select("doc_id").distinct().join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query(
+    """WITH p AS (SELECT user_id, event_id, i, part FROM (SELECT user_id, event_id, unnest([event_type, upper(event_type), 'S' || event_id % 3]) AS part, unnest([1, 2, 3]) AS i FROM events)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(part) ORDER BY event_id, i) AS r FROM p) SELECT user_id, string_agg(part, ';' ORDER BY event_id, i) AS sources FROM f WHERE r = 1 GROUP BY 1"""
+)
+def raw_merge(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.concat_ws(";", "event_type", F.upper("event_type"), F.concat(F.lit("S"), F.col("event_id") % 3)).alias("sources"))
+    return R.merge_context(e, "user_id", "sources", "event_id")
+
+
+# --- aggregates ---
+
+LINE = "l AS (SELECT l_returnflag AS g, l_extendedprice / 1000 AS v, l_quantity AS w FROM lineitem)"
+
+
+def _lines(spark, d) -> DataFrame:
+    return W.with_safe_weight(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_extendedprice") / 1000).alias("v"), "l_quantity"), ["g"], "l_quantity")
+
+
+@query(f"WITH {LINE} SELECT g, round(sum(v * w) / sum(w), 6) AS mean FROM l GROUP BY 1")
+def weighted_mean(spark, d):
+    return rounded(_lines(spark, d).groupBy("g").agg(W.wmean(F.col("v")).alias("mean")))
+
+
+@query(f"WITH {LINE}, m AS (SELECT g, sum(v * w) / sum(w) AS mean FROM l GROUP BY 1) SELECT g, round(sqrt(sum(w * (v - mean) ** 2) / sum(w)), 6) AS weighted_std FROM l JOIN m USING (g) GROUP BY 1")
+def weighted_std(spark, d):
+    return rounded(W.weighted_std(_lines(spark, d), ["g"], "v"))
+
+
+@query(f"WITH {LINE}, c AS (SELECT g, v, sum(w) OVER (PARTITION BY g ORDER BY v) AS cum, sum(w) OVER (PARTITION BY g) AS tot FROM l) SELECT g, min(v) AS p90 FROM c WHERE cum >= 0.9 * tot - 1e-12 GROUP BY 1")
+def weighted_p90(spark, d):
+    return W.weighted_quantile(_lines(spark, d), ["g"], "v", 0.9, "p90")
+
+
+@query(
+    f"""WITH {ART}, a AS (SELECT sector AS g, day, sentiment_score AS v, agg_weight AS w, article_id AS i FROM art)
+    SELECT x.g, x.day, round(least(1, sum(x.w * y.w * abs(x.v - y.v)) / (2 * sum(x.w * y.w))), 6) AS distance FROM a x JOIN a y ON x.g = y.g AND x.day = y.day AND x.i < y.i GROUP BY 1, 2"""
+)
+def pairwise_distance(spark, d):
+    a = articles(spark, d).select(F.col("sector").alias("g"), "day", "sentiment_score", F.col("agg_weight").alias("w"))
+    many = W.pairwise_distance(a, ["g", "day"], "sentiment_score")
+    sizes = a.groupBy("g", "day").count().where("count > 1").drop("count")
+    return rounded(many.join(sizes, ["g", "day"], "left_semi"))
+
+
+@query(f"WITH {ART} SELECT sector, round(2 * least(sum(CASE WHEN sentiment_score > 0.15 THEN agg_weight ELSE 0 END), sum(CASE WHEN sentiment_score < -0.15 THEN agg_weight ELSE 0 END)) / sum(agg_weight), 6) AS mix FROM art GROUP BY 1")
+def polarity_mix(spark, d):
+    return rounded(W.with_safe_weight(articles(spark, d), ["sector"]).groupBy("sector").agg(W.polarity_mix(F.col("sentiment_score")).alias("mix")))
+
+
+@query(
+    f"""WITH {ART}, m AS (SELECT sector, sum(sentiment_score * agg_weight) / sum(agg_weight) AS mean, 2 * least(sum(CASE WHEN sentiment_score > 0.15 THEN agg_weight ELSE 0 END), sum(CASE WHEN sentiment_score < -0.15 THEN agg_weight ELSE 0 END)) / sum(agg_weight) AS mix FROM art GROUP BY 1)
+    SELECT sector, round(least(100, 100 * (0.5 * sqrt(sum(agg_weight * (sentiment_score - mean) ** 2) / sum(agg_weight)) + 0.5 * any_value(mix))), 6) AS disagreement FROM art JOIN m USING (sector) GROUP BY 1"""
+)
+def disagreement_legacy(spark, d):
+    a = W.with_safe_weight(articles(spark, d), ["sector"])
+    both = W.weighted_std(a, ["sector"], "sentiment_score").join(a.groupBy("sector").agg(W.polarity_mix(F.col("sentiment_score")).alias("mix")), "sector")
+    return rounded(both.select("sector", F.least(F.lit(100.0), 100 * (0.5 * F.col("weighted_std") + 0.5 * F.col("mix"))).alias("disagreement")))
+
+
+VOLUME = f"{GROUP_ROWS}, vol AS (SELECT sector, coalesce(x, 0) AS volume FROM dom LEFT JOIN (SELECT sector, sum(agg_weight) AS x FROM art WHERE published_at >= (SELECT max(published_at) FROM art) - INTERVAL 7 DAYS GROUP BY 1) USING (sector))"
+
+
+@query(f"WITH {ART}, {VOLUME} SELECT sector, round(volume, 6) AS volume FROM vol")
+def attention_volume(spark, d):
+    return rounded(M.attention_volume(spark, articles(spark, d)))
+
+
+@query("SELECT event_type, count(DISTINCT p) AS publishers FROM (SELECT event_type, unnest(['u' || user_id, 's' || user_id % 20]) AS p FROM events) GROUP BY 1")
+def publisher_count(spark, d):
+    names = F.concat(F.lit("u"), F.col("user_id"), F.lit("; s"), F.col("user_id") % 20)
+    return table(spark, d, "events").select("event_type", F.explode(X.split_values(names)).alias("p")).groupBy("event_type").agg(F.count_distinct("p").alias("publishers"))
+
+
+def _metrics_sql(weights: dict) -> str:
+    dims = ", ".join(
+        f"sum(100 * greatest(0, least(1, {' + '.join(f'{w} * {c}' for c, w in weights[dim].items())})) * agg_weight) / sum(agg_weight) AS {dim}" for dim in ("optimism", "fear", "uncertainty")
+    )
+    part = weights["risk_intensity"]
+    return f"""{ART}, {VOLUME}, main AS (SELECT sector, {dims}, count(*) AS articles, count(DISTINCT publisher) AS publishers FROM art GROUP BY 1),
+    tie AS (SELECT sector, sentiment_score AS v, sum(agg_weight) AS w, sum(agg_weight * agg_weight) AS w2 FROM art GROUP BY 1, 2),
+    dis AS (SELECT x.sector, 100 * sum(CASE WHEN x.v < y.v THEN x.w * y.w * (y.v - x.v) ELSE 0 END) / (2 * any_value(z.p)) AS disagreement FROM tie x JOIN tie y USING (sector) JOIN (SELECT sector, (sum(w) ** 2 - sum(w2)) / 2 AS p FROM tie GROUP BY 1) z USING (sector) GROUP BY 1),
+    reps AS (SELECT * FROM art QUALIFY row_number() OVER (PARTITION BY event_key ORDER BY agg_weight DESC, article_id) = 1),
+    cum AS (SELECT sector, risk_intensity AS v, sum(agg_weight) OVER (PARTITION BY sector ORDER BY risk_intensity) AS c, sum(agg_weight) OVER (PARTITION BY sector) AS t FROM reps),
+    p AS (SELECT sector, min(v) AS p90 FROM cum WHERE c >= 0.9 * t - 1e-12 GROUP BY 1),
+    risk AS (SELECT sector, count(*) AS events, {part['weighted_mean']} * sum(risk_intensity * agg_weight) / sum(agg_weight) + {part['p90']} * any_value(p90) AS risk_intensity FROM reps JOIN p USING (sector) GROUP BY 1),
+    att AS (SELECT sector, 100 * ((SELECT count(*) FROM vol v2 WHERE v2.volume < v.volume) + ((SELECT count(*) FROM vol v2 WHERE v2.volume = v.volume) + 1) / 2.0 - 0.5) / 6 AS attention FROM vol v),
+    met AS (SELECT sector, coalesce(optimism, 0) AS optimism, coalesce(fear, 0) AS fear, coalesce(uncertainty, 0) AS uncertainty, attention, coalesce(disagreement, 0) AS disagreement, coalesce(risk_intensity, 0) AS risk_intensity,
+      coalesce(articles, 0) AS articles, coalesce(events, 0) AS events, coalesce(publishers, 0) AS publishers FROM dom LEFT JOIN main USING (sector) LEFT JOIN dis USING (sector) LEFT JOIN risk USING (sector) LEFT JOIN att USING (sector))"""
+
+
+_ROUND6 = ", ".join(f"round({m}, 6) AS {m}" for m in config.METRICS)
+
+
+@query(f"WITH {_metrics_sql(config.BASELINE)} SELECT sector, {_ROUND6}, articles, events, publishers FROM met")
+def sector_metrics_baseline(spark, d):
+    return rounded(M.sector_metrics(spark, articles(spark, d), config.BASELINE))
+
+
+@query(f"WITH {_metrics_sql(config.ENHANCED)} SELECT sector, {_ROUND6}, articles, events, publishers FROM met")
+def sector_metrics_enhanced(spark, d):
+    return rounded(M.sector_metrics(spark, articles(spark, d), config.ENHANCED))
+
+
+@query(f"WITH {_metrics_sql(config.ENHANCED)} SELECT {', '.join(f'round(avg({m}), 6) AS {m}' for m in config.METRICS)} FROM met")
+def market_metrics(spark, d):
+    return rounded(M.market_metrics(spark, articles(spark, d), config.ENHANCED))
+
+
+SCORED = f"{ART}, sc AS (SELECT *, 0.4 * risk_intensity + 0.25 * abs(sentiment_score) * 100 + 0.2 * 100 * greatest(0, least(1, 0.4 * p_neutral + 0.3 * entropy_norm + 0.3 * k_unc)) + 0.15 * agg_weight / max(agg_weight) OVER () * 100 AS driver_score FROM art)"
+EVENTS = f"""{SCORED}, ev AS (SELECT event_key, first(article_id ORDER BY agg_weight DESC, article_id) AS article_id, first(sector ORDER BY agg_weight DESC, article_id) AS sector, count(*) AS articles, count(DISTINCT source) AS sources,
+    CASE WHEN count(DISTINCT source) >= 3 THEN least(max(driver_score) * 1.15, 115) ELSE max(driver_score) END AS event_score FROM sc GROUP BY 1)"""
+
+
+@query(f"WITH {SCORED} SELECT article_id, round(driver_score, 6) AS driver_score FROM sc")
+def driver_score(spark, d):
+    return rounded(M.with_driver_score(articles(spark, d)).select("article_id", "driver_score"))
+
+
+@query(f"WITH {EVENTS} SELECT event_key, article_id, sector, articles, sources, round(event_score, 6) AS event_score FROM ev")
+def event_collapse(spark, d):
+    return rounded(M.collapse_events(M.with_driver_score(articles(spark, d))).select("event_key", "article_id", "sector", "articles", "sources", "event_score"))
+
+
+@query(
+    f"""WITH {EVENTS}, best AS (SELECT * FROM ev WHERE sector = 'error' ORDER BY event_score DESC, article_id LIMIT 1)
+    SELECT event_key, article_id, round(event_score, 6) AS event_score FROM ((SELECT * FROM ev WHERE event_key NOT IN (SELECT event_key FROM best) ORDER BY event_score DESC, article_id LIMIT 9) UNION ALL SELECT * FROM best)"""
+)
+def top_drivers(spark, d):
+    return rounded(M.top_drivers(articles(spark, d)).select("event_key", "article_id", "event_score"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source LIMIT 5")
+def value_counts_top(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(5)
+
+
+@query(f"WITH {ART}, {GROUP_ROWS} SELECT sector, coalesce(p, 0) AS positive, coalesce(n, 0) AS negative FROM dom LEFT JOIN (SELECT sector, count(*) FILTER (sentiment_score > 0.05) AS p, count(*) FILTER (sentiment_score < -0.05) AS n FROM art GROUP BY 1) USING (sector)")
+def sentiment_counts(spark, d):
+    label = S.sentiment_label(F.col("sentiment_score"))
+    return W.zero_fill(spark, articles(spark, d).groupBy("sector").agg(F.count_if(label == "positive").alias("positive"), F.count_if(label == "negative").alias("negative")), config.GROUPS)
+
+
+@query(
+    f"""WITH {ART}, u AS (UNPIVOT (SELECT sentiment_score, risk_intensity, agg_weight FROM art) ON sentiment_score, risk_intensity, agg_weight INTO NAME metric VALUE v)
+    SELECT metric, count(*) AS n, round(min(v), 6) AS lowest, round(quantile_cont(v, 0.1), 6) AS p10, round(median(v), 6) AS p50, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.9), 6) AS p90, round(max(v), 6) AS highest FROM u GROUP BY 1"""
+)
+def output_distribution(spark, d):
+    u = articles(spark, d).unpivot([], ["sentiment_score", "risk_intensity", "agg_weight"], "metric", "v")
+    q = F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    a = u.groupBy("metric").agg(F.count("*").alias("n"), F.min("v").alias("lowest"), q.alias("q"), F.avg("v").alias("mean"), F.max("v").alias("highest"))
+    return rounded(a.select("metric", "n", "lowest", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), "mean", F.col("q")[2].alias("p90"), "highest"))
+
+
+@query(f"WITH {ART} SELECT count(*) AS articles, count(DISTINCT sector) AS sectors, count(DISTINCT publisher) AS publishers, count(DISTINCT event_key) AS events, count(*) FILTER (risk_intensity > 0) AS risky, min(day) AS first_day, max(day) AS last_day FROM art")
+def coverage_summary(spark, d):
+    return articles(spark, d).agg(F.count("*").alias("articles"), F.count_distinct("sector").alias("sectors"), F.count_distinct("publisher").alias("publishers"), F.count_distinct("event_key").alias("events"), F.count_if(F.col("risk_intensity") > 0).alias("risky"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+def _formula_sql(name: str, weights: dict) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS formula, '{dim}' AS metric, sector, 100 * greatest(0, least(1, {' + '.join(f'{w} * {c}' for c, w in weights[dim].items())})) AS v FROM art" for dim in ("optimism", "fear", "uncertainty"))
+
+
+@query(f"WITH {ART}, f AS ({_formula_sql('baseline', config.BASELINE)} UNION ALL {_formula_sql('enhanced', config.ENHANCED)}), s AS (SELECT formula, metric, sector, avg(v) AS v FROM f GROUP BY ALL) SELECT formula, metric, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(max(v) - min(v), 6) AS spread FROM s GROUP BY ALL")
+def formula_comparison(spark, d):
+    a, parts = articles(spark, d), []
+    for name, weights in (("baseline", config.BASELINE), ("enhanced", config.ENHANCED)):
+        parts += [F.struct(F.lit(name).alias("formula"), F.lit(k).alias("metric"), c.alias("v")) for k, c in S.article_formulas(weights).items()]
+    s = a.select("sector", F.explode(F.array(*parts)).alias("x")).groupBy("x.formula", "x.metric", "sector").agg(F.avg("x.v").alias("v"))
+    return rounded(s.groupBy("formula", "metric").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), (F.max("v") - F.min("v")).alias("spread")))
+
+
+@query(f"WITH {ART} SELECT sector, {', '.join(f'round(sum({c} * agg_weight) / sum(agg_weight), 6) AS {c}' for c in ('b_bull', 'b_bear', 'g_growth', 's_shock', 'k_unc'))} FROM art GROUP BY 1")
+def component_means(spark, d):
+    return rounded(W.with_safe_weight(articles(spark, d), ["sector"]).groupBy("sector").agg(*(W.wmean(F.col(c)).alias(c) for c in ("b_bull", "b_bear", "g_growth", "s_shock", "k_unc"))))
+
+
+@query(f"WITH {ART}, s AS (SELECT event_key, count(*) AS n FROM art GROUP BY 1) SELECT n AS size, count(*) AS events FROM s GROUP BY 1")
+def size_histogram(spark, d):
+    return articles(spark, d).groupBy("event_key").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("events"))
+
+
+@query(f"WITH {ART}, s AS (SELECT event_key, count(*) AS n FROM art GROUP BY 1) SELECT count(*) AS events, count(*) FILTER (n > 1) AS multi, sum(n) FILTER (n > 1) AS in_multi, max(n) AS largest FROM s")
+def cluster_summary(spark, d):
+    s = articles(spark, d).groupBy("event_key").agg(F.count("*").alias("n"))
+    return s.agg(F.count("*").alias("events"), F.count_if(F.col("n") > 1).alias("multi"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("in_multi"), F.max("n").alias("largest"))
+
+
+@query(f"WITH {ART} SELECT sector, round(max(abs(round(agg_weight, 2) - agg_weight)), 6) AS off, round(avg(agg_weight), 6) AS mean FROM art GROUP BY 1")
+def weight_audit(spark, d):
+    return rounded(articles(spark, d).groupBy("sector").agg(F.max(F.abs(F.round("agg_weight", 2) - F.col("agg_weight"))).alias("off"), F.avg("agg_weight").alias("mean")))
+
+
+# --- windows and top-k ---
+
+
+@query(f"WITH {ART}, {VOLUME} SELECT sector, 100 * ((SELECT count(*) FROM vol v2 WHERE v2.volume < v.volume) + ((SELECT count(*) FROM vol v2 WHERE v2.volume = v.volume) + 1) / 2.0 - 0.5) / 6 AS percentile FROM vol v")
+def avg_rank_percentile(spark, d):
+    v = M.attention_volume(spark, articles(spark, d))
+    return v.select("sector", (100 * (W.average_rank(F.col("volume"), [F.lit(1)], F.col("volume")) - 0.5) / F.count("*").over(Window.partitionBy(F.lit(1)))).alias("percentile"))
+
+
+DAILY = "daily AS (SELECT sector, day, sum(agg_weight) AS volume, count(*) AS articles FROM art GROUP BY 1, 2)"
+GROWTH = f"{DAILY}, gr AS (SELECT *, row_number() OVER s AS n, CASE WHEN row_number() OVER s > 7 THEN (volume - avg(volume) OVER p) / (avg(volume) OVER p + 1) END AS growth FROM daily WINDOW s AS (PARTITION BY sector ORDER BY day), p AS (PARTITION BY sector ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))"
+
+
+@query(f"WITH {ART}, {GROWTH} SELECT sector, day, round(growth, 6) AS growth FROM gr WHERE growth IS NOT NULL")
+def growth_series(spark, d):
+    return rounded(M.growth_series(M.daily_volume(articles(spark, d))).where("growth IS NOT NULL").select("sector", "day", "growth"))
+
+
+@query(
+    f"""WITH {ART}, {GROWTH}, l AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY day DESC) AS b FROM gr), c AS (SELECT sector, volume AS v, growth AS g FROM l WHERE b = 1)
+    SELECT sector, count(*) AS days, round(100 * (0.7 * avg(CASE WHEN volume <= v THEN 1.0 ELSE 0 END) + 0.3 * avg(CASE WHEN growth IS NULL THEN NULL WHEN growth <= g THEN 1.0 ELSE 0 END)), 6) AS attention FROM l JOIN c USING (sector) WHERE b > 1 GROUP BY 1"""
+)
+def attention_scores(spark, d):
+    return rounded(M.attention_scores(M.daily_volume(articles(spark, d)), config.ENHANCED))
+
+
+@query(f"WITH {ART}, {DAILY} SELECT sector, day, round(cume_dist() OVER (PARTITION BY sector ORDER BY volume), 6) AS ecdf FROM daily")
+def volume_ecdf(spark, d):
+    return rounded(M.daily_volume(articles(spark, d)).select("sector", "day", F.cume_dist().over(Window.partitionBy("sector").orderBy("volume")).alias("ecdf")))
+
+
+@query(f"WITH {ART} SELECT event_key, article_id FROM art QUALIFY row_number() OVER (PARTITION BY event_key ORDER BY agg_weight DESC, article_id) = 1")
+def event_representatives(spark, d):
+    return M.event_representatives(articles(spark, d)).select("event_key", "article_id")
+
+
+@query(f"WITH {ART} SELECT sector, day, article_id FROM art QUALIFY row_number() OVER (PARTITION BY sector, day ORDER BY published_at DESC, article_id DESC) = 1")
+def keep_last(spark, d):
+    return R.one_row_per_key(articles(spark, d), ["sector", "day"], [F.desc("published_at"), F.desc("article_id")]).select("sector", "day", "article_id")
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (event_type = 'view') DESC, ts DESC NULLS LAST) = 1")
+def snapshot_select(spark, d):
+    return R.one_row_per_key(table(spark, d, "events"), ["user_id"], [(F.col("event_type") == "view").desc(), F.col("ts").desc_nulls_last()]).select("user_id", "event_id")
+
+
+@query(f"WITH {ART}, {DAILY}, l AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY day DESC) AS b, first(volume) OVER (PARTITION BY sector ORDER BY day DESC) AS now FROM daily) SELECT sector, CASE WHEN count(*) FILTER (volume > now) = 0 THEN 'high' WHEN count(*) FILTER (volume < now) = 0 THEN 'low' ELSE 'middle' END AS place FROM l WHERE b <= 7 GROUP BY 1 HAVING count(*) = 7")
+def seven_day_position(spark, d):
+    w = Window.partitionBy("sector").orderBy(F.desc("day"))
+    rows = M.daily_volume(articles(spark, d)).withColumn("b", F.row_number().over(w)).withColumn("now", F.first("volume").over(w)).where("b <= 7")
+    place = F.when(F.count_if(F.col("volume") > F.col("now")) == 0, "high").when(F.count_if(F.col("volume") < F.col("now")) == 0, "low").otherwise("middle")
+    return rows.groupBy("sector").agg(place.alias("place"), F.count("*").alias("n")).where("n = 7").drop("n")
+
+
+@query(f"WITH t AS (SELECT doc_id, md5(text) AS url, {NORMAL.format('left(text, 80)')} AS title FROM documents) SELECT doc_id, (url <> '' AND row_number() OVER (PARTITION BY url ORDER BY doc_id) > 1) OR (title <> '' AND row_number() OVER (PARTITION BY title ORDER BY doc_id) > 1) AS duplicate FROM t")
+def dup_marking(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.md5("text").alias("url"), X.normal_title(F.substring("text", 1, 80)).alias("title"))
+    return R.mark_duplicates(t, "url", "title", "doc_id").select("doc_id", "duplicate")
+
+
+@query(f"WITH {ART}, {VOLUME} SELECT sector, round(CASE WHEN max(volume) OVER () = min(volume) OVER () THEN 50 ELSE 100 * (volume - min(volume) OVER ()) / (max(volume) OVER () - min(volume) OVER ()) END, 6) AS scaled FROM vol")
+def minmax_scale(spark, d):
+    v, w = M.attention_volume(spark, articles(spark, d)), Window.partitionBy(F.lit(1))
+    low, high = F.min("volume").over(w), F.max("volume").over(w)
+    return rounded(v.select("sector", F.when(high == low, 50.0).otherwise(100 * F.try_divide(F.col("volume") - low, high - low)).alias("scaled")))
+
+
+@query(
+    f"""WITH {ART}, {DAILY}, r AS (SELECT day, rank() OVER (PARTITION BY day ORDER BY volume) + (count(*) OVER (PARTITION BY day, volume) - 1) / 2.0 AS x, rank() OVER (PARTITION BY day ORDER BY articles) + (count(*) OVER (PARTITION BY day, articles) - 1) / 2.0 AS y FROM daily)
+    SELECT day, round(CASE WHEN sum(abs(x - y)) = 0 THEN 1 WHEN stddev_pop(x) = 0 OR stddev_pop(y) = 0 THEN 0 ELSE corr(x, y) END, 6) AS spearman FROM r GROUP BY 1"""
+)
+def daily_spearman(spark, d):
+    return rounded(E.daily_spearman(M.daily_volume(articles(spark, d)).select("day", F.col("volume").alias("x"), F.col("articles").alias("y"))))
+
+
+@query(
+    f"""WITH {ART}, {DAILY}, k AS (SELECT day, list(sector) FILTER (a <= 3) AS x, list(sector) FILTER (b <= 3) AS y FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY volume DESC, sector) AS a, row_number() OVER (PARTITION BY day ORDER BY articles DESC, sector) AS b FROM daily) GROUP BY 1)
+    SELECT day, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS overlap FROM k"""
+)
+def topk_jaccard(spark, d):
+    rank = lambda c: F.row_number().over(Window.partitionBy("day").orderBy(F.desc(c), "sector"))
+    k = M.daily_volume(articles(spark, d)).withColumn("a", rank("volume")).withColumn("b", rank("articles"))
+    sets = k.groupBy("day").agg(F.collect_set(F.when(F.col("a") <= 3, F.col("sector"))).alias("x"), F.collect_set(F.when(F.col("b") <= 3, F.col("sector"))).alias("y"))
+    return rounded(sets.select("day", (F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("overlap")))
+
+
+@query(f"WITH {ART} SELECT article_id, risk_intensity FROM art ORDER BY risk_intensity DESC, article_id LIMIT 20")
+def top_articles(spark, d):
+    return articles(spark, d).select("article_id", "risk_intensity").orderBy(F.desc("risk_intensity"), "article_id").limit(20)
+
+
+@query(f"WITH {_metrics_sql(config.ENHANCED)}, u AS (UNPIVOT (SELECT sector, {', '.join(f'round({m}, 6) AS {m}' for m in config.METRICS)} FROM met) ON {', '.join(config.METRICS)} INTO NAME metric VALUE v) SELECT metric, sector, row_number() OVER (PARTITION BY metric ORDER BY v DESC, sector) AS place FROM u")
+def sector_rankings(spark, d):
+    u = sector_metrics_enhanced(spark, d).unpivot(["sector"], list(config.METRICS), "metric", "v")
+    return u.select("metric", "sector", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("v"), "sector")).cast("long").alias("place"))
+
+
+@query(f"WITH {ART}, {DAILY} SELECT c.sector, round(abs(c.volume - p.volume) + abs(c.articles - p.articles), 6) AS moved FROM daily c JOIN daily p ON c.sector = p.sector AND c.day = DATE '2024-01-20' AND p.day = DATE '2024-01-19' ORDER BY 2 DESC LIMIT 3")
+def movers(spark, d):
+    v = M.daily_volume(articles(spark, d))
+    now, then = (v.where(F.col("day") == F.lit(x).cast("date")).select("sector", F.col("volume").alias(f"v{i}"), F.col("articles").alias(f"n{i}")) for i, x in ((1, "2024-01-20"), (0, "2024-01-19")))
+    moved = F.abs(F.col("v1") - F.col("v0")) + F.abs(F.col("n1") - F.col("n0"))
+    return rounded(now.join(then, "sector").select("sector", moved.alias("moved")).orderBy(F.desc("moved")).limit(3))
+
+
+@query(f"WITH {ART}, f AS (SELECT article_id, publisher, sentiment_score FROM art WHERE sentiment_score > 0.05 QUALIFY row_number() OVER (PARTITION BY publisher ORDER BY sentiment_score DESC, article_id) = 1) SELECT article_id, sentiment_score FROM f ORDER BY sentiment_score DESC, article_id LIMIT 3")
+def sentiment_extremes(spark, d):
+    f = R.one_row_per_key(articles(spark, d).where("sentiment_score > 0.05"), ["publisher"], [F.desc("sentiment_score"), F.asc("article_id")])
+    return f.select("article_id", "sentiment_score").orderBy(F.desc("sentiment_score"), "article_id").limit(3)
+
+
+@query(f"WITH {ART}, f AS (SELECT article_id, sector, risk_intensity, row_number() OVER (PARTITION BY sector ORDER BY risk_intensity DESC, article_id) = 1 AS lead FROM art) SELECT article_id, sector FROM f ORDER BY lead DESC, risk_intensity DESC, article_id LIMIT 8")
+def diverse_pick(spark, d):
+    w = Window.partitionBy("sector").orderBy(F.desc("risk_intensity"), "article_id")
+    return articles(spark, d).withColumn("lead", F.row_number().over(w) == 1).orderBy(F.desc("lead"), F.desc("risk_intensity"), "article_id").limit(8).select("article_id", "sector")
+
+
+@query(f"WITH b AS (WITH {_metrics_sql(config.BASELINE)} SELECT sector, optimism FROM met), e AS (WITH {_metrics_sql(config.ENHANCED)} SELECT sector, optimism FROM met) SELECT sector, rank() OVER (ORDER BY round(e.optimism, 6) DESC) - rank() OVER (ORDER BY round(b.optimism, 6) DESC) AS change FROM b JOIN e USING (sector)")
+def rank_changes(spark, d):
+    b, e = (f(spark, d).select("sector", F.col("optimism").alias(n)) for f, n in ((sector_metrics_baseline, "b"), (sector_metrics_enhanced, "e")))
+    place = lambda c: F.rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(c)))
+    return b.join(e, "sector").select("sector", (place("e") - place("b")).cast("long").alias("change"))
+
+
+# --- text ---
+
+
+@query(f"SELECT doc_id, {NORMAL.format('left(text, 120)')} AS title FROM documents")
+def normalize_title(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.normal_title(F.substring("text", 1, 120)).alias("title"))
+
+
+@query(r"SELECT doc_id, len(list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?。！？]) ', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) AS sentences FROM documents")
+def sentence_split(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("sentences"))
+
+
+@query("SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z0-9]+)?')), lambda t: length(t) > 1 AND t NOT IN ('the','and','of','that','with'))) AS tokens FROM documents")
+def content_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(X.content_tokens(F.col("text"), STOP)).cast("long").alias("tokens"))
+
+
+@query("SELECT doc_id, 'rss-' || left(sha1(source || '|' || text), 16) AS article_id FROM documents")
+def article_id_sha1(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.record_id(F.col("source"), F.col("text")).alias("article_id"))
+
+
+@query("SELECT source, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY 1")
+def fingerprint_sha256(spark, d):
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), "\n")
+    return table(spark, d, "documents").groupBy("source").agg(F.sha2(ids, 256).alias("fingerprint"))
+
+
+@query("SELECT page_id, '=HYPERLINK(\"' || replace(url, '\"', '\"\"') || '\",\"Open\")' AS link FROM pages")
+def hyperlink(spark, d):
+    return table(spark, d, "pages").select("page_id", X.hyperlink(F.col("url")).alias("link"))
+
+
+@query(f"WITH {ART} SELECT article_id, round(exp(-greatest(epoch(max(published_at) OVER ()) - epoch(published_at), 0) / 3600 / 72), 6) AS weight FROM art")
+def time_weight(spark, d):
+    a = articles(spark, d).select("article_id", "published_at")
+    return rounded(a.crossJoin(F.broadcast(a.agg(F.max("published_at").alias("now")))).select("article_id", S.time_weight(F.col("published_at"), F.col("now")).alias("weight")))
+
+
+@query(f"WITH {ART} SELECT article_id, round(entropy_norm, 6) AS entropy FROM art")
+def entropy_norm(spark, d):
+    return rounded(articles(spark, d).select("article_id", F.col("entropy_norm").alias("entropy")))
+
+
+@query(f"WITH {ART} SELECT article_id, round(exp(b_bull) / (exp(b_bull) + exp(b_bear) + exp(k_unc)), 6) AS first, round(exp(k_unc) / (exp(b_bull) + exp(b_bear) + exp(k_unc)), 6) AS last FROM art")
+def softmax(spark, d):
+    p = X.softmax([F.col("b_bull"), F.col("b_bear"), F.col("k_unc")])
+    return rounded(articles(spark, d).select("article_id", p[0].alias("first"), p[2].alias("last")))
+
+
+PADDED = "' ' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')) || ' '"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(['the','of the','and','mit'], lambda t: contains({PADDED.format('text')}, ' ' || t || ' ')), ';') AS terms FROM documents")
+def token_match(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.matched_terms(F.col("text"), ["the", "of the", "and", "mit"]), ";").alias("terms"))
+
+
+@query(
+    rf"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?。！？]) ', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS p FROM documents)
+    SELECT doc_id, round(CASE WHEN len(p) > 0 THEN least(3.0 * len(list_filter(p, lambda s: (contains({PADDED.format('s')}, ' of ') OR contains({PADDED.format('s')}, ' with ')) AND NOT contains({PADDED.format('s')}, ' and '))) / len(p), 1) ELSE 0 END, 6) AS score FROM s"""
+)
+def sentence_hit_score(spark, d):
+    parts = table(spark, d, "documents").select("doc_id", X.sentences(F.col("text")).alias("p"))
+    return rounded(parts.select("doc_id", X.hit_score(F.col("p"), ["of", "with"], ["and"]).alias("score")))
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, 'th', ''))) / 2 + (length(text) - length(replace(text, 'ing', ''))) / 3 AS n FROM documents".replace("/ 2", "// 2").replace("/ 3", "// 3"))
+def substring_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.count_terms(F.col("text"), ["th", "ing"]).alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN a >= greatest(b, c) AND a > 0 THEN 'conjunction' WHEN b >= c AND b > 0 THEN 'article' WHEN c > 0 THEN 'other' ELSE 'none' END AS topic FROM (SELECT doc_id, contains(lower(text), 'and')::INT + contains(lower(text), 'with')::INT AS a, contains(lower(text), 'the')::INT + contains(lower(text), 'der')::INT AS b, contains(lower(text), 'que')::INT AS c FROM documents)")
+def topic_choice(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.best_label(F.col("text"), TOPICS, "none").alias("topic"))
+
+
+@query(f"WITH {ART} SELECT article_id, round(100 * (1 - (1 - 5 / 5.0 * least(b_bear, 1)) * (1 - 3 / 5.0 * least(s_shock, 1)) * (1 - 2 / 5.0 * least(k_unc, 1))), 6) AS risk FROM art")
+def risk_noisy_or(spark, d):
+    risks = F.array(*(F.struct(F.lit(float(s)).alias("severity"), F.col(c).alias("strength")) for s, c in ((5, "b_bear"), (3, "s_shock"), (2, "k_unc"))))
+    return rounded(articles(spark, d).select("article_id", S.noisy_or(risks).alias("risk")))
+
+
+@query(f"WITH {ART} SELECT article_id, {', '.join(f'round(100 * greatest(0, least(1, ' + ' + '.join(f'{w} * {c}' for c, w in config.ENHANCED[dim].items()) + f')), 6) AS {dim}' for dim in ('optimism', 'fear', 'uncertainty'))} FROM art")
+def article_formulas(spark, d):
+    return rounded(articles(spark, d).select("article_id", *(c.alias(k) for k, c in S.article_formulas(config.ENHANCED).items())))
+
+
+@query("SELECT doc_id, replace(replace(text, 'Th', ''''), chr(65533), '') = replace(text, 'Th', '''') AS same FROM documents")
+def mojibake(spark, d):
+    damaged = F.replace("text", F.lit("Th"), F.lit("â€™"))
+    return table(spark, d, "documents").select("doc_id", (X.repair_mojibake(damaged) == F.replace("text", F.lit("Th"), F.lit("'"))).alias("same"))
+
+
+# --- similarity, evaluation, pipelines ---
+
+
+@query(
+    """WITH t AS (SELECT item_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS k FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]+')) > 0)
+    SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.k, y.k)) / len(list_distinct(list_concat(x.k, y.k))), 6) AS similarity FROM t x JOIN t y ON x.id < y.id WHERE len(list_intersect(x.k, y.k)) >= 0.2 * len(list_distinct(list_concat(x.k, y.k)))"""
+)
+def jaccard_pairs(spark, d):
+    t = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("tokens")).where("size(tokens) > 0")
+    return rounded(R.jaccard_pairs(t, 0.2))
+
+
+@query("SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.72")
+def cosine_pairs(spark, d):
+    e = table(spark, d, "embeddings")
+    x, y = (e.select("label", F.col("vec_id").alias(n), F.col("embedding").alias(f"e{n}")) for n in "ab")
+    return x.join(y, "label").where("a < b").where(R.cosine(F.col("ea"), F.col("eb")) >= 0.72).select("a", "b")
+
+
+@query(None)
+def event_clusters(spark, d):
+    e = table(spark, d, "events").where("user_id % 10 = 0").select(F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.array("user_id").alias("entities"))
+    component = e.select("id", F.col("entities")[0].alias("component"))
+    return R.constrained_clusters(R.range_overlap_pairs(e), e.select("id", "at"), component)
+
+
+@query(None)
+def similar_reprint(spark, d):
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), X.normal_title(F.substring("text", 1, 160)).alias("title"))
+    return R.similar_reprints(t)
+
+
+PRED = f"{ART}, pr AS (SELECT CASE WHEN sentiment_score > 0.05 THEN 'positive' WHEN sentiment_score < -0.05 THEN 'negative' ELSE 'neutral' END AS actual, CASE WHEN p_positive >= p_neutral AND p_positive >= p_negative THEN 'positive' WHEN p_neutral >= p_negative THEN 'neutral' ELSE 'negative' END AS predicted, greatest(p_positive, p_neutral, p_negative) AS confidence, * FROM art)"
+
+
+def _predicted(spark, d) -> DataFrame:
+    p, n, m = F.col("p_positive"), F.col("p_neutral"), F.col("p_negative")
+    best = F.when((p >= n) & (p >= m), "positive").when(n >= m, "neutral").otherwise("negative")
+    return articles(spark, d).withColumns({"actual": S.sentiment_label(F.col("sentiment_score")), "predicted": best, "confidence": F.greatest(p, n, m)})
+
+
+@query(f"WITH {PRED} SELECT actual, count(*) FILTER (predicted = 'positive') AS positive, count(*) FILTER (predicted = 'neutral') AS neutral, count(*) FILTER (predicted = 'negative') AS negative FROM pr GROUP BY 1")
+def confusion_matrix(spark, d):
+    return E.confusion(_predicted(spark, d), spark)
+
+
+@query(
+    f"""WITH {PRED}, c AS (SELECT label, count(*) FILTER (actual = label AND predicted = label) AS tp, count(*) FILTER (actual = label) AS support, count(*) FILTER (predicted = label) AS g FROM pr, (SELECT unnest(['positive','neutral','negative']) AS label) GROUP BY 1)
+    SELECT label, round(tp / g, 6) AS precision, round(tp / support, 6) AS recall, round(2.0 * tp / (g + support), 6) AS f1, support FROM c"""
+)
+def classification_report(spark, d):
+    return rounded(E.class_report(_predicted(spark, d), spark))
+
+
+@query(f"WITH {PRED} SELECT CAST(least(floor(confidence * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(confidence), 6) AS confidence, round(avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0 END), 6) AS accuracy FROM pr GROUP BY 1")
+def calibration_bins(spark, d):
+    return rounded(E.calibration(_predicted(spark, d).select("confidence", (F.col("actual") == F.col("predicted")).cast("int").alias("correct"))))
+
+
+@query(f"WITH {PRED} SELECT round(avg((p_positive - (actual = 'positive')::INT) ** 2 + (p_neutral - (actual = 'neutral')::INT) ** 2 + (p_negative - (actual = 'negative')::INT) ** 2), 6) AS brier FROM pr")
+def brier(spark, d):
+    off = [F.pow(F.col(f"p_{v}") - (F.col("actual") == v).cast("int"), 2) for v in E.LABELS]
+    return rounded(_predicted(spark, d).agg(F.avg(off[0] + off[1] + off[2]).alias("brier")))
+
+
+@query("SELECT quality, count(*) AS n, round(avg(toxic), 6) AS toxic_share FROM labels GROUP BY 1")
+def binary_quality(spark, d):
+    return rounded(table(spark, d, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.avg(F.col("toxic").cast("double")).alias("toxic_share")))
+
+
+@query(f"WITH {PRED} SELECT article_id, actual, predicted FROM pr WHERE actual <> predicted")
+def error_sample(spark, d):
+    return _predicted(spark, d).where("actual <> predicted").select("article_id", "actual", "predicted")
+
+
+@query(None)
+def stratified_sample(spark, d):
+    return E.stratified_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 100, 5720)
+
+
+@query(f"WITH {ART} SELECT day, sector, {', '.join(f'round(sum(100 * greatest(0, least(1, ' + ' + '.join(f'{w} * {c}' for c, w in config.ENHANCED[dim].items()) + f')) * agg_weight) / sum(agg_weight), 6) AS {dim}' for dim in ('optimism', 'fear', 'uncertainty'))} FROM art GROUP BY 1, 2")
+def daily_replay(spark, d):
+    a = W.with_safe_weight(articles(spark, d), ["day", "sector"])
+    return rounded(a.groupBy("day", "sector").agg(*(W.wmean(c).alias(k) for k, c in S.article_formulas(config.ENHANCED).items())))
+
+
+@query(
+    f"""WITH {ART}, f AS (SELECT unnest([0.0, 0.5, 1.0, 1.5, 2.0]) AS factor), s AS (SELECT factor, day, sector, sum(100 * greatest(0, least(1, (0.7 * factor * p_positive + 0.2 * b_bull + 0.1 * g_growth) / (0.7 * factor + 0.3))) * agg_weight) / sum(agg_weight) AS v FROM art, f GROUP BY ALL)
+    SELECT x.factor, round(avg(abs(x.v - y.v)), 6) AS mae FROM s x JOIN s y ON x.day = y.day AND x.sector = y.sector AND y.factor = 1.0 GROUP BY 1"""
+)
+def sensitivity_sweep(spark, d):
+    a = W.with_safe_weight(articles(spark, d), ["day", "sector"])
+    factors = [0.0, 0.5, 1.0, 1.5, 2.0]
+    value = lambda k: 100 * S.clamp((0.7 * k * F.col("p_positive") + 0.2 * F.col("b_bull") + 0.1 * F.col("g_growth")) / (0.7 * k + 0.3))
+    s = a.groupBy("day", "sector").agg(*(W.wmean(value(k)).alias(f"v{i}") for i, k in enumerate(factors)))
+    gaps = F.array(*(F.struct(F.lit(k).alias("factor"), F.abs(F.col(f"v{i}") - F.col("v2")).alias("gap")) for i, k in enumerate(factors)))
+    return rounded(s.select(F.explode(gaps).alias("x")).groupBy("x.factor").agg(F.avg("x.gap").alias("mae")))
+
+
+@query(f"WITH {_metrics_sql(config.ENHANCED)} SELECT round(avg(optimism), 6) AS optimism, round(avg(risk_intensity), 6) AS risk, arg_max(sector, round(risk_intensity, 6)) AS riskiest, sum(articles)::BIGINT AS articles FROM met")
+def brief_payload(spark, d):
+    m = sector_metrics_enhanced(spark, d)
+    return rounded(m.agg(F.avg("optimism").alias("optimism"), F.avg("risk_intensity").alias("risk"), F.max_by("sector", "risk_intensity").alias("riskiest"), F.sum("articles").alias("articles")))
+
+
+@query(f"SELECT * FROM (WITH {_metrics_sql(config.BASELINE)} SELECT 'baseline' AS formula, sector, {_ROUND6} FROM met) UNION ALL SELECT * FROM (WITH {_metrics_sql(config.ENHANCED)} SELECT 'enhanced' AS formula, sector, {_ROUND6} FROM met)")
+def daily_snapshots(spark, d):
+    return rounded(M.snapshot(spark, articles(spark, d)).select("formula", "sector", *config.METRICS))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_daily_volume(spark, d):
+    from quillmesh.streaming.volume import daily_volume_stream
+
+    return daily_volume_stream(spark, d)
