@@ -8,8 +8,9 @@ P(x | s) = (N(sx) + k P(x | suffix)) / (N(s) + k).
 
 Nothing of the corpus is held in one place: words, word pairs and triples are counted by exchanges of hashed keys
 between packed chunks and buckets, and the answers return to the chunks that asked.  Pairs of one context go to one
-bucket, which makes the test there; a context with more than ``HOT`` occurrences is a state without a test (its counts
-are certain) and its pairs are spread over all buckets.
+bucket, which makes the test there.  The pairs of a context with more than ``HOT`` occurrences, or a thousandth of all,
+are spread over all buckets, each sums its part of the gain, and the parts of those at most a thousand contexts are
+added up.
 
 Contexts need ``LEAST`` occurrences in training, and words seen once in training are not counted in contexts.  Words are
 told apart by 64-bit hashes, the next words of a context by 40 bits.  The test rounds probabilities to a sixth of a
@@ -27,6 +28,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmesh.llm import chunks as C
 from quillmesh.llm.work import Work
@@ -113,30 +115,31 @@ def _probability(q: np.ndarray) -> np.ndarray:
 
 
 class _Grams:
-    """Distinct (context, next word) of a chunk, in the order of the contexts' hashes, and what to send of them.
+    """Distinct contexts and (context, next word) of a chunk, in the order of the contexts' hashes, and what to send.
 
-    ``at`` are the token positions that take part, ``context`` a hash for each of them, ``seen`` the context's training
-    count, ``parent`` the probability of the next word in the context's suffix.
+    ``at`` are the token positions after a possible context, ``context`` a hash for each of them, ``seen`` the context's
+    training count, ``parent`` the probability of the next word in the context's suffix; ``counted`` says at which of
+    them the next word takes part in the context's counts.
     """
 
-    def __init__(self, t: _Tokens, at: np.ndarray, context: np.ndarray, seen: np.ndarray, parent: np.ndarray, buckets: int):
-        self.at = at
-        nxt = t.token[at]
+    def __init__(self, t: _Tokens, at: np.ndarray, context: np.ndarray, seen: np.ndarray, parent: np.ndarray, counted: np.ndarray, buckets: int, hot: int):
+        self.at, self.counted, size = at, counted, max(1, len(t.words))
         self.contexts, ctx = np.unique(context, return_inverse=True)
-        code = ctx.astype(np.int64) * max(1, len(t.words)) + nxt
+        self.of = ctx
+        code = ctx[counted].astype(np.int64) * size + t.token[at[counted]]
         unique, first, self.inverse = np.unique(code, return_index=True, return_inverse=True)
-        self.count = np.bincount(self.inverse[t.trained[at]], minlength=len(unique)).astype(np.uint32)
-        self.ctx = unique // max(1, len(t.words))
-        self.next = (t.words[unique % max(1, len(t.words))] >> np.uint64(24)) & _NEXT
-        self.parent = _quantised(parent[first])
+        self.count = np.bincount(self.inverse[t.trained[at[counted]]], minlength=len(unique)).astype(np.uint32)
+        self.ctx = unique // size
+        self.next = (t.words[unique % size] >> np.uint64(24)) & _NEXT
+        self.parent = _quantised(parent[counted][first])
         n = len(self.contexts)
         self.pairs = np.bincount(self.ctx, minlength=n)
         self.seen = np.zeros(n, np.int64)
         self.seen[ctx] = seen
-        hot = self.seen > HOT
-        self.hot = np.flatnonzero(hot[self.ctx])
-        self.cold_contexts = np.flatnonzero(~hot)
-        self.cold = np.flatnonzero(~hot[self.ctx])
+        often = self.seen > hot
+        self.hot = np.flatnonzero(often[self.ctx])
+        self.cold_contexts = np.flatnonzero(~often)
+        self.cold = np.flatnonzero(~often[self.ctx])
         key = C.mix(self.contexts[self.ctx[self.hot]] ^ (self.next[self.hot] * _K[0])) >> np.uint64(8)
         order = np.argsort(key, kind="stable")
         self.hot, self.hot_keys = self.hot[order], key[order]
@@ -152,18 +155,22 @@ class _Grams:
             ps = self.cold[self.cut_cold[b] : self.cut_cold[b + 1]]
             hs = slice(self.cut_hot[b], self.cut_hot[b + 1])
             if len(cs) or hs.start < hs.stop:
-                out[b] = C.pack_arrays(C.pack_sorted(self.contexts[cs]), self.seen[cs], self.pairs[cs], self.next[ps], self.parent[ps], self.count[ps], C.pack_sorted(self.hot_keys[hs]), self.count[self.hot[hs]])
+                own, which = np.unique(self.ctx[self.hot[hs]], return_inverse=True)
+                hot = (C.pack_sorted(self.hot_keys[hs]), self.count[self.hot[hs]], self.contexts[own], which.astype(np.uint16), self.seen[own], self.parent[self.hot[hs]])
+                out[b] = C.pack_arrays(C.pack_sorted(self.contexts[cs]), self.seen[cs], self.pairs[cs], self.next[ps], self.parent[ps], self.count[ps], *hot)
         return out
 
-    def answered(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each position in ``at``: count of (context, next), whether the context is a state, its training count."""
-        total, state = np.zeros(len(self.ctx), np.int64), self.seen > HOT
+    def answered(self, answers: dict[int, bytes], hot_states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each position in ``at``: count of (context, next), and whether the context is a state."""
+        total, state = np.zeros(len(self.ctx), np.int64), np.isin(self.contexts, hot_states)
         for b, payload in answers.items():
             pairs, states, hot = C.unpack_arrays(payload)
             total[self.cold[self.cut_cold[b] : self.cut_cold[b + 1]]] = pairs
             state[self.cold_contexts[self.cut_context[b] : self.cut_context[b + 1]]] = states
             total[self.hot[self.cut_hot[b] : self.cut_hot[b + 1]]] = hot
-        return total[self.inverse], state[self.ctx][self.inverse], self.seen[self.ctx][self.inverse]
+        found = np.zeros(len(self.at), np.int64)
+        found[self.counted] = total[self.inverse]
+        return found, state[self.of]
 
 
 def _test_contexts(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
@@ -176,67 +183,87 @@ def _test_contexts(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     for w, g in zip(where, got, strict=True):
         seen[w] = g[2]
     keys = [np.repeat(w, g[3]).astype(np.uint64) << np.uint64(40) | g[4] for w, g in zip(where, got, strict=True)]
-    gain = np.zeros(len(every))
-    if sum(map(len, keys)):
-        unique, total = _sum_keys(keys, [g[6] for g in got])
-        parent = np.zeros(len(unique))
-        for k, g in zip(keys, got, strict=True):
-            parent[np.searchsorted(unique, k)] = _probability(g[5])
-        ctx = (unique >> np.uint64(40)).astype(np.int64)
-        n = np.maximum(seen[ctx], total)
-        some = total > 0
-        left = (total[some] - 1 + SMOOTH * parent[some]) / (n[some] - 1 + SMOOTH)
-        gain = np.bincount(ctx[some], total[some] * np.log(left / parent[some]), len(every))
-    else:
-        unique, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    unique, total, parent = _sums(keys, [g[6] for g in got], [g[5] for g in got])
+    state = _gain((unique >> np.uint64(40)).astype(np.int64), total, parent, seen) > 0
     hot = [C.unpack_sorted(g[7]) for g in got]
-    hot_unique, hot_total = _sum_keys(hot, [g[8] for g in got]) if sum(map(len, hot)) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    state = gain > 0
+    hot_unique, hot_total, hot_parent = _sums(hot, [g[8] for g in got], [g[12] for g in got])
+    hot_contexts = np.unique(np.concatenate([g[9] for g in got]))
+    hot_seen, hot_of = np.zeros(len(hot_contexts), np.int64), np.zeros(len(hot_unique), np.int64)
+    for g, h in zip(got, hot, strict=True):
+        at = np.searchsorted(hot_contexts, g[9])
+        hot_seen[at] = g[11]
+        if len(h):
+            hot_of[np.searchsorted(hot_unique, h)] = at[g[10]]
+    hot_gain = _gain(hot_of, hot_total, hot_parent, hot_seen)
     take = lambda u, v, k: v[np.searchsorted(u, k)] if len(k) else np.zeros(0, np.int64)
-    return [(g[0], C.pack_arrays(take(unique, total, k), state[w].astype(np.uint8), take(hot_unique, hot_total, h))) for g, w, k, h in zip(got, where, keys, hot, strict=True)]
+    out = [(g[0], C.pack_arrays(take(unique, total, k), state[w].astype(np.uint8), take(hot_unique, hot_total, h))) for g, w, k, h in zip(got, where, keys, hot, strict=True)]
+    return [*out, (-1, C.pack_arrays(hot_contexts, hot_gain))]
+
+
+def _sums(keys: list[np.ndarray], counts: list[np.ndarray], parents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sums of their counts and their probabilities in the suffix."""
+    if not sum(map(len, keys)):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+    unique, total = _sum_keys(keys, counts)
+    parent = np.zeros(len(unique))
+    for k, q in zip(keys, parents, strict=True):
+        parent[np.searchsorted(unique, k)] = _probability(q)
+    return unique, total, parent
+
+
+def _gain(context: np.ndarray, total: np.ndarray, parent: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Leave-one-out log-likelihood gain of each context over its suffix."""
+    some = total > 0
+    n = np.maximum(seen[context[some]], total[some])
+    left = (total[some] - 1 + SMOOTH * parent[some]) / (n - 1 + SMOOTH)
+    return np.bincount(context[some], total[some] * np.log(left / parent[some]), len(seen))
+
+
+def hot_states(answers: DataFrame) -> np.ndarray:
+    """Contexts with parts in all buckets whose gains add up to more than 0."""
+
+    def parts(batches):
+        for batch in batches:
+            for payload in batch.column(0):
+                contexts, gain = C.unpack_arrays(payload.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64)), pa.array(gain)], names=["context", "gain"])
+
+    rows = answers.where("chunk_id = -1").select("payload").mapInArrow(parts, "context long, gain double")
+    found = rows.groupBy("context").agg(F.sum("gain").alias("gain")).where("gain > 0").collect()
+    return np.sort(np.array([r["context"] for r in found], np.int64).view(np.uint64))
 
 
 class _Model:
     """What a chunk knows of the corpus after each round."""
 
-    def __init__(self, chunk: C.Chunk, answers: dict, sizes: tuple[int, int], buckets: int, pair_buckets: int):
+    def __init__(self, chunk: C.Chunk, answers: dict, sizes: tuple[int, int], buckets: int, pair_buckets: int, pair_states: np.ndarray | None = None):
         self.t = t = _Tokens(chunk)
         self.total, self.distinct = sizes
         self.seen = _spread(t.words, C.bucket_bounds(t.words, buckets, 64), answers.get("word", {}), np.zeros(len(t.words), np.int64))
         self.root = (self.seen[t.token] + 1) / (self.total + self.distinct + 1)
-        self.buckets = pair_buckets
+        hot = max(HOT, self.total // 1000)
         at = t.back(1)
+        at = at[self.seen[t.token[at - 1]] >= LEAST]
         before = t.token[at - 1]
-        at = at[(self.seen[before] >= LEAST) & (self.seen[t.token[at]] >= 2)]
-        before = t.token[at - 1]
-        self.pairs = _Grams(t, at, t.words[before], self.seen[before], self.root[at], pair_buckets)
+        self.pairs = _Grams(t, at, t.words[before], self.seen[before], self.root[at], self.seen[t.token[at]] >= 2, pair_buckets, hot)
         self.one = self.root.copy()
-        if "pair" in answers:
-            n, state, seen = self.pairs.answered(answers["pair"])
+        if pair_states is not None:
+            n, state = self.pairs.answered(answers.get("pair", {}), pair_states)
             self.pair_count = np.zeros(len(t.token), np.int64)
             self.pair_count[at] = n
-            # every position after a state is scored there, with a count of 0 for what was not counted
-            states = np.zeros(len(t.words), bool)
-            states[before[state]] = True
-            after = t.back(1)
-            after = after[states[t.token[after - 1]]]
-            self.one[after] = (self.pair_count[after] + SMOOTH * self.root[after]) / (self.seen[t.token[after - 1]] + SMOOTH)
+            on = at[state]
+            self.one[on] = (self.pair_count[on] + SMOOTH * self.root[on]) / (self.seen[t.token[on - 1]] + SMOOTH)
             at = t.back(2)
-            at = at[(self.pair_count[at - 1] >= LEAST) & (self.pair_count[at] >= 2)]
+            at = at[self.pair_count[at - 1] >= LEAST]
             u, w = t.words[t.token[at - 2]], t.words[t.token[at - 1]]
-            self.triples = _Grams(t, at, C.mix(u * _K[0] + C.mix(w * _K[1])), self.pair_count[at - 1], self.one[at], pair_buckets)
+            self.triples = _Grams(t, at, C.mix(u * _K[0] + C.mix(w * _K[1])), self.pair_count[at - 1], self.one[at], self.pair_count[at] >= 2, pair_buckets, hot)
 
-    def scores(self, answers: dict) -> np.ndarray:
+    def scores(self, answers: dict, triple_states: np.ndarray) -> np.ndarray:
         """log10 probability of every token."""
-        t, two = self.t, self.one.copy()
-        n, state, _ = self.triples.answered(answers.get("triple", {}))
-        count = np.zeros(len(t.token), np.int64)
-        count[self.triples.at] = n
-        is_state = np.unique(self.triples.contexts[np.unique(self.triples.ctx[self.triples.inverse[state]])]) if len(n) else np.zeros(0, np.uint64)
-        after = t.back(2)
-        context = C.mix(t.words[t.token[after - 2]] * _K[0] + C.mix(t.words[t.token[after - 1]] * _K[1]))
-        after = after[np.isin(context, is_state)]
-        two[after] = (count[after] + SMOOTH * self.one[after]) / (self.pair_count[after - 1] + SMOOTH)
+        two = self.one.copy()
+        n, state = self.triples.answered(answers.get("triple", {}), triple_states)
+        on = self.triples.at[state]
+        two[on] = (n[state] + SMOOTH * self.one[on]) / (self.pair_count[on - 1] + SMOOTH)
         return np.log10(two)
 
 
@@ -253,17 +280,19 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sizes = (int(sum(s[0] for s in stats)), int(sum(s[1] for s in stats)))
     words = words.where("chunk_id >= 0")
 
-    def model(chunk: C.Chunk, answers: dict) -> _Model:
-        return _Model(chunk, answers, sizes, buckets, pair_buckets)
+    def model(chunk: C.Chunk, answers: dict, states: np.ndarray | None = None) -> _Model:
+        return _Model(chunk, answers, sizes, buckets, pair_buckets, states)
 
     sent = C.send(chunks, lambda chunk, answers: model(chunk, answers).pairs.sent(pair_buckets), words)
     pairs = work.save(C.reduce_buckets(sent, "pair", _test_contexts), "pairs", "uncompressed")
-    known = words.union(pairs)
-    sent = C.send(chunks, lambda chunk, answers: model(chunk, {"pair": {}, **answers}).triples.sent(pair_buckets), known)
+    pair_states = hot_states(pairs)
+    known = words.union(pairs.where("chunk_id >= 0"))
+    sent = C.send(chunks, lambda chunk, answers: model(chunk, answers, pair_states).triples.sent(pair_buckets), known)
     triples = work.save(C.reduce_buckets(sent, "triple", _test_contexts), "triples", "uncompressed")
+    triple_states = hot_states(triples)
 
     def rows(_: int, chunk: C.Chunk, answers: dict) -> pa.Table:
-        m = model(chunk, {"pair": {}, **answers})
+        m = model(chunk, answers, pair_states)
         t, n = m.t, len(chunk)
         per_doc = lambda v: np.bincount(t.doc, v, n)
         known_words = per_doc((m.seen[t.token] > 0).astype(np.float64)).astype(np.int64)
@@ -275,11 +304,11 @@ def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 "n_known": pa.array(known_words, pa.int64()),
                 "train_tokens": pa.array(np.full(n, sizes[0]), pa.int64()),
                 "base_score": pa.array(per_doc(np.log10(m.root)), pa.float64()),
-                "score": pa.array(per_doc(m.scores(answers)), pa.float64()),
+                "score": pa.array(per_doc(m.scores(answers, triple_states)), pa.float64()),
             }
         )
 
-    out = work.save(C.per_chunk(chunks, rows, OUT_SCHEMA, known.union(triples)), "result")
+    out = work.save(C.per_chunk(chunks, rows, OUT_SCHEMA, known.union(triples.where("chunk_id >= 0"))), "result")
     work.drop("chunks", "words", "pairs", "triples")
     return out
 
