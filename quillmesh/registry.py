@@ -16,6 +16,7 @@ from quillmesh.functions import text as X
 from quillmesh.operators import evaluation as E
 from quillmesh.operators import metrics as M
 from quillmesh.operators import relations as R
+from quillmesh.operators import tagging as T
 from quillmesh.operators import weights as W
 from quillmesh.plans.articles import SQL as ART
 from quillmesh.plans.articles import articles, table
@@ -721,3 +722,115 @@ def stream_daily_volume(spark, d):
     from quillmesh.streaming.volume import daily_volume_stream
 
     return daily_volume_stream(spark, d)
+
+
+# --- tagging and sentiment ---
+
+RULES = [T.RiskRule("credit risk", 5, ["of the"]), T.RiskRule("demand risk", 3, [], ["that", "with", "mit"], 2)]
+KNOWN = [T.Entity("Alpha", "The", "first", ["die"]), T.Entity("Beta", "Que", "second", ["with"])]
+LEXICON = {"positive": ["ing"], "negative": ["ed"], "uncertainty": ["or"]}
+SENTENCES = r"""s AS (SELECT doc_id, source, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?。！？]) ', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS p FROM documents)"""
+
+
+def _has(term: str, of: str = "x") -> str:
+    return f"contains({PADDED.format(of)}, ' {term} ')"
+
+
+@query(
+    f"""WITH {SENTENCES}, h AS (SELECT doc_id, len(p) AS n, len(list_filter(p, lambda x: {_has('of the')})) AS a,
+    (len(list_filter(p, lambda x: {_has('that')})) > 0)::INT + (len(list_filter(p, lambda x: {_has('with')})) > 0)::INT + (len(list_filter(p, lambda x: {_has('mit')})) > 0)::INT AS d,
+    len(list_filter(p, lambda x: {_has('that')} OR {_has('with')} OR {_has('mit')})) AS b FROM s),
+    r AS (SELECT doc_id, CASE WHEN a > 0 THEN least(3.0 * a / n, 1) ELSE 0 END AS x, CASE WHEN d >= 2 THEN least(3.0 * b / n, 1) ELSE 0 END AS y FROM h)
+    SELECT doc_id, concat_ws(';', CASE WHEN x > 0 THEN 'credit risk' END, CASE WHEN y > 0 THEN 'demand risk' END) AS categories, round(100 * (1 - (1 - x) * (1 - 0.6 * y)), 6) AS risk FROM r"""
+)
+def risk_tags(spark, d):
+    parts = table(spark, d, "documents").select("doc_id", X.sentences(F.col("text")).alias("p"))
+    tagged = parts.select("doc_id", T.risk_tags(F.col("p"), RULES).alias("t"))
+    return rounded(tagged.select("doc_id", F.array_join(F.transform("t", lambda x: x["category"]), ";").alias("categories"), T.risk_intensity(F.col("t")).alias("risk")))
+
+
+def _term_sql(term: str, flags: str = "") -> str:
+    return f"regexp_matches(text, '{flags}(^|[^A-Za-z0-9]){term}($|[^A-Za-z0-9])')"
+
+
+@query(f"SELECT doc_id, concat_ws(';', CASE WHEN {_term_sql('The')} OR {_term_sql('die', '(?i)')} THEN 'Alpha' END, CASE WHEN {_term_sql('Que')} OR {_term_sql('with', '(?i)')} THEN 'Beta' END) AS names FROM documents")
+def entity_detect(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(T.entities(F.col("text"), KNOWN), lambda e: e["name"]), ";").alias("names"))
+
+
+LEX = f"""{SENTENCES}, q AS (SELECT doc_id, i, lower(x) AS x FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM s)),
+v AS (SELECT doc_id, i, 0.4 + 1.2 * ((length(x) - length(replace(x, 'ing', ''))) // 3) AS a, 0.8 + 0.5 * ((length(x) - length(replace(x, 'or', ''))) // 2) AS b, 0.4 + 1.2 * ((length(x) - length(replace(x, 'ed', ''))) // 2) AS e FROM q),
+c AS (SELECT doc_id, i, exp(a - greatest(a, b, e)) AS a, exp(b - greatest(a, b, e)) AS b, exp(e - greatest(a, b, e)) AS e FROM v),
+l AS (SELECT doc_id, i, a / (a + b + e) AS pos, b / (a + b + e) AS neu, e / (a + b + e) AS neg FROM c)"""
+
+
+@query(f"WITH {LEX} SELECT doc_id, i AS place, round(pos - neg, 6) AS score, round(greatest(pos, neu, neg), 6) AS confidence FROM l")
+def lexicon_sentence(spark, d):
+    parts = table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("i", "x"))
+    scored = parts.select("doc_id", (F.col("i") + 1).cast("long").alias("place"), T.lexicon_sentence(F.col("x"), LEXICON).alias("s"))
+    return rounded(scored.select("doc_id", "place", "s.score", "s.confidence"))
+
+
+@query(f"WITH {LEX} SELECT doc_id, round(sum(pos * greatest(pos, neu, neg)) / sum(greatest(pos, neu, neg)), 6) AS positive, round(sum((pos - neg) * greatest(pos, neu, neg)) / sum(greatest(pos, neu, neg)), 6) AS score FROM l GROUP BY 1")
+def article_sentiment(spark, d):
+    parts = table(spark, d, "documents").select("doc_id", F.transform(X.sentences(F.col("text")), lambda x: T.lexicon_sentence(x, LEXICON)).alias("s")).where("size(s) > 0")
+    return rounded(parts.select("doc_id", T.article_sentiment(F.col("s"), F.lit("")).alias("a")).select("doc_id", "a.positive", "a.score"))
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, round(CASE WHEN len(p) = 0 THEN 0 ELSE least(3.0 * len(list_filter(p, lambda x: {_has('of')} AND NOT {_has('and')})) / len(p), 1) END, 6) AS b_bull, round(CASE WHEN len(p) = 0 THEN 0 ELSE least(3.0 * len(list_filter(p, lambda x: {_has('der')})) / len(p), 1) END, 6) AS b_bear FROM s")
+def signal_components(spark, d):
+    parts = table(spark, d, "documents").select("doc_id", X.sentences(F.col("text")).alias("p"))
+    return rounded(parts.select("doc_id", X.hit_score(F.col("p"), ["of"], ["and"]).alias("b_bull"), X.hit_score(F.col("p"), ["der"]).alias("b_bear")))
+
+
+@query(
+    f"""WITH {ART}, l AS (SELECT unnest([0, 1, 2]) AS label), f AS (SELECT label, article_id % 3 = label OR user_id % 4 = label AS t, article_id % 5 = label OR user_id % 4 = label AS p FROM art, l), c AS (SELECT label, count(*) FILTER (t AND p) AS tp, count(*) FILTER (t) AS support, count(*) FILTER (p) AS guessed FROM f GROUP BY 1)
+    SELECT label, round(tp / guessed, 6) AS precision, round(tp / support, 6) AS recall, round(2.0 * tp / (guessed + support), 6) AS f1 FROM c"""
+)
+def multilabel_report(spark, d):
+    i, u = F.col("article_id"), F.col("user_id")
+    sets = articles(spark, d).select(F.array(i % 3, u % 4).alias("t"), F.array(i % 5, u % 4).alias("p"))
+    flags = F.explode(F.array(*(F.struct(F.lit(k).alias("label"), F.array_contains("t", F.lit(k).cast("long")).alias("t"), F.array_contains("p", F.lit(k).cast("long")).alias("p")) for k in range(3))))
+    c = sets.select(flags.alias("x")).groupBy("x.label").agg(F.count_if(F.col("x.t") & F.col("x.p")).alias("tp"), F.count_if("x.t").alias("s"), F.count_if("x.p").alias("g"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return rounded(c.select("label", zero(F.try_divide("tp", "g")).alias("precision"), zero(F.try_divide("tp", "s")).alias("recall"), zero(F.try_divide(2 * F.col("tp"), F.col("g") + F.col("s"))).alias("f1")))
+
+
+@query(
+    f"""WITH {ART}, r AS (SELECT *, row_number() OVER (PARTITION BY md5(publisher || sector) ORDER BY agg_weight DESC, article_id) AS k FROM art WHERE published_at >= (SELECT max(published_at) FROM art) - INTERVAL 24 HOURS AND (risk_intensity >= 60 OR abs(sentiment_score) >= 0.5) AND article_id NOT IN (SELECT doc_id FROM documents))
+    SELECT article_id FROM r WHERE k = 1 ORDER BY risk_intensity DESC, abs(sentiment_score) DESC, agg_weight DESC, article_id LIMIT 30"""
+)
+def fulltext_candidates(spark, d):
+    a = articles(spark, d)
+    newest = F.broadcast(a.agg(F.max("published_at").alias("m")))
+    today = a.crossJoin(newest).where(F.col("published_at") >= F.col("m") - F.expr("INTERVAL 24 HOURS")).where((F.col("risk_intensity") >= 60) | (F.abs("sentiment_score") >= 0.5))
+    fresh = today.join(table(spark, d, "documents").select(F.col("doc_id").alias("article_id")), "article_id", "left_anti")
+    one = R.one_row_per_key(fresh, ["publisher", "sector"], [F.desc("agg_weight"), F.asc("article_id")])
+    return one.orderBy(F.desc("risk_intensity"), F.desc(F.abs("sentiment_score")), F.desc("agg_weight"), "article_id").limit(30).select("article_id")
+
+
+@query(
+    f"""WITH {ART}, f AS (SELECT unnest(['p_positive', 'b_bull', 'g_growth']) AS component, unnest([1, 0, 0]) AS x, unnest([0, 1, 0]) AS y, unnest([0, 0, 1]) AS z),
+    s AS (SELECT component, day, sector, sum(agg_weight * abs((0.7 * p_positive + 0.2 * b_bull + 0.1 * g_growth) - (0.7 * (1 - x) * p_positive + 0.2 * (1 - y) * b_bull + 0.1 * (1 - z) * g_growth) / (1 - 0.7 * x - 0.2 * y - 0.1 * z))) / sum(agg_weight) AS off FROM art, f GROUP BY ALL)
+    SELECT component, round(100 * avg(off), 6) AS moved FROM s GROUP BY 1 ORDER BY 2 DESC LIMIT 1"""
+)
+def most_sensitive(spark, d):
+    weights = config.ENHANCED["optimism"]
+    whole = sum(w * F.col(c) for c, w in weights.items())
+    a = W.with_safe_weight(articles(spark, d), ["day", "sector"])
+    moved = {k: F.abs(whole - sum(w * F.col(c) for c, w in weights.items() if c != k) / (1 - weights[k])) for k in weights}
+    s = a.groupBy("day", "sector").agg(*(W.wmean(v).alias(k) for k, v in moved.items())).unpivot(["day", "sector"], list(weights), "component", "off")
+    return rounded(s.groupBy("component").agg((100 * F.avg("off")).alias("moved")).orderBy(F.desc("moved")).limit(1))
+
+
+@query(r"SELECT page_id, length(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS n FROM pages")
+def strip_html(spark, d):
+    bare = F.regexp_replace(F.regexp_replace("html", "<[^>]+>", " "), r"[ \t\n\r]+", " ")
+    return table(spark, d, "pages").select("page_id", F.length(bare).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 2 = 1")
+def incremental_batch(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    done = docs.where("doc_id % 2 = 0")
+    return done.unionByName(docs.join(done.select("doc_id"), "doc_id", "left_anti"))
