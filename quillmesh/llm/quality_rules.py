@@ -105,6 +105,11 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).when(k == 0, F.exp(first)).otherwise(F.least(more, F.lit(1.0)))
 
 
+def reached(score: Column, grid: list[float]) -> Column:
+    """How many of the ascending cutoffs a score reaches."""
+    return F.size(F.filter(F.array(*map(F.lit, grid)), lambda c: score >= c))
+
+
 def clean_labels(labels: DataFrame) -> DataFrame:
     one = labels.groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     return one.where("of is not null and quality is not null").withColumn("half", F.pmod(F.xxhash64("of"), F.lit(2)))
@@ -123,7 +128,7 @@ def cutoffs(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     """One row per stratum with the cutoff of each rule (null: the rule rejects nothing there)."""
     good = clean_labels(labels).where("half = 1 and quality = 1 and toxic = 0")
     held = counted.where("n_words >= 50").join(good, counted["doc_id"] == good["of"])
-    rows = F.array(*(F.struct(F.lit(r).alias("rule"), F.size(F.filter(F.array(*map(F.lit, GRID[r])), lambda c, s=s: s >= c)).alias("reached")) for r, s in scores().items()))
+    rows = F.array(*(F.struct(F.lit(r).alias("rule"), reached(s, GRID[r]).alias("reached")) for r, s in scores().items()))
     tally = held.select("lang", F.explode(rows).alias("x")).groupBy("lang", "x.rule", "x.reached").count()
     sizes = tally.groupBy("lang", "rule").agg(F.sum("count").alias("n"))
     grid = F.create_map(*(y for r, g in GRID.items() for y in (F.lit(r), F.array(*map(F.lit, g)))))

@@ -87,6 +87,33 @@ def test_quality(spark, docs, odd):
         assert not any(r.kept and r.base_failed for r in rows)
 
 
+def test_cutoffs_against_plain(spark):
+    from math import comb
+
+    names = list(quality_rules.GRID)
+    columns = {"symbols_per_word": "n_symbols", "duplicate_line_share": "n_dup_lines", "repeated_word_share": "n_repeat_words", "mean_word_length": "word_chars", "flagged_word_share": "n_flagged", "exclamations_per_word": "n_exclamations"}
+    rows = []
+    for i in range(6000):
+        noise = i * 7919 % 1000 / 1000
+        rows.append((i, "en" if i % 3 else "de", 100, int(900 * noise**40), 100, int(30 * noise**8), int(20 * noise), 550 + i % 100, 0, 100 if i % 500 == 0 else 0))
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, word_chars long, n_flagged long, n_exclamations long")
+    labels = frame.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    half = {r.of for r in quality_rules.clean_labels(labels).where("half = 1").collect()}
+    held = [r.asDict() for r in frame.collect() if r.doc_id in half]
+    tests = sum(map(len, quality_rules.GRID.values())) * 2
+    rate, want = quality_rules.ALPHA / len(names), {}
+    for lang in ("en", "de"):
+        own = [r for r in held if r["lang"] == lang]
+        for name in names:
+            for cut in quality_rules.GRID[name]:
+                k, n = sum(r[columns[name]] / (r["n_lines"] if name == "duplicate_line_share" else r["n_words"]) >= cut for r in own), len(own)
+                tail = sum(comb(n, j) * rate**j * (1 - rate) ** (n - j) for j in range(k + 1)) if k < n * rate else 1
+                if tail <= quality_rules.DELTA / tests:
+                    want[lang, name] = min(cut, want.get((lang, name), cut))
+    got = {(r.lang, n): r[f"cut_{n}"] for r in quality_rules.cutoffs(frame, labels).collect() for n in names if r[f"cut_{n}"] is not None}
+    assert got == want and len(want) >= 8
+
+
 def test_binomial_tail(spark):
     from math import comb
 
