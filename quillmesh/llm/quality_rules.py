@@ -3,8 +3,9 @@
 Each rule rejects a document whose score is at least a cutoff.  Cutoffs come from labelled documents held out for that:
 for every stratum (language), rule and cutoff of a fixed grid, with n clean holdout documents of which the rule would
 reject k, the exact binomial tail P(Bin(n, alpha_rule) <= k) tests "the rule falsely rejects at least alpha_rule".
-A cutoff is allowed if that is at most delta over the number of all tests (Bonferroni), and each stratum takes its
-lowest allowed cutoff of a rule, or none.  alpha_rule is alpha over the number of rules, so with probability 1 - delta
+The cutoffs of a stratum and rule are tested in the fixed order from the highest down until one fails (which needs no
+correction within the sequence), each at delta over the number of sequences (Bonferroni); the stratum takes the lowest
+cutoff that passed, or none.  As k only grows down the grid, those are the cutoffs whose tail is small enough.  alpha_rule is alpha over the number of rules, so with probability 1 - delta
 no stratum loses more than alpha of its clean documents to all rules together.
 
 The rule on flagged words uses a list learnt from at most ``SAMPLE`` labelled documents of the other half.  All counts of
@@ -134,8 +135,8 @@ def cutoffs(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     grid = F.create_map(*(y for r, g in GRID.items() for y in (F.lit(r), F.array(*map(F.lit, g)))))
     tests = sizes.select("lang", "rule", "n", F.posexplode(F.element_at(grid, F.col("rule"))).alias("at", "cutoff"))
     over = tests.alias("t").join(tally.alias("y"), (F.col("t.lang") == F.col("y.lang")) & (F.col("t.rule") == F.col("y.rule")) & (F.col("y.reached") > F.col("t.at")), "left")
-    k = over.groupBy("t.lang", "t.rule", "t.cutoff", "t.n").agg(F.coalesce(F.sum("y.count"), F.lit(0)).alias("k"))
-    k = k.withColumn("tests", F.count("*").over(Window.partitionBy(F.lit(1))))
+    k = over.groupBy("t.lang", "t.rule", "t.at", "t.cutoff", "t.n").agg(F.coalesce(F.sum("y.count"), F.lit(0)).alias("k"))
+    k = k.withColumn("tests", F.count_if(F.col("at") == 0).over(Window.partitionBy(F.lit(1))))
     allowed = k.where(binomial_tail(F.col("k"), F.col("n"), alpha / len(GRID)) <= delta / F.col("tests"))
     return allowed.groupBy("lang").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in GRID))
 
