@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmesh.llm.caches import in_use
 from quillmesh.llm.work import Work
 
 MAGIC, VERSION, BLOCK_IDS, END_ID = b"QMTB", 1, 4096, 2
@@ -101,10 +102,16 @@ def export_shard(payload: bytes, path: str) -> None:
 _WHITE = re.compile(r"\s\s|^\s|\s$")
 
 
+_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+# The characters that byte-level merges write for bytes: printable Latin-1 as itself, the others from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class Encoder:
     """ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -112,23 +119,36 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.keep = keep
+        self.byte_level = "ByteLevel(add_prefix_space=False" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Pieces hold no line end, so where one is one id, many can be encoded as lines of a text and told apart by it."""
-        out: list[bytes] = []
-        for i in range(0, len(pieces), 2000):
-            some = pieces[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line_end[0])
-            if len(self.line_end) != 1 or len(cuts) != len(some) - 1 or not all(some):
-                out += self._whole(some)
+        """A piece that begins with a run of Latin letters is that run, one input of the merges, and a rest of few kinds."""
+        out: list[bytes] = [b""] * len(pieces)
+        others: list[int] = []
+        merge, known = self.tokenizer.model.tokenize, self.known
+        for i, piece in enumerate(pieces):
+            m = _LETTERS.match(piece)
+            rest = piece[m.end() :] if m else ""
+            if not m or rest[:1].isalpha() or not self.byte_level:
+                others.append(i)
                 continue
-            data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            out += [data[a:b] for a, b in zip([0, *(4 * cuts + 4).tolist()], ends, strict=True)]
+            head = m[0]
+            ids = known.get(head)
+            if ids is None:
+                written = head if head.isascii() else head.encode().decode("latin-1").translate(_BYTE_CHARS)
+                ids = known[head] = np.array([t.id for t in merge("Ġ" + written[1:] if head[0] == " " else written)], "<u4").tobytes()
+            if rest:
+                more = known.get(rest)
+                if more is None:
+                    more = known[rest] = self._whole([rest])[0]
+                ids += more
+            out[i] = ids
+        for i, ids in zip(others, self._whole([pieces[i] for i in others]), strict=True):
+            out[i] = ids
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -156,11 +176,22 @@ class Encoder:
         return [next(slow) if c is None else b"".join(map(get, c)) for c in cut]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each worker process, which keeps its pieces from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    in_use(_ENCODERS[path].known)
+    return _ENCODERS[path]
+
+
 def _shards(path: str, bits: int, end_id: int, shard_ids: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         keys: list[int] = []
         coded: list[bytes] = []
@@ -203,7 +234,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             reader = ShardReader(payload.as_py())
             n = len(reader.doc_ids)
-            crc = [zlib.crc32(reader.document(i).astype("<u4").tobytes()) for i in range(n)]
+            every = memoryview(reader.ids(0, reader.n_ids).astype("<u4")).cast("B")
+            crc = [zlib.crc32(every[4 * a : 4 * (a + k)]) for a, k in zip(reader.starts.tolist(), reader.lengths.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard] * n, pa.int64()), pa.array(reader.doc_ids, pa.int64(), mask=reader.doc_ids == NULL_ID), pa.array(reader.starts, pa.int64()), pa.array(reader.lengths, pa.int64()), pa.array(crc, pa.int64())],
                 names=["shard", "doc_id", "within", "n_tokens", "ids_crc32"],
