@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import chunks as C
+from quillmesh.llm.caches import in_use
 
 WIDTH, LITERALS, SHARE = 8, 4, 0.5
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
@@ -48,8 +49,8 @@ class Words(dict):
         self.hashes, self.flags = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
         self.used = 1
 
-    def clear_all(self):
-        self.clear()
+    def clear(self):
+        super().clear()
         self.used = 1
 
     def __missing__(self, raw: str) -> int:
@@ -77,8 +78,8 @@ class Template:
     """Template tokens of a text: hashes, which are placeholders, and the raw words."""
 
     def __init__(self, text: str):
-        if len(_KNOWN) > 400_000:
-            _KNOWN.clear_all()
+        if len(in_use(_KNOWN)) > 100_000:
+            _KNOWN.clear()
         raw: list[str] = []
         first: list[int] = []
         for line in text.split("\n"):

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm import chunks as C
+from quillmesh.llm.caches import in_use
 from quillmesh.llm.components import connected_components
 from quillmesh.llm.work import Work
 
@@ -67,7 +68,7 @@ class _Docs:
         self.keys: list[bytes] = []
         self.sets: dict[bytes, np.ndarray] = {}
         self.first: dict[bytes, int] = {}
-        get = self.cache.__getitem__
+        get = in_use(self.cache).__getitem__
         for i in range(len(chunk)):
             words = chunk.text(i).lower().split()
             if not words:

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import chunks as C
+from quillmesh.llm.caches import in_use
 from quillmesh.llm.work import Work
 
 FOLDS, HELD_OUT = 7, 2
@@ -50,7 +51,7 @@ class _Tokens:
     cache = C.WordHashes()
 
     def __init__(self, chunk: C.Chunk):
-        get, parts, lengths = self.cache.__getitem__, [], []
+        get, parts, lengths = in_use(self.cache).__getitem__, [], []
         for i in range(len(chunk)):
             words = chunk.text(i).lower().split()
             parts += [np.fromiter(map(get, words), np.uint64, len(words)), np.array([END])]
