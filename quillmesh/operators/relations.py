@@ -44,18 +44,30 @@ def range_overlap_pairs(df: DataFrame, hours: int = config.WINDOW_HOURS) -> Data
 
 
 def similar_reprints(df: DataFrame, threshold: float = config.SIMILAR_TITLE) -> DataFrame:
-    """Rows (ord, title) whose title is like an earlier one with the same first five words."""
+    """Rows (ord, title) whose title is like an earlier one with the same first five words.
+
+    Equal titles are compared once; upper bounds of the ratio (from lengths, then from letters) go before the ratio itself.
+    """
     words = F.split("title", " ")
-    keyed = df.select("ord", "title", F.array_join(F.slice(words, 1, config.PREFIX_TOKENS), " ").alias("prefix")).where(F.size(words) >= config.PREFIX_TOKENS)
+    key = F.sha2("title", 256).alias("key")
+    titles = df.where(F.size(words) >= config.PREFIX_TOKENS).groupBy("title").agg(F.min("ord").alias("before"), F.max("ord").alias("last"))
+    keyed = titles.select("title", "before", "last", key, F.length("title").alias("n"), F.array_join(F.slice(words, 1, config.PREFIX_TOKENS), " ").alias("prefix"))
 
-    def ratio(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def like(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least: dict[str, int] = {}
         for f in frames:
-            keep = [difflib.SequenceMatcher(None, a, b).ratio() >= threshold for a, b in zip(f["title"], f["earlier"], strict=True)]
-            yield f.loc[keep, ["ord"]]
-
-    earlier = keyed.select("prefix", F.col("ord").alias("before"), F.col("title").alias("earlier"))
-    pairs = keyed.join(earlier, "prefix").where("before < ord").select("ord", "title", "earlier")
-    return pairs.mapInPandas(ratio, "ord long").distinct()
+            for k, title, earlier, before in zip(f["key"], f["title"], f["earlier"], f["before"], strict=True):
+                if k not in least or before < least[k]:
+                    m = difflib.SequenceMatcher(None, title, earlier)
+                    if m.quick_ratio() >= threshold and m.ratio() >= threshold:
+                        least[k] = before
+        yield pd.DataFrame({"key": list(least), "before": pd.Series(list(least.values()), dtype="int64")})
+
+    earlier = keyed.select("prefix", "before", F.col("title").alias("earlier"), F.col("n").alias("m"))
+    near = (F.col("before") < F.col("last")) & (2 * F.least("n", "m") >= threshold * (F.col("n") + F.col("m")) - 1e-9)
+    pairs = keyed.drop("before").join(earlier, "prefix").where(near).select("key", "title", "earlier", "before")
+    first = pairs.mapInPandas(like, "key string, before long").groupBy("key").agg(F.min("before").alias("before"))
+    return df.select("ord", key).join(first, "key").where("before < ord").select("ord").distinct()
 
 
 def jaccard_pairs(df: DataFrame, threshold: float) -> DataFrame:

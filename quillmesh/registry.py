@@ -628,14 +628,14 @@ def cosine_pairs(spark, d):
 
 @query(None)
 def event_clusters(spark, d):
-    e = table(spark, d, "events").where("user_id % 10 = 0").select(F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.array("user_id").alias("entities"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.array("user_id").alias("entities"))
     component = e.select("id", F.col("entities")[0].alias("component"))
     return R.constrained_clusters(R.range_overlap_pairs(e), e.select("id", "at"), component)
 
 
 @query(None)
 def similar_reprint(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), X.normal_title(F.substring("text", 1, 160)).alias("title"))
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), X.normal_title(F.col("text")).alias("title"))
     return R.similar_reprints(t)
 
 
