@@ -1,0 +1,20 @@
+"""Cases in which an operator once did less than the whole job."""
+
+from quillmesh.llm import html_extract
+
+SHARED = """<html><body><div class="entry"><div>Part of the Daily group, all rights kept</div><h2>Title {n}</h2><p>Text {n} of <i>the</i> page</p><p>More {n}</p>
+<ul><li>same</li><li>list {n}</li></ul><section>Tell your friends <b>now</b></section></div><div><span>About us and our long, long history in this town, which never changes and is told on all pages</span></div></body></html>"""
+
+
+def test_constants_of_a_host_are_dropped(spark):
+    rows = [(n, f"http://a.b/{n}", SHARED.format(n=n)) for n in range(4)] + [(9, "http://one.page/", SHARED.format(n=9))]
+    got = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(4):
+        assert got[n] == f"Title {n}\nText {n} of the page\nMore {n}\nsame\nlist {n}"
+    assert "Title 9" in got[9] and "Tell your friends now" in got[9]
+
+
+def test_article_is_chosen_by_slots():
+    page = '<html><body><div class="content">{n} short text</div><div class="main-text">' + "the same long words " * 20 + "</div></body></html>"
+    wrapper = html_extract.infer([page.format(n=n) for n in range(3)])
+    assert html_extract.article_path(wrapper)[-1] == "div content"
