@@ -2,10 +2,11 @@
 
 Texts become templates: a number turns into a typed placeholder, as do a unit after a number and a capitalised word
 inside a sentence; other words are lower-cased without outer punctuation.  Windows of eight template tokens of every
-document are looked up in the hashed windows of the benchmark items.  Windows found for one item must put the same
-value into equal slots of the item (a re-parameterised question changes a number everywhere); a slot that two windows
-fill differently is a coincidence and its windows do not count.  A document is contaminated by an item if the windows
-left cover at least half of the item's tokens.
+document are looked up in the hashed windows of the benchmark items.  The windows found for one item are grouped into
+occurrences, by where the item would begin in the text.  Windows of an occurrence must put the same value into equal
+slots of the item (a re-parameterised question changes a number everywhere); a slot that two of them fill differently is
+a coincidence and its windows do not count.  A document is contaminated by an item if the windows left of an occurrence,
+or of all the text, cover at least half of the item's tokens.
 
 The benchmark is the stated query set: it is taken in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
 characters, and each block is sent to the tasks, which read every document whole.
@@ -31,6 +32,7 @@ from quillmesh.llm import chunks as C
 from quillmesh.llm.caches import in_use
 
 WIDTH, LITERALS, SHARE = 8, 4, 0.5
+SHIFT = 8
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
 NUMBER, UNIT, QUANTITY, NAME = (np.uint64(x) for x in (11, 12, 13, 14))
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’–—…¿¡€£"
@@ -155,26 +157,54 @@ class Bench:
                     at += 1
         out = []
         for k, found in pairs.items():
-            item = self.texts[k]
-            values: dict[str, set[str]] = {}
-            for p, q, width in found:
-                for j in np.flatnonzero(item.slot[q : q + width]).tolist():
-                    values.setdefault(item.word(q + j), set()).add(doc.word(p + j))
-            clash = {v for v, got in values.items() if len(got - {v}) + (v in got) > 1}
-            covered = np.zeros(len(item.hash), bool)
-            for _, q, width in found:
-                if not (clash and any(item.word(q + j) in clash for j in np.flatnonzero(item.slot[q : q + width]).tolist())):
-                    covered[q : q + width] = True
-            if clash and covered.mean() < SHARE:
-                # the item as it stands is found whatever else in the text has its shape
-                for p, q, width in found:
-                    if all(item.word(q + j) == doc.word(p + j) for j in np.flatnonzero(item.slot[q : q + width]).tolist()):
-                        covered[q : q + width] = True
-            share = float(covered.mean())
-            if share >= SHARE:
-                out.append((self.ids[k], share, any(got != {v} for v, got in values.items())))
+            good = [g for g in (self._judge(doc, k, group) for group in _occurrences(found, len(self.texts[k].hash))) if g[0] >= SHARE]
+            # pieces that lie far apart are judged together where no occurrence is enough alone
+            good = good or [g for g in (self._judge(doc, k, found),) if g[0] >= SHARE]
+            if good:
+                out.append((self.ids[k], max(g[0] for g in good), any(g[1] for g in good)))
         return sorted(out)
 
+    def _judge(self, doc: Template, k: int, found: list[tuple[int, int, int]]) -> tuple[float, bool]:
+        """Share of the item's tokens that consistent windows cover, and whether a slot of them is filled otherwise."""
+        item = self.texts[k]
+        places = [(p, q, width, np.flatnonzero(item.slot[q : q + width]).tolist()) for p, q, width in found]
+        values: dict[str, set[str]] = {}
+        for p, q, _, slots in places:
+            for j in slots:
+                values.setdefault(item.word(q + j), set()).add(doc.word(p + j))
+        clash = {v for v, got in values.items() if len(got) > 1}
+        covered, changed = np.zeros(len(item.hash), bool), False
+        for p, q, width, slots in places:
+            if not (clash and any(item.word(q + j) in clash for j in slots)):
+                covered[q : q + width] = True
+                changed |= any(item.word(q + j) != doc.word(p + j) for j in slots)
+        if clash and covered.mean() < SHARE:
+            # the item as it stands is found whatever else in the text has its shape
+            for p, q, width, slots in places:
+                if all(item.word(q + j) == doc.word(p + j) for j in slots):
+                    covered[q : q + width] = True
+        return float(covered.mean()), changed
+
+
+def _occurrences(found: list[tuple[int, int, int]], length: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Windows (place in text, place in item, width) of each occurrence of an item: of one alignment, then of near ones.
+
+    An alignment is where the item would begin in the text; words put in or left out shift it by a few places.
+    """
+    by: dict[int, list[tuple[int, int, int]]] = {}
+    for hit in found:
+        by.setdefault(hit[0] - hit[1], []).append(hit)
+    starts = sorted(by)
+    yield from (by[d] for d in starts)
+    slack = min(SHIFT, (length - 1) // 2)
+    near: list[int] = []
+    for d in [*starts, None]:
+        if near and (d is None or d - near[0] > slack):
+            if len(near) > 1:
+                yield [hit for n in near for hit in by[n]]
+            near = []
+        near.append(d)
+
 
 def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark's (item_id, text), in blocks of a bounded size, one at a time."""

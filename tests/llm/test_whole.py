@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
-from quillmesh.llm import html_extract
+from quillmesh.llm import decontamination, html_extract
 
 SHARED = """<html><body><div class="entry"><div>Part of the Daily group, all rights kept</div><h2>Title {n}</h2><p>Text {n} of <i>the</i> page</p><p>More {n}</p>
 <ul><li>same</li><li>list {n}</li></ul><section>Tell your friends <b>now</b></section></div><div><span>About us and our long, long history in this town, which never changes and is told on all pages</span></div></body></html>"""
@@ -18,3 +18,18 @@ def test_article_is_chosen_by_slots():
     page = '<html><body><div class="content">{n} short text</div><div class="main-text">' + "the same long words " * 20 + "</div></body></html>"
     wrapper = html_extract.infer([page.format(n=n) for n in range(3)])
     assert html_extract.article_path(wrapper)[-1] == "div content"
+
+
+TRAIN = "A train leaves the old station at 40 km per hour and returns at 40 km per hour after it has waited 3 hours for Peter to come."
+
+
+def test_occurrences_are_judged_each_for_itself():
+    bench = decontamination.Bench([(7, TRAIN)])
+    one, two = TRAIN.replace("40", "65"), TRAIN.replace("40", "70").replace("3 hours", "5 hours")
+    assert bench.hits(f"{one} Then some other words. {two}") == [(7, 1.0, True)]
+    assert bench.hits(f"{one} {two} {one}") == [(7, 1.0, True)]
+    chance = "and returns at 90 km per hour after it has waited 8 hours"
+    assert bench.hits(f"{one} {'filler word ' * 500} {chance}") == [(7, 1.0, True)]
+    assert bench.hits(f"{chance} {'filler word ' * 50}end. {TRAIN}") == [(7, 1.0, False)]
+    torn = one.replace("65 km", "70 km", 1)
+    assert bench.hits(f"{torn} {torn}") == []
