@@ -6,13 +6,14 @@ document are looked up in the hashed windows of the benchmark items.  The window
 occurrences, by where the item would begin in the text.  Windows of an occurrence must put the same value into equal
 slots of the item (a re-parameterised question changes a number everywhere); a slot that two of them fill differently is
 a coincidence and its windows do not count.  A document is contaminated by an item if the windows left of an occurrence,
-or of all the text, cover at least half of the item's tokens.
+or of all the text, cover at least half of the item's tokens, or a passage of it with ``PASSAGE`` words that are no
+placeholders.  Windows of an item with under four such words are looked up as they stand, numbers and names included.
 
 The benchmark is the stated query set: it is taken in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
 characters, and each block is sent to the tasks, which read every document whole.
 
-Defined cases: null and empty texts are clean; an item with fewer than eight tokens is one window of its length; windows
-with under four words that are no placeholders are not used, and an item that has no other cannot be found; a null
+Defined cases: null and empty texts are clean; an item with fewer than eight tokens is one window of its length; an item
+without any word or number (punctuation alone) cannot be found; a null
 doc_id stays null; repeated rows are judged each for itself; an empty table gives no rows; with an empty benchmark all
 is clean; other columns are ignored.
 """
@@ -32,7 +33,7 @@ from quillmesh.llm import chunks as C
 from quillmesh.llm.caches import in_use
 
 WIDTH, LITERALS, SHARE = 8, 4, 0.5
-SHIFT = 8
+SHIFT, PASSAGE = 8, 30
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
 NUMBER, UNIT, QUANTITY, NAME = (np.uint64(x) for x in (11, 12, 13, 14))
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’–—…¿¡€£"
@@ -45,10 +46,10 @@ _IS_NUM, _IS_SLOT, _IS_CAP, _IS_END, _IS_UNIT = 1, 2, 4, 8, 16
 
 
 class Words(dict):
-    """Raw word -> number of its entry in ``hashes`` and ``flags``; 0 is punctuation alone."""
+    """Raw word -> number of its entry in ``hashes``, ``exact`` and ``flags``; 0 is punctuation alone."""
 
     def __init__(self):
-        self.hashes, self.flags = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
+        self.hashes, self.exact, self.flags = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
         self.used = 1
 
     def clear(self):
@@ -65,8 +66,9 @@ class Words(dict):
         end = raw[-1] in ".!?:" or raw[-1] in "\"'”)" and raw[-2:-1] in (".", "!", "?")
         n = self.used
         if n == len(self.hashes):
-            self.hashes, self.flags = np.resize(self.hashes, 2 * n), np.resize(self.flags, 2 * n)
-        self.hashes[n] = xxhash.xxh3_64_intdigest(low) if kind == _WORD else int(NUMBER if kind == _NUM else QUANTITY)
+            self.hashes, self.exact, self.flags = (np.resize(a, 2 * n) for a in (self.hashes, self.exact, self.flags))
+        self.exact[n] = xxhash.xxh3_64_intdigest(low)
+        self.hashes[n] = self.exact[n] if kind == _WORD else int(NUMBER if kind == _NUM else QUANTITY)
         self.flags[n] = (kind == _NUM) * _IS_NUM | (kind != _WORD) * _IS_SLOT | bare[0].isupper() * _IS_CAP | end * _IS_END | (low in UNITS) * _IS_UNIT
         self.used += 1
         self[raw] = n
@@ -79,7 +81,7 @@ _KNOWN = Words()
 class Template:
     """Template tokens of a text: hashes, which are placeholders, and the raw words."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, exact: bool = False):
         if len(in_use(_KNOWN)) > 100_000:
             _KNOWN.clear()
         raw: list[str] = []
@@ -105,6 +107,7 @@ class Template:
         name = ((flags & _IS_CAP) > 0) & ~start & ~fixed & ~unit
         h[name], h[unit & ~fixed] = NAME, UNIT
         self.hash = h
+        self.exact = _KNOWN.exact[code] if exact else None
         self.slot = name | unit | fixed
         self.raw, self.held = raw, held
 
@@ -124,26 +127,47 @@ class Template:
         return C.mix(acc), sums[width:] - sums[:-width] >= min(LITERALS, width)
 
 
+def _exact(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows of words as they stand that begin at ``at``."""
+    acc = np.full(len(at), np.uint64(width))
+    for j in range(width):
+        acc = (acc ^ words[at + j]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        acc ^= acc >> np.uint64(29)
+    return C.mix(acc)
+
+
+def _sorted(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows.sort()
+    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+
 class Bench:
-    """Hashed template windows of a block of items, sorted, with the items and places they come from."""
+    """Hashed windows of a block of items, sorted, with the items and places they come from.
+
+    Windows with words enough are looked up as templates, the others as they stand.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
-        self.texts = [Template(t) for _, t in items]
+        self.texts = [Template(t, True) for _, t in items]
         found: dict[int, list] = {}
+        bare: dict[int, list] = {}
+        first: dict[int, set[int]] = {}
         for k, t in enumerate(self.texts):
             width = min(WIDTH, len(t.hash))
             if width:
                 h, ok = t.windows(width)
                 found.setdefault(width, []).extend((int(h[q]), k, q) for q in np.flatnonzero(ok).tolist())
-        self.widths = {}
-        for width, rows in found.items():
-            rows.sort()
-            self.widths[width] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+                rest = np.flatnonzero(~ok)
+                if len(rest):
+                    bare.setdefault(width, []).extend(zip(_exact(t.exact, rest, width).tolist(), [k] * len(rest), rest.tolist(), strict=True))
+                    first.setdefault(width, set()).update(t.exact[rest].tolist())
+        self.widths = {width: _sorted(rows) for width, rows in found.items()}
+        self.bare = {width: (np.sort(np.array(list(first[width]), np.uint64)), *_sorted(rows)) for width, rows in bare.items()}
 
     def hits(self, text: str) -> list[tuple[int, float, bool]]:
         """(item id, share of its tokens covered, re-parameterised) for the items that contaminate ``text``."""
-        doc = Template(text)
+        doc = Template(text, bool(self.bare))
         pairs: dict[int, list[tuple[int, int, int]]] = {}
         for width, (keys, items, places) in self.widths.items():
             h, ok = doc.windows(width)
@@ -155,17 +179,28 @@ class Bench:
                 while at < len(keys) and keys[at] == h[p]:
                     pairs.setdefault(int(items[at]), []).append((p, int(places[at]), width))
                     at += 1
+        for width, (first, keys, items, places) in self.bare.items():
+            n = len(doc.hash) - width + 1
+            if n <= 0:
+                continue
+            at = np.flatnonzero(first[np.minimum(np.searchsorted(first, doc.exact[:n]), len(first) - 1)] == doc.exact[:n])
+            h = _exact(doc.exact, at, width)
+            lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+            for i in np.flatnonzero(lo < hi).tolist():
+                for j in range(int(lo[i]), int(hi[i])):
+                    pairs.setdefault(int(items[j]), []).append((int(at[i]), int(places[j]), width))
         out = []
         for k, found in pairs.items():
-            good = [g for g in (self._judge(doc, k, group) for group in _occurrences(found, len(self.texts[k].hash))) if g[0] >= SHARE]
+            good = [g for g in (self._judge(doc, k, group) for group in _occurrences(found, len(self.texts[k].hash))) if g[2]]
             # pieces that lie far apart are judged together where no occurrence is enough alone
-            good = good or [g for g in (self._judge(doc, k, found),) if g[0] >= SHARE]
+            good = good or [g for g in (self._judge(doc, k, found),) if g[2]]
             if good:
                 out.append((self.ids[k], max(g[0] for g in good), any(g[1] for g in good)))
         return sorted(out)
 
-    def _judge(self, doc: Template, k: int, found: list[tuple[int, int, int]]) -> tuple[float, bool]:
-        """Share of the item's tokens that consistent windows cover, and whether a slot of them is filled otherwise."""
+    def _judge(self, doc: Template, k: int, found: list[tuple[int, int, int]]) -> tuple[float, bool, bool]:
+        """Share of the item's tokens that consistent windows cover, whether a slot of them is filled otherwise, and
+        whether they are enough."""
         item = self.texts[k]
         places = [(p, q, width, np.flatnonzero(item.slot[q : q + width]).tolist()) for p, q, width in found]
         values: dict[str, set[str]] = {}
@@ -178,12 +213,21 @@ class Bench:
             if not (clash and any(item.word(q + j) in clash for j in slots)):
                 covered[q : q + width] = True
                 changed |= any(item.word(q + j) != doc.word(p + j) for j in slots)
-        if clash and covered.mean() < SHARE:
+        if clash and not _enough(covered, item.slot):
             # the item as it stands is found whatever else in the text has its shape
             for p, q, width, slots in places:
                 if all(item.word(q + j) == doc.word(p + j) for j in slots):
                     covered[q : q + width] = True
-        return float(covered.mean()), changed
+        return float(covered.mean()), changed, _enough(covered, item.slot)
+
+
+def _enough(covered: np.ndarray, slot: np.ndarray) -> bool:
+    """Whether half of an item is covered, or a passage of it with ``PASSAGE`` words that are no placeholders."""
+    if covered.mean() >= SHARE:
+        return True
+    words = np.cumsum(np.append(0, covered & ~slot))
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])).astype(np.int8)))
+    return bool(np.any(words[edges[1::2]] - words[edges[::2]] >= PASSAGE))
 
 
 def _occurrences(found: list[tuple[int, int, int]], length: int) -> Iterator[list[tuple[int, int, int]]]:

@@ -33,3 +33,20 @@ def test_occurrences_are_judged_each_for_itself():
     assert bench.hits(f"{chance} {'filler word ' * 50}end. {TRAIN}") == [(7, 1.0, False)]
     torn = one.replace("65 km", "70 km", 1)
     assert bench.hits(f"{torn} {torn}") == []
+
+
+def test_items_of_few_words_are_found_as_they_stand():
+    sums, names = "Solve 12 + 7 = 19", "Name them: Anna, Boris, Carla, Dmitri, Elena, Farid, Greta, Hugo, Ines, Jonas and Karim."
+    count = "Add 3 and 5 and 8 and 13 and 21 and 34 and 55 and 89."
+    bench = decontamination.Bench([(1, sums), (2, names), (3, count)])
+    for i, text in enumerate((sums, names, count), 1):
+        assert [h[0] for h in bench.hits(f"Some words before it. {text} And some after it.")] == [i]
+    assert bench.hits("He said to solve 12 + 7 = 19 at once.") == [(1, 1.0, False)]
+    assert bench.hits("Solve 13 + 7 = 20. Here are Anna, Boris, Karim, Hugo, Ines, Elena, Greta, Farid and Jonas.") == []
+
+
+def test_long_passage_of_a_longer_item_is_found():
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra", "so", "ti", "vu", "ze", "ba", "co") for b in ("dan", "fel", "gor", "hul", "jim", "kez", "lat", "mon", "nir", "pos")]
+    bench = decontamination.Bench([(5, " ".join(words))])
+    assert [h[0] for h in bench.hits("before it. " + " ".join(words[20:60]) + " after it")] == [5]
+    assert bench.hits("before it. " + " ".join(words[20:40]) + " after it") == []
