@@ -265,15 +265,25 @@ def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 REPORT = "doc_id long, n_items long, items string, greatest_share double, n_changed long, contaminated boolean"
+_ROWS = "doc_id long, text string, items array<struct<id: long, share: double, changed: boolean>>"
+_FOUND = pa.list_(pa.struct([("id", pa.int64()), ("share", pa.float64()), ("changed", pa.bool_())]))
 
 
-def _report(items: list[tuple[int, str]]):
+def _look_up(items: list[tuple[int, str]], last: bool):
+    """Add a block's items to those found in each row; after the last block the report is written in place of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = Bench(items)
         for batch in batches:
             got = [bench.hits(t) if t else [] for t in batch.column(1).to_pylist()]
+            if batch.num_columns > 2:
+                got = [sorted([(x["id"], x["share"], x["changed"]) for x in old] + new) for old, new in zip(batch.column(2).to_pylist(), got, strict=True)]
+            if not last:
+                rows = pa.array([[{"id": i, "share": s, "changed": c} for i, s, c in g] for g in got], _FOUND)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=["doc_id", "text", "items"])
+                continue
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array([",".join(str(i) for i, _, _ in g) for g in got], pa.string()), pa.array([max((s for _, s, _ in g), default=0.0) for g in got], pa.float64()), pa.array([sum(c for _, _, c in g) for g in got], pa.int64()), pa.array([bool(g) for g in got])],
+                [batch.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array([",".join(str(i) for i, _, _ in g) for g in got], pa.string()), pa.array([max((s for _, s, _ in g), default=0.0) for g in got], pa.float64()), pa.array([sum(c for _, _, c in g) for g in got], pa.int64()), pa.array([bool(g) for g in got], pa.bool_())],
                 names=["doc_id", "n_items", "items", "greatest_share", "n_changed", "contaminated"],
             )
 
@@ -281,16 +291,14 @@ def _report(items: list[tuple[int, str]]):
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``REPORT`` for every row of ``docs`` (doc_id, text)."""
+    """``REPORT`` for every row of ``docs`` (doc_id, text); each row passes the blocks one after the other."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [rows.mapInArrow(_report(b), REPORT) for b in blocks_of(benchmark)] or [rows.mapInArrow(_report([]), REPORT)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
-    names = F.array_join(F.flatten(F.collect_list(F.when(F.col("items") != "", F.split("items", ",")))), ",")
-    return every.groupBy("doc_id").agg(F.sum("n_items").alias("n_items"), names.alias("items"), F.max("greatest_share").alias("greatest_share"), F.sum("n_changed").alias("n_changed"), F.bool_or("contaminated").alias("contaminated"))
+    block: list[tuple[int, str]] = []
+    for following in blocks_of(benchmark):
+        if block:
+            rows = rows.mapInArrow(_look_up(block, False), _ROWS)
+        block = following
+    return rows.mapInArrow(_look_up(block, True), REPORT)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

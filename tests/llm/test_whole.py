@@ -50,3 +50,16 @@ def test_long_passage_of_a_longer_item_is_found():
     bench = decontamination.Bench([(5, " ".join(words))])
     assert [h[0] for h in bench.hits("before it. " + " ".join(words[20:60]) + " after it")] == [5]
     assert bench.hits("before it. " + " ".join(words[20:40]) + " after it") == []
+
+
+def test_rows_do_not_depend_on_the_blocks(spark, monkeypatch):
+    other = "Which of the three kings of the north gave his crown to the miller who had saved the bridge over the river?"
+    items = spark.createDataFrame([(9, TRAIN), (3, other), (5, "Name the old harbour town that the poet left when the great war began and never saw again.")], "item_id long, text string")
+    texts = [(None, f"{other} {TRAIN}"), (None, "clean"), (None, None), (1, TRAIN.replace("40", "65")), (1, other), (1, "clean")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    key = lambda rows: sorted((r.doc_id or 0, r.n_items, r.items, r.greatest_share, r.n_changed, r.contaminated) for r in rows)
+    want = key(decontamination.find_contaminated(docs, items).collect())
+    assert [r[2] for r in want] == ["", "", "3,9", "", "3", "9"]
+    for most in (1, 2):
+        monkeypatch.setattr(decontamination, "BLOCK_ITEMS", most)
+        assert key(decontamination.find_contaminated(docs, items).collect()) == want
