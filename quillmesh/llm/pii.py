@@ -107,12 +107,26 @@ def _by_first_letter(words: list[str]) -> str:
     return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in groups.items())
 
 
+# Letters that match s, i and k where case is ignored.
+_FOLD = str.maketrans("ſıİK", "siik")
+
+
+def _lower(text: str) -> str:
+    return (text if text.isascii() else text.translate(_FOLD)).lower()
+
+
+# A run has three spelled digits at least, so one of them stands before another item: the hint misses no run.
 _QUICK = _by_first_letter(sorted(SPELLED, key=len, reverse=True))
-_RUN_HINT = re.compile(rf"(?<!\w)(?=[{''.join(sorted({w[0] for w in SPELLED}))}])(?:{_QUICK})[\s,.-]+(?:{_QUICK})(?!\w)")
-# Last labels of host names that a bare "at ... dot ..." may end with.
-_LAST = "com|org|net|edu|gov|info|biz|io|dev|app|me|eu|de|at|ch|fr|es|it|nl|uk|us|ca|au|mx|ar|br"
+_RUN_HINT = re.compile(rf"(?<!\w)(?=[{''.join(sorted({w[0] for w in SPELLED}))}])(?:{_QUICK})[\s,.-]+(?:{_QUICK}|[0-9]+)(?!\w)")
+# Last labels of host names that a bare "at ... dot ..." may end with: all country codes, and generic ones.
+_COUNTRIES = "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vu wf ws ye yt za zm zw".split()
+_GENERIC = "com org net edu gov mil int arpa info biz io dev app name pro aero coop museum jobs mobi tel travel cat asia post xxx xyz top site online shop store tech cloud club blog email mail live news world space website digital agency company group team work works studio design media network systems solutions services software zone center global today life page wiki link click art music film photo photos video games game finance bank law legal health care school academy university science social chat one icu vip fun win bid best eco green earth city berlin hamburg koeln wien bayern paris bzh london nyc amsterdam madrid barcelona gal eus swiss".split()
+# Country codes that are common words after "point".
+_ALSO_WORDS = frozenset("am as be by do in is la my no so to".split())
+_LAST = "|".join(dict.fromkeys(_GENERIC + _COUNTRIES))
+_LAST_POINT = "|".join(c for c in dict.fromkeys(["com", "org", "net", "edu", "gov", "info", "biz", "io", "dev", "app", *_COUNTRIES]) if c not in _ALSO_WORDS)
 _BARE = r"(?:dot|punkt|point|punto)"
-_AT = re.compile(rf"\s*[\[({{<]\s*at\s*[\])}}>]\s*|\s+at\s+(?=[a-z0-9-]+(?:\s+{_BARE}\s+[a-z0-9-]+)*?\s+{_BARE}\s+(?:{_LAST})(?![a-z0-9-]))", re.IGNORECASE)
+_AT = re.compile(rf"\s*[\[({{<]\s*at\s*[\])}}>]\s*|\s+at\s+(?=[a-z0-9-]+(?:\s+{_BARE}\s+[a-z0-9-]+)*?\s+(?:(?:dot|punkt|punto)\s+(?:{_LAST})|point\s+(?:{_LAST_POINT}))(?![a-z0-9-]))", re.IGNORECASE)
 _DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+", re.IGNORECASE)
 _HINTS = ("dot", "punkt", "point", "punto")
 _BRACKET_AT = re.compile(r"[\[({<]\s*at\s*[\])}>]")
@@ -170,7 +184,7 @@ def _spelled(m: re.Match) -> str | None:
         if s["plus"]:
             put.append("+")
         elif s["word"]:
-            put.append(SPELLED[s["word"].lower()])
+            put.append(SPELLED[_lower(s["word"])])
             words += 1
         elif s["num"]:
             put.append(s["num"])
@@ -178,7 +192,7 @@ def _spelled(m: re.Match) -> str | None:
 
 
 def touched(text: str) -> bool:
-    low = text.lower()
+    low = _lower(text)
     return bool(_ODD.search(text)) or any(h in low for h in _HINTS) or bool(_BRACKET_AT.search(low)) or ("@" in text and bool(_SPACED.search(text))) or bool(_RUN_HINT.search(low))
 
 

@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than the whole job."""
 
-from quillmesh.llm import decontamination, html_extract
+import pytest
+
+from quillmesh.llm import decontamination, html_extract, pii
 
 SHARED = """<html><body><div class="entry"><div>Part of the Daily group, all rights kept</div><h2>Title {n}</h2><p>Text {n} of <i>the</i> page</p><p>More {n}</p>
 <ul><li>same</li><li>list {n}</li></ul><section>Tell your friends <b>now</b></section></div><div><span>About us and our long, long history in this town, which never changes and is told on all pages</span></div></body></html>"""
@@ -63,3 +65,37 @@ def test_rows_do_not_depend_on_the_blocks(spark, monkeypatch):
     for most in (1, 2):
         monkeypatch.setattr(decontamination, "BLOCK_ITEMS", most)
         assert key(decontamination.find_contaminated(docs, items).collect()) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "said"),
+    [
+        ("call plus four 9 one 7 two 2 three 4 five 6 now", "phone", "plus four 9 one 7 two 2 three 4 five 6"),
+        ("call 4 one 1 one 1 one 1 1 1 1 1 1 1 1 1 1 today", "card", "4 one 1 one 1 one 1 1 1 1 1 1 1 1 1 1"),
+        ("plus ſix 9 one 7 two 2 three 4 fıve 6", "phone", "plus ſix 9 one 7 two 2 three 4 fıve 6"),
+        *((f"to jane at example dot {last} today", "email", f"jane at example dot {last}") for last in ("pl", "se", "ru", "jp", "in", "co", "xyz")),
+        ("to jane at example dot co dot jp today", "email", "jane at example dot co dot jp"),
+        ("to jane at exemple point be", None, ""),
+        ("to jane at exemple point lu", "email", "jane at exemple point lu"),
+    ],
+)
+def test_disguises_of_mixed_items_and_all_countries(text, kind, said):
+    base, added = pii.scan(text)
+    assert not any(base.values())
+    assert {k: [text[s:e] for s, e in v] for k, v in added.items() if v} == ({kind: [said]} if kind else {})
+
+
+def test_no_run_passes_the_hint():
+    import random
+
+    random.seed(3)
+    words = list(pii.SPELLED)
+    for _ in range(3000):
+        text = random.choice(["", "plus "]) + " ".join(random.choice(words) if random.random() < 0.5 else str(random.randint(0, 999)) for _ in range(random.randint(4, 9)))
+        m = pii._RUN.search(text)
+        assert not (m and pii._spelled(m)) or pii.touched(text)
+
+
+def test_common_prose_gets_no_address():
+    base, added = pii.scan("We stopped at this point in time, at a point so far, and looked at that point no more; at one point is all.")
+    assert not any(added.values())
