@@ -17,9 +17,10 @@ Texts with the same words are one class throughout, so copies are never expanded
 
 Defined cases: null, empty or blank texts have n_shingles 0 and are linked with nothing; a text of fewer than five words
 has one shingle, its whole sequence; rows that repeat a doc_id
-are one node of the graph, with each row's own n_shingles; a null doc_id
-takes part (it orders before all ids) and comes back as null; other columns are ignored; an empty table gives an empty
-result.  Shingles are compared by 64-bit hashes.
+are linked by their texts alone, each with its own n_shingles; a null doc_id
+takes part and comes back as null, and a group's component_id is its least doc_id that is not null (null where it has
+none); other columns are ignored; an empty table gives an empty
+result.  Shingles and texts are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def _count(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     return [(c, C.pack_arrays(total[np.searchsorted(unique, k >> np.uint64(8))])) for c, k in got]
 
 
-ROWS_SCHEMA = "doc_id long, key binary, n long, prefix array<long>, shingles binary"
+ROWS_SCHEMA = "doc_id long, text_hash long, key binary, n long, prefix array<long>, shingles binary"
 
 
 def _prefixes(buckets: int, percent: int):
@@ -132,7 +133,9 @@ def _prefixes(buckets: int, percent: int):
                 prefix[docs.first[key]] = lead.view(np.int64)
                 sets[docs.first[key]] = own.tobytes()
         ids = pa.array(chunk.ids, pa.int64(), mask=chunk.ids == C.NULL_ID)
-        return pa.table({"doc_id": ids, "key": pa.array(docs.keys, pa.binary()), "n": pa.array(sizes, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.binary())})
+        # what F.xxhash64 gives for the text
+        hashes = np.array([xxhash.xxh64_intdigest(chunk.text(i), 42) for i in range(len(chunk))], np.uint64).view(np.int64)
+        return pa.table({"doc_id": ids, "text_hash": pa.array(hashes, pa.int64()), "key": pa.array(docs.keys, pa.binary()), "n": pa.array(sizes, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.binary())})
 
     return run
 
@@ -234,7 +237,7 @@ def tree_links(one: SignatureTree, two: SignatureTree | None, percent: int) -> l
 def _block(percent: int):
     def run(table: pa.Table) -> pa.Table:
         side = np.asarray(table.column("side").to_numpy())
-        ids, blobs = np.asarray(table.column("rep").to_numpy()), table.column("shingles").to_pylist()
+        ids, blobs = np.asarray(table.column("node").to_numpy()), table.column("shingles").to_pylist()
         split = bool(table.column("split")[0].as_py())
         order = np.argsort(side, kind="stable")
         ids, sets = ids[order], [np.frombuffer(blobs[i], np.uint64) for i in order]
@@ -246,8 +249,9 @@ def _block(percent: int):
     return run
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_rows) for every row of ``docs`` (doc_id, text)."""
+def _groups(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, class_rows, group) for every row; group tells components apart
+    whatever the ids of their rows, and is null for texts without words."""
     work = Work(spark, "jaccard")
     chunks = C.build_chunks(work, docs)
     buckets = C.buckets_for(chunks, 12 << 20)
@@ -255,40 +259,51 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80)
     rows = work.save(C.per_chunk(chunks, _prefixes(buckets, percent), ROWS_SCHEMA, df), "rows", "uncompressed")
     work.drop("chunks", "df")
 
-    least = F.min(F.coalesce("doc_id", F.lit(C.NULL_ID)))
-    classes = rows.where("n > 0").groupBy("key").agg(least.alias("rep"), F.first("n").alias("n"), F.count("*").alias("class_rows"))
-    held = rows.where("prefix is not null").select("key", "prefix", "shingles").dropDuplicates(["key"])
-    nodes = work.save(held.join(classes.select("key", "rep", "n"), "key").select("rep", "n", "prefix", "shingles"), "nodes", "uncompressed")
-    w = Window.partitionBy("s").orderBy("n", "rep")
-    chain = nodes.select("rep", "n", F.explode("prefix").alias("s")).withColumn("before", F.lag(F.struct("n", "rep")).over(w))
-    edges = chain.where(F.col("before.n") * 100 >= F.col("n") * percent).select(F.col("before.rep").alias("a"), F.col("rep").alias("b"))
-    blocks = connected_components(work, edges, "blocks")
+    # a node is a class of equal texts, told by the hash of its key
+    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_rows")).withColumn("own", F.xxhash64("key"))
+    held = rows.where("prefix is not null").select("key", "n", "prefix", "shingles").dropDuplicates(["key"])
+    nodes = work.save(held.select(F.xxhash64("key").alias("node"), "n", "prefix", "shingles"), "nodes", "uncompressed")
+    w = Window.partitionBy("s").orderBy("n", "node")
+    chain = nodes.select("node", "n", F.explode("prefix").alias("s")).withColumn("before", F.lag(F.struct("n", "node")).over(w))
+    edges = chain.where(F.col("before.n") * 100 >= F.col("n") * percent).select(F.col("before.node").alias("a"), F.col("node").alias("b"))
+    blocks = connected_components(work, edges, "blocks").select(F.col("node").alias("of"), F.col("component").alias("block"))
 
-    placed = nodes.join(blocks, nodes["rep"] == blocks["node"]).select("rep", "n", "shingles", F.col("component").alias("block"))
+    placed = nodes.join(blocks, F.col("node") == F.col("of")).select("node", "n", "shingles", "block")
     load = placed.groupBy("block").agg(F.sum("n").alias("load"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("int")
-    placed = placed.join(load.select("block", parts.alias("parts")), "block").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    placed = placed.join(load.select("block", parts.alias("parts")), "block").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")))
-    tasks = placed.withColumn("p", F.explode(pairs)).select("block", "p.i", "p.j", "p.side", (F.col("p.i") != F.col("p.j")).alias("split"), "rep", "shingles")
+    tasks = placed.withColumn("p", F.explode(pairs)).select("block", "p.i", "p.j", "p.side", (F.col("p.i") != F.col("p.j")).alias("split"), "node", "shingles")
     links = tasks.groupBy("block", "i", "j").applyInArrow(_block(percent), "a long, b long")
-    found = connected_components(work, links, "links")
+    found = connected_components(work, links, "links").select(F.col("node").alias("own"), F.col("component").alias("group"))
 
-    known = classes.join(found, classes["rep"] == found["node"], "left").select("key", "class_rows", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", F.when(F.col("n") > 0, F.col("key")).alias("key"), F.col("n").alias("n_shingles")).join(known, "key", "left")
-    real = F.when(F.col("component_id") != C.NULL_ID, F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(real).alias("component_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows"))
+    least = classes.join(found, "own").groupBy("group").agg(F.min("least").alias("component_id"))
+    linked = found.join(least, "group").select("own", "group", "component_id")
+    known = classes.join(linked, "own", "left").select("key", "class_rows", F.when(F.col("group").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("group", "own").alias("group"))
+    out = rows.select("doc_id", "text_hash", F.when(F.col("n") > 0, F.col("key")).alias("key"), F.col("n").alias("n_shingles")).join(known, "key", "left")
+    out = out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows"), "group")
     out = work.save(out, "result")
     work.drop("rows", "nodes")
     return out
 
 
+def jaccard_components(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_rows) for every row of ``docs`` (doc_id, text)."""
+    return _groups(spark, docs, percent).select("doc_id", "n_shingles", "component_id", "class_rows")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of their group, with all columns; of rows that repeat a doc_id, one."""
-    found = jaccard_components(spark, docs.select("doc_id", "text"), percent)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    rows = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("stays")), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each group of ``docs``, with all columns: that of the least doc_id (null after all), then the least
+    hash of the text.  Rows without words are in no group and stay."""
+    found = _groups(spark, docs.select("doc_id", "text"), percent).where("n_shingles > 0")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
+    stay = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text"), F.lit(True).alias("_stays"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    blank = text.rlike(r"\A[ \t\n\x0B\f\r]*\z")
+    rows = docs.withColumns({"_hash": F.xxhash64(text), "_row": F.when(blank, F.monotonically_increasing_id())})
+    rows = rows.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text")), "left").where("_row is not null or _stays")
+    return rows.dropDuplicates(["doc_id", "_hash", "_row"]).select(*docs.columns)

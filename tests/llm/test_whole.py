@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillmesh.llm import decontamination, html_extract, pii
+from quillmesh.llm import decontamination, html_extract, jaccard_join, pii
 
 SHARED = """<html><body><div class="entry"><div>Part of the Daily group, all rights kept</div><h2>Title {n}</h2><p>Text {n} of <i>the</i> page</p><p>More {n}</p>
 <ul><li>same</li><li>list {n}</li></ul><section>Tell your friends <b>now</b></section></div><div><span>About us and our long, long history in this town, which never changes and is told on all pages</span></div></body></html>"""
@@ -99,3 +99,15 @@ def test_no_run_passes_the_hint():
 def test_common_prose_gets_no_address():
     base, added = pii.scan("We stopped at this point in time, at a point so far, and looked at that point no more; at one point is all.")
     assert not any(added.values())
+
+
+def test_groups_do_not_depend_on_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a + " end"
+    rows = [(None, a), (None, b), (None, c), (5, near), (6, b), (6, "quite another text of six words"), (6, b), (None, ""), (None, None), (8, " \n"), (9, near), (None, c)]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, place int")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.class_rows) for r in jaccard_join.jaccard_components(spark, docs).collect()}
+    assert got == {(None, 36, 5, 1), (None, 36, 6, 3), (None, 36, None, 2), (5, 37, 5, 2), (6, 36, 6, 3), (6, 2, 6, 1), (None, 0, None, 1), (8, 0, 8, 1), (9, 37, 5, 2)}
+    kept = jaccard_join.one_of_each_group(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in kept.collect())) == sorted([(5, near), (6, b), (6, "quite another text of six words"), (0, c), (0, ""), (0, ""), (8, " \n")])
