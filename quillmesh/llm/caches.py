@@ -1,19 +1,46 @@
-"""Caches of worker processes: the tasks of one operator drop what other operators remembered there."""
+"""Memory of worker processes: what an operator remembers there goes at the end of a task, and idle workers stay small."""
 
 from __future__ import annotations
 
 import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 _CACHES: list = []
 
 
 def in_use(cache):
-    """Clear every other cache of this process, give freed memory back to the system, and return ``cache``."""
+    """Note ``cache`` as one to clear at the end of a task, and return it."""
     if not any(c is cache for c in _CACHES):
         _CACHES.append(cache)
-    stale = [c for c in _CACHES if c is not cache and len(c)]
-    for c in stale:
+    return cache
+
+
+def release() -> None:
+    """Clear the caches of this process and give freed memory back to the system."""
+    for c in _CACHES:
         c.clear()
-    if stale and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+    give_back()
+
+
+def give_back() -> None:
+    """Give freed memory back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
         trim(0)
-    return cache
+
+
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over a task's batches that calls ``release`` when it has done the last one."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run

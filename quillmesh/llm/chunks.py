@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.caches import give_back, tidy
 from quillmesh.llm.work import Work
 
 #: Stands for a null doc_id inside chunks; it orders before every id.
@@ -145,7 +146,7 @@ def _pack(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
         if rows:
             yield flush()
 
-    return run
+    return tidy(run)
 
 
 def build_chunks(work: Work, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -177,14 +178,16 @@ def per_chunk(chunks: DataFrame, make: Callable, schema: str, answers: DataFrame
                 for chunk_id, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     yield from make(chunk_id, Chunk(payload.as_py()), {}).to_batches()
 
-        return chunks.select("chunk_id", "payload").mapInArrow(alone, schema)
+        return chunks.select("chunk_id", "payload").mapInArrow(tidy(alone), schema)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         got: dict[str, dict[int, bytes]] = {}
         for tag, bucket, payload in zip(right.column("tag").to_pylist(), right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True):
             got.setdefault(tag, {})[bucket] = payload
         chunk_id = left.column("chunk_id")[0].as_py()
-        return make(chunk_id, Chunk(left.column("payload")[0].as_py()), got)
+        out = make(chunk_id, Chunk(left.column("payload")[0].as_py()), got)
+        give_back()
+        return out
 
     return chunks.select("chunk_id", "payload").groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(both, schema)
 
@@ -195,6 +198,7 @@ def reduce_buckets(sent: DataFrame, tag: str, reduce: Callable) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         got = reduce(list(zip(table.column("chunk_id").to_pylist(), table.column("payload").to_pylist(), strict=True)))
+        give_back()
         return pa.table({"chunk_id": pa.array([c for c, _ in got], pa.int64()), "tag": pa.array([tag] * len(got), pa.string()), "bucket": pa.array([bucket] * len(got), pa.int32()), "payload": pa.array([p for _, p in got], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, ANSWER_SCHEMA)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.llm.caches import tidy
+
 KINDS = ("assign", "access", "hex")
 LINKED = ("identifier", "secret", "endpoint")
 ORDER = {k: i for i, k in enumerate((*KINDS, *LINKED))}
@@ -121,7 +123,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
+    return rows.mapInArrow(tidy(_rows), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,11 @@ a byte, so ids [a, b) of a shard are read from the blocks that hold them alone.
 A shard is one row (shard, first_id, n_docs, n_ids, payload) of a Parquet table in the shared folder, as executors may
 see no other common store; ``export_shard`` writes a payload to a file.  Shards hold documents in ascending doc_id order.
 
-Encoding calls the tokenizers library on the distinct pieces between single spaces and line ends, where this family of
-byte-level splits always has a boundary, and remembers their ids up to a bound; a text with other runs of white space is
-encoded whole.  Strings of special tokens in a text are ordinary text.
+Encoding is the tokenizers library's own, strings of special tokens in a text included (``special_as_text`` makes them
+ordinary text).  With a byte-level split, a word starts at each blank or line end before a visible character whatever
+stands before it, so a block of documents is cut there, the distinct pieces are encoded by the library as one text, and
+their ids are put back in place; the lengths of the tokens in bytes tell where a piece ends.  Texts with a special
+token's string, and all texts of other tokenizers, are encoded whole.
 
 Defined cases: null and empty texts give just the end id; a null doc_id orders first and comes back as null; rows that
 repeat a doc_id are ordered by text; an empty table gives no rows; other columns are ignored.
@@ -20,23 +22,24 @@ repeat a doc_id are ordered by text; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.caches import in_use
+from quillmesh.llm import chunks as C
+from quillmesh.llm.caches import tidy
 from quillmesh.llm.work import Work
 
 MAGIC, VERSION, BLOCK_IDS, END_ID = b"QMTB", 1, 4096, 2
 HEAD = struct.Struct("<4sHHIQQQ")
 NULL_ID = np.iinfo(np.int64).min
-SHARD_SCHEMA = "shard long, n_docs long, n_ids long, payload binary"
+SHARD_SCHEMA = "part int, seq long, n_docs long, n_ids long, payload binary"
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
@@ -99,156 +102,219 @@ def export_shard(payload: bytes, path: str) -> None:
         file.write(payload)
 
 
-_WHITE = re.compile(r"\s\s|^\s|\s$")
+#: Bytes of text cut at once, and of distinct pieces that the library takes at once (it needs some hundred bytes for each).
+BLOCK_BYTES, CALL_BYTES = 6 << 20, 1 << 16
+#: Pieces that a worker remembers from block to block.
+KEEP = 800_000
+# Bytes after a blank that certainly begin a visible character: no control, and no lead of a multi-byte white space.
+_VISIBLE = np.ones(256, bool)
+_VISIBLE[:33] = _VISIBLE[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
-_LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
-# The characters that byte-level merges write for bytes: printable Latin-1 as itself, the others from U+0100 on.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+def pieces_of(body: bytes, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of concatenated texts begin, which are encoded alike wherever they stand, and the end."""
+    raw = np.frombuffer(body, np.uint8)
+    first = np.zeros(len(raw) + 1, bool)
+    if len(raw):
+        first[:-2] = ((raw[:-1] == 32) | (raw[:-1] == 10)) & _VISIBLE[raw[1:]]
+    # a text's last blank is followed by nothing
+    first[starts[starts > 0] - 1] = False
+    first[starts] = first[-1] = True
+    return np.flatnonzero(first)
 
 
 class Encoder:
-    """ids of texts as little-endian unsigned 32-bit integers."""
+    """ids of texts by the library."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.keep = keep
-        self.byte_level = "ByteLevel(add_prefix_space=False" in repr(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """A piece that begins with a run of Latin letters is that run, one input of the merges, and a rest of few kinds."""
-        out: list[bytes] = [b""] * len(pieces)
-        others: list[int] = []
-        merge, known = self.tokenizer.model.tokenize, self.known
-        for i, piece in enumerate(pieces):
-            m = _LETTERS.match(piece)
-            rest = piece[m.end() :] if m else ""
-            if not m or rest[:1].isalpha() or not self.byte_level:
-                others.append(i)
-                continue
-            head = m[0]
-            ids = known.get(head)
-            if ids is None:
-                written = head if head.isascii() else head.encode().decode("latin-1").translate(_BYTE_CHARS)
-                ids = known[head] = np.array([t.id for t in merge("Ġ" + written[1:] if head[0] == " " else written)], "<u4").tobytes()
-            if rest:
-                more = known.get(rest)
-                if more is None:
-                    more = known[rest] = self._whole([rest])[0]
-                ids += more
-            out[i] = ids
-        for i, ids in zip(others, self._whole([pieces[i] for i in others]), strict=True):
-            out[i] = ids
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        split = repr(self.tokenizer.pre_tokenizer)
+        self.byte_level = self.tokenizer.normalizer is None and split.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in split
+        if self.byte_level:
+            # every character of a byte-level token stands for one byte
+            self.sizes = np.zeros(self.vocabulary, np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.sizes[i] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        """Pieces remembered: their numbers, and by number the first and the count of their ids in ``flat``."""
+        self.known = pa.array([], pa.large_binary())
+        self.flat, self.begin, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _distinct(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of each of some distinct pieces, one after the other, and how many each has."""
+        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1 + words.offset)[words.offset :]
+        body = words.buffers()[2]
+        raw = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
+        sizes = np.diff(offsets)
+        lead = raw[np.minimum(offsets[:-1], len(raw) - 1)]
+        joins = (sizes > 1) & ((lead == 32) | (lead == 10))
+        joins[joins] = _VISIBLE[raw[offsets[:-1][joins] + 1]]
+        counts = np.zeros(len(words), np.int64)
+        one = words.filter(pa.array(joins))
+        at = np.frombuffer(one.buffers()[1], np.int64, len(one) + 1 + one.offset)[one.offset :]
+        calls = np.unique(np.append(np.searchsorted(at, np.arange(at[0], at[-1], CALL_BYTES)), len(one))) if len(one) else np.zeros(1, np.int64)
+        parts = [self._whole([bytes(memoryview(one.buffers()[2])[at[a] : at[b]]).decode()])[0] for a, b in zip(calls[:-1].tolist(), calls[1:].tolist(), strict=True)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        reach = np.append(0, np.cumsum(self.sizes[ids]))
+        ends = np.searchsorted(reach, at - at[0])
+        if (reach[np.minimum(ends, len(ids))] != at - at[0]).any():
+            raise ValueError("a token reaches over the end of a piece")
+        counts[joins] = np.diff(ends)
+        rest = np.flatnonzero(~joins)
+        other = self._whole([v.decode() for v in words.take(pa.array(rest)).to_pylist()])
+        counts[rest] = [len(x) for x in other]
+        out = np.empty(int(counts.sum()), np.uint32)
+        mine = np.repeat(joins, counts)
+        out[mine] = ids
+        out[~mine] = np.concatenate(other) if other else np.zeros(0, np.uint32)
+        return out, counts
+
+    def _numbers(self, words: pa.LargeBinaryArray) -> np.ndarray:
+        """Numbers of distinct pieces; those not remembered are encoded."""
+        if len(self.known) > KEEP:
+            self.forget()
+        found = pc.index_in(words, value_set=self.known)
+        out = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(out < 0)
+        if len(fresh):
+            new = words.take(pa.array(fresh))
+            flat, counts = self._distinct(new)
+            out[fresh] = len(self.counts) + np.arange(len(fresh))
+            self.known = pa.concat_arrays([self.known, new])
+            self.begin = np.append(self.begin, len(self.flat) + np.cumsum(counts) - counts)
+            self.flat, self.counts = np.append(self.flat, flat), np.append(self.counts, counts)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        cut: list[list[str] | None] = []
-        fresh: dict[str, None] = {}
-        for text in texts:
-            if _WHITE.search(text):
-                cut.append(None)
-                continue
-            pieces = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in text else None
-            cut.append(pieces)
-            if pieces is not None:
-                for p in pieces:
-                    if p not in known:
-                        fresh[p] = None
-        new = list(fresh)
-        plain = [p for p in new if p != "\n"]
-        known.update(zip(plain, self._pieces(plain), strict=True))
-        known["\n"] = np.array(self.line_end, "<u4").tobytes()
-        slow = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        get = known.__getitem__
-        return [next(slow) if c is None else b"".join(map(get, c)) for c in cut]
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    """One encoder for each worker process, which keeps its pieces from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    in_use(_ENCODERS[path].known)
-    return _ENCODERS[path]
-
-
-def _shards(path: str, bits: int, end_id: int, shard_ids: int) -> Callable:
+    def encode(self, body: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of concatenated texts, and how many each has."""
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        if not self.byte_level or any(s in body for s in self.special):
+            texts = [body[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            odd = np.array([not self.byte_level or any(s in t for s in self.special) for t in texts], bool)
+            plain = [t for t, o in zip(texts, odd, strict=True) if not o]
+            ids, counts = self._pieces(b"".join(plain), lengths[~odd])
+            cuts = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else [])
+            whole = iter(self._whole([t.decode() for t, o in zip(texts, odd, strict=True) if o]))
+            parts = [next(whole) if o else next(cuts) for o in odd]
+            return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.array([len(p) for p in parts], np.int64)
+        return self._pieces(body, lengths)
+
+    def _pieces(self, body: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not body:
+            return np.zeros(0, np.uint32), np.zeros(len(lengths), np.int64)
+        starts = np.cumsum(lengths) - lengths
+        at = pieces_of(body, starts)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(body)])
+        coded = pc.dictionary_encode(found)
+        which = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        sizes, begin = self.counts[which], self.begin[which]
+        ids = self.flat[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+        sums = np.append(0, np.cumsum(sizes))
+        edges = sums[np.searchsorted(at, np.append(starts, len(body)))]
+        return ids, np.diff(edges)
+
+
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder_of(path: str, special_as_text: bool = False) -> Encoder:
+    """One encoder for each worker process, kept from task to task."""
+    key = (path, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
+
+
+def _shards(path: str, special_as_text: bool, bits: int, end_id: int, shard_ids: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq = encoder_of(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
-        keys: list[int] = []
-        coded: list[bytes] = []
+        encoder, part, seq = encoder_of(path, special_as_text), TaskContext.get().partitionId(), 0
+        keys: list[np.ndarray] = []
+        coded: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, keys, coded, held
-            lengths = np.array([len(c) // 4 for c in coded], np.int64)
-            payload = write_shard(np.array(keys, np.int64), lengths, np.frombuffer(b"".join(coded), "<u4"), bits)
-            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())], names=["shard", "n_docs", "n_ids", "payload"])
-            seq, keys, coded, held = seq + 1, [], [], 0
+            nonlocal seq, keys, coded, counts, held
+            doc_ids, lengths = np.concatenate(keys), np.concatenate(counts)
+            payload = write_shard(doc_ids, lengths, np.concatenate(coded), bits)
+            out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "payload"])
+            seq, keys, coded, counts, held = seq + 1, [], [], [], 0
             return out
 
         for batch in batches:
-            ids = batch.column(0).fill_null(NULL_ID).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo in range(0, len(ids), 256):
-                for key, one in zip(ids[lo : lo + 256], encoder.encode(texts[lo : lo + 256]), strict=True):
-                    keys.append(key)
-                    coded.append(one + end)
-                    held += len(one) // 4 + 1
+            own = np.asarray(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False), np.int64)
+            lengths, body = C.texts_of(batch.column(1))
+            lengths = np.maximum(lengths, 0)
+            ends = np.cumsum(lengths)
+            lo = 0
+            while lo < len(own):
+                base = int(ends[lo] - lengths[lo])
+                hi = max(lo + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, "right")))
+                ids, n = encoder.encode(body[base : int(ends[hi - 1])], lengths[lo:hi])
+                keys.append(own[lo:hi])
+                counts.append(n + 1)
+                coded.append(np.insert(ids, np.cumsum(n), end_id).astype(np.uint32))
+                held += len(coded[-1])
+                lo = hi
                 if held >= shard_ids:
                     yield flush()
         if keys:
             yield flush()
 
-    return run
+    return tidy(run)
 
 
-def write_tokens(spark: SparkSession, work: Work, docs: DataFrame, path: str, vocabulary: int = 50_257, end_id: int = END_ID, shard_ids: int = 4_000_000) -> DataFrame:
+def write_tokens(spark: SparkSession, work: Work, docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int = 4_000_000, special_as_text: bool = False) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write shards in ascending doc_id order; returns the table of shards."""
-    bits = max(1, (max(vocabulary, end_id + 1) - 1).bit_length())
+    bits = max(1, (max(encoder_of(path, special_as_text).vocabulary, end_id + 1) - 1).bit_length())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.md5("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return work.save(ordered.mapInArrow(_shards(path, bits, end_id, shard_ids), SHARD_SCHEMA), "shards", "uncompressed")
+    return work.save(ordered.mapInArrow(_shards(path, special_as_text, bits, end_id, shard_ids), SHARD_SCHEMA), "shards", "uncompressed")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for part, seq, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             reader = ShardReader(payload.as_py())
             n = len(reader.doc_ids)
             every = memoryview(reader.ids(0, reader.n_ids).astype("<u4")).cast("B")
             crc = [zlib.crc32(every[4 * a : 4 * (a + k)]) for a, k in zip(reader.starts.tolist(), reader.lengths.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard] * n, pa.int64()), pa.array(reader.doc_ids, pa.int64(), mask=reader.doc_ids == NULL_ID), pa.array(reader.starts, pa.int64()), pa.array(reader.lengths, pa.int64()), pa.array(crc, pa.int64())],
-                names=["shard", "doc_id", "within", "n_tokens", "ids_crc32"],
+                [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int64()), pa.array(reader.doc_ids, pa.int64(), mask=reader.doc_ids == NULL_ID), pa.array(reader.starts, pa.int64()), pa.array(reader.lengths, pa.int64()), pa.array(crc, pa.int64())],
+                names=["part", "seq", "doc_id", "within", "n_tokens", "ids_crc32"],
             )
 
 
 def read_digest(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shards."""
-    sums = shards.select("shard", "n_ids")
-    before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    bases = sums.select(F.col("shard").alias("of"), F.coalesce(before, F.lit(0)).alias("base"))
-    each = shards.select("shard", "payload").mapInArrow(_digest, "shard long, doc_id long, within long, n_tokens long, ids_crc32 long")
-    return each.join(bases, each["shard"] == bases["of"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the shards.
+
+    The ids before a shard are those of the parts before its own, one number for each task that wrote, and those of the
+    shards before it in its part.
+    """
+    sums = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    bases, at = [], 0
+    for part in sorted(sums):
+        bases.append((part, at))
+        at += sums[part]
+    parts = shards.sparkSession.createDataFrame(bases, "part int, base long")
+    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    places = shards.select("part", "seq", F.coalesce(before, F.lit(0)).alias("inside")).join(parts, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("base"))
+    each = shards.select("part", "seq", "payload").mapInArrow(tidy(_digest), "part int, seq long, doc_id long, within long, n_tokens long, ids_crc32 long")
+    return each.join(places, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def default_path() -> str:
