@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.work import Work
@@ -52,18 +52,21 @@ def connected_components(work: Work, edges: DataFrame, name: str) -> DataFrame:
     step = 0
     while tasks > 1:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        m = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-        large = both.withColumn("m", m).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = F.min("b").over(Window.partitionBy("a"))
-        small = large.withColumn("m", low)
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        # the least neighbour of a node is aggregated and joined back, so a node with many edges is not one task's
+        low = work.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-low", "uncompressed")
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = work.save(large, f"{name}-large", "uncompressed")
+        least = work.save(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-least", "uncompressed")
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         step += 1
         after = work.save(small, f"{name}-{step}")
+        work.drop(f"{name}-low", f"{name}-large", f"{name}-least")
         shape = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         same = tuple(shape(after)) == tuple(shape(now))
         work.drop(f"{name}-{step - 1}")
         now = after
         if same:
             break
+    work.drop(f"{name}-edges")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

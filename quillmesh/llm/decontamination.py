@@ -2,20 +2,21 @@
 
 Texts become templates: a number turns into a typed placeholder, as do a unit after a number and a capitalised word
 inside a sentence; other words are lower-cased without outer punctuation.  Windows of eight template tokens of every
-document are looked up in the hashed windows of the benchmark items.  The windows found for one item are grouped into
+document are hash-joined with the windows of the benchmark items.  The windows found for one item are grouped into
 occurrences, by where the item would begin in the text.  Windows of an occurrence must put the same value into equal
 slots of the item (a re-parameterised question changes a number everywhere); a slot that two of them fill differently is
 a coincidence and its windows do not count.  A document is contaminated by an item if the windows left of an occurrence,
 or of all the text, cover at least half of the item's tokens, or a passage of it with ``PASSAGE`` words that are no
-placeholders.  Windows of an item with under four such words are looked up as they stand, numbers and names included.
+placeholders.  Windows of an item with under ``LITERALS`` such words are joined as they stand, numbers and names included.
 
-The benchmark is the stated query set: it is taken in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
-characters, and each block is sent to the tasks, which read every document whole.
+The benchmark's windows are a table.  A bitmap of their hashes, of at most ``2 ** MOST_BITS`` bits whatever the benchmark
+has, goes to the tasks that read the documents, so that only windows that may be in the benchmark leave the scan; a bit
+set by chance costs a row and never a result, as the join decides.  Equal texts are one key of the join throughout.
 
 Defined cases: null and empty texts are clean; an item with fewer than eight tokens is one window of its length; an item
-without any word or number (punctuation alone) cannot be found; a null
-doc_id stays null; repeated rows are judged each for itself; an empty table gives no rows; with an empty benchmark all
-is clean; other columns are ignored.
+without any word or number (punctuation alone) cannot be found; equal rows of the benchmark count once, and an item
+without id is written as "null"; a null doc_id stays null; repeated rows are judged each for itself; an empty table gives
+no rows; with an empty benchmark all is clean; other columns are ignored.  Words end at ASCII white space.
 """
 
 from __future__ import annotations
@@ -25,200 +26,257 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import chunks as C
-from quillmesh.llm.caches import in_use
+from quillmesh.llm.caches import in_use, tidy
+from quillmesh.llm.work import Work
 
 WIDTH, LITERALS, SHARE = 8, 4, 0.5
 SHIFT, PASSAGE = 8, 30
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
+#: Bits of the bitmap for each window of the benchmark, and the greatest bitmap as a power of two (16 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 27
+#: Bytes of documents that are looked up at once, words remembered between, and texts whose broadcast is allowed.
+BLOCK_BYTES, KEEP, BROADCAST_TEXTS = 4 << 20, 400_000, 1_000_000
 NUMBER, UNIT, QUANTITY, NAME = (np.uint64(x) for x in (11, 12, 13, 14))
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’–—…¿¡€£"
 _NUMBER = re.compile(r"[+-]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th)?$")
 _QUANTITY = re.compile(r"[+-]?\d+(?:[.,]\d+)*[a-zµ°%]{1,5}$")
 # Units that follow a number.
 UNITS = frozenset("mm cm m km kg g mg t l ml s ms min h hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres mile miles foot feet inch inches kilogram kilograms gram grams pound pounds ounce ounces liter liters litre litres degree degrees dollar dollars euro euros cent cents percent stunden minuten sekunden tage jahre kilometer heures minutes jours ans horas minutos días años".split())
-_WORD, _NUM, _QTY = 0, 1, 2
-_IS_NUM, _IS_SLOT, _IS_CAP, _IS_END, _IS_UNIT = 1, 2, 4, 8, 16
+_IS_NUM, _IS_SLOT, _IS_CAP, _IS_END, _IS_UNIT, _IS_WORD = 1, 2, 4, 8, 16, 32
 
 
-class Words(dict):
-    """Raw word -> number of its entry in ``hashes``, ``exact`` and ``flags``; 0 is punctuation alone."""
+def bare(raw: str) -> str:
+    return raw.strip(_EDGE)
+
+
+def entry_of(raw: str) -> tuple[int, int, int]:
+    """Template hash, hash as it stands, and flags of a raw word; punctuation alone has no flags."""
+    word = bare(raw)
+    if not word:
+        return 0, 0, 0
+    low = word.lower()
+    number = quantity = False
+    if not low.isalpha():
+        number = bool(_NUMBER.match(low))
+        quantity = not number and bool(_QUANTITY.match(low))
+    end = raw[-1] in ".!?:" or raw[-1] in "\"'”)" and raw[-2:-1] in (".", "!", "?")
+    exact = xxhash.xxh3_64_intdigest(low)
+    flags = _IS_WORD | number * _IS_NUM | (number or quantity) * _IS_SLOT | word[0].isupper() * _IS_CAP | end * _IS_END | (low in UNITS) * _IS_UNIT
+    return int(NUMBER) if number else int(QUANTITY) if quantity else exact, exact, flags
+
+
+class Lexicon:
+    """Entries of raw words, remembered up to a bound."""
 
     def __init__(self):
-        self.hashes, self.exact, self.flags = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8)
-        self.used = 1
-
-    def clear(self):
-        super().clear()
-        self.used = 1
-
-    def __missing__(self, raw: str) -> int:
-        bare = raw.strip(_EDGE)
-        if not bare:
-            self[raw] = 0
-            return 0
-        low = bare.lower()
-        kind = _NUM if _NUMBER.match(low) else _QTY if _QUANTITY.match(low) else _WORD
-        end = raw[-1] in ".!?:" or raw[-1] in "\"'”)" and raw[-2:-1] in (".", "!", "?")
-        n = self.used
-        if n == len(self.hashes):
-            self.hashes, self.exact, self.flags = (np.resize(a, 2 * n) for a in (self.hashes, self.exact, self.flags))
-        self.exact[n] = xxhash.xxh3_64_intdigest(low)
-        self.hashes[n] = self.exact[n] if kind == _WORD else int(NUMBER if kind == _NUM else QUANTITY)
-        self.flags[n] = (kind == _NUM) * _IS_NUM | (kind != _WORD) * _IS_SLOT | bare[0].isupper() * _IS_CAP | end * _IS_END | (low in UNITS) * _IS_UNIT
-        self.used += 1
-        self[raw] = n
-        return n
-
-
-_KNOWN = Words()
-
-
-class Template:
-    """Template tokens of a text: hashes, which are placeholders, and the raw words."""
-
-    def __init__(self, text: str, exact: bool = False):
-        if len(in_use(_KNOWN)) > 100_000:
-            _KNOWN.clear()
-        raw: list[str] = []
-        first: list[int] = []
-        for line in text.split("\n"):
-            words = line.split()
-            if words:
-                first.append(len(raw))
-                raw += words
-        code = np.fromiter(map(_KNOWN.__getitem__, raw), np.int64, len(raw))
-        start = np.zeros(len(raw), bool)
-        start[first] = True
-        held = np.flatnonzero(code)
-        if len(held) < len(code):
-            code, start = code[held], start[held]
-        h, flags = _KNOWN.hashes[code], _KNOWN.flags[code]
-        start[1:] |= (flags[:-1] & _IS_END) > 0
-        start[:1] = True
-        unit = (flags & _IS_UNIT) > 0
-        unit[1:] &= (flags[:-1] & _IS_NUM) > 0
-        unit[:1] = False
-        fixed = (flags & _IS_SLOT) > 0
-        name = ((flags & _IS_CAP) > 0) & ~start & ~fixed & ~unit
-        h[name], h[unit & ~fixed] = NAME, UNIT
+        self.clear()
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def clear(self) -> None:
+        self.known = pa.array([], pa.large_binary())
+        self.hash, self.exact, self.flags = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+
+    def entries(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Template hash, hash as it stands and flags of distinct words."""
+        if len(self) > KEEP:
+            self.clear()
+        at = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            new = words.take(pa.array(fresh))
+            got = [entry_of(w.decode()) for w in new.to_pylist()]
+            at[fresh] = len(self.hash) + np.arange(len(fresh))
+            self.known = pa.concat_arrays([self.known, new])
+            self.hash = np.append(self.hash, np.array([g[0] for g in got], np.uint64))
+            self.exact = np.append(self.exact, np.array([g[1] for g in got], np.uint64))
+            self.flags = np.append(self.flags, np.array([g[2] for g in got], np.uint8))
+        return self.hash[at], self.exact[at], self.flags[at]
+
+
+_KNOWN = Lexicon()
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+class Templates:
+    """Template tokens of concatenated texts, one after the other.
+
+    For each token: ``hash`` (a placeholder or the word), ``exact`` (the word as it stands), ``slot``, ``doc``, and the
+    raw word's place in ``body``.
+    """
+
+    def __init__(self, body: bytes, lengths: np.ndarray):
+        self.body = body
+        raw = np.frombuffer(body, np.uint8)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        blank = _BLANK[raw]
+        edge = np.ones(len(raw) + 1, bool)
+        edge[1:-1] = blank[1:] != blank[:-1]
+        edge[starts] = True
+        at = np.flatnonzero(edge)
+        # runs of visible bytes are words
+        held = ~blank[at[:-1]] if len(raw) else np.zeros(0, bool)
+        first, last = at[:-1][held], at[1:][held]
+        doc = np.searchsorted(ends, first, "right")
+        coded = pc.dictionary_encode(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)]).filter(pa.array(held)))
+        hashes, exact, flags = in_use(_KNOWN).entries(coded.dictionary)
+        code = coded.indices.to_numpy()
+        h, flag = hashes[code], flags[code]
+        lines = np.cumsum(raw == 10)[first] if len(first) else first
+        fresh = np.append(True, (lines[1:] != lines[:-1]) | (doc[1:] != doc[:-1]))[: len(first)]
+        words = np.flatnonzero(flag)
+        h, flag, doc, fresh = h[words], flag[words], doc[words], fresh[words]
+        self.exact, self.doc, self.first, self.last = exact[code[words]], doc, first[words], last[words]
+        if len(h):
+            opens = np.append(True, doc[1:] != doc[:-1])
+            fresh |= opens
+            fresh[1:] |= (flag[:-1] & _IS_END) > 0
+            unit = (flag & _IS_UNIT) > 0
+            unit[1:] &= (flag[:-1] & _IS_NUM) > 0
+            unit &= ~opens
+            fixed = (flag & _IS_SLOT) > 0
+            name = ((flag & _IS_CAP) > 0) & ~fresh & ~fixed & ~unit
+            h[name], h[unit & ~fixed] = NAME, UNIT
+            self.slot = name | unit | fixed
+        else:
+            self.slot = np.zeros(0, bool)
         self.hash = h
-        self.exact = _KNOWN.exact[code] if exact else None
-        self.slot = name | unit | fixed
-        self.raw, self.held = raw, held
+        self.literals = np.cumsum(np.append(0, ~self.slot))
 
     def word(self, i: int) -> str:
-        return self.raw[self.held[i]].strip(_EDGE).lower()
-
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of windows, and whether each has words enough to be used."""
-        n = len(self.hash) - width + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
-        acc = np.full(n, np.uint64(width))
-        for j in range(width):
-            acc = (acc ^ self.hash[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-            acc ^= acc >> np.uint64(29)
-        sums = np.cumsum(np.append(0, ~self.slot))
-        return C.mix(acc), sums[width:] - sums[:-width] >= min(LITERALS, width)
-
-
-def _exact(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the windows of words as they stand that begin at ``at``."""
-    acc = np.full(len(at), np.uint64(width))
+        return bare(self.body[self.first[i] : self.last[i]].decode()).lower()
+
+    def inside(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Those of the windows beginning at ``at`` that end in their own text."""
+        at = at[at + width <= len(self.doc)]
+        return at[self.doc[at + width - 1] == self.doc[at]]
+
+    def enough(self, at: np.ndarray, width: int) -> np.ndarray:
+        """Whether the windows beginning at ``at`` have words enough to be joined as templates."""
+        return self.literals[at + width] - self.literals[at] >= min(LITERALS, width)
+
+
+def window_hashes(tokens: np.ndarray, at: np.ndarray, width: int, exact: bool) -> np.ndarray:
+    """Hashes of the windows of ``width`` tokens that begin at ``at``."""
+    acc = np.full(len(at), np.uint64(width | exact << 8))
+    # windows that are all there is are read in place
+    every = len(at) and len(at) == at[-1] - at[0] + 1
     for j in range(width):
-        acc = (acc ^ words[at + j]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        acc = (acc ^ (tokens[at[0] + j : at[-1] + j + 1] if every else tokens[at + j])) * np.uint64(0x9E3779B97F4A7C15)
         acc ^= acc >> np.uint64(29)
     return C.mix(acc)
 
 
-def _sorted(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows.sort()
-    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+# --- benchmark ---
 
+WINDOWS = "h long, first long, width int, exact boolean, item long, text_key long, place int, slots array<int>, said array<string>"
+ITEMS = "item long, text_key long, length int, slot binary"
 
-class Bench:
-    """Hashed windows of a block of items, sorted, with the items and places they come from.
-
-    Windows with words enough are looked up as templates, the others as they stand.
-    """
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.texts = [Template(t, True) for _, t in items]
-        found: dict[int, list] = {}
-        bare: dict[int, list] = {}
-        first: dict[int, set[int]] = {}
-        for k, t in enumerate(self.texts):
-            width = min(WIDTH, len(t.hash))
-            if width:
-                h, ok = t.windows(width)
-                found.setdefault(width, []).extend((int(h[q]), k, q) for q in np.flatnonzero(ok).tolist())
-                rest = np.flatnonzero(~ok)
-                if len(rest):
-                    bare.setdefault(width, []).extend(zip(_exact(t.exact, rest, width).tolist(), [k] * len(rest), rest.tolist(), strict=True))
-                    first.setdefault(width, set()).update(t.exact[rest].tolist())
-        self.widths = {width: _sorted(rows) for width, rows in found.items()}
-        self.bare = {width: (np.sort(np.array(list(first[width]), np.uint64)), *_sorted(rows)) for width, rows in bare.items()}
-
-    def hits(self, text: str) -> list[tuple[int, float, bool]]:
-        """(item id, share of its tokens covered, re-parameterised) for the items that contaminate ``text``."""
-        doc = Template(text, bool(self.bare))
-        pairs: dict[int, list[tuple[int, int, int]]] = {}
-        for width, (keys, items, places) in self.widths.items():
-            h, ok = doc.windows(width)
-            if not len(h) or not len(keys):
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of items (item, text_key, text); ``first`` is the hash of the first word of a window that is taken as it stands."""
+    for batch in batches:
+        rows: list[dict] = []
+        for item, key, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            body = (text or "").encode()
+            t = Templates(body, np.array([len(body)]))
+            n = len(t.hash)
+            width = min(WIDTH, n)
+            if not n:
                 continue
-            lo = np.searchsorted(keys, h, "left")
-            for p in np.flatnonzero(ok & (keys[np.minimum(lo, len(keys) - 1)] == h)).tolist():
-                at = int(lo[p])
-                while at < len(keys) and keys[at] == h[p]:
-                    pairs.setdefault(int(items[at]), []).append((p, int(places[at]), width))
-                    at += 1
-        for width, (first, keys, items, places) in self.bare.items():
-            n = len(doc.hash) - width + 1
-            if n <= 0:
-                continue
-            at = np.flatnonzero(first[np.minimum(np.searchsorted(first, doc.exact[:n]), len(first) - 1)] == doc.exact[:n])
-            h = _exact(doc.exact, at, width)
-            lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-            for i in np.flatnonzero(lo < hi).tolist():
-                for j in range(int(lo[i]), int(hi[i])):
-                    pairs.setdefault(int(items[j]), []).append((int(at[i]), int(places[j]), width))
-        out = []
-        for k, found in pairs.items():
-            good = [g for g in (self._judge(doc, k, group) for group in _occurrences(found, len(self.texts[k].hash))) if g[2]]
-            # pieces that lie far apart are judged together where no occurrence is enough alone
-            good = good or [g for g in (self._judge(doc, k, found),) if g[2]]
-            if good:
-                out.append((self.ids[k], max(g[0] for g in good), any(g[1] for g in good)))
-        return sorted(out)
-
-    def _judge(self, doc: Template, k: int, found: list[tuple[int, int, int]]) -> tuple[float, bool, bool]:
-        """Share of the item's tokens that consistent windows cover, whether a slot of them is filled otherwise, and
-        whether they are enough."""
-        item = self.texts[k]
-        places = [(p, q, width, np.flatnonzero(item.slot[q : q + width]).tolist()) for p, q, width in found]
-        values: dict[str, set[str]] = {}
-        for p, q, _, slots in places:
-            for j in slots:
-                values.setdefault(item.word(q + j), set()).add(doc.word(p + j))
-        clash = {v for v, got in values.items() if len(got) > 1}
-        covered, changed = np.zeros(len(item.hash), bool), False
-        for p, q, width, slots in places:
-            if not (clash and any(item.word(q + j) in clash for j in slots)):
-                covered[q : q + width] = True
-                changed |= any(item.word(q + j) != doc.word(p + j) for j in slots)
-        if clash and not _enough(covered, item.slot):
-            # the item as it stands is found whatever else in the text has its shape
-            for p, q, width, slots in places:
-                if all(item.word(q + j) == doc.word(p + j) for j in slots):
-                    covered[q : q + width] = True
-        return float(covered.mean()), changed, _enough(covered, item.slot)
+            at = np.arange(n - width + 1)
+            plain = t.enough(at, width)
+            h = np.where(plain, window_hashes(t.hash, at, width, False), window_hashes(t.exact, at, width, True)).view(np.int64)
+            for q in at.tolist():
+                slots = np.flatnonzero(t.slot[q : q + width]).tolist()
+                rows.append({"h": int(h[q]), "first": None if plain[q] else int(t.exact[q].view(np.int64)), "width": width, "exact": not plain[q], "item": item, "text_key": key, "place": q, "slots": slots, "said": [t.word(q + j) for j in slots]})
+        yield from pa.Table.from_pylist(rows, pa.schema([("h", pa.int64()), ("first", pa.int64()), ("width", pa.int32()), ("exact", pa.bool_()), ("item", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.int32())), ("said", pa.list_(pa.string()))])).to_batches()
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        masks = []
+        for text in batch.column(2).to_pylist():
+            body = (text or "").encode()
+            masks.append(Templates(body, np.array([len(body)])).slot.astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(m) for m in masks], pa.int32()), pa.array(masks, pa.binary())], names=["item", "text_key", "length", "slot"])
+
+
+def bitmap_of(windows: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the leading bits of the windows' hashes and first words, and the number of those bits."""
+    n = windows.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (n * BITS_EACH).bit_length()))
+    every = windows.select(F.explode(F.array("h", "first")).alias("x")).where("x is not null").select(F.shiftrightunsigned("x", 64 - bits).alias("x"))
+    # a block of 2 ** 15 bits is one row, so at most 2 ** (MOST_BITS - 15) rows of 4 kB come to the driver
+    rows = every.groupBy(F.shiftright("x", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("x") % (1 << 15)).alias("bits")).collect()
+    out = np.zeros((1 << bits) >> 3, np.uint8)
+    for r in rows:
+        out[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out, bits
+
+
+def _in(bitmap: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    x = (h >> np.uint64(64 - bits)).astype(np.int64)
+    return bitmap[x >> 3] >> (x & 7).astype(np.uint8) & 1 > 0
+
+
+# --- documents ---
+
+FOUND = "one long, two long, h long, width int, exact boolean, p int, filled array<string>"
+
+
+def _scan(bitmap: np.ndarray, bits: int, kinds: list[tuple[int, bool]]):
+    """Windows of texts (one, two, text) that may be in the benchmark; ``filled`` are the words in their slots."""
+
+    def block(one: np.ndarray, two: np.ndarray, body: bytes, lengths: np.ndarray) -> pa.RecordBatch | None:
+        t = Templates(body, lengths)
+        starts = np.searchsorted(t.doc, np.arange(len(lengths)))
+        parts = []
+        led = np.flatnonzero(_in(bitmap, bits, t.exact)) if any(e for _, e in kinds) else None
+        for width, exact in kinds:
+            at = t.inside(led if exact else np.arange(len(t.doc)), width)
+            if exact:
+                h = window_hashes(t.exact, at, width, True)
+            elif len(at) > len(t.doc) // 2:
+                h = window_hashes(t.hash, np.arange(len(t.doc) - width + 1), width, False)[at]
+            else:
+                h = window_hashes(t.hash, at, width, False)
+            hit = np.flatnonzero(_in(bitmap, bits, h) & (exact or t.enough(at, width)))
+            parts.append((at[hit], h[hit], width, exact))
+        rows = [(p, h, w, e) for at, hs, w, e in parts for p, h in zip(at.tolist(), hs.view(np.int64).tolist(), strict=True)]
+        if not rows:
+            return None
+        at = np.array([r[0] for r in rows])
+        doc = t.doc[at]
+        filled = [None if e else [t.word(p + j) for j in np.flatnonzero(t.slot[p : p + w]).tolist()] for p, _, w, e in rows]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(one[doc]), pa.array(two[doc]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.bool_()), pa.array(at - starts[doc], pa.int32()), pa.array(filled, pa.list_(pa.string()))],
+            names=["one", "two", "h", "width", "exact", "p", "filled"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            lengths, body = C.texts_of(batch.column(2))
+            ends = np.cumsum(lengths)
+            lo = 0
+            while lo < len(ends):
+                base = int(ends[lo] - lengths[lo])
+                hi = max(lo + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, "right")))
+                found = block(one[lo:hi], two[lo:hi], body[base : int(ends[hi - 1])], lengths[lo:hi])
+                if found is not None:
+                    yield found
+                lo = hi
+
+    return tidy(run)
 
 
 def _enough(covered: np.ndarray, slot: np.ndarray) -> bool:
@@ -230,12 +288,12 @@ def _enough(covered: np.ndarray, slot: np.ndarray) -> bool:
     return bool(np.any(words[edges[1::2]] - words[edges[::2]] >= PASSAGE))
 
 
-def _occurrences(found: list[tuple[int, int, int]], length: int) -> Iterator[list[tuple[int, int, int]]]:
-    """Windows (place in text, place in item, width) of each occurrence of an item: of one alignment, then of near ones.
+def _occurrences(found: list[tuple], length: int) -> Iterator[list[tuple]]:
+    """Windows (place in text, place in item, ...) of each occurrence of an item: of one alignment, then of near ones.
 
     An alignment is where the item would begin in the text; words put in or left out shift it by a few places.
     """
-    by: dict[int, list[tuple[int, int, int]]] = {}
+    by: dict[int, list[tuple]] = {}
     for hit in found:
         by.setdefault(hit[0] - hit[1], []).append(hit)
     starts = sorted(by)
@@ -250,69 +308,99 @@ def _occurrences(found: list[tuple[int, int, int]], length: int) -> Iterator[lis
         near.append(d)
 
 
-def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's (item_id, text), in blocks of a bounded size, one at a time."""
-    block: list[tuple[int, str]] = []
-    chars = 0
-    for row in benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).toLocalIterator():
-        block.append((row[0], row[1]))
-        chars += len(row[1])
-        if len(block) >= BLOCK_ITEMS or chars >= BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
-    if block:
-        yield block
+def judge(found: list[tuple], slot: np.ndarray) -> tuple[float, bool, bool]:
+    """Share of an item's tokens that consistent windows cover, whether a slot of them is filled otherwise, and whether
+    they are enough.  A window is (place in text, place in item, width, the item's words in its slots, the text's)."""
+    values: dict[str, set[str]] = {}
+    for _, _, _, said, filled in found:
+        for a, b in zip(said, filled, strict=True):
+            values.setdefault(a, set()).add(b)
+    clash = {v for v, got in values.items() if len(got) > 1}
+    covered, changed = np.zeros(len(slot), bool), False
+    for _, q, width, said, filled in found:
+        if not clash.intersection(said):
+            covered[q : q + width] = True
+            changed |= said != filled
+    if clash and not _enough(covered, slot):
+        # the item as it stands is found whatever else in the text has its shape
+        for _, q, width, said, filled in found:
+            if said == filled:
+                covered[q : q + width] = True
+    return float(covered.mean()), changed, _enough(covered, slot)
 
 
-REPORT = "doc_id long, n_items long, items string, greatest_share double, n_changed long, contaminated boolean"
-_ROWS = "doc_id long, text string, items array<struct<id: long, share: double, changed: boolean>>"
-_FOUND = pa.list_(pa.struct([("id", pa.int64()), ("share", pa.float64()), ("changed", pa.bool_())]))
+def verdict(found: list[tuple], slot: np.ndarray) -> tuple[float, bool] | None:
+    """Greatest share covered and whether re-parameterised, if the windows found in a text contaminate it."""
+    good = [g for g in (judge(group, slot) for group in _occurrences(found, len(slot))) if g[2]]
+    # pieces that lie far apart are judged together where no occurrence is enough alone
+    good = good or [g for g in (judge(found, slot),) if g[2]]
+    return (max(g[0] for g in good), any(g[1] for g in good)) if good else None
 
 
-def _look_up(items: list[tuple[int, str]], last: bool):
-    """Add a block's items to those found in each row; after the last block the report is written in place of the text."""
+def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for hits, slot in zip(batch.column("hits").to_pylist(), batch.column("slot").to_pylist(), strict=True):
+            found = sorted((h["p"], h["place"], h["width"], h["said"], h["said"] if h["filled"] is None else h["filled"]) for h in hits)
+            out.append(verdict(found, np.frombuffer(slot, np.uint8).astype(bool)))
+        keep = pa.array([g is not None for g in out])
+        kept = batch.select(["one", "two", "item"]).filter(keep)
+        good = [g for g in out if g is not None]
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([g[0] for g in good], pa.float64()), pa.array([g[1] for g in good], pa.bool_())], names=["one", "two", "item", "share", "changed"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Bench(items)
-        for batch in batches:
-            got = [bench.hits(t) if t else [] for t in batch.column(1).to_pylist()]
-            if batch.num_columns > 2:
-                got = [sorted([(x["id"], x["share"], x["changed"]) for x in old] + new) for old, new in zip(batch.column(2).to_pylist(), got, strict=True)]
-            if not last:
-                rows = pa.array([[{"id": i, "share": s, "changed": c} for i, s, c in g] for g in got], _FOUND)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=["doc_id", "text", "items"])
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(g) for g in got], pa.int64()), pa.array([",".join(str(i) for i, _, _ in g) for g in got], pa.string()), pa.array([max((s for _, s, _ in g), default=0.0) for g in got], pa.float64()), pa.array([sum(c for _, _, c in g) for g in got], pa.int64()), pa.array([bool(g) for g in got], pa.bool_())],
-                names=["doc_id", "n_items", "items", "greatest_share", "n_changed", "contaminated"],
-            )
 
-    return run
+REPORT = "doc_id long, n_items long, items string, greatest_share double, n_changed long, contaminated boolean"
+
+
+def _keys(text: str = "text") -> list:
+    """Two hashes that tell texts apart."""
+    t = F.col(text).cast("string")
+    return [F.xxhash64(t).alias("one"), F.xxhash64(t, F.lit(1)).alias("two")]
+
+
+def contaminated_texts(work: Work, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(one, two, items) for every contaminated text of ``docs``: its hashes, and the items (id, share, changed)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item"), F.xxhash64(text).alias("text_key"), text.alias("text")).dropDuplicates(["item", "text_key"])
+    windows = work.save(asked.mapInArrow(tidy(_windows), WINDOWS), "windows")
+    bitmap, bits = bitmap_of(windows)
+    kinds = [tuple(r) for r in windows.select("width", "exact").distinct().orderBy("width", "exact").collect()]
+    texts = docs.select(*_keys(), F.col("text").cast("string").alias("text")).where("text <> ''")
+    found = texts.mapInArrow(_scan(bitmap, bits, kinds), FOUND).distinct()
+    hits = found.join(windows.drop("first"), ["h", "width", "exact"])
+    one = F.struct("p", "place", "width", "said", "filled")
+    groups = hits.groupBy("one", "two", "item", "text_key").agg(F.collect_list(one).alias("hits"))
+    items = work.save(asked.mapInArrow(tidy(_items), ITEMS), "items")
+    same = F.col("item").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key"))
+    judged = groups.join(items.select(F.col("item").alias("of"), F.col("text_key").alias("of_key"), "slot"), same).select("one", "two", "item", "hits", "slot")
+    judged = judged.mapInArrow(_verdicts, "one long, two long, item long, share double, changed boolean")
+    out = judged.groupBy("one", "two").agg(F.sort_array(F.collect_list(F.struct("item", "share", "changed"))).alias("items"))
+    out = work.save(out, "found")
+    work.drop("windows", "items")
+    return out
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``REPORT`` for every row of ``docs`` (doc_id, text); each row passes the blocks one after the other."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    block: list[tuple[int, str]] = []
-    for following in blocks_of(benchmark):
-        if block:
-            rows = rows.mapInArrow(_look_up(block, False), _ROWS)
-        block = following
-    return rows.mapInArrow(_look_up(block, True), REPORT)
+    """``REPORT`` for every row of ``docs`` (doc_id, text)."""
+    found = contaminated_texts(Work(docs.sparkSession, "benchmark"), docs, benchmark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_keys()).join(found, ["one", "two"], "left")
+    ids = F.transform("items", lambda x: F.coalesce(x["item"].cast("string"), F.lit("null")))
+    return rows.select(
+        "doc_id",
+        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
+        F.coalesce(F.array_join(ids, ","), F.lit("")).alias("items"),
+        F.coalesce(F.array_max(F.transform("items", lambda x: x["share"])), F.lit(0.0)).alias("greatest_share"),
+        F.when(F.col("items").isNull(), 0).otherwise(F.size(F.filter("items", lambda x: x["changed"]))).cast("long").alias("n_changed"),
+        F.col("items").isNotNull().alias("contaminated"),
+    )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
-    at = docs.columns.index("text")
-    for block in blocks_of(benchmark):
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            bench = Bench(block)
-            for batch in batches:
-                yield batch.filter(pa.array([not (t and bench.hits(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    found = contaminated_texts(Work(docs.sparkSession, "benchmark"), docs, benchmark).select("one", "two")
+    found = F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_keys())
+    return rows.join(found, ["one", "two"], "left_anti").select("row.*")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

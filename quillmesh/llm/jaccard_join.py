@@ -5,8 +5,9 @@ Two documents link when 100 * |A n B| >= 80 * |A u B| for their sets of distinct
 1. Count, over all documents, how many hold each shingle (an exchange of hashed shingles between packed chunks).
 2. Order a document's shingles from rare to frequent.  Documents that link share one of the first n - ceil(0.8 n) + 1
    of them, so only those (and of them only the ones that another document holds) can pair documents.
-3. Chain the documents of a shared shingle by set size, broken where sizes differ by more than the threshold allows.
-   The components of those chains are blocks: no link leaves a block.
+3. Tie the documents of a shared shingle to one of each band of set sizes, and those of neighbouring bands together, as
+   sizes of a link are in the same or neighbouring bands.  The components of those ties are blocks: no link leaves a
+   block.  A shingle's documents are only reduced to their least, and joined with it, so no task needs all of them.
 4. In a block, a signature tree: leaves hold documents, nodes hold the OR (per-cell maximum) of token bitmaps and the
    range of sizes.  A dual traversal drops node pairs whose greatest possible overlap is too small, and node pairs
    already connected; the rest is decided by exact set intersection.  A large block is cut into sub-blocks whose pairs
@@ -28,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import chunks as C
@@ -263,9 +264,14 @@ def _groups(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_rows")).withColumn("own", F.xxhash64("key"))
     held = rows.where("prefix is not null").select("key", "n", "prefix", "shingles").dropDuplicates(["key"])
     nodes = work.save(held.select(F.xxhash64("key").alias("node"), "n", "prefix", "shingles"), "nodes", "uncompressed")
-    w = Window.partitionBy("s").orderBy("n", "node")
-    chain = nodes.select("node", "n", F.explode("prefix").alias("s")).withColumn("before", F.lag(F.struct("n", "node")).over(w))
-    edges = chain.where(F.col("before.n") * 100 >= F.col("n") * percent).select(F.col("before.node").alias("a"), F.col("node").alias("b"))
+    # the base is a little over 100 / percent, so rounding parts no two sizes of a link by two bands
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(101 / percent))).cast("int")
+    held_by = nodes.select("node", band.alias("band"), F.explode("prefix").alias("s"))
+    least = held_by.groupBy("s", "band").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    least = work.save(least, "least", "uncompressed")
+    own = held_by.join(least.where("least <> most").select("s", "band", "least"), ["s", "band"]).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    above = least.select("s", (F.col("band") - 1).alias("band"), F.col("least").alias("b"))
+    edges = own.union(least.join(above, ["s", "band"]).select(F.col("least").alias("a"), "b"))
     blocks = connected_components(work, edges, "blocks").select(F.col("node").alias("of"), F.col("component").alias("block"))
 
     placed = nodes.join(blocks, F.col("node") == F.col("of")).select("node", "n", "shingles", "block")
@@ -279,11 +285,15 @@ def _groups(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
 
     least = classes.join(found, "own").groupBy("group").agg(F.min("least").alias("component_id"))
     linked = found.join(least, "group").select("own", "group", "component_id")
+    # a table of its own, so that the join below is one of two shuffles and a class of many copies can be split
     known = classes.join(linked, "own", "left").select("key", "class_rows", F.when(F.col("group").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("group", "own").alias("group"))
-    out = rows.select("doc_id", "text_hash", F.when(F.col("n") > 0, F.col("key")).alias("key"), F.col("n").alias("n_shingles")).join(known, "key", "left")
-    out = out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("class_rows", F.lit(1)).alias("class_rows"), "group")
+    known = work.save(known, "known", "uncompressed")
+    told = rows.select("doc_id", "text_hash", "key", F.col("n").alias("n_shingles"))
+    columns = ["doc_id", "text_hash", "n_shingles", "component_id", "class_rows", "group"]
+    blank = told.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "class_rows": F.lit(1).cast("long"), "group": F.lit(None).cast("long")})
+    out = told.where("n_shingles > 0").join(known, "key").select(*columns).union(blank.select(*columns))
     out = work.save(out, "result")
-    work.drop("rows", "nodes")
+    work.drop("rows", "nodes", "least", "known", "blocks-*", "links-*")
     return out
 
 

@@ -1,11 +1,12 @@
 """Shared working folder for tables that cut lineage between steps.
 
-The folder is the cluster's ``spark.checkpoint.dir``; a folder under ``/tmp/checkpoints`` is used only where that
-setting is absent (local tests).
+The folder is the cluster's ``spark.checkpoint.dir``.  Where that setting is absent, a folder under ``/tmp/checkpoints``
+serves in local mode, whose one process sees it whole; on a cluster it is an error, as executors share no such folder.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return base or "file:///tmp/checkpoints"
+    if base:
+        return base
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file:///tmp/checkpoints"
 
 
 class Work:
@@ -29,7 +34,10 @@ class Work:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Delete tables; a name may end in ``*``."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            files = path.getFileSystem(conf)
+            for found in files.globStatus(path) or []:
+                files.delete(found.getPath(), True)

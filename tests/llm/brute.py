@@ -158,3 +158,91 @@ def suffix_tree(rows, least=4, smooth=10.0):
             score += math.log10(p)
         out[d] = score
     return out
+
+
+EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’–—…¿¡€£"
+
+
+def template(text):
+    """(template token, word as it stands, is a placeholder) of each word that is no punctuation alone."""
+    from quillmesh.llm.decontamination import UNITS
+
+    out, opens = [], True
+    for line in (text or "").split("\n"):
+        begins = True
+        for raw in WORD.findall(line):
+            word = raw.strip(EDGE)
+            if not word:
+                begins = False
+                continue
+            low = word.lower()
+            number = re.fullmatch(r"[+-]?\d+([.,:/]\d+)*(st|nd|rd|th)?", low)
+            if number:
+                kind = "NUM"
+            elif re.fullmatch(r"[+-]?\d+([.,]\d+)*[a-zµ°%]{1,5}", low):
+                kind = "QTY"
+            elif low in UNITS and out and out[-1][3]:
+                kind = "UNIT"
+            elif word[0].isupper() and not (opens or begins):
+                kind = "NAME"
+            else:
+                kind = None
+            out.append((kind or low, low, kind is not None, bool(number)))
+            opens = raw[-1] in ".!?:" or (raw[-1] in "\"'”)" and raw[-2:-1] in (".", "!", "?"))
+            begins = False
+    return [t[:3] for t in out]
+
+
+def contaminating(text, items):
+    """(item id, greatest share, re-parameterised) of each item that contaminates a text, by all pairs of windows."""
+    doc, out = template(text), []
+    for item_id, item_text in items:
+        item = template(item_text)
+        width = min(8, len(item))
+        if not width:
+            continue
+        by = defaultdict(list)
+        for q in range(len(item) - width + 1):
+            plain = sum(not t[2] for t in item[q : q + width]) >= min(4, width)
+            want = [t[not plain] for t in item[q : q + width]]
+            for p in range(len(doc) - width + 1):
+                if doc[p][not plain] == want[0] and [t[not plain] for t in doc[p : p + width]] == want:
+                    by[p - q].append((p, q))
+        if not by:
+            continue
+
+        def judged(found):
+            values, covered, changed = defaultdict(set), set(), False
+            slots = lambda q: [j for j in range(width) if item[q + j][2]]
+            for p, q in found:
+                for j in slots(q):
+                    values[item[q + j][1]].add(doc[p + j][1])
+            clash = {v for v, got in values.items() if len(got) > 1}
+
+            def enough():
+                best = run = 0
+                for i in range(len(item)):
+                    run = run + (not item[i][2]) if i in covered else 0
+                    best = max(best, run)
+                return 2 * len(covered) >= len(item) or best >= 30
+
+            for p, q in found:
+                if not any(item[q + j][1] in clash for j in slots(q)):
+                    covered.update(range(q, q + width))
+                    changed |= any(item[q + j][1] != doc[p + j][1] for j in slots(q))
+            if clash and not enough():
+                for p, q in found:
+                    if all(item[q + j][1] == doc[p + j][1] for j in slots(q)):
+                        covered.update(range(q, q + width))
+            return len(covered) / len(item), changed, enough()
+
+        slack, groups, near = min(8, (len(item) - 1) // 2), [by[d] for d in sorted(by)], []
+        for d in [*sorted(by), None]:
+            if near and (d is None or d - near[0] > slack):
+                groups += [[x for n in near for x in by[n]]] if len(near) > 1 else []
+                near = []
+            near.append(d)
+        good = [g for g in map(judged, groups) if g[2]] or [g for g in [judged([x for d in by for x in by[d]])] if g[2]]
+        if good:
+            out.append((item_id, max(g[0] for g in good), any(g[1] for g in good)))
+    return sorted(out)

@@ -97,21 +97,16 @@ def grams(text, n=8):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def test_changed_parameters():
-    item = "A train leaves the old station at 40 km per hour and returns at 40 km per hour after it has waited 3 hours for Peter to come."
-    bench = decontamination.Bench([(7, item)])
-    assert bench.hits(f"intro text. {item} more text")[0][:2] == (7, 1.0)
-    other = item.replace("40", "65").replace("Peter", "Maria").replace("3 hours", "9 hours")
-    assert bench.hits(f"intro text. {other} more text") == [(7, 1.0, True)]
-    assert bench.hits(other.replace("65 km", "70 km", 1)) == []
-    assert bench.hits("A train leaves the old station at noon and that is all there is to say of it today.") == []
-
-
-def test_blocks_of_the_benchmark(spark, docs, monkeypatch):
+def test_benchmark_against_plain(spark, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    want = {(r.doc_id, r.n_items, r.contaminated) for r in decontamination.find_contaminated(docs, bench).collect()}
-    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 15)
-    assert {(r.doc_id, r.n_items, r.contaminated) for r in decontamination.find_contaminated(docs, bench).collect()} == want
+    items = [(i.item_id, i.text) for i in bench.collect()]
+    got = {r.doc_id: (r.items, r.greatest_share, r.n_changed) for r in decontamination.find_contaminated(docs, bench).collect()}
+    hit = 0
+    for r in docs.collect():
+        want = brute.contaminating(r.text, items)
+        assert got[r.doc_id] == (",".join(str(w[0]) for w in want), pytest.approx(max((w[1] for w in want), default=0.0)), sum(w[2] for w in want))
+        hit += bool(want)
+    assert hit
 
 
 def test_raking(spark, docs):

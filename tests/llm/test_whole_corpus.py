@@ -25,46 +25,59 @@ def test_article_is_chosen_by_slots():
 TRAIN = "A train leaves the old station at 40 km per hour and returns at 40 km per hour after it has waited 3 hours for Peter to come."
 
 
-def test_occurrences_are_judged_each_for_itself():
-    bench = decontamination.Bench([(7, TRAIN)])
+def found(spark, items, texts):
+    """Items, greatest share and number of re-parameterised items of each text."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontamination.find_contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    return [(r.items, r.greatest_share, r.n_changed) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+CLEAN = ("", 0.0, 0)
+
+
+def test_changed_parameters(spark):
+    other = TRAIN.replace("40", "65").replace("Peter", "Maria").replace("3 hours", "9 hours")
+    texts = [f"intro text. {TRAIN} more text", f"intro text. {other} more text", other.replace("65 km", "70 km", 1), "A train leaves the old station at noon and that is all there is to say of it today."]
+    assert found(spark, [(7, TRAIN)], texts) == [("7", 1.0, 0), ("7", 1.0, 1), CLEAN, CLEAN]
+
+
+def test_occurrences_are_judged_each_for_itself(spark):
     one, two = TRAIN.replace("40", "65"), TRAIN.replace("40", "70").replace("3 hours", "5 hours")
-    assert bench.hits(f"{one} Then some other words. {two}") == [(7, 1.0, True)]
-    assert bench.hits(f"{one} {two} {one}") == [(7, 1.0, True)]
     chance = "and returns at 90 km per hour after it has waited 8 hours"
-    assert bench.hits(f"{one} {'filler word ' * 500} {chance}") == [(7, 1.0, True)]
-    assert bench.hits(f"{chance} {'filler word ' * 50}end. {TRAIN}") == [(7, 1.0, False)]
     torn = one.replace("65 km", "70 km", 1)
-    assert bench.hits(f"{torn} {torn}") == []
+    texts = [f"{one} Then some other words. {two}", f"{one} {two} {one}", f"{one} {'filler word ' * 500} {chance}", f"{chance} {'filler word ' * 50}end. {TRAIN}", f"{torn} {torn}"]
+    assert found(spark, [(7, TRAIN)], texts) == [("7", 1.0, 1)] * 3 + [("7", 1.0, 0), CLEAN]
 
 
-def test_items_of_few_words_are_found_as_they_stand():
+def test_items_of_few_words_are_found_as_they_stand(spark):
     sums, names = "Solve 12 + 7 = 19", "Name them: Anna, Boris, Carla, Dmitri, Elena, Farid, Greta, Hugo, Ines, Jonas and Karim."
-    count = "Add 3 and 5 and 8 and 13 and 21 and 34 and 55 and 89."
-    bench = decontamination.Bench([(1, sums), (2, names), (3, count)])
-    for i, text in enumerate((sums, names, count), 1):
-        assert [h[0] for h in bench.hits(f"Some words before it. {text} And some after it.")] == [i]
-    assert bench.hits("He said to solve 12 + 7 = 19 at once.") == [(1, 1.0, False)]
-    assert bench.hits("Solve 13 + 7 = 20. Here are Anna, Boris, Karim, Hugo, Ines, Elena, Greta, Farid and Jonas.") == []
+    count, bare = "Add 3 and 5 and 8 and 13 and 21 and 34 and 55 and 89.", "12 + 7 = 19 and 5 * 3 = 15 so 9 - 4 = 5"
+    items = [(1, sums), (2, names), (3, count), (4, "What is 12 plus 7?"), (5, bare)]
+    texts = [f"Some words before it. {t} And some after it." for _, t in items]
+    got = found(spark, items, [*texts, "He said to solve 12 + 7 = 19 at once.", "Solve 13 + 7 = 20. Here are Anna, Boris, Karim, Hugo, Ines, Elena, Greta, Farid and Jonas."])
+    assert [g[0] for g in got] == ["1", "2", "3", "4", "5", "1", ""]
 
 
-def test_long_passage_of_a_longer_item_is_found():
+def test_long_passage_of_a_longer_item_is_found(spark):
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra", "so", "ti", "vu", "ze", "ba", "co") for b in ("dan", "fel", "gor", "hul", "jim", "kez", "lat", "mon", "nir", "pos")]
-    bench = decontamination.Bench([(5, " ".join(words))])
-    assert [h[0] for h in bench.hits("before it. " + " ".join(words[20:60]) + " after it")] == [5]
-    assert bench.hits("before it. " + " ".join(words[20:40]) + " after it") == []
+    texts = [f"before it. {' '.join(words[a:b])} after it" for a, b in ((20, 60), (20, 40))]
+    assert [g[0] for g in found(spark, [(5, " ".join(words))], texts)] == ["5", ""]
 
 
-def test_rows_do_not_depend_on_the_blocks(spark, monkeypatch):
+def test_contamination_of_odd_rows(spark, monkeypatch):
     other = "Which of the three kings of the north gave his crown to the miller who had saved the bridge over the river?"
-    items = spark.createDataFrame([(9, TRAIN), (3, other), (5, "Name the old harbour town that the poet left when the great war began and never saw again.")], "item_id long, text string")
-    texts = [(None, f"{other} {TRAIN}"), (None, "clean"), (None, None), (1, TRAIN.replace("40", "65")), (1, other), (1, "clean")]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    key = lambda rows: sorted((r.doc_id or 0, r.n_items, r.items, r.greatest_share, r.n_changed, r.contaminated) for r in rows)
-    want = key(decontamination.find_contaminated(docs, items).collect())
-    assert [r[2] for r in want] == ["", "", "3,9", "", "3", "9"]
-    for most in (1, 2):
-        monkeypatch.setattr(decontamination, "BLOCK_ITEMS", most)
-        assert key(decontamination.find_contaminated(docs, items).collect()) == want
+    items = [(9, TRAIN), (3, other), (3, other), (None, "Name the old harbour town that the poet left when the great war began and never saw again."), (4, None), (5, ""), (6, "?!")]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(None, f"{other} {TRAIN}"), (None, "clean"), (None, None), (1, TRAIN.replace("40", "65")), (1, other), (1, other), (1, "clean"), (2, ""), (2, "x " * 300_000 + other), (3, "so name the old harbour town that the poet left when the great war began and never saw again.")]
+    docs = spark.createDataFrame([(d, t, 1, t) for d, t in texts], "doc_id long, text string, one int, items string")
+    want = sorted((d or 0, i, n) for (d, _), i, n in zip(texts, ["3,9", "", "", "9", "3", "3", "", "", "3", "null"], [2, 0, 0, 1, 1, 1, 0, 0, 1, 1], strict=True))
+    assert sorted((r.doc_id or 0, r.items, r.n_items) for r in decontamination.find_contaminated(docs, items).collect()) == want
+    kept = decontamination.remove_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "clean"), (1, "clean"), (2, "")]
+    monkeypatch.setattr(decontamination, "BROADCAST_TEXTS", 0)
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 40)
+    assert sorted((r.doc_id or 0, r.items, r.n_items) for r in decontamination.find_contaminated(docs, items).collect()) == want
+    assert decontamination.remove_contaminated(docs, items).count() == 4
 
 
 @pytest.mark.parametrize(
