@@ -38,7 +38,7 @@ from quillmesh.llm.work import Work
 WIDTH, LITERALS, SHARE = 8, 4, 0.5
 SHIFT, PASSAGE = 8, 30
 #: Bits of the bitmap for each window of the benchmark, and the greatest bitmap as a power of two (16 MB).
-BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 27
+BITS_EACH, LEAST_BITS, MOST_BITS = 1024, 16, 27
 #: Bytes of documents that are looked up at once, words remembered between, and texts whose broadcast is allowed.
 BLOCK_BYTES, KEEP, BROADCAST_TEXTS = 4 << 20, 400_000, 1_000_000
 NUMBER, UNIT, QUANTITY, NAME = (np.uint64(x) for x in (11, 12, 13, 14))

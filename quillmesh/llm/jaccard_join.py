@@ -275,12 +275,13 @@ def _groups(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
     blocks = connected_components(work, edges, "blocks").select(F.col("node").alias("of"), F.col("component").alias("block"))
 
     placed = nodes.join(blocks, F.col("node") == F.col("of")).select("node", "n", "shingles", "block")
-    load = placed.groupBy("block").agg(F.sum("n").alias("load"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("int")
-    placed = placed.join(load.select("block", parts.alias("parts")), "block").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    load = placed.groupBy("block").agg(F.sum("n").alias("load")).where(F.col("load") > BLOCK_SHINGLES)
+    large = work.save(load.select("block", F.ceil(F.col("load") / BLOCK_SHINGLES).cast("int").alias("parts")), "large", "uncompressed")
+    placed = placed.join(large, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")))
     tasks = placed.withColumn("p", F.explode(pairs)).select("block", "p.i", "p.j", "p.side", (F.col("p.i") != F.col("p.j")).alias("split"), "node", "shingles")
-    links = tasks.groupBy("block", "i", "j").applyInArrow(_block(percent), "a long, b long")
+    # dealt out by sub-block, else the parts of one large block would all stay in the task that holds the block
+    links = tasks.repartition("block", "i", "j").groupBy("block", "i", "j").applyInArrow(_block(percent), "a long, b long")
     found = connected_components(work, links, "links").select(F.col("node").alias("own"), F.col("component").alias("group"))
 
     least = classes.join(found, "own").groupBy("group").agg(F.min("least").alias("component_id"))
@@ -293,7 +294,7 @@ def _groups(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
     blank = told.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "class_rows": F.lit(1).cast("long"), "group": F.lit(None).cast("long")})
     out = told.where("n_shingles > 0").join(known, "key").select(*columns).union(blank.select(*columns))
     out = work.save(out, "result")
-    work.drop("rows", "nodes", "least", "known", "blocks-*", "links-*")
+    work.drop("rows", "nodes", "least", "known", "large", "blocks-*", "links-*")
     return out
 
 
