@@ -28,6 +28,8 @@ from quillmesh.llm.work import Work
 
 WHITE = r"[\x20\x09-\x0D]+"
 ALPHA, DELTA, SAMPLE, FLAGGED = 0.05, 0.05, 8000, 200
+#: Ids of the holdout that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Ascending cutoffs of each rule's score.
 GRID: dict[str, list[float]] = {
     "symbols_per_word": [0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 0.9],
@@ -164,13 +166,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_rows(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their columns as they were."""
+    """The rows of ``docs`` that ``judge`` keeps, with their columns as they were.
+
+    The holdout's ids are a table of known size, so they are broadcast while they are few and texts are not moved for them.
+    """
     work = Work(spark, "quality")
     marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", "lang")
     flagged = flagged_words(docs.select("doc_id", "text"), labels)
-    known = clean_labels(labels).where("half = 1 and quality = 1 and toxic = 0").select(F.col("of").alias("doc_id"))
+    known = work.save(clean_labels(labels).where("half = 1 and quality = 1 and toxic = 0").select(F.col("of").alias("doc_id")), "known")
+    known = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(known, "doc_id", "left_semi")
     limits = work.save(cutoffs(work.save(features(held, flagged), "counted"), labels), "cutoffs")
+    work.drop("known", "counted")
     # a column that is not deterministic keeps the filter from being moved below the projections, where it would repeat them
     counted = features(marked, flagged, ["row"]).withColumn("once", F.monotonically_increasing_id())
     both = counted.join(limits.withColumnRenamed("lang", "stratum"), F.col("lang") == F.col("stratum"), "left")
