@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -110,7 +112,7 @@ class Chunk:
         return self.body[self.starts[i] : self.ends[i]]
 
 
-def _pack(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pack(limit: int, write: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
@@ -120,7 +122,7 @@ def _pack(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, ids, lens, bodies, size, rows
-            payload = pack_chunk(np.concatenate(ids), np.concatenate(lens), b"".join(bodies))
+            payload = write(np.concatenate(ids), np.concatenate(lens), b"".join(bodies))
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part << 32 | seq], pa.int64()), pa.array([rows], pa.int64()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())],
                 names=["chunk_id", "n_docs", "n_bytes", "payload"],
@@ -149,10 +151,13 @@ def _pack(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return tidy(run)
 
 
-def build_chunks(work: Work, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Write documents (doc_id, text) as chunks of about ``chunk_bytes``; a longer text has a chunk of its own."""
+def build_chunks(work: Work, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, write: Callable = pack_chunk) -> DataFrame:
+    """Write documents (doc_id, text) as chunks of about ``chunk_bytes``; a longer text has a chunk of its own.
+
+    ``write(ids, lengths, body)`` makes a chunk's payload; length -1 stands for null.
+    """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return work.save(source.mapInArrow(_pack(chunk_bytes), CHUNK_SCHEMA), "chunks", "uncompressed")
+    return work.save(source.mapInArrow(_pack(chunk_bytes, write), CHUNK_SCHEMA), "chunks", "uncompressed")
 
 
 def buckets_for(chunks: DataFrame, bytes_each: int, least: int = 8) -> int:
@@ -160,23 +165,23 @@ def buckets_for(chunks: DataFrame, bytes_each: int, least: int = 8) -> int:
     return max(least, -(-total // bytes_each))
 
 
-def send(chunks: DataFrame, emit: Callable, answers: DataFrame | None = None) -> DataFrame:
+def send(chunks: DataFrame, emit: Callable, answers: DataFrame | None = None, read: Callable = Chunk) -> DataFrame:
     """Rows (bucket, chunk_id, payload) that ``emit(chunk, answers)`` gives for each chunk as {bucket: payload}."""
 
     def rows(chunk_id: int, got: dict[int, bytes]) -> pa.Table:
         return pa.table({"bucket": pa.array(list(got), pa.int32()), "chunk_id": pa.array([chunk_id] * len(got), pa.int64()), "payload": pa.array(list(got.values()), pa.binary())})
 
-    return per_chunk(chunks, lambda chunk_id, chunk, got: rows(chunk_id, emit(chunk, got)), SENT_SCHEMA, answers)
+    return per_chunk(chunks, lambda chunk_id, chunk, got: rows(chunk_id, emit(chunk, got)), SENT_SCHEMA, answers, read)
 
 
-def per_chunk(chunks: DataFrame, make: Callable, schema: str, answers: DataFrame | None = None) -> DataFrame:
-    """``make(chunk_id, chunk, answers)`` -> Arrow table, for every chunk; answers: {tag: {bucket: payload}}."""
+def per_chunk(chunks: DataFrame, make: Callable, schema: str, answers: DataFrame | None = None, read: Callable = Chunk) -> DataFrame:
+    """``make(chunk_id, read(payload), answers)`` -> Arrow table, for every chunk; answers: {tag: {bucket: payload}}."""
     if answers is None:
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for chunk_id, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    yield from make(chunk_id, Chunk(payload.as_py()), {}).to_batches()
+                    yield from make(chunk_id, read(payload.as_py()), {}).to_batches()
 
         return chunks.select("chunk_id", "payload").mapInArrow(tidy(alone), schema)
 
@@ -185,7 +190,7 @@ def per_chunk(chunks: DataFrame, make: Callable, schema: str, answers: DataFrame
         for tag, bucket, payload in zip(right.column("tag").to_pylist(), right.column("bucket").to_pylist(), right.column("payload").to_pylist(), strict=True):
             got.setdefault(tag, {})[bucket] = payload
         chunk_id = left.column("chunk_id")[0].as_py()
-        out = make(chunk_id, Chunk(left.column("payload")[0].as_py()), got)
+        out = make(chunk_id, read(left.column("payload")[0].as_py()), got)
         give_back()
         return out
 
@@ -210,16 +215,38 @@ def bucket_bounds(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges, "left"), len(keys))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to a bound."""
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+class Words:
+    """Words of concatenated texts, which ASCII white space parts: the distinct ones (``every``), and for each word its
+    number among them (``code``), its text (``doc``) and its place [``first``, ``last``) in the bytes."""
+
+    def __init__(self, body: bytes, lengths: np.ndarray):
+        raw = np.frombuffer(body, np.uint8)
+        ends = np.cumsum(lengths)
+        blank = _BLANK[raw]
+        edge = np.ones(len(raw) + 1, bool)
+        edge[1:-1] = blank[1:] != blank[:-1]
+        edge[ends - lengths] = True
+        at = np.flatnonzero(edge)
+        held = ~blank[at[:-1]] if len(raw) else np.zeros(0, bool)
+        self.first, self.last = at[:-1][held], at[1:][held]
+        self.doc = np.searchsorted(ends, self.first, "right")
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)])
+        coded = pc.dictionary_encode(runs.filter(pa.array(held)))
+        self.every, self.code = coded.dictionary, coded.indices.to_numpy()
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the distinct words."""
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.every.to_pylist()), np.uint64, len(self.every))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > 100_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in the order of their first places, and for each key its number among them."""
+    coded = pc.dictionary_encode(pa.array(keys))
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -101,8 +101,6 @@ class Lexicon:
 
 
 _KNOWN = Lexicon()
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class Templates:
@@ -114,23 +112,11 @@ class Templates:
 
     def __init__(self, body: bytes, lengths: np.ndarray):
         self.body = body
-        raw = np.frombuffer(body, np.uint8)
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        blank = _BLANK[raw]
-        edge = np.ones(len(raw) + 1, bool)
-        edge[1:-1] = blank[1:] != blank[:-1]
-        edge[starts] = True
-        at = np.flatnonzero(edge)
-        # runs of visible bytes are words
-        held = ~blank[at[:-1]] if len(raw) else np.zeros(0, bool)
-        first, last = at[:-1][held], at[1:][held]
-        doc = np.searchsorted(ends, first, "right")
-        coded = pc.dictionary_encode(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)]).filter(pa.array(held)))
-        hashes, exact, flags = in_use(_KNOWN).entries(coded.dictionary)
-        code = coded.indices.to_numpy()
+        found = C.Words(body, lengths)
+        first, last, doc, code = found.first, found.last, found.doc, found.code
+        hashes, exact, flags = in_use(_KNOWN).entries(found.every)
         h, flag = hashes[code], flags[code]
-        lines = np.cumsum(raw == 10)[first] if len(first) else first
+        lines = np.cumsum(np.frombuffer(body, np.uint8) == 10)[first] if len(first) else first
         fresh = np.append(True, (lines[1:] != lines[:-1]) | (doc[1:] != doc[:-1]))[: len(first)]
         words = np.flatnonzero(flag)
         h, flag, doc, fresh = h[words], flag[words], doc[words], fresh[words]

@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import chunks as C
-from quillmesh.llm.caches import in_use
 from quillmesh.llm.components import connected_components
 from quillmesh.llm.work import Work
 
@@ -64,22 +63,22 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
 class _Docs:
     """Word sequences of a chunk's documents; equal sequences come once."""
 
-    cache = C.WordHashes()
-
     def __init__(self, chunk: C.Chunk):
         self.keys: list[bytes] = []
         self.sets: dict[bytes, np.ndarray] = {}
         self.first: dict[bytes, int] = {}
-        get = in_use(self.cache).__getitem__
+        found = C.Words(chunk.body.lower(), chunk.ends - chunk.starts)
+        hashes = found.hashes()[found.code]
+        cuts = np.searchsorted(found.doc, np.arange(len(chunk) + 1)).tolist()
         for i in range(len(chunk)):
-            words = chunk.text(i).lower().split()
-            if not words:
+            words = hashes[cuts[i] : cuts[i + 1]]
+            if not len(words):
                 self.keys.append(b"")
                 continue
-            key = xxhash.xxh3_128_digest(b" ".join(words))
+            key = xxhash.xxh3_128_digest(words.tobytes())
             self.keys.append(key)
             if key not in self.sets:
-                self.sets[key] = shingles(np.fromiter(map(get, words), np.uint64, len(words)))
+                self.sets[key] = shingles(words)
                 self.first[key] = i
         self.low = [s >> np.uint64(64 - DF_BITS) for s in self.sets.values()]
         if self.low:

@@ -1,20 +1,21 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The root holds smoothed word frequencies.  A context of one word, or of two, is a state of the tree if it passes a
+The root holds smoothed word frequencies.  A context of one to ``DEPTH`` words is a state of the tree if it passes a
 divergence test: the leave-one-out log-likelihood gain of its next-word counts over the distribution of its suffix,
 sum over x of N(sx) ln(P(x | s without one) / P(x | suffix)), is positive.  A word is scored in the longest suffix of
 what stands before it that is a state, and a state's distribution is smoothed with that of its suffix:
-P(x | s) = (N(sx) + k P(x | suffix)) / (N(s) + k).
+P(x | s) = (N(sx) + k P(x | suffix)) / (N(s) + k).  All next words of a context are counted, so with a word that was
+never seen as one more outcome every state's distribution sums to one.  Contexts need ``LEAST`` occurrences in training.
 
-Nothing of the corpus is held in one place: words, word pairs and triples are counted by exchanges of hashed keys
-between packed chunks and buckets, and the answers return to the chunks that asked.  Pairs of one context go to one
-bucket, which makes the test there.  The pairs of a context with more than ``HOT`` occurrences, or a thousandth of all,
-are spread over all buckets, each sums its part of the gain, and the parts of those at most a thousand contexts are
-added up.
+Nothing of the corpus is held in one place: texts are turned into packed chunks of word numbers once; words and then
+contexts of one, two and more words with their next words are counted by exchanges of hashed keys between chunks and
+buckets, and the answers return to the chunks that asked.  A context of k words is asked for only where it occurs
+``LEAST`` times.  What follows a context goes to one bucket, which makes the test there.  Contexts with more than ``HOT``
+occurrences, or a thousandth of all, are spread over all buckets, each sums its part of the gain, and the parts of those
+at most a thousand contexts for each length are added up.
 
-Contexts need ``LEAST`` occurrences in training, and words seen once in training are not counted in contexts.  Words are
-told apart by 64-bit hashes, the next words of a context by 40 bits.  The test rounds probabilities to a sixth of a
-factor of two; scores do not.
+Words are told apart by 64-bit hashes, the next words of a context by 40 bits.  The test rounds probabilities to a sixth
+of a factor of two; scores do not.
 
 Defined cases: null and empty texts are the end token alone; null doc_id counts as the empty string in the split and
 comes back as null; repeated rows are trained on and scored each for itself; without training documents N is 0 and
@@ -31,11 +32,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm import chunks as C
-from quillmesh.llm.caches import in_use
 from quillmesh.llm.work import Work
 
 FOLDS, HELD_OUT = 7, 2
-LEAST, HOT, SMOOTH = 4, 500_000, 10.0
+DEPTH, LEAST, HOT, SMOOTH = 3, 4, 500_000, 10.0
 END = np.uint64(0x5851F42D4C957F2D)
 _NEXT = np.uint64((1 << 40) - 1)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -45,28 +45,32 @@ def is_held_out(ids: np.ndarray) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i == C.NULL_ID else str(i).encode()) % FOLDS == HELD_OUT for i in ids.tolist()], bool)
 
 
+def pack_tokens(ids: np.ndarray, lengths: np.ndarray, body: bytes) -> bytes:
+    """A chunk of documents as numbers of its distinct words, which are in the order of their hashes."""
+    lengths = np.maximum(lengths, 0)
+    found = C.Words(body.lower(), lengths)
+    hashes = np.append(found.hashes(), END)
+    words, place = np.unique(hashes, return_inverse=True)
+    counts = np.bincount(found.doc, minlength=len(ids))
+    token = np.insert(place[found.code], np.cumsum(counts), place[-1]).astype(np.uint32)
+    return C.pack_arrays(ids.astype(np.int64), (counts + 1).astype(np.uint32), C.pack_sorted(words), token)
+
+
 class _Tokens:
-    """Tokens of a chunk as numbers of its distinct words, which are in the order of their hashes."""
-
-    cache = C.WordHashes()
-
-    def __init__(self, chunk: C.Chunk):
-        get, parts, lengths = in_use(self.cache).__getitem__, [], []
-        for i in range(len(chunk)):
-            words = chunk.text(i).lower().split()
-            parts += [np.fromiter(map(get, words), np.uint64, len(words)), np.array([END])]
-            lengths.append(len(words) + 1)
-        self.lengths = np.array(lengths, np.int64)
-        self.held = is_held_out(chunk.ids)
-        self.words, self.token = np.unique(np.concatenate(parts), return_inverse=True)
-        self.doc = np.repeat(np.arange(len(lengths)), self.lengths)
+    """Tokens of a chunk as numbers of its distinct words."""
+
+    def __init__(self, payload: bytes):
+        self.ids, lengths, words, self.token = C.unpack_arrays(payload)
+        self.lengths, self.words = lengths.astype(np.int64), C.unpack_sorted(words)
+        self.held = is_held_out(self.ids)
+        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
         self.trained = ~self.held[self.doc]
         self.counts = np.bincount(self.token[self.trained], minlength=len(self.words)).astype(np.uint32)
-
-    def back(self, steps: int) -> np.ndarray:
-        """Positions with at least ``steps`` words before them in their document."""
         first = np.cumsum(self.lengths) - self.lengths
-        return np.flatnonzero(np.arange(len(self.token)) - first[self.doc] >= steps)
+        self.before = np.arange(len(self.token)) - np.repeat(first, self.lengths)
+
+    def __len__(self) -> int:
+        return len(self.ids)
 
 
 def _spread(data: np.ndarray, cut: np.ndarray, answers: dict[int, bytes], out: np.ndarray, part: int = 0) -> np.ndarray:
@@ -79,28 +83,22 @@ def _spread(data: np.ndarray, cut: np.ndarray, answers: dict[int, bytes], out: n
 
 
 def _emit_words(buckets: int):
-    def run(chunk: C.Chunk, _) -> dict[int, bytes]:
-        t = _Tokens(chunk)
+    def run(t: _Tokens, _) -> dict[int, bytes]:
         cut = C.bucket_bounds(t.words, buckets, 64)
         return {b: C.pack_arrays(C.pack_sorted(t.words[cut[b] : cut[b + 1]]), t.counts[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b] < cut[b + 1]}
 
     return run
 
 
-def _sum_keys(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the sums of their counts."""
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    every, n = every[order], np.concatenate(counts)[order].astype(np.int64)
-    starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-    return every[starts], np.add.reduceat(n, starts)
+def _parts(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(sizes)[:-1]) if sizes else []
 
 
 def _count_words(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     got = [(c, *C.unpack_arrays(p)) for c, p in rows]
-    keys = [C.unpack_sorted(d) for _, d, _ in got]
-    unique, total = _sum_keys(keys, [n for _, _, n in got])
-    out = [(c, C.pack_arrays(total[np.searchsorted(unique, k)])) for (c, _, _), k in zip(got, keys, strict=True)]
+    _, which = C.numbered(np.concatenate([C.unpack_sorted(d) for _, d, _ in got]))
+    total = np.bincount(which, np.concatenate([n for _, _, n in got])).astype(np.int64)
+    out = [(c, C.pack_arrays(v)) for (c, d, _), v in zip(got, _parts(total[which], [len(d) for _, d, _ in got]), strict=True)]
     return [*out, (-1, C.pack_arrays(np.array([total.sum(), (total > 0).sum()], np.int64)))]
 
 
@@ -119,24 +117,31 @@ class _Grams:
     """Distinct contexts and (context, next word) of a chunk, in the order of the contexts' hashes, and what to send.
 
     ``at`` are the token positions after a possible context, ``context`` a hash for each of them, ``seen`` the context's
-    training count, ``parent`` the probability of the next word in the context's suffix; ``counted`` says at which of
-    them the next word takes part in the context's counts.
+    training count, ``parent`` the probability of the next word in the context's suffix.
     """
 
-    def __init__(self, t: _Tokens, at: np.ndarray, context: np.ndarray, seen: np.ndarray, parent: np.ndarray, counted: np.ndarray, buckets: int, hot: int):
-        self.at, self.counted, size = at, counted, max(1, len(t.words))
-        self.contexts, ctx = np.unique(context, return_inverse=True)
-        self.of = ctx
-        code = ctx[counted].astype(np.int64) * size + t.token[at[counted]]
-        unique, first, self.inverse = np.unique(code, return_index=True, return_inverse=True)
-        self.count = np.bincount(self.inverse[t.trained[at[counted]]], minlength=len(unique)).astype(np.uint32)
-        self.ctx = unique // size
-        self.next = (t.words[unique % size] >> np.uint64(24)) & _NEXT
-        self.parent = _quantised(parent[counted][first])
-        n = len(self.contexts)
+    def __init__(self, t: _Tokens, at: np.ndarray, context: np.ndarray, seen: np.ndarray, parent: np.ndarray, buckets: int, hot: int):
+        self.at = at
+        contexts, ctx = C.numbered(context)
+        n = len(contexts)
+        order = np.argsort(contexts)
+        self.contexts, place = contexts[order], np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.of = place[ctx]
+        grams, gram = C.numbered((self.of.astype(np.uint64) << np.uint64(32)) | t.token[at])
+        grams_in_order = np.argsort(grams)
+        rank = np.empty(len(grams), np.int64)
+        rank[grams_in_order] = np.arange(len(grams))
+        self.inverse = rank[gram]
+        self.count = np.bincount(self.inverse[t.trained[at]], minlength=len(grams)).astype(np.uint32)
+        grams = grams[grams_in_order]
+        self.ctx = (grams >> np.uint64(32)).astype(np.int64)
+        self.next = (t.words[(grams & np.uint64(0xFFFFFFFF)).astype(np.int64)] >> np.uint64(24)) & _NEXT
+        self.parent = np.zeros(len(grams), np.uint8)
+        self.parent[self.inverse] = _quantised(parent)
         self.pairs = np.bincount(self.ctx, minlength=n)
         self.seen = np.zeros(n, np.int64)
-        self.seen[ctx] = seen
+        self.seen[self.of] = seen
         often = self.seen > hot
         self.hot = np.flatnonzero(often[self.ctx])
         self.cold_contexts = np.flatnonzero(~often)
@@ -162,54 +167,47 @@ class _Grams:
         return out
 
     def answered(self, answers: dict[int, bytes], hot_states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each position in ``at``: count of (context, next), and whether the context is a state."""
+        """For each position in ``at``: count of (context, next word), and whether the context is a state."""
         total, state = np.zeros(len(self.ctx), np.int64), np.isin(self.contexts, hot_states)
         for b, payload in answers.items():
             pairs, states, hot = C.unpack_arrays(payload)
             total[self.cold[self.cut_cold[b] : self.cut_cold[b + 1]]] = pairs
             state[self.cold_contexts[self.cut_context[b] : self.cut_context[b + 1]]] = states
             total[self.hot[self.cut_hot[b] : self.cut_hot[b + 1]]] = hot
-        found = np.zeros(len(self.at), np.int64)
-        found[self.counted] = total[self.inverse]
-        return found, state[self.of]
+        return total[self.inverse], state[self.of]
 
 
 def _test_contexts(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     """Sums of the counts of (context, next word), and which contexts are states."""
     got = [(c, *C.unpack_arrays(p)) for c, p in rows]
-    contexts = [C.unpack_sorted(g[1]) for g in got]
-    every = np.unique(np.concatenate(contexts))
-    where = [np.searchsorted(every, c) for c in contexts]
+    every, where = C.numbered(np.concatenate([C.unpack_sorted(g[1]) for g in got]))
     seen = np.zeros(len(every), np.int64)
-    for w, g in zip(where, got, strict=True):
-        seen[w] = g[2]
-    keys = [np.repeat(w, g[3]).astype(np.uint64) << np.uint64(40) | g[4] for w, g in zip(where, got, strict=True)]
-    unique, total, parent = _sums(keys, [g[6] for g in got], [g[5] for g in got])
+    seen[where] = np.concatenate([g[2] for g in got])
+    key = np.repeat(where, np.concatenate([g[3] for g in got])).astype(np.uint64) << np.uint64(40) | np.concatenate([g[4] for g in got])
+    unique, which, total, parent = _sums(key, [g[6] for g in got], [g[5] for g in got])
     state = _gain((unique >> np.uint64(40)).astype(np.int64), total, parent, seen) > 0
-    hot = [C.unpack_sorted(g[7]) for g in got]
-    hot_unique, hot_total, hot_parent = _sums(hot, [g[8] for g in got], [g[12] for g in got])
-    hot_contexts = np.unique(np.concatenate([g[9] for g in got]))
+    hot_key = np.concatenate([C.unpack_sorted(g[7]) for g in got])
+    hot_unique, hot_which, hot_total, hot_parent = _sums(hot_key, [g[8] for g in got], [g[12] for g in got])
+    hot_contexts, own = C.numbered(np.concatenate([g[9] for g in got]))
     hot_seen, hot_of = np.zeros(len(hot_contexts), np.int64), np.zeros(len(hot_unique), np.int64)
-    for g, h in zip(got, hot, strict=True):
-        at = np.searchsorted(hot_contexts, g[9])
-        hot_seen[at] = g[11]
-        if len(h):
-            hot_of[np.searchsorted(hot_unique, h)] = at[g[10]]
+    hot_seen[own] = np.concatenate([g[11] for g in got])
+    base = np.cumsum([0, *(len(g[9]) for g in got)])
+    hot_of[hot_which] = own[np.concatenate([g[10].astype(np.int64) + b for g, b in zip(got, base[:-1].tolist(), strict=True)])] if len(own) else 0
     hot_gain = _gain(hot_of, hot_total, hot_parent, hot_seen)
-    take = lambda u, v, k: v[np.searchsorted(u, k)] if len(k) else np.zeros(0, np.int64)
-    out = [(g[0], C.pack_arrays(take(unique, total, k), state[w].astype(np.uint8), take(hot_unique, hot_total, h))) for g, w, k, h in zip(got, where, keys, hot, strict=True)]
+    sums = _parts(total[which], [len(g[4]) for g in got])
+    states = _parts(state[where].astype(np.uint8), [len(g[1]) for g in got])
+    hots = _parts(hot_total[hot_which], [len(g[7]) for g in got])
+    out = [(g[0], C.pack_arrays(n, s, h)) for g, n, s, h in zip(got, sums, states, hots, strict=True)]
     return [*out, (-1, C.pack_arrays(hot_contexts, hot_gain))]
 
 
-def _sums(keys: list[np.ndarray], counts: list[np.ndarray], parents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the sums of their counts and their probabilities in the suffix."""
-    if not sum(map(len, keys)):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
-    unique, total = _sum_keys(keys, counts)
+def _sums(keys: np.ndarray, counts: list[np.ndarray], parents: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Distinct keys, each key's number among them, and their sums of counts and probabilities in the suffix."""
+    unique, which = C.numbered(keys)
+    total = np.bincount(which, np.concatenate(counts), len(unique)).astype(np.int64)
     parent = np.zeros(len(unique))
-    for k, q in zip(keys, parents, strict=True):
-        parent[np.searchsorted(unique, k)] = _probability(q)
-    return unique, total, parent
+    parent[which] = _probability(np.concatenate(parents))
+    return unique, which, total, parent
 
 
 def _gain(context: np.ndarray, total: np.ndarray, parent: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -235,84 +233,88 @@ def hot_states(answers: DataFrame) -> np.ndarray:
 
 
 class _Model:
-    """What a chunk knows of the corpus after each round."""
+    """What a chunk knows of the corpus after some rounds: the counts of its words, and for each length of contexts that
+    is done (``states`` has those spread over all buckets) which of them are states and what follows them.
 
-    def __init__(self, chunk: C.Chunk, answers: dict, sizes: tuple[int, int], buckets: int, pair_buckets: int, pair_states: np.ndarray | None = None):
-        self.t = t = _Tokens(chunk)
-        self.total, self.distinct = sizes
+    ``prob`` is the probability of each token so far, ``grams`` what to ask for next.
+    """
+
+    def __init__(self, t: _Tokens, answers: dict, sizes: tuple[int, int], buckets: int, gram_buckets: int, states: list[np.ndarray], depth: int):
+        total, distinct = sizes
         self.seen = _spread(t.words, C.bucket_bounds(t.words, buckets, 64), answers.get("word", {}), np.zeros(len(t.words), np.int64))
-        self.root = (self.seen[t.token] + 1) / (self.total + self.distinct + 1)
-        hot = max(HOT, self.total // 1000)
-        at = t.back(1)
-        at = at[self.seen[t.token[at - 1]] >= LEAST]
-        before = t.token[at - 1]
-        self.pairs = _Grams(t, at, t.words[before], self.seen[before], self.root[at], self.seen[t.token[at]] >= 2, pair_buckets, hot)
-        self.one = self.root.copy()
-        if pair_states is not None:
-            n, state = self.pairs.answered(answers.get("pair", {}), pair_states)
-            self.pair_count = np.zeros(len(t.token), np.int64)
-            self.pair_count[at] = n
+        count = self.seen[t.token]
+        self.root = (count + 1) / (total + distinct + 1)
+        self.prob = self.root.copy()
+        word = t.words[t.token]
+        context = word
+        for k in range(1, depth + 1):
+            at = np.flatnonzero(t.before >= k)
+            at = at[count[at - 1] >= LEAST]
+            seen = count[at - 1]
+            grams = _Grams(t, at, context[at - 1], seen, self.prob[at], gram_buckets, max(HOT, total // 1000))
+            if k > len(states):
+                self.grams = grams
+                return
+            n, state = grams.answered(answers.get(f"gram-{k}", {}), states[k - 1])
+            count = np.zeros(len(t.token), np.int64)
+            count[at] = n
             on = at[state]
-            self.one[on] = (self.pair_count[on] + SMOOTH * self.root[on]) / (self.seen[t.token[on - 1]] + SMOOTH)
-            at = t.back(2)
-            at = at[self.pair_count[at - 1] >= LEAST]
-            u, w = t.words[t.token[at - 2]], t.words[t.token[at - 1]]
-            self.triples = _Grams(t, at, C.mix(u * _K[0] + C.mix(w * _K[1])), self.pair_count[at - 1], self.one[at], self.pair_count[at] >= 2, pair_buckets, hot)
-
-    def scores(self, answers: dict, triple_states: np.ndarray) -> np.ndarray:
-        """log10 probability of every token."""
-        two = self.one.copy()
-        n, state = self.triples.answered(answers.get("triple", {}), triple_states)
-        on = self.triples.at[state]
-        two[on] = (n[state] + SMOOTH * self.one[on]) / (self.pair_count[on - 1] + SMOOTH)
-        return np.log10(two)
+            self.prob[on] = (n[state] + SMOOTH * self.prob[on]) / (seen[state] + SMOOTH)
+            if k < depth:
+                longer = np.zeros(len(word), np.uint64)
+                longer[k:] = C.mix(word[:-k] * _K[0] + C.mix(context[k:] * _K[1]))
+                context = longer
 
 
 OUT_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``OUT_SCHEMA`` for every row of ``docs`` (doc_id, text)."""
     work = Work(spark, "lm")
-    chunks = C.build_chunks(work, docs)
-    buckets, pair_buckets = C.buckets_for(chunks, 16 << 20), C.buckets_for(chunks, 8 << 20)
-    words = work.save(C.reduce_buckets(C.send(chunks, _emit_words(buckets)), "word", _count_words), "words", "uncompressed")
-    stats = [C.unpack_arrays(r["payload"])[0] for r in words.where("chunk_id = -1").select("payload").collect()]
-    sizes = (int(sum(s[0] for s in stats)), int(sum(s[1] for s in stats)))
-    words = words.where("chunk_id >= 0")
-
-    def model(chunk: C.Chunk, answers: dict, states: np.ndarray | None = None) -> _Model:
-        return _Model(chunk, answers, sizes, buckets, pair_buckets, states)
-
-    sent = C.send(chunks, lambda chunk, answers: model(chunk, answers).pairs.sent(pair_buckets), words)
-    pairs = work.save(C.reduce_buckets(sent, "pair", _test_contexts), "pairs", "uncompressed")
-    pair_states = hot_states(pairs)
-    known = words.union(pairs.where("chunk_id >= 0"))
-    sent = C.send(chunks, lambda chunk, answers: model(chunk, answers, pair_states).triples.sent(pair_buckets), known)
-    triples = work.save(C.reduce_buckets(sent, "triple", _test_contexts), "triples", "uncompressed")
-    triple_states = hot_states(triples)
-
-    def rows(_: int, chunk: C.Chunk, answers: dict) -> pa.Table:
-        m = model(chunk, answers, pair_states)
-        t, n = m.t, len(chunk)
+    chunks = C.build_chunks(work, docs, write=pack_tokens)
+    buckets, gram_buckets = C.buckets_for(chunks, 16 << 20), C.buckets_for(chunks, 8 << 20)
+    words = work.save(C.reduce_buckets(C.send(chunks, _emit_words(buckets), read=_Tokens), "word", _count_words), "words", "uncompressed")
+    stats = words.where("chunk_id = -1").select("payload").mapInArrow(_sizes, "n long, distinct long").agg(F.sum("n"), F.sum("distinct")).first()
+    sizes = (stats[0] or 0, stats[1] or 0)
+    known = words.where("chunk_id >= 0")
+    states: list[np.ndarray] = []
+    for k in range(1, depth + 1):
+
+        def ask(t: _Tokens, answers: dict, done=tuple(states), k=k) -> dict[int, bytes]:
+            return _Model(t, answers, sizes, buckets, gram_buckets, list(done), k).grams.sent(gram_buckets)
+
+        found = work.save(C.reduce_buckets(C.send(chunks, ask, known, _Tokens), f"gram-{k}", _test_contexts), f"gram-{k}", "uncompressed")
+        states.append(hot_states(found))
+        known = known.union(found.where("chunk_id >= 0"))
+
+    def rows(_: int, t: _Tokens, answers: dict) -> pa.Table:
+        m, n = _Model(t, answers, sizes, buckets, gram_buckets, states, depth), len(t)
         per_doc = lambda v: np.bincount(t.doc, v, n)
         known_words = per_doc((m.seen[t.token] > 0).astype(np.float64)).astype(np.int64)
         return pa.table(
             {
-                "doc_id": pa.array(chunk.ids, pa.int64(), mask=chunk.ids == C.NULL_ID),
+                "doc_id": pa.array(t.ids, pa.int64(), mask=t.ids == C.NULL_ID),
                 "held_out": pa.array(t.held),
                 "n_tokens": pa.array(t.lengths, pa.int64()),
                 "n_known": pa.array(known_words, pa.int64()),
                 "train_tokens": pa.array(np.full(n, sizes[0]), pa.int64()),
                 "base_score": pa.array(per_doc(np.log10(m.root)), pa.float64()),
-                "score": pa.array(per_doc(m.scores(answers, triple_states)), pa.float64()),
+                "score": pa.array(per_doc(np.log10(m.prob)), pa.float64()),
             }
         )
 
-    out = work.save(C.per_chunk(chunks, rows, OUT_SCHEMA, known.union(triples.where("chunk_id >= 0"))), "result")
-    work.drop("chunks", "words", "pairs", "triples")
+    out = work.save(C.per_chunk(chunks, rows, OUT_SCHEMA, known, _Tokens), "result")
+    work.drop("chunks", "words", "gram-*")
     return out
 
 
+def _sizes(batches):
+    """Training tokens and distinct words that each bucket counted."""
+    for batch in batches:
+        got = [C.unpack_arrays(p.as_py())[0] for p in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([int(g[0]) for g in got], pa.int64()), pa.array([int(g[1]) for g in got], pa.int64())], names=["n", "distinct"])
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -120,44 +120,38 @@ def quality(text):
     return n, sum(map(len, w)), len(re.findall("[#*$%&|<>]", text)), dup, len(covered), n < 50 or 100 * len(covered) > 50 * n
 
 
-def suffix_tree(rows, least=4, smooth=10.0):
-    """log10 probability of each document under the suffix tree with contexts of one and two words."""
+def suffix_tree(rows, depth=3, least=4, smooth=10.0):
+    """log10 probability of each document under the suffix tree with contexts of up to ``depth`` words, and the model."""
     docs = {d: [*words(t), None] for d, t in rows}
     train = [ws for d, ws in docs.items() if zlib.crc32(str(d).encode()) % 7 != 2]
     c = Counter(w for ws in train for w in ws)
     total, distinct = sum(c.values()), len(c)
-    root = lambda x: (c[x] + 1) / (total + distinct + 1)
     step = lambda p: 2.0 ** (-min(round(-6 * math.log2(p)), 255) / 6)
-    one_counts, two_counts = defaultdict(Counter), defaultdict(Counter)
+    follow, states = defaultdict(Counter), set()
     for ws in train:
-        for w, x in zip(ws, ws[1:]):
-            if c[w] >= least and c[x] >= 2:
-                one_counts[w][x] += 1
-
-    def is_state(counts, seen, parent):
-        gain = 0.0
-        for x, n in counts.items():
-            p = step(parent(x))
-            gain += n * math.log((n - 1 + smooth * p) / (max(seen, n) - 1 + smooth) / p)
-        return gain > 0
-
-    ones = {w for w, n in one_counts.items() if is_state(n, c[w], root)}
-    one = lambda w, x: (one_counts[w][x] + smooth * root(x)) / (c[w] + smooth) if w in ones else root(x)
-    for ws in train:
-        for u, w, x in zip(ws, ws[1:], ws[2:]):
-            if one_counts[u][w] >= least and one_counts[w][x] >= 2:
-                two_counts[u, w][x] += 1
-    twos = {k for k, n in two_counts.items() if is_state(n, one_counts[k[0]][k[1]], lambda x, k=k: one(k[1], x))}
-    out = {}
-    for d, ws in docs.items():
-        score = 0.0
         for i, x in enumerate(ws):
-            p = root(x) if i == 0 else one(ws[i - 1], x)
-            if i > 1 and (ws[i - 2], ws[i - 1]) in twos:
-                p = (two_counts[ws[i - 2], ws[i - 1]][x] + smooth * p) / (one_counts[ws[i - 2]][ws[i - 1]] + smooth)
-            score += math.log10(p)
-        out[d] = score
-    return out
+            for k in range(1, depth + 1):
+                if i >= k:
+                    follow[tuple(ws[i - k : i])][x] += 1
+
+    def p(context, x):
+        if not context:
+            return (c[x] + 1) / (total + distinct + 1)
+        shorter = p(context[1:], x)
+        return (follow[context][x] + smooth * shorter) / (sum(follow[context].values()) + smooth) if context in states else shorter
+
+    for k in range(1, depth + 1):
+        for context in [s for s in follow if len(s) == k]:
+            n = sum(follow[context].values())
+            if n >= least:
+                gain = 0.0
+                for x, m in follow[context].items():
+                    q = step(p(context[1:], x))
+                    gain += m * math.log((m - 1 + smooth * q) / (n - 1 + smooth) / q)
+                if gain > 0:
+                    states.add(context)
+    scores = {d: sum(math.log10(p(tuple(ws[max(0, i - depth) : i]), x)) for i, x in enumerate(ws)) for d, ws in docs.items()}
+    return scores, p, states, c
 
 
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»„“”‘’–—…¿¡€£"

@@ -1,7 +1,9 @@
 """Scoring, extraction, decontamination, mixing and the pipeline."""
 
 import html
+import math
 import re
+import zlib
 
 import pytest
 
@@ -25,7 +27,7 @@ def odd(spark):
 def test_scores(spark, docs, odd):
     for frame in (docs, odd.where("doc_id is not null and doc_id <> 1013")):
         rows = unique([(r.doc_id, r.text) for r in frame.collect()])
-        base, tree = brute.base_scores(rows), brute.suffix_tree(rows)
+        base, tree = brute.base_scores(rows), brute.suffix_tree(rows)[0]
         out = suffix_tree_lm.score_documents(spark, frame.repartition(3)).collect()
         assert {r.doc_id for r in out} == set(base)
         for r in out:
@@ -37,8 +39,31 @@ def test_scores(spark, docs, odd):
 def test_hot_contexts_are_spread(spark, docs, monkeypatch):
     monkeypatch.setattr(suffix_tree_lm, "HOT", 50)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    tree = brute.suffix_tree(rows)
-    assert {r.doc_id: pytest.approx(r.score, rel=1e-9) for r in suffix_tree_lm.score_documents(spark, docs).collect()} == tree
+    for depth in (1, 4):
+        tree = brute.suffix_tree(rows, depth)[0]
+        assert {r.doc_id: pytest.approx(r.score, rel=1e-9) for r in suffix_tree_lm.score_documents(spark, docs, depth).collect()} == tree
+
+
+def test_states_sum_to_one(docs):
+    _, p, states, counts = brute.suffix_tree([(r.doc_id, r.text) for r in docs.collect()])
+    assert {len(s) for s in states} == {1, 2, 3}
+    for s in sorted(states, key=str)[::40]:
+        assert sum(p(s, x) for x in counts) + p(s, "a word never seen") == pytest.approx(1)
+
+
+def test_scores_without_training_and_of_odd_ids(spark):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    out = suffix_tree_lm.score_documents(spark, frame([(i, "a b a") for i in held])).collect()
+    assert len(out) == len(held) and {(r.n_known, r.train_tokens, r.base_score, r.score) for r in out} == {(0, 0, 0.0, 0.0)}
+    assert suffix_tree_lm.score_documents(spark, frame([]).limit(0)).count() == 0
+    own = next(i for i in range(1, 20) if zlib.crc32(str(i).encode()) % 7 != 2)
+    assert zlib.crc32(b"") % 7 != 2
+    rows = [(None, "a b a"), (None, None), (own, "a b a"), (own, "a b a"), (own, "")]
+    got = sorted((r.doc_id or 0, r.n_tokens, r.train_tokens, round(r.base_score, 9)) for r in suffix_tree_lm.score_documents(spark, frame(rows)).collect())
+    known = {"a": 6, "b": 3, None: 5}
+    base = lambda *ws: round(sum(math.log10((known[w] + 1) / (14 + 4)) for w in ws), 9)
+    assert got == sorted([(d or 0, len((t or "").split()) + 1, 14, base(*(t or "").split(), None)) for d, t in rows])
 
 
 def plain_article(page):
