@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.caches import give_back, tidy
+from quillmesh.llm.caches import after_group, tidy
 from quillmesh.llm.work import Work
 
 #: Stands for a null doc_id inside chunks; it orders before every id.
@@ -32,12 +32,16 @@ SENT_SCHEMA = "bucket int, chunk_id long, payload binary"
 ANSWER_SCHEMA = "chunk_id long, tag string, bucket int, payload binary"
 
 
+# One of each for a worker process, which has one thread; making them costs more than a small payload.
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return _COMPRESSOR.compress(data)
 
 
 def expand(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _DECOMPRESSOR.decompress(data)
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
@@ -191,7 +195,7 @@ def per_chunk(chunks: DataFrame, make: Callable, schema: str, answers: DataFrame
             got.setdefault(tag, {})[bucket] = payload
         chunk_id = left.column("chunk_id")[0].as_py()
         out = make(chunk_id, read(left.column("payload")[0].as_py()), got)
-        give_back()
+        after_group()
         return out
 
     return chunks.select("chunk_id", "payload").groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(both, schema)
@@ -203,7 +207,7 @@ def reduce_buckets(sent: DataFrame, tag: str, reduce: Callable) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         got = reduce(list(zip(table.column("chunk_id").to_pylist(), table.column("payload").to_pylist(), strict=True)))
-        give_back()
+        after_group()
         return pa.table({"chunk_id": pa.array([c for c, _ in got], pa.int64()), "tag": pa.array([tag] * len(got), pa.string()), "bucket": pa.array([bucket] * len(got), pa.int32()), "payload": pa.array([p for _, p in got], pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, ANSWER_SCHEMA)

@@ -121,7 +121,7 @@ class _Grams:
     """
 
     def __init__(self, t: _Tokens, at: np.ndarray, context: np.ndarray, seen: np.ndarray, parent: np.ndarray, buckets: int, hot: int):
-        self.at = at
+        self.tokens, self.at, self.prob = t, at, parent
         contexts, ctx = C.numbered(context)
         n = len(contexts)
         order = np.argsort(contexts)
@@ -133,12 +133,8 @@ class _Grams:
         rank = np.empty(len(grams), np.int64)
         rank[grams_in_order] = np.arange(len(grams))
         self.inverse = rank[gram]
-        self.count = np.bincount(self.inverse[t.trained[at]], minlength=len(grams)).astype(np.uint32)
-        grams = grams[grams_in_order]
-        self.ctx = (grams >> np.uint64(32)).astype(np.int64)
-        self.next = (t.words[(grams & np.uint64(0xFFFFFFFF)).astype(np.int64)] >> np.uint64(24)) & _NEXT
-        self.parent = np.zeros(len(grams), np.uint8)
-        self.parent[self.inverse] = _quantised(parent)
+        self.grams = grams[grams_in_order]
+        self.ctx = (self.grams >> np.uint64(32)).astype(np.int64)
         self.pairs = np.bincount(self.ctx, minlength=n)
         self.seen = np.zeros(n, np.int64)
         self.seen[self.of] = seen
@@ -146,7 +142,7 @@ class _Grams:
         self.hot = np.flatnonzero(often[self.ctx])
         self.cold_contexts = np.flatnonzero(~often)
         self.cold = np.flatnonzero(~often[self.ctx])
-        key = C.mix(self.contexts[self.ctx[self.hot]] ^ (self.next[self.hot] * _K[0])) >> np.uint64(8)
+        key = C.mix(self.contexts[self.ctx[self.hot]] ^ (self._next(self.hot) * _K[0])) >> np.uint64(8)
         order = np.argsort(key, kind="stable")
         self.hot, self.hot_keys = self.hot[order], key[order]
         self.cut_context = C.bucket_bounds(self.contexts[self.cold_contexts], buckets, 64)
@@ -154,16 +150,23 @@ class _Grams:
         self.cut_cold = ends[self.cut_context]
         self.cut_hot = C.bucket_bounds(self.hot_keys, buckets, 56)
 
+    def _next(self, some: np.ndarray) -> np.ndarray:
+        """What tells the next words of some (context, next word) apart."""
+        return (self.tokens.words[(self.grams[some] & np.uint64(0xFFFFFFFF)).astype(np.int64)] >> np.uint64(24)) & _NEXT
+
     def sent(self, buckets: int) -> dict[int, bytes]:
-        out = {}
+        n, out = len(self.grams), {}
+        count = np.bincount(self.inverse[self.tokens.trained[self.at]], minlength=n).astype(np.uint32)
+        parent = np.zeros(n, np.uint8)
+        parent[self.inverse] = _quantised(self.prob)
         for b in range(buckets):
             cs = self.cold_contexts[self.cut_context[b] : self.cut_context[b + 1]]
             ps = self.cold[self.cut_cold[b] : self.cut_cold[b + 1]]
             hs = slice(self.cut_hot[b], self.cut_hot[b + 1])
             if len(cs) or hs.start < hs.stop:
                 own, which = np.unique(self.ctx[self.hot[hs]], return_inverse=True)
-                hot = (C.pack_sorted(self.hot_keys[hs]), self.count[self.hot[hs]], self.contexts[own], which.astype(np.uint16), self.seen[own], self.parent[self.hot[hs]])
-                out[b] = C.pack_arrays(C.pack_sorted(self.contexts[cs]), self.seen[cs], self.pairs[cs], self.next[ps], self.parent[ps], self.count[ps], *hot)
+                hot = (C.pack_sorted(self.hot_keys[hs]), count[self.hot[hs]], self.contexts[own], which.astype(np.uint16), self.seen[own], parent[self.hot[hs]])
+                out[b] = C.pack_arrays(C.pack_sorted(self.contexts[cs]), self.seen[cs], self.pairs[cs], self._next(ps), parent[ps], count[ps], *hot)
         return out
 
     def answered(self, answers: dict[int, bytes], hot_states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,6 +289,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
 
         found = work.save(C.reduce_buckets(C.send(chunks, ask, known, _Tokens), f"gram-{k}", _test_contexts), f"gram-{k}", "uncompressed")
         states.append(hot_states(found))
+        work.settle()
         known = known.union(found.where("chunk_id >= 0"))
 
     def rows(_: int, t: _Tokens, answers: dict) -> pa.Table:

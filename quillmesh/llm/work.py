@@ -6,6 +6,7 @@ serves in local mode, whose one process sees it whole; on a cluster it is an err
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -33,6 +34,11 @@ class Work:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Have the files of finished shuffles deleted, which stay until the driver's garbage is collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables; a name may end in ``*``."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
