@@ -219,7 +219,7 @@ def _in(bitmap: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
 FOUND = "one long, two long, h long, width int, exact boolean, p int, filled array<string>"
 
 
-def _scan(bitmap: np.ndarray, bits: int, kinds: list[tuple[int, bool]]):
+def _scan(bitmap: np.ndarray, bits: int, kinds: list[tuple[int, bool]], block_bytes: int):
     """Windows of texts (one, two, text) that may be in the benchmark; ``filled`` are the words in their slots."""
 
     def block(one: np.ndarray, two: np.ndarray, body: bytes, lengths: np.ndarray) -> pa.RecordBatch | None:
@@ -256,7 +256,7 @@ def _scan(bitmap: np.ndarray, bits: int, kinds: list[tuple[int, bool]]):
             lo = 0
             while lo < len(ends):
                 base = int(ends[lo] - lengths[lo])
-                hi = max(lo + 1, int(np.searchsorted(ends, base + BLOCK_BYTES, "right")))
+                hi = max(lo + 1, int(np.searchsorted(ends, base + block_bytes, "right")))
                 found = block(one[lo:hi], two[lo:hi], body[base : int(ends[hi - 1])], lengths[lo:hi])
                 if found is not None:
                     yield found
@@ -352,7 +352,7 @@ def contaminated_texts(work: Work, docs: DataFrame, benchmark: DataFrame) -> Dat
     bitmap, bits = bitmap_of(windows)
     kinds = [tuple(r) for r in windows.select("width", "exact").distinct().orderBy("width", "exact").collect()]
     texts = docs.select(*_keys(), F.col("text").cast("string").alias("text")).where("text <> ''")
-    found = texts.mapInArrow(_scan(bitmap, bits, kinds), FOUND).distinct()
+    found = texts.mapInArrow(_scan(bitmap, bits, kinds, BLOCK_BYTES), FOUND).distinct()
     hits = found.join(windows.drop("first"), ["h", "width", "exact"])
     one = F.struct("p", "place", "width", "said", "filled")
     groups = hits.groupBy("one", "two", "item", "text_key").agg(F.collect_list(one).alias("hits"))

@@ -127,12 +127,14 @@ _GENERIC = "com org net edu gov mil int arpa info biz io dev app name pro aero c
 _ALSO_WORDS = frozenset("am as be by do in is la my no so to".split())
 _LAST = "|".join(dict.fromkeys(_GENERIC + _COUNTRIES))
 _LAST_POINT = "|".join(c for c in dict.fromkeys(["com", "org", "net", "edu", "gov", "info", "biz", "io", "dev", "app", *_COUNTRIES]) if c not in _ALSO_WORDS)
+# Blanks are taken whole and only from where their run begins, and a host has at most ten labels of 63 characters, so that
+# no pattern looks at a character more than a fixed number of times.
 _BARE = r"(?:dot|punkt|point|punto)"
-_AT = re.compile(rf"\s*[\[({{<]\s*at\s*[\])}}>]\s*|\s+at\s+(?=[a-z0-9-]+(?:\s+{_BARE}\s+[a-z0-9-]+)*?\s+(?:(?:dot|punkt|punto)\s+(?:{_LAST})|point\s+(?:{_LAST_POINT}))(?![a-z0-9-]))", re.IGNORECASE)
-_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|punkt|point|punto)\s*[\])}>]\s*|\s+(?:dot|punkt|point|punto)\s+", re.IGNORECASE)
+_AT = re.compile(rf"(?<!\s)\s*+[\[({{<]\s*+at\s*+[\])}}>]\s*+|(?<!\s)\s++at\s++(?=[a-z0-9-]{{1,63}}(?:\s++{_BARE}\s++[a-z0-9-]{{1,63}}){{0,8}}?\s++(?:(?:dot|punkt|punto)\s++(?:{_LAST})|point\s++(?:{_LAST_POINT}))(?![a-z0-9-]))", re.IGNORECASE)
+_DOT = re.compile(r"(?<!\s)\s*+[\[({<]\s*+(?:dot|punkt|point|punto)\s*+[\])}>]\s*+|(?<!\s)\s++(?:dot|punkt|point|punto)\s++", re.IGNORECASE)
 _HINTS = ("dot", "punkt", "point", "punto")
 _BRACKET_AT = re.compile(r"[\[({<]\s*at\s*[\])}>]")
-_SPACED = re.compile(r"(?<=[A-Za-z0-9])\s+@\s*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s+(?=[A-Za-z0-9-]+\.[A-Za-z0-9])")
+_SPACED = re.compile(r"(?<=[A-Za-z0-9])\s++@\s*+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s++(?=[A-Za-z0-9-]{1,63}\.[A-Za-z0-9])")
 
 
 class Rewritten:

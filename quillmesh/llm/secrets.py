@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +38,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:name|_?id)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?|key_?id|tenant(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.IGNORECASE | re.ASCII)
 _ID_HINTS = ("user", "login", "client", "account", "access", "key", "tenant")
 _MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-_ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]*://[^\s\"'<>]{3,}|(?<![\w.])(?:[a-z0-9-]+\.)+[a-z]{2,}:[0-9]{2,5}(?![0-9])")
+_ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{0,30}://[^\s\"'<>]{3,}|(?<![\w.-])(?:[a-z0-9-]++\.)+[a-z]{2,}:[0-9]{2,5}(?![0-9])")
 
 
 def detect(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -100,9 +101,21 @@ def scan(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[int, i
     candidates = weak(text)
     if not candidates:
         return base, []
-    covered = sorted(plain)
-    free = [c for c in candidates if not any(s < c[1] and c[0] < e for s, e, _ in covered)] if covered else candidates
-    return base, sorted(link(free + plain))
+    # the plain spans joined into intervals that do not overlap, so that one of them decides on a candidate
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e, _ in sorted(plain):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def is_free(candidate: tuple[int, int, str]) -> bool:
+        i = bisect_right(ends, candidate[0])
+        return i == len(ends) or starts[i] >= candidate[1]
+
+    return base, sorted(link([c for c in candidates if is_free(c)] + plain))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,9 @@ of the corpus would move fifty times its size, so the suffixes are thinned first
    range-partition them; windows of one anchor travel as one string, equal strings of a chunk once, with the least
    doc_id that has them.  Equal leading bytes always fall on the same side of a splitter, and a range that one
    leading string fills is cut further by the rest of the anchor, so no comparison is left across a boundary.
+   An anchor that ``HOT_DOCS`` documents hold is spread over all buckets: its windows fall into classes by how many bytes
+   of them stand before the anchor, and those of a class are dealt out by the bytes around the anchor that all of them
+   have.  Equal windows are of one class and share these bytes, so they still meet.
 3. In a bucket a multikey quicksort orders the windows: by their first eight bytes, then each run of equals by the next
    eight, and so on; runs left at the end are equal windows, whose least doc_id decides.
 4. The verdicts go back to the chunks, which mark the covered bytes.
@@ -24,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmesh.llm import chunks as C
@@ -35,7 +39,9 @@ HASH_BITS = 48
 BLOCK = 1 << 19
 _POS = np.uint64((1 << 20) - 1)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-SAMPLE = 65_536
+SAMPLE, HOT_DOCS = 65_536, 20_000
+#: Classes of a hot anchor's windows, by the least and greatest number of bytes before the anchor.
+CLASSES = ((0, 6), (7, 12), (13, 19), (20, SPAN - ANCHOR))
 
 
 def words_at(data: bytes) -> np.ndarray:
@@ -96,7 +102,7 @@ def blocks_of(chunk: C.Chunk):
 
 
 def _anchors(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchor hashes of a chunk, and whether two of its documents have it."""
+    """Distinct anchor hashes of a chunk, and how many of its documents have them (65535: that many or more)."""
     parts = []
     for i, _, data, starts, ends in blocks_of(chunk):
         doc, _, _, _, h = anchor_runs(data, starts, ends)
@@ -107,13 +113,16 @@ def _anchors(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray]:
             keep = np.append(True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]))
             parts.append((h[keep], ids[keep]))
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
     h, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(h, kind="stable")
     h, ids = h[order], ids[order]
-    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    many = (np.maximum.reduceat(ids, starts) != np.minimum.reduceat(ids, starts)).astype(np.uint8)
-    return h[starts], many
+    fresh = np.append(True, h[1:] != h[:-1])
+    starts = np.flatnonzero(fresh)
+    # an id's parts of one block come together; rows of one id that lie in several blocks may count twice, but not as two
+    docs = np.add.reduceat((fresh | np.append(True, ids[1:] != ids[:-1])).astype(np.int64), starts)
+    alone = np.maximum.reduceat(ids, starts) == np.minimum.reduceat(ids, starts)
+    return h[starts], np.where(alone, 1, np.minimum(docs, 65535)).astype(np.uint16)
 
 
 def _emit(buckets: int):
@@ -125,21 +134,19 @@ def _emit(buckets: int):
     return run
 
 
-def _shared(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    """For each chunk's keys, whether several documents of all chunks have them."""
-    got = []
-    for c, p in rows:
-        deltas, many = C.unpack_arrays(p)
-        got.append((c, C.unpack_sorted(deltas), many))
-    every = np.concatenate([np.concatenate([k, k[m > 0]]) for _, k, m in got])
-    every.sort()
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    out = []
-    for c, k, _ in got:
-        at = np.searchsorted(twice, k)
-        hit = (twice[np.minimum(at, len(twice) - 1)] == k) if len(twice) else np.zeros(len(k), bool)
-        out.append((c, C.squeeze(np.packbits(hit).tobytes())))
-    return out
+def _shared(hot_docs: int):
+    def run(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+        """For each chunk's keys, whether several documents of all chunks have them, and whether ``hot_docs`` have."""
+        got = []
+        for c, p in rows:
+            deltas, docs = C.unpack_arrays(p)
+            got.append((c, C.unpack_sorted(deltas), docs))
+        _, which = C.numbered(np.concatenate([k for _, k, _ in got]))
+        total = np.bincount(which, np.concatenate([d for _, _, d in got]))[which]
+        ends = np.cumsum([len(k) for _, k, _ in got])
+        return [(c, C.pack_arrays(np.packbits(total[e - len(k) : e] > 1), np.packbits(total[e - len(k) : e] >= hot_docs))) for (c, k, _), e in zip(got, ends.tolist(), strict=True)]
+
+    return run
 
 
 def leading(data: bytes) -> int:
@@ -152,12 +159,16 @@ class _Suffixes:
     def __init__(self, chunk: C.Chunk, buckets: int, answers: dict):
         keys, _ = _anchors(chunk)
         cut = C.bucket_bounds(keys, buckets, HASH_BITS)
-        flag = np.zeros(len(keys), bool)
+        flag, often = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         for b, payload in answers.items():
             n = cut[b + 1] - cut[b]
-            flag[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(C.expand(payload), np.uint8), count=n).astype(bool)
-        shared = keys[flag]
-        self.strings: dict[tuple[bytes, int], int] = {}
+            several, hot = C.unpack_arrays(payload)
+            flag[cut[b] : cut[b + 1]] = np.unpackbits(several, count=n).astype(bool)
+            often[cut[b] : cut[b + 1]] = np.unpackbits(hot, count=n).astype(bool)
+        shared, often = keys[flag], often[flag]
+        #: Class of each string: that of the windows of a hot anchor, or -1.
+        self.kind: list[int] = []
+        self.strings: dict[tuple[bytes, int, int], int] = {}
         self.least: list[int] = []
         doc_parts, at_parts, string_parts = [], [], []
         for i, base, data, starts, ends in blocks_of(chunk):
@@ -166,30 +177,62 @@ class _Suffixes:
                 continue
             where = np.searchsorted(shared, h)
             hit = np.flatnonzero(shared[np.minimum(where, len(shared) - 1)] == h)
-            which = np.empty(len(hit), np.int64)
-            ids = chunk.ids[doc[hit] + i].tolist()
-            strings, least = self.strings, self.least
-            for k, (s, e, a, own) in enumerate(zip(first[hit].tolist(), last[hit].tolist(), at[hit].tolist(), ids, strict=True)):
-                key = (data[s : e + SPAN], a - s)
+            doc, first, last, at = doc[hit], first[hit], last[hit], at[hit]
+            kind = np.full(len(hit), -1)
+            if often.any() and (hot := often[where[hit]]).any():
+                doc, first, last, at, kind = _classes(hot, doc, first, last, at)
+            which = np.empty(len(first), np.int64)
+            ids = chunk.ids[doc + i].tolist()
+            strings, least, kinds = self.strings, self.least, self.kind
+            for k, (s, e, a, own, c) in enumerate(zip(first.tolist(), last.tolist(), at.tolist(), ids, kind.tolist(), strict=True)):
+                key = (data[s : e + SPAN], a - s, c)
                 n = strings.get(key)
                 if n is None:
                     n = strings[key] = len(least)
                     least.append(own)
+                    kinds.append(c)
                 elif own < least[n]:
                     least[n] = own
                 which[k] = n
-            doc_parts.append(doc[hit] + i)
-            at_parts.append(first[hit] + base)
+            doc_parts.append(doc + i)
+            at_parts.append(first + base)
             string_parts.append(which)
         cat = lambda p: np.concatenate(p) if p else np.zeros(0, np.int64)
         self.doc, self.at, self.string = cat(doc_parts), cat(at_parts), cat(string_parts)
 
 
+def _classes(hot: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows with those of hot anchors cut into classes, and each run's class (-1: not hot)."""
+    parts = [(doc[~hot], first[~hot], last[~hot], at[~hot], np.full(int((~hot).sum()), -1))]
+    doc, first, last, at = doc[hot], first[hot], last[hot], at[hot]
+    for c, (few, many) in enumerate(CLASSES):
+        a, b = np.maximum(first, at - many), np.minimum(last, at - few)
+        some = a <= b
+        parts.append((doc[some], a[some], b[some], at[some], np.full(int(some.sum()), c)))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def _around(s: bytes, a: int, c: int) -> bytes:
+    """What all windows of a hot anchor's class have: the class, the anchor, and bytes on both its sides."""
+    few, many = CLASSES[c]
+    return bytes([c]) + s[a - few : a + SPAN - many]
+
+
 def _route(splitters: np.ndarray, fans: np.ndarray, offsets: np.ndarray, strings) -> np.ndarray:
-    """Bucket of each string, by the leading bytes of its anchor; ranges that one leading string fills are fanned out."""
-    lead = np.array([leading(s[a : a + 8]) for s, a in strings], np.uint64)
+    """Bucket of each string, by the leading bytes of its anchor; ranges that one leading string fills are fanned out,
+    and strings of hot anchors are dealt to all buckets."""
+    to = _by_range(splitters, fans, offsets, strings)
+    every = int(offsets[-1] + fans[-1])
+    for n, (s, a, c) in enumerate(strings):
+        if c >= 0:
+            to[n] = xxhash.xxh3_64_intdigest(_around(s, a, c)) % every
+    return to
+
+
+def _by_range(splitters: np.ndarray, fans: np.ndarray, offsets: np.ndarray, strings) -> np.ndarray:
+    lead = np.array([leading(s[a : a + 8]) for s, a, _ in strings], np.uint64)
     part = np.searchsorted(splitters, lead, "right")
-    rest = np.array([int.from_bytes(s[a + 8 : a + 16], "little") ^ int.from_bytes(s[a + 16 : a + 24], "little") for s, a in strings], np.uint64)
+    rest = np.array([int.from_bytes(s[a + 8 : a + 16], "little") ^ int.from_bytes(s[a + 16 : a + 24], "little") for s, a, _ in strings], np.uint64)
     return offsets[part] + (C.mix(rest) % fans[part].astype(np.uint64)).astype(np.int64)
 
 
@@ -312,7 +355,7 @@ def removed_mask(chunk: C.Chunk, buckets: int, plan: tuple, answers: dict) -> np
     edge = np.zeros(len(chunk.body) + 1, np.int32)
     if own.least:
         strings = list(own.strings)
-        windows = np.array([len(s) - SPAN + 1 for s, _ in strings], np.int64)
+        windows = np.array([len(s) - SPAN + 1 for s, _, _ in strings], np.int64)
         to = _route(*plan, strings)
         order = np.argsort(to, kind="stable")
         cuts = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1]))
@@ -353,13 +396,14 @@ def _apply(buckets: int, plan: tuple):
 
 
 def _sample(chunk_id: int, chunk: C.Chunk, answers: dict) -> pa.Table:
-    """Leading bytes of a few anchors, chosen by hash, with that hash."""
+    """Leading bytes of a few occurrences of anchors, chosen by a hash of their places, with that hash."""
     lead, order = [], []
-    for _, _, data, starts, ends in blocks_of(chunk):
-        _, _, _, at, h = anchor_runs(data, starts, ends)
-        few = np.flatnonzero(h % np.uint64(512) == 0)
+    for _, base, data, starts, ends in blocks_of(chunk):
+        _, _, _, at, _ = anchor_runs(data, starts, ends)
+        place = C.mix((at + base).astype(np.uint64) + C.mix(np.full(1, chunk_id, np.int64).view(np.uint64))) >> np.uint64(1)
+        few = np.flatnonzero(place % np.uint64(512) == 0)
         lead += [leading(data[a : a + 8]) for a in at[few].tolist()]
-        order += h[few].tolist()
+        order += place[few].tolist()
     return pa.table({"h": pa.array(order, pa.int64()), "lead": pa.array(np.array(lead, np.uint64).view(np.int64), pa.int64())})
 
 
@@ -376,17 +420,19 @@ def splitters_of(chunks: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarra
     return splitters, fans, np.cumsum(fans) - fans
 
 
-def dedup_suffixes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def dedup_suffixes(spark: SparkSession, docs: DataFrame, hot_docs: int = HOT_DOCS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs`` (doc_id, text)."""
     work = Work(spark, "suffix")
     chunks = C.build_chunks(work, docs)
     buckets = C.buckets_for(chunks, 16 << 20)
-    anchors = work.save(C.reduce_buckets(C.send(chunks, _emit(buckets)), "anchor", _shared), "anchors", "uncompressed")
+    anchors = work.save(C.reduce_buckets(C.send(chunks, _emit(buckets)), "anchor", _shared(hot_docs)), "anchors", "uncompressed")
+    work.settle()
     plan = splitters_of(chunks, C.buckets_for(chunks, 8 << 20))
     sent = C.send(chunks, _send_suffixes(buckets, plan), anchors)
     suffixes = work.save(C.reduce_buckets(sent, "suffix", _verdicts), "suffixes", "uncompressed")
     out = work.save(C.per_chunk(chunks, _apply(buckets, plan), OUT_SCHEMA, anchors.union(suffixes)), "result")
     work.drop("chunks", "anchors", "suffixes")
+    work.settle()
     return out
 
 

@@ -242,7 +242,7 @@ class _Model:
     ``prob`` is the probability of each token so far, ``grams`` what to ask for next.
     """
 
-    def __init__(self, t: _Tokens, answers: dict, sizes: tuple[int, int], buckets: int, gram_buckets: int, states: list[np.ndarray], depth: int):
+    def __init__(self, t: _Tokens, answers: dict, sizes: tuple[int, int], buckets: int, gram_buckets: int, states: list[np.ndarray], depth: int, hot: int):
         total, distinct = sizes
         self.seen = _spread(t.words, C.bucket_bounds(t.words, buckets, 64), answers.get("word", {}), np.zeros(len(t.words), np.int64))
         count = self.seen[t.token]
@@ -254,7 +254,7 @@ class _Model:
             at = np.flatnonzero(t.before >= k)
             at = at[count[at - 1] >= LEAST]
             seen = count[at - 1]
-            grams = _Grams(t, at, context[at - 1], seen, self.prob[at], gram_buckets, max(HOT, total // 1000))
+            grams = _Grams(t, at, context[at - 1], seen, self.prob[at], gram_buckets, max(hot, total // 1000))
             if k > len(states):
                 self.grams = grams
                 return
@@ -272,7 +272,7 @@ class _Model:
 OUT_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     """``OUT_SCHEMA`` for every row of ``docs`` (doc_id, text)."""
     work = Work(spark, "lm")
     chunks = C.build_chunks(work, docs, write=pack_tokens)
@@ -285,7 +285,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
     for k in range(1, depth + 1):
 
         def ask(t: _Tokens, answers: dict, done=tuple(states), k=k) -> dict[int, bytes]:
-            return _Model(t, answers, sizes, buckets, gram_buckets, list(done), k).grams.sent(gram_buckets)
+            return _Model(t, answers, sizes, buckets, gram_buckets, list(done), k, hot).grams.sent(gram_buckets)
 
         found = work.save(C.reduce_buckets(C.send(chunks, ask, known, _Tokens), f"gram-{k}", _test_contexts), f"gram-{k}", "uncompressed")
         states.append(hot_states(found))
@@ -293,7 +293,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) ->
         known = known.union(found.where("chunk_id >= 0"))
 
     def rows(_: int, t: _Tokens, answers: dict) -> pa.Table:
-        m, n = _Model(t, answers, sizes, buckets, gram_buckets, states, depth), len(t)
+        m, n = _Model(t, answers, sizes, buckets, gram_buckets, states, depth, hot), len(t)
         per_doc = lambda v: np.bincount(t.doc, v, n)
         known_words = per_doc((m.seen[t.token] > 0).astype(np.float64)).astype(np.int64)
         return pa.table(

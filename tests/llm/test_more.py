@@ -36,12 +36,11 @@ def test_scores(spark, docs, odd):
             assert r.base_score == pytest.approx(score, rel=1e-9) and r.score == pytest.approx(tree[r.doc_id], rel=1e-9)
 
 
-def test_hot_contexts_are_spread(spark, docs, monkeypatch):
-    monkeypatch.setattr(suffix_tree_lm, "HOT", 50)
+def test_hot_contexts_are_spread(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     for depth in (1, 4):
         tree = brute.suffix_tree(rows, depth)[0]
-        assert {r.doc_id: pytest.approx(r.score, rel=1e-9) for r in suffix_tree_lm.score_documents(spark, docs, depth).collect()} == tree
+        assert {r.doc_id: pytest.approx(r.score, rel=1e-9) for r in suffix_tree_lm.score_documents(spark, docs, depth, 50).collect()} == tree
 
 
 def test_states_sum_to_one(docs):
