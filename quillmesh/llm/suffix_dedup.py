@@ -134,6 +134,13 @@ def _emit(buckets: int):
     return run
 
 
+def _held(some: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys are among some, both ascending."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
 def _shared(hot_docs: int):
     def run(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
         """For each chunk's keys, whether several documents of all chunks have them, and whether ``hot_docs`` have."""
@@ -141,10 +148,14 @@ def _shared(hot_docs: int):
         for c, p in rows:
             deltas, docs = C.unpack_arrays(p)
             got.append((c, C.unpack_sorted(deltas), docs))
-        _, which = C.numbered(np.concatenate([k for _, k, _ in got]))
-        total = np.bincount(which, np.concatenate([d for _, _, d in got]))[which]
-        ends = np.cumsum([len(k) for _, k, _ in got])
-        return [(c, C.pack_arrays(np.packbits(total[e - len(k) : e] > 1), np.packbits(total[e - len(k) : e] >= hot_docs))) for (c, k, _), e in zip(got, ends.tolist(), strict=True)]
+        # a key's 48 bits and 16 of its count are sorted in one number
+        every = np.concatenate([k << np.uint64(16) | d for _, k, d in got])
+        every.sort()
+        starts = np.flatnonzero(np.append(True, every[1:] >> np.uint64(16) != every[:-1] >> np.uint64(16)))
+        total = np.add.reduceat(every & np.uint64(65535), starts)
+        unique = every[starts] >> np.uint64(16)
+        several, hot = unique[total > 1], unique[total >= hot_docs]
+        return [(c, C.pack_arrays(np.packbits(_held(several, k)), np.packbits(_held(hot, k)))) for c, k, _ in got]
 
     return run
 

@@ -228,7 +228,7 @@ def hot_states(answers: DataFrame) -> np.ndarray:
         for batch in batches:
             for payload in batch.column(0):
                 contexts, gain = C.unpack_arrays(payload.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64)), pa.array(gain)], names=["context", "gain"])
+                yield pa.RecordBatch.from_arrays([pa.array(contexts.view(np.int64), pa.int64()), pa.array(gain.astype(np.float64))], names=["context", "gain"])
 
     rows = answers.where("chunk_id = -1").select("payload").mapInArrow(parts, "context long, gain double")
     found = rows.groupBy("context").agg(F.sum("gain").alias("gain")).where("gain > 0").collect()
