@@ -16,6 +16,33 @@ def test_constants_of_a_host_are_dropped(spark):
     assert "Title 9" in got[9] and "Tell your friends now" in got[9]
 
 
+def test_odd_pages_in_linear_time(spark):
+    import time
+
+    n = 100_000
+    odd = ["<div>" * n + "deep", "<a " * n, "<a '" * n, '<a "' * n, "<p>x<h2>y" * 3000, "<!--" * n, "<script>" * n, "x < y " * n, "<b>" * n + "bold"]
+    for page in odd:
+        began = time.process_time()
+        wrapper = html_extract.infer([page, page + "<p>end"])
+        text = html_extract.extract(page, wrapper, html_extract.article_path(wrapper))
+        assert time.process_time() - began < 8, page[:20]
+    assert html_extract.extract(odd[0], ["html", "1", []], [], False) == "deep" and text == "bold"
+    rows = [(i, "http://odd.host/x", p, "a", "b") for i, p in enumerate(odd)]
+    out = html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, wrapper string, of string"))
+    assert out.count() == len(rows) and out.columns == ["page_id", "url", "text", "n_chars"]
+
+
+def test_results_come_through_the_wrapper():
+    pages = [SHARED.format(n=n) for n in range(4)]
+    wrapper = html_extract.infer(pages)
+    path = html_extract.article_path(wrapper)
+    bare = ["html", "1", []]
+    assert html_extract.extract(pages[1], wrapper, path) != html_extract.extract(pages[1], bare, path)
+    page = '<article><div class="article-header"><h1>Headline {n}</h1></div><p>Text {n}</p></article>'
+    wrapper = html_extract.infer([page.format(n=n) for n in range(3)])
+    assert html_extract.extract(page.format(n=1), wrapper, html_extract.article_path(wrapper)) == "Headline 1\nText 1"
+
+
 def test_article_is_chosen_by_slots():
     page = '<html><body><div class="content">{n} short text</div><div class="main-text">' + "the same long words " * 20 + "</div></body></html>"
     wrapper = html_extract.infer([page.format(n=n) for n in range(3)])
