@@ -22,19 +22,25 @@ def attention_volume(spark: SparkSession, df: DataFrame) -> DataFrame:
     return W.zero_fill(spark, recent.groupBy("sector").agg(F.sum("w").alias("volume")), config.GROUPS)
 
 
-def event_representatives(df: DataFrame) -> DataFrame:
-    order = Window.partitionBy("event_key").orderBy(F.desc(S.number("agg_weight")), "article_id")
+def event_representatives(df: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    order = Window.partitionBy(*group, "event_key").orderBy(F.desc(S.number("agg_weight")), "article_id")
     return df.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
+def risk_parts(df: DataFrame, group: list[str]) -> DataFrame:
+    """Number, weighted mean and P90 of the risk of each group's event representatives; under three events the P90 is the mean."""
+    days = tuple(g for g in group if g != "sector")
+    reps = W.with_safe_weight(event_representatives(df, days), group)
+    mean = reps.groupBy(*group).agg(W.wmean(S.number("risk_intensity")).alias("mean"), F.count("*").alias("events"))
+    p90 = W.weighted_quantile(reps, group, "risk_intensity", 0.9, "p90")
+    return mean.join(p90, group).withColumn("p90", F.when(F.col("events") < 3, F.col("mean")).otherwise(F.col("p90")))
+
+
 def sector_risk(df: DataFrame, weights: dict) -> DataFrame:
     """Mixed weighted mean and P90 of event representatives; under three events the mean alone."""
-    reps = W.with_safe_weight(event_representatives(df), ["sector"])
-    mean = reps.groupBy("sector").agg(W.wmean(S.number("risk_intensity")).alias("mean"), F.count("*").alias("events"))
-    p90 = W.weighted_quantile(reps, ["sector"], "risk_intensity", 0.9, "p90")
     part = weights["risk_intensity"]
-    score = part["weighted_mean"] * F.col("mean") + part["p90"] * F.when(F.col("events") < 3, F.col("mean")).otherwise(F.col("p90"))
-    return mean.join(p90, "sector").select("sector", "events", F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("risk_intensity"))
+    score = part["weighted_mean"] * F.col("mean") + part["p90"] * F.col("p90")
+    return risk_parts(df, ["sector"]).select("sector", "events", F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("risk_intensity"))
 
 
 def sector_metrics(spark: SparkSession, df: DataFrame, weights: dict) -> DataFrame:

@@ -25,7 +25,9 @@ def one_row_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> Data
 
 def mark_duplicates(df: DataFrame, url: str, title: str, order: str) -> DataFrame:
     """duplicate: an earlier row has the url or the normal title (blank keys never match)."""
-    seen = lambda c: (F.col(c) != "") & (F.row_number().over(Window.partitionBy(c).orderBy(order)) > 1)
+    # a blank key is told apart by its row, else all blank rows would be one window
+    own = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(F.concat(F.lit("\0"), F.col(order).cast("string")))
+    seen = lambda c: (F.col(c) != "") & (F.row_number().over(Window.partitionBy(own(c)).orderBy(order)) > 1)
     return df.withColumn("duplicate", seen(url) | seen(title))
 
 
@@ -94,27 +96,30 @@ def constrained_clusters(edges: DataFrame, nodes: DataFrame, components: DataFra
     """Greedy union of edges in the order (time, id) of their ends, refused where a cluster would span too long.
 
     ``components`` (id, component) are the unconstrained components; no edge leaves one, so each is handled alone.
-    nodes: (id, at seconds); edges: (a, b).
+    nodes: (id, at seconds); edges: (a, b), and ``turn`` where some edges come before all others.
     """
     limit = span_hours * 3600.0
     ends = edges.join(nodes.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(nodes.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
+    if "turn" not in edges.columns:
+        ends = ends.withColumn("turn", F.lit(0))
+    kind = dict(nodes.dtypes)["id"]
     grouped = ends.join(components.select(F.col("id").alias("a"), "component"), "a")
 
     def greedy(f: pd.DataFrame) -> pd.DataFrame:
         flip = (f.at_a > f.at_b) | ((f.at_a == f.at_b) & (f.a > f.b))
         f.loc[flip, ["a", "b", "at_a", "at_b"]] = f.loc[flip, ["b", "a", "at_b", "at_a"]].to_numpy()
-        f = f.sort_values(["at_a", "a", "at_b", "b"])
-        parent: dict[int, int] = {}
-        low: dict[int, float] = {}
-        high: dict[int, float] = {}
+        f = f.sort_values(["turn", "at_a", "a", "at_b", "b"])
+        parent: dict = {}
+        low: dict = {}
+        high: dict = {}
 
-        def find(x: int) -> int:
+        def find(x):
             while parent[x] != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
-        for a, b, ta, tb in zip(f.a.astype(int), f.b.astype(int), f.at_a, f.at_b, strict=True):
+        for a, b, ta, tb in zip(f.a.tolist(), f.b.tolist(), f.at_a, f.at_b, strict=True):
             for x, t in ((a, ta), (b, tb)):
                 if x not in parent:
                     parent[x], low[x], high[x] = x, t, t
@@ -123,9 +128,9 @@ def constrained_clusters(edges: DataFrame, nodes: DataFrame, components: DataFra
                 keep, gone = min(ra, rb), max(ra, rb)
                 parent[gone] = keep
                 low[keep], high[keep] = min(low[ra], low[rb]), max(high[ra], high[rb])
-        return pd.DataFrame({"id": list(parent), "cluster": [find(x) for x in parent]}, dtype="int64")
+        return pd.DataFrame({"id": list(parent), "cluster": [find(x) for x in parent]})
 
-    found = grouped.groupBy("component").applyInPandas(greedy, "id long, cluster long")
+    found = grouped.groupBy("component").applyInPandas(greedy, f"id {kind}, cluster {kind}")
     return nodes.join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 

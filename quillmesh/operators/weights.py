@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from quillmesh.functions.scoring import number
 
 
+def with_totals(df: DataFrame, group: list[str], **sums: Column) -> DataFrame:
+    """``df`` with aggregates of its groups, aggregated before a shuffle and joined back; the groups are few, so the join
+    is a broadcast wherever their table is small, and no task holds a group's rows."""
+    if not group:
+        return df.crossJoin(F.broadcast(df.agg(*(v.alias(k) for k, v in sums.items()))))
+    totals = df.groupBy(*(F.col(g).alias(f"of_{g}") for g in group)).agg(*(v.alias(k) for k, v in sums.items()))
+    same = [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in group]
+    return df.join(totals, same, "left").drop(*(f"of_{g}" for g in group))
+
+
 def with_safe_weight(df: DataFrame, group: list[str], weight: str = "agg_weight", out: str = "w") -> DataFrame:
     w = F.greatest(number(weight), F.lit(0.0))
-    total = F.sum(w).over(Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1)))
-    return df.withColumn(out, F.when(total <= 0, 1.0).otherwise(w))
+    return with_totals(df, group, total_=F.sum(w)).withColumn(out, F.when(F.col("total_") <= 0, 1.0).otherwise(w)).drop("total_")
 
 
 def wmean(value: Column, w: str = "w") -> Column:
@@ -20,10 +29,8 @@ def wmean(value: Column, w: str = "w") -> Column:
 
 def weighted_std(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Population deviation about the weighted mean, in two passes; 0 for fewer than two rows."""
-    own = Window.partitionBy(*group)
     x = number(value)
-    mean = F.sum(x * F.col("w")).over(own) / F.sum("w").over(own)
-    marked = df.withColumn("gap", F.pow(x - mean, 2))
+    marked = with_totals(df, group, mean_=F.sum(x * F.col("w")) / F.sum("w")).withColumn("gap", F.pow(x - F.col("mean_"), 2))
     return marked.groupBy(*group).agg(F.when(F.count("*") < 2, 0.0).otherwise(F.sqrt(F.greatest(F.sum(F.col("gap") * F.col("w")) / F.sum("w"), F.lit(0.0)))).alias("weighted_std"))
 
 
