@@ -38,21 +38,33 @@ def content_tokens(text: Column, stop: list[str]) -> Column:
     return F.array_except(F.array_distinct(F.filter(words, lambda t: F.length(t) > 1)), F.array(*map(F.lit, stop)))
 
 
-def has_phrase(sentence: Column, terms: list[str]) -> Column:
-    """Whether a sentence holds one of the terms as whole words."""
-    padded = F.concat(F.lit(" "), keyword_form(sentence), F.lit(" "))
-    return reduce(lambda a, t: a | F.contains(padded, F.lit(f" {t} ")), terms[1:], F.contains(padded, F.lit(f" {terms[0]} ")))
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once; inside a lambda nothing else shares repeated expressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def padded(sentence: Column) -> Column:
+    return F.concat(F.lit(" "), keyword_form(sentence), F.lit(" "))
+
+
+def any_term(padded_: Column, terms: list[str]) -> Column:
+    """Whether a padded keyword form holds one of the terms as whole words."""
+    return reduce(lambda a, b: a | b, [F.contains(padded_, F.lit(f" {t} ")) for t in terms])
+
+
+def has_phrase(sentence: Column, terms: list[str], blockers: list[str] | None = None) -> Column:
+    """Whether a sentence holds one of the terms as whole words, and no blocker."""
+    return let(padded(sentence), lambda p: any_term(p, terms) & ~any_term(p, blockers) if blockers else any_term(p, terms))
 
 
 def hit_score(parts: Column, terms: list[str], blockers: list[str] | None = None, scale: float = 3.0) -> Column:
     """min(scale * share of sentences with a term and no blocker, 1)."""
-    hit = F.size(F.filter(parts, lambda s: has_phrase(s, terms) & (~has_phrase(s, blockers) if blockers else F.lit(True))))
+    hit = F.size(F.filter(parts, lambda s: has_phrase(s, terms, blockers)))
     return F.when(F.size(parts) > 0, F.least(hit / F.size(parts) * scale, F.lit(1.0))).otherwise(0.0)
 
 
 def matched_terms(text: Column, terms: list[str]) -> Column:
-    padded = F.concat(F.lit(" "), keyword_form(text), F.lit(" "))
-    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(padded, F.concat(F.lit(" "), t, F.lit(" "))))
+    return let(padded(text), lambda p: F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(p, F.concat(F.lit(" "), t, F.lit(" ")))))
 
 
 def count_terms(text: Column, terms: list[str]) -> Column:

@@ -54,10 +54,10 @@ def prepared(articles: DataFrame, domain: tuple[str, ...] = config.GROUPS) -> Da
     return articles.withColumn("day", day).where(F.col("day").isNotNull() & F.trim("sector").isin(*domain))
 
 
-def components(spark: SparkSession, articles: DataFrame, domain: tuple[str, ...] = config.GROUPS) -> DataFrame:
+def components(spark: SparkSession, articles: DataFrame, domain: tuple[str, ...] = config.GROUPS, history_days: int = config.HISTORY_DAYS) -> DataFrame:
     """(day, sector, articles, each component) for every day with articles and every group of the domain.
 
-    Attention compares a day's volume and growth with all days before; where there are fewer than ``HISTORY_DAYS`` both
+    Attention compares a day's volume and growth with all days before; where there are fewer than ``history_days`` both
     of its components are the rank of the volume among the groups.
     """
     keys = ["day", "sector"]
@@ -76,7 +76,7 @@ def components(spark: SparkSession, articles: DataFrame, domain: tuple[str, ...]
     past = grown.withColumns({"volumes": F.collect_list("volume").over(before), "growths": F.collect_list("growth").over(before)})
     share = lambda name, now: F.coalesce(F.try_divide(F.size(F.filter(name, lambda x: x <= F.col(now))), F.size(name)), F.lit(0.0))
     rank = 100 * (W.average_rank(F.col("volume"), ["day"], F.col("volume")) - 0.5) / F.count("*").over(Window.partitionBy("day")) / 100
-    learnt = F.size("volumes") >= config.HISTORY_DAYS
+    learnt = F.size("volumes") >= history_days
     attention = past.select(*keys, F.when(learnt, share("volumes", "volume")).otherwise(rank).alias("volume_ecdf"), F.when(learnt, share("growths", "growth")).otherwise(rank).alias("growth_ecdf"))
     out = attention.join(mean, keys, "left").join(spread, keys, "left").join(apart, keys, "left").join(risk, keys, "left")
     numbers = [c for c, kind in out.dtypes if c not in keys and kind in ("double", "bigint")]
@@ -92,10 +92,10 @@ def score(dimension: str, weights: dict[str, dict[str, float]]) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), SCALE[dimension] * total))
 
 
-def replay(spark: SparkSession, articles: DataFrame, weights: dict | None = None, mixed: bool = False, domain: tuple[str, ...] = config.GROUPS) -> DataFrame:
+def replay(spark: SparkSession, articles: DataFrame, weights: dict | None = None, mixed: bool = False, domain: tuple[str, ...] = config.GROUPS, history_days: int = config.HISTORY_DAYS) -> DataFrame:
     """(day, sector, six metrics).  Disagreement is the distance of pairs, or ``mixed`` of spread and polarity."""
     weights = weights or all_weights()
-    parts = components(spark, prepared(articles, domain), domain)
+    parts = components(spark, prepared(articles, domain), domain, history_days)
     made = {d: score(d, weights) for d in SCALE}
     if not mixed:
         made["disagreement"] = 100 * F.col("distance")

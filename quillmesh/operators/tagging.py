@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmesh import config
 from quillmesh.functions import scoring as S
 from quillmesh.functions import text as X
 
@@ -39,23 +40,32 @@ def risk_tags(parts: Column, rules: list[RiskRule]) -> Column:
     a term of the kind that fired it, its evidence the first of them.
     """
 
-    def matching(terms: list[str]) -> Column:
-        return F.filter(parts, lambda s: X.has_phrase(s, terms))
+    def rules_of(told: Column) -> Column:
+        """``told`` has each sentence with its padded keyword form, worked out once."""
 
-    def distinct(terms: list[str]) -> Column:
-        return sum(((F.size(matching([t])) > 0).cast("int") for t in terms), F.lit(0))
+        def matching(terms: list[str]) -> Column:
+            return F.filter(told, lambda s: X.any_term(s["padded"], terms))
 
-    found = []
-    for r in rules:
-        strong = distinct(r.strong) > 0 if r.strong else F.lit(False)
-        weak = ~strong & (distinct(r.weak) >= max(1, r.least)) if r.weak else F.lit(False)
-        score, first = F.lit(0.0), F.lit(None).cast("string")
-        for on, terms in ((weak, r.weak), (strong, r.strong)):
-            if terms:
-                score = F.when(on, X.hit_score(parts, terms)).otherwise(score)
-                first = F.when(on, F.get(matching(terms), F.lit(0))).otherwise(first)
-        found.append(F.struct(F.lit(r.category).alias("category"), F.lit(float(r.severity)).alias("severity"), score.alias("strength"), first.alias("evidence")))
-    return F.filter(F.array(*found), lambda x: x["strength"] > 0)
+        def held(term: str) -> Column:
+            return F.exists(told, lambda s: X.any_term(s["padded"], [term]))
+
+        def distinct(terms: list[str]) -> Column:
+            return sum((held(t).cast("int") for t in terms), F.lit(0))
+
+        found = []
+        for r in rules:
+            strong = distinct(r.strong) > 0 if r.strong else F.lit(False)
+            weak = ~strong & (distinct(r.weak) >= max(1, r.least)) if r.weak else F.lit(False)
+            score, first = F.lit(0.0), F.lit(None).cast("string")
+            for on, terms in ((weak, r.weak), (strong, r.strong)):
+                if terms:
+                    hits = F.least(F.size(matching(terms)) / F.size(told) * config.HIT_SCALE, F.lit(1.0))
+                    score = F.when(on, hits).otherwise(score)
+                    first = F.when(on, F.get(matching(terms), F.lit(0))["sentence"]).otherwise(first)
+            found.append(F.struct(F.lit(r.category).alias("category"), F.lit(float(r.severity)).alias("severity"), score.alias("strength"), first.alias("evidence")))
+        return F.filter(F.array(*found), lambda x: x["strength"] > 0)
+
+    return X.let(F.transform(parts, lambda s: F.struct(s.alias("sentence"), X.padded(s).alias("padded"))), rules_of)
 
 
 def risk_intensity(tags: Column) -> Column:
@@ -80,10 +90,22 @@ def entities(text: Column, known: list[Entity]) -> Column:
 
 def lexicon_sentence(sentence: Column, lexicon: dict[str, list[str]]) -> Column:
     """(positive, neutral, negative, score, confidence) of a sentence from counts of lexicon terms."""
-    low = F.lower(sentence)
-    n = {k: X.count_terms(low, v) for k, v in lexicon.items()}
-    p, u, m = X.softmax([0.4 + 1.2 * n["positive"], 0.8 + 0.5 * n["uncertainty"], 0.4 + 1.2 * n["negative"]])
-    return F.struct(sentence.alias("sentence"), p.alias("positive"), u.alias("neutral"), m.alias("negative"), (p - m).alias("score"), F.greatest(p, u, m).alias("confidence"))
+    names = ("positive", "neutral", "negative")
+
+    def raw(low: Column) -> Column:
+        n = {k: X.count_terms(low, v) if v else F.lit(0) for k, v in lexicon.items()}
+        return F.struct((0.4 + 1.2 * n["positive"]).alias("positive"), (0.8 + 0.5 * n["uncertainty"]).alias("neutral"), (0.4 + 1.2 * n["negative"]).alias("negative"))
+
+    def powers(v: Column) -> Column:
+        return F.struct(*(F.exp(v[k] - F.greatest(*(v[j] for j in names))).alias(k) for k in names))
+
+    def shares(e: Column) -> Column:
+        return F.struct(*((e[k] / (e["positive"] + e["neutral"] + e["negative"])).alias(k) for k in names))
+
+    def whole(p: Column) -> Column:
+        return F.struct(sentence.alias("sentence"), *(p[k].alias(k) for k in names), (p["positive"] - p["negative"]).alias("score"), F.greatest(*(p[k] for k in names)).alias("confidence"))
+
+    return X.let(F.lower(sentence), lambda low: X.let(raw(low), lambda v: X.let(powers(v), lambda e: X.let(shares(e), whole))))
 
 
 def article_sentiment(scored: Column, title: Column) -> Column:

@@ -5,21 +5,32 @@ Floating results are rounded to six digits on both sides, as sums depend on orde
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh import config
+from quillmesh.functions import display as Y
+from quillmesh.functions import evidence as V
 from quillmesh.functions import scoring as S
 from quillmesh.functions import text as X
+from quillmesh.functions import times as D
+from quillmesh.operators import annotation as A
+from quillmesh.operators import brief as B
+from quillmesh.operators import clustering as C
+from quillmesh.operators import enrichment as N
 from quillmesh.operators import evaluation as E
 from quillmesh.operators import metrics as M
 from quillmesh.operators import relations as R
+from quillmesh.operators import replay as P
 from quillmesh.operators import tagging as T
 from quillmesh.operators import weights as W
 from quillmesh.plans.articles import SQL as ART
 from quillmesh.plans.articles import articles, table
+from quillmesh.sources import feeds as K
+from quillmesh.sources import snapshots as Z
 
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
 STOP = ["the", "and", "of", "that", "with"]
@@ -147,13 +158,13 @@ def zero_fill(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT event_id AS id, epoch(ts) AS at, [user_id % 70, 100 + user_id % 50] AS e FROM events WHERE event_id % 10 = 0)
-    SELECT x.id AS a, y.id AS b FROM r x JOIN r y ON x.id < y.id AND abs(x.at - y.at) <= 172800 AND list_has_any(x.e, y.e)"""
+    """WITH r AS (SELECT event_id AS id, epoch(ts) AS at, unnest([user_id % 700, 1000 + user_id % 500]) AS e FROM events)
+    SELECT DISTINCT x.id AS a, y.id AS b FROM r x JOIN r y ON x.e = y.e AND x.id < y.id AND abs(x.at - y.at) <= 172800"""
 )
 def range_overlap_pairs(spark, d):
-    e = table(spark, d, "events").where("event_id % 10 = 0")
+    e = table(spark, d, "events")
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return R.range_overlap_pairs(e.select(F.col("event_id").alias("id"), at.alias("at"), F.array(F.col("user_id") % 70, 100 + F.col("user_id") % 50).alias("entities")))
+    return R.range_overlap_pairs(e.select(F.col("event_id").alias("id"), at.alias("at"), F.array(F.col("user_id") % 700, 1000 + F.col("user_id") % 500).alias("entities")))
 
 
 @query(
@@ -383,9 +394,12 @@ def cluster_summary(spark, d):
     return s.agg(F.count("*").alias("events"), F.count_if(F.col("n") > 1).alias("multi"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("in_multi"), F.max("n").alias("largest"))
 
 
-@query(f"WITH {ART} SELECT sector, round(max(abs(round(agg_weight, 2) - agg_weight)), 6) AS off, round(avg(agg_weight), 6) AS mean FROM art GROUP BY 1")
+@query(f"WITH {ART} SELECT sector, round(max(abs(agg_weight - (article_id % 5 + 1) / 5.0 * (user_id % 3 + 1) / 3.0 * 0.7)), 6) AS off, round(avg(agg_weight), 6) AS mean FROM art GROUP BY 1")
 def weight_audit(spark, d):
-    return rounded(articles(spark, d).groupBy("sector").agg(F.max(F.abs(F.round("agg_weight", 2) - F.col("agg_weight"))).alias("off"), F.avg("agg_weight").alias("mean")))
+    """Stored weights against the product of their factors."""
+    parts = articles(spark, d).withColumns({"stored": F.col("agg_weight"), "time_weight": (F.col("article_id") % 5 + 1) / 5.0, "relevance_weight": (F.col("user_id") % 3 + 1) / 3.0, "dedup_factor": F.lit("0.7"), "source_weight": F.lit("")})
+    made = N.backfill_sources(parts, N.Dictionaries())
+    return rounded(made.groupBy("sector").agg(F.max(F.abs(F.col("stored") - F.col("agg_weight"))).alias("off"), F.avg("stored").alias("mean")))
 
 
 # --- windows and top-k ---
@@ -442,9 +456,9 @@ def seven_day_position(spark, d):
     return rows.groupBy("sector").agg(place.alias("place"), F.count("*").alias("n")).where("n = 7").drop("n")
 
 
-@query(f"WITH t AS (SELECT doc_id, md5(text) AS url, {NORMAL.format('left(text, 80)')} AS title FROM documents) SELECT doc_id, (url <> '' AND row_number() OVER (PARTITION BY url ORDER BY doc_id) > 1) OR (title <> '' AND row_number() OVER (PARTITION BY title ORDER BY doc_id) > 1) AS duplicate FROM t")
+@query(f"WITH t AS (SELECT doc_id, md5(text) AS url, {NORMAL.format('text')} AS title FROM documents) SELECT doc_id, (url <> '' AND row_number() OVER (PARTITION BY url ORDER BY doc_id) > 1) OR (title <> '' AND row_number() OVER (PARTITION BY title ORDER BY doc_id) > 1) AS duplicate FROM t")
 def dup_marking(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.md5("text").alias("url"), X.normal_title(F.substring("text", 1, 80)).alias("title"))
+    t = table(spark, d, "documents").select("doc_id", F.md5("text").alias("url"), X.normal_title(F.col("text")).alias("title"))
     return R.mark_duplicates(t, "url", "title", "doc_id").select("doc_id", "duplicate")
 
 
@@ -515,9 +529,9 @@ def rank_changes(spark, d):
 # --- text ---
 
 
-@query(f"SELECT doc_id, {NORMAL.format('left(text, 120)')} AS title FROM documents")
+@query(f"SELECT doc_id, {NORMAL.format('text')} AS title FROM documents")
 def normalize_title(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normal_title(F.substring("text", 1, 120)).alias("title"))
+    return table(spark, d, "documents").select("doc_id", X.normal_title(F.col("text")).alias("title"))
 
 
 @query(r"SELECT doc_id, len(list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?。！？]) ', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) AS sentences FROM documents")
@@ -687,23 +701,45 @@ def stratified_sample(spark, d):
     return E.stratified_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 100, 5720)
 
 
-@query(f"WITH {ART} SELECT day, sector, {', '.join(f'round(sum(100 * greatest(0, least(1, ' + ' + '.join(f'{w} * {c}' for c, w in config.ENHANCED[dim].items()) + f')) * agg_weight) / sum(agg_weight), 6) AS {dim}' for dim in ('optimism', 'fear', 'uncertainty'))} FROM art GROUP BY 1, 2")
+REPLAY_DAYS = 10
+_PLAIN = ("p_positive", "p_neutral", "p_negative", "b_bull", "b_bear", "g_growth", "s_shock", "k_unc", "entropy_norm")
+PARTS = f"""{ART}, {GROUP_ROWS}, mean AS (SELECT day, sector, {', '.join(f'sum({c} * agg_weight) / sum(agg_weight) AS {c}' for c in _PLAIN)},
+  CASE WHEN count(*) < 2 THEN 0 ELSE 2 * least(sum(CASE WHEN sentiment_score > 0.15 THEN agg_weight ELSE 0 END), sum(CASE WHEN sentiment_score < -0.15 THEN agg_weight ELSE 0 END)) / sum(agg_weight) END AS polarity_mix,
+  CASE WHEN count(*) < 2 THEN 0 ELSE sqrt(greatest(sum(agg_weight * sentiment_score * sentiment_score) / sum(agg_weight) - (sum(agg_weight * sentiment_score) / sum(agg_weight)) ** 2, 0)) END AS weighted_std FROM art GROUP BY 1, 2),
+apart AS (SELECT x.day, x.sector, sum(x.agg_weight * y.agg_weight * abs(x.sentiment_score - y.sentiment_score)) / (2 * sum(x.agg_weight * y.agg_weight)) AS distance FROM art x JOIN art y ON x.day = y.day AND x.sector = y.sector AND x.article_id < y.article_id GROUP BY 1, 2),
+rep AS (SELECT * FROM art QUALIFY row_number() OVER (PARTITION BY day, event_key ORDER BY agg_weight DESC, article_id) = 1),
+cum AS (SELECT *, sum(agg_weight) OVER (PARTITION BY day, sector ORDER BY risk_intensity RANGE UNBOUNDED PRECEDING) AS c, sum(agg_weight) OVER (PARTITION BY day, sector) AS t FROM rep),
+risk AS (SELECT day, sector, sum(risk_intensity * agg_weight) / sum(agg_weight) AS weighted_mean, CASE WHEN count(*) < 3 THEN sum(risk_intensity * agg_weight) / sum(agg_weight) ELSE min(CASE WHEN c >= 0.9 * t - 1e-12 THEN risk_intensity END) END AS p90 FROM cum GROUP BY 1, 2),
+filled AS (SELECT y.day, dom.sector, coalesce(sum(agg_weight), 0) AS volume FROM (SELECT DISTINCT day FROM art) y CROSS JOIN dom LEFT JOIN art ON art.day = y.day AND art.sector = dom.sector GROUP BY 1, 2),
+grown AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY day) AS n, avg(volume) OVER (PARTITION BY sector ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS m, (rank() OVER (PARTITION BY day ORDER BY volume) + (count(*) OVER (PARTITION BY day, volume) - 1) / 2.0 - 0.5) / 6 AS place FROM filled),
+growth AS (SELECT *, CASE WHEN n > 7 THEN (volume - m) / (m + 1) END AS growth FROM grown),
+att AS (SELECT a.day, a.sector, CASE WHEN a.n > {REPLAY_DAYS} THEN (SELECT count(*) FILTER (b.volume <= a.volume) / count(*) FROM growth b WHERE b.sector = a.sector AND b.day < a.day) ELSE a.place END AS volume_ecdf,
+  CASE WHEN a.n > {REPLAY_DAYS} THEN coalesce((SELECT count(*) FILTER (b.growth <= a.growth) / count(b.growth) FROM growth b WHERE b.sector = a.sector AND b.day < a.day), 0) ELSE a.place END AS growth_ecdf FROM growth a),
+parts AS (SELECT att.day, att.sector, volume_ecdf, growth_ecdf, {', '.join(f'coalesce({c}, 0) AS {c}' for c in (*_PLAIN, 'polarity_mix', 'weighted_std', 'distance', 'weighted_mean', 'p90'))} FROM att LEFT JOIN mean USING (day, sector) LEFT JOIN apart USING (day, sector) LEFT JOIN risk USING (day, sector))"""
+
+
+def _score_sql(dimension: str, weights: dict) -> str:
+    return f"greatest(0, least(100, {P.SCALE[dimension]} * ({' + '.join(f'{w!r} * {c}' for c, w in weights[dimension].items())})))"
+
+
+@query(f"WITH {PARTS} SELECT day, sector, {', '.join(f'round({_score_sql(m, P.all_weights())}, 6) AS {m}' for m in config.METRICS if m != 'disagreement')}, round(100 * distance, 6) AS disagreement FROM parts")
 def daily_replay(spark, d):
-    a = W.with_safe_weight(articles(spark, d), ["day", "sector"])
-    return rounded(a.groupBy("day", "sector").agg(*(W.wmean(c).alias(k) for k, c in S.article_formulas(config.ENHANCED).items())))
+    """Six metrics of every day and group, attention against the days before."""
+    return rounded(P.replay(spark, articles(spark, d), history_days=REPLAY_DAYS))
 
 
 @query(
-    f"""WITH {ART}, f AS (SELECT unnest([0.0, 0.5, 1.0, 1.5, 2.0]) AS factor), s AS (SELECT factor, day, sector, sum(100 * greatest(0, least(1, (0.7 * factor * p_positive + 0.2 * b_bull + 0.1 * g_growth) / (0.7 * factor + 0.3))) * agg_weight) / sum(agg_weight) AS v FROM art, f GROUP BY ALL)
-    SELECT x.factor, round(avg(abs(x.v - y.v)), 6) AS mae FROM s x JOIN s y ON x.day = y.day AND x.sector = y.sector AND y.factor = 1.0 GROUP BY 1"""
+    f"""WITH {PARTS}, v AS (SELECT day, sector, unnest([{', '.join(f"{{'dimension': '{m}', 'component': '{c}', 'factor': {f}::DOUBLE, 'x': round({_score_sql(m, P.all_weights())}, 9), 'y': round({_score_sql(m, w)}, 9)}}" for m, c, f, w in P.variants())}]) AS v FROM parts),
+    e AS (SELECT day, sector, v.dimension, v.component, v.factor, v.x, v.y FROM v),
+    r AS (SELECT *, rank() OVER (PARTITION BY dimension, component, factor, day ORDER BY x DESC) + (count(*) OVER (PARTITION BY dimension, component, factor, day, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY dimension, component, factor, day ORDER BY y DESC) + (count(*) OVER (PARTITION BY dimension, component, factor, day, y) - 1) / 2.0 AS ry,
+      row_number() OVER (PARTITION BY dimension, component, factor, day ORDER BY x DESC, sector) <= 3 AS ix, row_number() OVER (PARTITION BY dimension, component, factor, day ORDER BY y DESC, sector) <= 3 AS iy FROM e),
+    g AS (SELECT dimension, component, factor, day, CASE WHEN sum(abs(rx - ry)) = 0 THEN 1 WHEN var_pop(rx) = 0 OR var_pop(ry) = 0 THEN 0 ELSE covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) END AS s, count(*) FILTER (ix AND iy) / count(*) FILTER (ix OR iy) AS j, sum(abs(x - y)) AS moved, count(*) AS n FROM r GROUP BY ALL)
+    SELECT dimension, component, factor, count(*) AS day_count, sum(n)::BIGINT AS sector_day_count, round(avg(s), 6) AS mean_daily_spearman, round(sum(moved) / sum(n), 6) AS mean_absolute_score_change, round(avg(j), 6) AS mean_daily_top3_jaccard FROM g GROUP BY 1, 2, 3"""
 )
 def sensitivity_sweep(spark, d):
-    a = W.with_safe_weight(articles(spark, d), ["day", "sector"])
-    factors = [0.0, 0.5, 1.0, 1.5, 2.0]
-    value = lambda k: 100 * S.clamp((0.7 * k * F.col("p_positive") + 0.2 * F.col("b_bull") + 0.1 * F.col("g_growth")) / (0.7 * k + 0.3))
-    s = a.groupBy("day", "sector").agg(*(W.wmean(value(k)).alias(f"v{i}") for i, k in enumerate(factors)))
-    gaps = F.array(*(F.struct(F.lit(k).alias("factor"), F.abs(F.col(f"v{i}") - F.col("v2")).alias("gap")) for i, k in enumerate(factors)))
-    return rounded(s.select(F.explode(gaps).alias("x")).groupBy("x.factor").agg(F.avg("x.gap").alias("mae")))
+    """All components of all dimensions at five factors."""
+    a = articles(spark, d)
+    return rounded(P.sweep(spark, P.components(spark, P.prepared(a), history_days=REPLAY_DAYS)))
 
 
 @query(f"WITH {_metrics_sql(config.ENHANCED)} SELECT round(avg(optimism), 6) AS optimism, round(avg(risk_intensity), 6) AS risk, arg_max(sector, round(risk_intensity, 6)) AS riskiest, sum(articles)::BIGINT AS articles FROM met")
@@ -829,8 +865,230 @@ def strip_html(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(bare).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 2 = 1")
+# --- enrichment ---
+
+SECTOR_WORDS = {"first": ["ing", "zz"], "second": ["und", "der"], "third": ["que", "el "]}
+WORDS = N.Dictionaries(companies=KNOWN, sectors=SECTOR_WORDS, topics=[N.Topic(k, v) for k, v in TOPICS.items()], risks=RULES, lexicon=LEXICON, signals={"bull": ["of"], "bear": ["der"], "blockers": ["and"]}, sources={"src1": 0.5, "src2": 0.8})
+
+
+def _collapsed(of: str) -> str:
+    return rf"trim(regexp_replace({of}, '\s+', ' ', 'g'))"
+
+
+def _hits(terms: list[str], of: str) -> str:
+    return " + ".join(f"contains({of}, '{t}')::INT" for t in terms)
+
+
+_BY_WORD = f"""h AS (SELECT doc_id, text, {', '.join(f"{_hits(v, 'low')} AS {k}" for k, v in SECTOR_WORDS.items())} FROM (SELECT doc_id, text, lower({_collapsed('text')}) AS low FROM documents)),
+k AS (SELECT doc_id, text, CASE WHEN greatest(first, second, third) = 0 THEN '' WHEN first >= second AND first >= third THEN 'first' WHEN second >= third THEN 'second' ELSE 'third' END AS sector FROM h)"""
+
+
+@query(f"WITH {_BY_WORD} SELECT doc_id, sector FROM k")
+def keyword_sector(spark, d):
+    return table(spark, d, "documents").select("doc_id", N.keyword_sector(F.col("text"), SECTOR_WORDS).alias("sector"))
+
+
+@query(
+    f"""WITH {_BY_WORD}, m AS (SELECT doc_id, sector, {_term_sql('The')} OR {_term_sql('die', '(?i)')} AS a, {_term_sql('Que')} OR {_term_sql('with', '(?i)')} AS b FROM k)
+    SELECT doc_id, concat_ws(';', CASE WHEN a THEN 'Alpha' END, CASE WHEN b THEN 'Beta' END) AS companies, CASE WHEN a THEN 'first' WHEN b THEN 'second' WHEN sector <> '' THEN sector ELSE 'Unmapped' END AS sector,
+    CASE WHEN a OR b THEN 'company_or_ticker' WHEN sector <> '' THEN 'topic_only' ELSE 'unmapped' END AS method, CASE WHEN a OR b THEN 1.0 WHEN sector <> '' THEN 0.7 ELSE 0.5 END::DOUBLE AS relevance FROM m"""
+)
+def article_mapping(spark, d):
+    return N.with_mapping(table(spark, d, "documents").select("doc_id", "text"), "text", WORDS).select("doc_id", "map_.companies", "map_.sector", "map_.method", "map_.relevance")
+
+
+def _records(spark, d) -> DataFrame:
+    """Documents as collected records."""
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("article_id"), F.col("source").alias("title"), F.col("lang").alias("summary"), F.col("text").alias("content"), F.concat(F.lit("http://x/"), F.col("doc_id")).alias("url"), F.concat(F.lit("src"), F.col("doc_id") % 4, F.lit(";src"), F.col("doc_id") % 3).alias("source"), F.lit("2024-01-02T00:00:00Z").alias("published_at"), F.lit("2024-01-03").alias("collected_at"))
+
+
+def _key(of: str) -> str:
+    return f"trim(regexp_replace(lower({of}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _sentence(of: str) -> str:
+    return f"CASE WHEN right({of}, 1) IN ('.', '!', '?') THEN {of} ELSE {of} || '.' END"
+
+
+_TEXTS = f"""t AS (SELECT doc_id, trim(source) AS a, trim(lang) AS b, trim(text, ' ') AS c FROM documents), v AS (SELECT *, {_key('a')} AS x, {_key('b')} AS y, {_key('c')} AS z FROM t)"""
+
+
+@query(
+    f"""WITH {_TEXTS} SELECT doc_id, md5(concat_ws(' ', CASE WHEN x <> '' THEN {_sentence('a')} END, CASE WHEN y <> '' AND y <> x THEN {_sentence('b')} END, CASE WHEN z <> '' AND z <> x AND z <> y THEN {_sentence('c')} END)) AS summary_text,
+    CASE WHEN lower(a) = lower(b) THEN a ELSE trim(a || ' ' || b) END AS event_text FROM v"""
+)
+def text_variants(spark, d):
+    r = _records(spark, d).withColumns({c: F.lit("") for c in ("body_text", "companies", "tickers")})
+    return r.select(F.col("article_id").cast("long").alias("doc_id"), F.md5(V.variants()["summary_text"]).alias("summary_text"), V.event_text(F.col("title"), F.col("summary")).alias("event_text"))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, trim(text, ' ') AS s, trim(CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN upper(left(text, 12)) ELSE 'other' END, ' ') AS t FROM documents), r AS (SELECT *, ltrim(substr(s, length(t) + 1), ' .:-') AS rest FROM t)
+    SELECT doc_id, md5(CASE WHEN {_key('t')} <> '' AND {_key('s')} = {_key('t')} THEN '' WHEN t <> '' AND starts_with(lower(s), lower(t)) AND {_key('rest')} <> '' THEN rest ELSE s END) AS evidence FROM r"""
+)
+def evidence_without_title(spark, d):
+    i, text = F.col("doc_id"), F.col("text")
+    title = F.when(i % 3 == 0, text).when(i % 3 == 1, F.upper(F.substring(text, 1, 12))).otherwise("other")
+    return table(spark, d, "documents").select("doc_id", F.md5(V.without_title(text, title)).alias("evidence"))
+
+
+@query("SELECT event_id, greatest(CASE event_id % 20 WHEN 1 THEN 0.5 WHEN 2 THEN 0.8 ELSE 1.0 END, CASE user_id % 20 WHEN 1 THEN 0.5 WHEN 2 THEN 0.8 ELSE 1.0 END)::DOUBLE AS weight, event_id % 20 IN (1, 3) OR user_id % 20 IN (1, 3) AS allowed FROM events")
+def source_weights(spark, d):
+    names = F.concat(F.lit("src"), F.col("event_id") % 20, F.lit(";src"), F.col("user_id") % 20)
+    return table(spark, d, "events").select("event_id", V.greatest_weight(names, WORDS.sources).alias("weight"), V.any_listed(names, ["src1", "src3"]).alias("allowed"))
+
+
+@query(
+    f"""WITH {ART}, n AS (SELECT max(published_at) AS t FROM art) SELECT article_id, round(exp(-epoch(t - published_at) / 3600 / 72.0), 6) AS time_weight,
+    round(exp(-epoch(t - published_at) / 3600 / 72.0) * CASE WHEN sector = 'error' THEN 0.5 ELSE 1.0 END * CASE WHEN article_id % 4 = 0 THEN 0.3 ELSE 1.0 END * CASE WHEN source = 'src1' THEN 0.5 WHEN source = 'src2' THEN 0.8 ELSE 1.0 END, 6) AS weight FROM art, n"""
+)
+def article_scores(spark, d):
+    """Time weight, and its product with relevance, duplicate and source weights."""
+    a = articles(spark, d)
+    rows = a.crossJoin(F.broadcast(a.agg(F.max("published_at").alias("t")))).withColumn("time_weight", S.time_weight(F.col("published_at"), F.col("t")))
+    rows = rows.withColumns({"relevance_weight": F.when(F.col("sector") == "error", N.UNMAPPED_WEIGHT).otherwise(N.BY_COMPANY), "dedup_factor": F.when(F.col("article_id") % 4 == 0, "0.3").otherwise(""), "source_weight": F.lit("")})
+    return rounded(N.backfill_sources(rows, WORDS).select("article_id", "time_weight", F.col("agg_weight").alias("weight")))
+
+
+@query(None)
+def enriched_batch(spark, d):
+    """The full batch over all documents; its parts are held against SQL, its rows against hand-made cases in the tests."""
+    now = F.lit("2024-01-05T00:00:00Z").cast("timestamp")
+    out = N.batch(_records(spark, d), WORDS, now)
+    return rounded(out.select("article_id", "sector", "topic", "risk_category", "companies", "dedup_status", "sentiment_score", "optimism", "fear", "uncertainty", "risk_intensity", "agg_weight", "evidence_sentence"))
+
+
+@query("SELECT doc_id::VARCHAR AS article_id, 'src' || (doc_id % 4) || ';src' || (doc_id % 3) AS source, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'src' || (doc_id % 4) || ';src' || (doc_id % 3) END AS publisher, doc_id % 2 = 1 AS fresh FROM documents")
 def incremental_batch(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    done = docs.where("doc_id % 2 = 0")
-    return done.unionByName(docs.join(done.select("doc_id"), "doc_id", "left_anti"))
+    """Documents with even ids are known already; they take new sources, the others are scored."""
+    raw = _records(spark, d)
+    known = raw.where("article_id % 2 = 0").withColumns({"source": F.lit("old"), "publisher": F.lit("old"), "sentiment_score": F.lit(0.0), "known": F.lit(True)})
+    out = N.incremental(known, raw, WORDS, F.lit("2024-01-05T00:00:00Z").cast("timestamp"))
+    return out.select("article_id", "source", "publisher", F.col("known").isNull().alias("fresh"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN '2024-03-01T00:00:00+00:00' ELSE strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS published, event_id % 4 = 3 AS failed FROM events")
+def time_parsing(spark, d):
+    ts = F.col("ts").cast("timestamp_ntz")
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).when(kind == 1, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(kind == 2, F.concat(F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))).otherwise("soon")
+    fallback = F.lit("2024-03-01T00:00:00Z").cast("timestamp")
+    return table(spark, d, "events").select("event_id", D.formatted(D.feed_time(text, fallback)).alias("published"), (kind == 3).alias("failed"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(trim(text, ' '), '\d+(?:[.,]\d+)*'))::INT AS numbers, CASE WHEN length(trim(text, ' ')) <= 80 THEN trim(text, ' ') ELSE rtrim(substr(trim(text, ' '), 1, 77), ' ') || '...' END AS label FROM documents")
+def display_labels(spark, d):
+    return table(spark, d, "documents").select("doc_id", Y.number_count(F.col("text")).cast("int").alias("numbers"), Y.shorten(F.col("text")).alias("label"))
+
+
+# --- clustering in context ---
+
+_NEWS = f"""n AS (SELECT article_id AS id, epoch(published_at) AS at, CASE WHEN article_id % 4 <> 0 THEN 'T' || (user_id % 300) ELSE '' END AS ticker, sector = 'error' AS unmapped, sentiment_score AS score, ['w' || (article_id % 50), 'v' || (user_id % 20)] AS k FROM art)"""
+
+
+def _news(spark, d) -> DataFrame:
+    i, u = F.col("article_id"), F.col("user_id")
+    a = articles(spark, d).withColumns({"title": F.concat(F.lit("w"), i % 50, F.lit(" v"), u % 20), "summary": F.lit(""), "tickers": F.when(i % 4 != 0, F.concat(F.lit("T"), u % 300)).otherwise(""), "sector": F.when(F.col("sector") == "error", "Unmapped").otherwise(F.col("sector")), "event_id": F.col("event_key")})
+    return a
+
+
+_CONTEXT = f"""{_NEWS}, c AS (SELECT x.id AS a, y.id AS b, false AS strict, x.k AS xk, y.k AS yk, x.score AS xs, y.score AS ys FROM n x JOIN n y ON x.ticker = y.ticker AND x.ticker <> '' AND x.id < y.id AND abs(x.at - y.at) <= 172800
+    UNION ALL SELECT x.id, y.id, true, x.k, y.k, x.score, y.score FROM n x JOIN n y ON x.ticker = '' AND y.ticker = '' AND x.unmapped AND y.unmapped AND x.id < y.id AND abs(x.at - y.at) <= 172800 AND list_has_any(x.k, y.k))"""
+
+
+@query(f"WITH {ART}, {_CONTEXT} SELECT a, b, strict FROM c")
+def context_pairs(spark, d):
+    return C.candidate_pairs(C.prepared(_news(spark, d), ["the"]))
+
+
+@query(
+    f"""WITH {ART}, {_CONTEXT}, s AS (SELECT *, len(list_intersect(xk, yk)) / len(list_distinct(list_concat(xk, yk))) AS similarity FROM c)
+    SELECT a, b, round(similarity, 6) AS similarity FROM s WHERE similarity >= CASE WHEN strict THEN 0.55 ELSE 0.4 END AND NOT (xs > 0.3 AND ys < -0.3) AND NOT (ys > 0.3 AND xs < -0.3)"""
+)
+def similar_context_pairs(spark, d):
+    rows = C.prepared(_news(spark, d), ["the"])
+    return rounded(C.similar_pairs(C.candidate_pairs(rows), rows))
+
+
+@query(f"WITH {ART} SELECT article_id, first(article_id) OVER (PARTITION BY event_key ORDER BY agg_weight DESC, article_id) AS event_id, (SELECT count(DISTINCT b.source) FROM art b WHERE b.event_key = a.event_key) AS source_count FROM art a")
+def event_assignment(spark, d):
+    a = articles(spark, d)
+    return C.assigned(a, a.select(F.col("article_id").alias("id"), F.col("event_key").alias("cluster"))).select("article_id", "event_id", F.col("source_count").cast("long").alias("source_count"))
+
+
+@query(f"WITH {ART} SELECT user_id AS event_id, count(*) AS articles, round(epoch(max(published_at) - min(published_at)) / 3600, 6) AS hours, epoch(max(published_at) - min(published_at)) / 3600 > 72 AS over_span FROM art GROUP BY 1")
+def cluster_diagnostics(spark, d):
+    return rounded(C.diagnostics(articles(spark, d).withColumn("event_id", F.col("user_id"))))
+
+
+@query(None)
+def context_clusters(spark, d):
+    """Events of all articles by shared tickers and words; held against a plain greedy version in the tests."""
+    return C.cluster_articles(_news(spark, d), ["the"]).select("article_id", "event_id", "source_count")
+
+
+# --- brief, labels and sources ---
+
+
+@query(f"WITH {_metrics_sql(config.ENHANCED)}, u AS (SELECT sector, unnest([{', '.join(f"{{'metric': '{m}', 'score': round({m}, 6)}}" for m in config.METRICS)}]) AS u FROM met) SELECT sector, u.metric AS metric, u.score AS score, row_number() OVER (PARTITION BY u.metric ORDER BY u.score DESC, sector) AS place FROM u")
+def brief_rankings(spark, d):
+    rows = rounded(M.sector_metrics(spark, articles(spark, d), config.ENHANCED))
+    return B.rankings(rows).select("sector", "metric", "score", F.col("place").cast("long").alias("place"))
+
+
+@query(f"SELECT * FROM (WITH {_metrics_sql(config.BASELINE)} SELECT 'baseline' AS formula_version, sum(articles)::BIGINT AS article_count, {', '.join(f'round(avg({m}), 6) AS {m}' for m in config.METRICS)} FROM met) UNION ALL SELECT * FROM (WITH {_metrics_sql(config.ENHANCED)} SELECT 'enhanced', sum(articles)::BIGINT, {', '.join(f'round(avg({m}), 6)' for m in config.METRICS)} FROM met)")
+def market_snapshot(spark, d):
+    _, market = Z.snapshot_rows(spark, articles(spark, d), "real", dt.datetime(2024, 2, 1))
+    return rounded(market.select("formula_version", F.col("article_count").cast("long").alias("article_count"), *config.METRICS))
+
+
+@query(f"WITH {ART} SELECT count(*) AS articles, min(published_at) AS first, max(published_at) AS last, count(DISTINCT publisher) AS publishers FROM art")
+def brief_coverage(spark, d):
+    return B.coverage(articles(spark, d))
+
+
+@query(f"WITH {ART}, x AS (SELECT sector, day, sum(agg_weight) AS v FROM art WHERE day < DATE '2024-01-20' GROUP BY 1, 2) SELECT sector, day AS snapshot_date, round(v, 6) AS v FROM x WHERE day = (SELECT max(day) FROM x)")
+def previous_snapshot(spark, d):
+    daily = articles(spark, d).groupBy("sector", F.col("day").alias("snapshot_date")).agg(F.sum("agg_weight").alias("v")).withColumn("snapshot_timestamp", F.lit("t"))
+    return rounded(B.previous(daily, F.lit("2024-01-20").cast("date"), ["sector"]).select("sector", "snapshot_date", "v"))
+
+
+@query(f"WITH {ART} SELECT day, sector, count(*) AS n FROM art WHERE day > (SELECT max(day) FROM art) - 5 GROUP BY 1, 2")
+def trend_days(spark, d):
+    return Z.trend(articles(spark, d).groupBy("day", "sector").agg(F.count("*").alias("n")), 5, "day")
+
+
+@query(f"WITH {PRED}, l AS (SELECT unnest(['positive','neutral','negative']) AS label), m AS (SELECT 'model' AS model, actual, predicted FROM pr UNION ALL SELECT 'all neutral', actual, 'neutral' FROM pr), f AS (SELECT model, label, coalesce(2.0 * count(*) FILTER (actual = label AND predicted = label) / nullif(count(*) FILTER (actual = label) + count(*) FILTER (predicted = label), 0), 0) AS f1 FROM m, l GROUP BY 1, 2), g AS (SELECT model, avg(f1) AS macro_f1 FROM f GROUP BY 1) SELECT m.model, count(*) AS n, round(avg((actual = predicted)::INT), 6) AS accuracy, round(any_value(macro_f1), 6) AS macro_f1 FROM m JOIN g ON m.model = g.model GROUP BY 1")
+def model_comparison(spark, d):
+    return rounded(A.comparison(_predicted(spark, d), spark, "actual", {"model": F.col("predicted"), "all neutral": F.lit("neutral")}))
+
+
+@query(f"WITH {PRED} SELECT 'model' AS name, count(*) AS n, count(*) FILTER (actual = predicted) AS correct, round(avg((actual = predicted)::INT), 6) AS accuracy FROM pr WHERE article_id % 3 <> 0")
+def accuracy_row(spark, d):
+    rows = _predicted(spark, d).withColumn("actual", F.when(F.col("article_id") % 3 != 0, F.upper("actual")).otherwise(" "))
+    return rounded(A.accuracy(rows, "actual", "predicted", "model"))
+
+
+RISKS = sorted(config.RISK_SEVERITY)
+
+
+@query(
+    f"""WITH {ART}, l AS (SELECT unnest(range({len(RISKS)})) AS i, unnest({RISKS}) AS label), f AS (SELECT label, article_id % 10 = i OR user_id % 10 = i AS t, article_id % 7 = i OR user_id % 10 = i AS p FROM art, l), c AS (SELECT label, count(*) FILTER (t AND p) AS tp, count(*) FILTER (t) AS support, count(*) FILTER (p) AS g FROM f GROUP BY 1)
+    SELECT label, round(coalesce(tp / nullif(g, 0), 0), 6) AS precision, round(coalesce(tp / nullif(support, 0), 0), 6) AS recall, round(coalesce(2.0 * tp / nullif(g + support, 0), 0), 6) AS f1, support FROM c"""
+)
+def risk_report(spark, d):
+    names = F.array(*(F.lit(r) for r in RISKS))
+    pick = lambda i, j: F.concat_ws(";", F.element_at(names, (i + 1).cast("int")), F.element_at(names, (j + 1).cast("int")))
+    i, u = F.col("article_id"), F.col("user_id")
+    return rounded(A.risk_report(articles(spark, d).select(pick(i % 10, u % 10).alias("t"), pick(i % 7, u % 10).alias("p")), "t", "p", RISKS, spark))
+
+
+@query("SELECT count(*) FILTER (lang <> '') + count(*) FILTER (source <> '') AS completed FROM documents")
+def completed_cells(spark, d):
+    return A.completed_cells(table(spark, d, "documents"), ("lang", "source"))
+
+
+@query("SELECT source, count(*) AS parsed, count(l.doc_id) AS new FROM documents JOIN (SELECT doc_id AS k FROM documents) ON k = documents.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = documents.doc_id GROUP BY 1")
+def collection_stats(spark, d):
+    return K.stats(table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "source"), table(spark, d, "labels").select(F.col("doc_id").alias("article_id")))

@@ -246,3 +246,30 @@ def test_demo_batch(spark):
     got = {r.article_id: r for r in out.collect()}
     assert sum(r.dedup_status == "duplicate" for r in got.values()) == 2 and got["demo-0010"].dedup_factor == "0.3" and all(r.processing_error is None for r in got.values())
     assert C.cluster_articles(out, []).count() == 24
+
+
+def test_context_clusters_against_plain_greedy(spark):
+    from quillmesh import registry
+
+    rows = registry._news(spark, SF).selectExpr("article_id", "unix_micros(cast(published_at as timestamp)) / 1e6 AS at", "title", "tickers", "sector", "sentiment_score", "agg_weight", "source").collect()
+    rows.sort(key=lambda r: (r["at"], r["article_id"]))
+    words = {r["article_id"]: set(r["title"].split()) for r in rows}
+    cluster = {r["article_id"]: [r] for r in rows}
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            if y["at"] - x["at"] > 48 * 3600:
+                break
+            strict = not x["tickers"] and not y["tickers"] and x["sector"] == y["sector"] == "Unmapped"
+            if not strict and not (x["tickers"] and x["tickers"] == y["tickers"]):
+                continue
+            a, b = words[x["article_id"]], words[y["article_id"]]
+            if len(a & b) / len(a | b) < (0.55 if strict else 0.4) or max(x["sentiment_score"], y["sentiment_score"]) > 0.3 and min(x["sentiment_score"], y["sentiment_score"]) < -0.3:
+                continue
+            one, two = cluster[x["article_id"]], cluster[y["article_id"]]
+            if one is not two and max(r["at"] for r in one + two) - min(r["at"] for r in one + two) <= 72 * 3600:
+                one += two
+                for r in two:
+                    cluster[r["article_id"]] = one
+    want = {k: (min(v, key=lambda r: (-r["agg_weight"], r["article_id"]))["article_id"], len({r["source"] for r in v})) for k, v in cluster.items()}
+    got = {r.article_id: (r.event_id, r.source_count) for r in registry.queries()["context_clusters"](spark, SF).collect()}
+    assert got == want and any(len(v) > 1 for v in cluster.values())
