@@ -45,13 +45,15 @@ def expand(data: bytes) -> bytes:
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Arrays into compressed bytes; integers are stored as byte planes so that small values shrink."""
+    """Arrays into compressed bytes; integers are stored as byte planes, without those above their greatest value."""
     parts = [struct.pack("<i", len(arrays))]
     for a in arrays:
         a = np.ascontiguousarray(a)
-        kind = a.dtype.str.encode().ljust(8)
-        body = a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if a.itemsize > 1 else a.tobytes()
-        parts += [kind, struct.pack("<q", len(a)), body]
+        planes = a.itemsize
+        if planes > 1 and a.dtype.kind in "iu" and len(a):
+            planes = max(1, (int(a.view(f"<u{planes}").max()).bit_length() + 7) // 8)
+        body = a.view(np.uint8).reshape(len(a), a.itemsize)[:, :planes].T.tobytes() if a.itemsize > 1 else a.tobytes()
+        parts += [a.dtype.str.encode().ljust(7), struct.pack("<Bq", planes, len(a)), body]
     return squeeze(b"".join(parts))
 
 
@@ -59,12 +61,17 @@ def unpack_arrays(data: bytes) -> list[np.ndarray]:
     data = expand(data)
     (count,), at, out = struct.unpack_from("<i", data), 4, []
     for _ in range(count):
-        kind = np.dtype(data[at : at + 8].strip().decode())
-        (n,) = struct.unpack_from("<q", data, at + 8)
+        kind = np.dtype(data[at : at + 7].strip().decode())
+        planes, n = struct.unpack_from("<Bq", data, at + 7)
         at += 16
-        raw = np.frombuffer(data, np.uint8, n * kind.itemsize, at)
-        at += n * kind.itemsize
-        out.append(np.ascontiguousarray(raw.reshape(kind.itemsize, n).T).view(kind).reshape(n) if n else np.zeros(0, kind))
+        raw = np.frombuffer(data, np.uint8, n * planes, at).reshape(planes, n)
+        at += n * planes
+        if planes == kind.itemsize:
+            whole = np.ascontiguousarray(raw.T)
+        else:
+            whole = np.zeros((n, kind.itemsize), np.uint8)
+            whole[:, :planes] = raw.T
+        out.append(whole.view(kind).reshape(n) if n else np.zeros(0, kind))
     return out
 
 
