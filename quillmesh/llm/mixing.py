@@ -11,8 +11,8 @@ all that is done to documents is a partial aggregation before and a join with th
 
 Defined cases: null source, language and text are values of their own ("" for source and language); null and empty texts
 have no tokens and probability 1 (they cost nothing); null doc_id is drawn by its text alone; repeated rows share a draw;
-marginals that cannot all be met (empty cells) are fitted as far as ``ROUNDS`` allow; an empty table gives no rows;
-other columns are ignored.
+marginals that cannot all be met (empty cells) are fitted for ``ROUNDS`` rounds, and the gap left is a column of the
+cells; an empty table gives no rows; other columns are ignored, but for mix_* columns, whose names are the operator's.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from quillmesh.llm.work import Work
 
 DIMENSIONS = ("source", "lang", "topic")
 BUDGET, TEMPER, SEED = 0.7, 0.5, "mix-1"
-STEPS, ROUNDS, CLOSE = 4, 6, 1e-6
+STEPS, ROUNDS, CLOSE = 4, 50, 1e-6
 
 
 def token_count(text: Column) -> Column:
@@ -73,11 +73,13 @@ def _targets(cells: DataFrame, targets: dict[str, dict[str, float]] | None, temp
 
 
 def raked_cells(work: Work, told: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, temper: float = TEMPER) -> DataFrame:
-    """(source, lang, topic, tokens, weight, probability): weight is the cell's share of the mix."""
+    """(source, lang, topic, tokens, weight, probability, gap): weight is the cell's share of the mix, gap how far the
+    worst marginal is from its target."""
     counted = told.groupBy(*(F.col(f"mix_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("mix_tokens").cast("double").alias("tokens")).where("tokens > 0")
     cells = _targets(counted.coalesce(1), targets, temper)
     everything = Window.partitionBy(F.lit(1))
     cells = work.save(cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(everything)), "cells-0")
+    gap = None
     for step in range(1, ROUNDS + 1):
         now = cells.coalesce(1)
         for _ in range(STEPS):
@@ -98,7 +100,7 @@ def raked_cells(work: Work, told: DataFrame, targets: dict[str, dict[str, float]
         used = F.sum(F.when(full, F.col("tokens")).otherwise(0.0)).over(everything)
         now = now.withColumn("factor", F.greatest(F.col("factor"), F.coalesce(F.try_divide(budget * total - used, free), F.lit(0.0))))
     probability = F.round(F.least(F.lit(1.0), F.col("factor") * F.col("grain")), 9)
-    return work.save(now.select(*DIMENSIONS, "tokens", "weight", probability.alias("probability")), "raked")
+    return work.save(now.select(*DIMENSIONS, "tokens", "weight", probability.alias("probability"), F.lit(float(gap or 0.0)).alias("gap")), "raked")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, temper: float = TEMPER) -> DataFrame:

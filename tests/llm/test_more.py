@@ -155,7 +155,7 @@ def test_raking(spark, docs):
     for c in cells:
         assert c["weight"] == pytest.approx(weight[c["source"], c["lang"], c["topic"]], abs=1e-4)
     assert sum(c["probability"] * c["tokens"] for c in cells) == pytest.approx(0.5 * sum(tokens.values()), rel=1e-3)
-    assert all(0 < c["probability"] <= 1 for c in cells)
+    assert all(0 < c["probability"] <= 1 and c["gap"] < mixing.CLOSE for c in cells)
 
 
 def test_sampling_keeps_columns(spark, docs, odd):
