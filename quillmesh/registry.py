@@ -5,6 +5,7 @@ Floating results are rounded to six digits on both sides, as sums depend on orde
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from collections.abc import Callable
 
@@ -1092,3 +1093,153 @@ def completed_cells(spark, d):
 @query("SELECT source, count(*) AS parsed, count(l.doc_id) AS new FROM documents JOIN (SELECT doc_id AS k FROM documents) ON k = documents.doc_id LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = documents.doc_id GROUP BY 1")
 def collection_stats(spark, d):
     return K.stats(table(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "source"), table(spark, d, "labels").select(F.col("doc_id").alias("article_id")))
+
+
+# --- lists, evidence, display and backfills of the library's functions ---
+
+
+@query(r"SELECT event_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(upper('t' || event_id % 7 || '; T' || user_id % 5 || ',' || event_type || '|'), '[;,|\s]+'), lambda x: x <> ''))), ';') AS tickers FROM events")
+def ticker_lists(spark, d):
+    text = F.concat(F.lit("t"), F.col("event_id") % 7, F.lit("; T"), F.col("user_id") % 5, F.lit(","), "event_type", F.lit("|"))
+    return table(spark, d, "events").select("event_id", F.array_join(F.array_sort(V.tickers(text)), ";").alias("tickers"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'u' || user_id WHEN user_id % 2 = 0 THEN 'second ' || user_id ELSE event_type END AS evidence,
+    CASE WHEN event_id % 4 = 0 THEN 'own' WHEN event_id % 4 = 1 THEN 'field' ELSE 'feed' || user_id END AS publisher FROM events""")
+def evidence_choice(spark, d):
+    i, title, user = F.col("event_id"), F.col("event_type"), F.col("user_id")
+    first = F.when(i % 3 == 0, F.upper(title)).when(i % 3 == 1, F.concat(title, F.lit(": u"), user)).otherwise(" ")
+    second = F.when(user % 2 == 0, F.concat(F.lit("second "), user))
+    own, field = F.when(i % 4 == 0, " own "), F.when(i % 4 < 2, "field")
+    return table(spark, d, "events").select("event_id", V.chosen(title, first, second).alias("evidence"), V.publisher(own, field, F.concat(F.lit("feed"), user)).alias("publisher"))
+
+
+@query(
+    f"""WITH {ART} SELECT article_id, CASE WHEN article_id % 10 = 0 THEN 0 ELSE round(risk_intensity / 4, 1) END AS metric,
+    ':' || CASE WHEN sentiment_score > 0.05 THEN 'green[positive ' WHEN sentiment_score < -0.05 THEN 'red[negative ' ELSE 'gray[neutral ' END || printf('%+.2f', sentiment_score) || ']' AS badge,
+    CASE WHEN article_id % 2 = 0 THEN '[\\[' || sector || '\\]](https://x/' || user_id || ')' ELSE '\\[' || sector || '\\]' END AS link FROM art"""
+)
+def score_display(spark, d):
+    title, url = F.concat(F.lit("["), "sector", F.lit("]")), F.concat(F.when(F.col("article_id") % 2 == 0, "https://x/").otherwise("mailto:"), "user_id")
+    value = F.when(F.col("article_id") % 10 != 0, F.col("risk_intensity") / 4)
+    return articles(spark, d).select("article_id", Y.metric(value).alias("metric"), Y.badge(F.col("sentiment_score")).alias("badge"), Y.markdown_link(title, url).alias("link"))
+
+
+@query(
+    f"""WITH {ART} SELECT article_id, CASE WHEN bad THEN 0 ELSE sentiment_score END AS sentiment_score, CASE WHEN bad THEN 1 ELSE round(p_neutral, 6) END AS p_neutral, CASE WHEN bad THEN 0 ELSE round(agg_weight, 6) END AS agg_weight,
+    CASE WHEN bad AND article_id % 2 = 0 THEN 'Unmapped' ELSE 'known' || article_id % 2 END AS sector FROM (SELECT *, article_id % 5 = 0 AS bad FROM art)"""
+)
+def degraded_rows(spark, d):
+    error, sector = F.when(F.col("article_id") % 5 == 0, "failed"), F.when((F.col("article_id") % 10 == 0), " ").otherwise(F.concat(F.lit("known"), F.col("article_id") % 2))
+    rows = articles(spark, d).withColumns({"processing_error": error, "sector": sector})
+    return rounded(N.degraded(rows).select("article_id", "sentiment_score", "p_neutral", "agg_weight", "sector"))
+
+
+@query(
+    f"""WITH {ART} SELECT article_id, CASE WHEN NOT lacks THEN b_bull WHEN article_id % 3 = 0 THEN 1 ELSE 0 END AS b_bull, CASE WHEN NOT lacks THEN b_bear WHEN article_id % 3 = 1 THEN 1 ELSE 0 END AS b_bear,
+    CASE WHEN lacks THEN 0 ELSE g_growth END AS g_growth, round(entropy_norm, 6) AS entropy_norm FROM (SELECT *, article_id % 5 = 0 AS lacks FROM art)"""
+)
+def component_backfill(spark, d):
+    i = F.col("article_id")
+    title = F.when(i % 3 == 0, "rise of shares").when(i % 3 == 1, "Fall der shares").otherwise("rise of shares and bonds")
+    rows = articles(spark, d).withColumns({"title": title, "b_bull": F.when(i % 5 != 0, F.col("b_bull"))})
+    return rounded(N.backfill_components(rows, WORDS).select("article_id", "b_bull", "b_bear", "g_growth", "entropy_norm"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 5 > 0 AND event_id % 3 > 0 THEN 'full' WHEN event_id % 2 = 0 THEN 'general market sentiment' ELSE 'own' END AS topic,
+    concat_ws(';', CASE WHEN event_id % 4 < 2 THEN 'x:' || greatest(event_id % 7, CASE WHEN event_id % 5 > 0 THEN user_id % 7 ELSE 0 END) WHEN event_id % 5 > 0 THEN 'x:' || user_id % 7 END, CASE WHEN event_id % 5 > 0 AND user_id % 2 = 0 THEN 'y:3' END) AS risks,
+    CASE WHEN event_id % 5 > 0 AND (event_id % 4 >= 2 OR user_id % 2 = 0) THEN 'in full' WHEN event_id % 4 < 2 THEN 'in summary' ELSE '' END AS evidence FROM events"""
+)
+def merged_tags(spark, d):
+    i, u = F.col("event_id"), F.col("user_id")
+    risk = lambda name, strength, where: F.struct(F.lit(name).alias("category"), F.lit(2.0).alias("severity"), strength.cast("double").alias("strength"), F.lit(where).alias("evidence"))
+    none = F.expr(N._NO_RISKS)
+    own = F.struct(F.when(i % 2 == 0, N.GENERAL).otherwise("own").alias("topic"), F.lit("").alias("hint"), F.when(i % 4 < 2, F.array(risk("x", i % 7, "in summary"))).otherwise(none).alias("risks"))
+    more = F.when(u % 2 == 0, F.array(risk("x", u % 7, "in full"), risk("y", F.lit(3), "in full"))).otherwise(F.array(risk("x", u % 7, "in full")))
+    full = F.struct(F.when(i % 3 > 0, "full").otherwise(N.GENERAL).alias("topic"), F.lit("").alias("hint"), more.alias("risks"))
+    rows = table(spark, d, "events").select("event_id", own.alias("own"), full.alias("full"), (i % 5 > 0).alias("has"))
+    tags = rows.select("event_id", N.merged_tags(F.col("own"), F.col("full"), F.col("has")).alias("t"))
+    told = F.transform("t.risks", lambda r: F.concat(r["category"], F.lit(":"), r["strength"].cast("int")))
+    return tags.select("event_id", "t.topic", F.array_join(told, ";").alias("risks"), "t.evidence")
+
+
+@query("SELECT doc_id::VARCHAR AS article_id, CASE WHEN doc_id % 3 = 0 THEN 'own' WHEN doc_id % 4 = 0 AND doc_id % 5 > 0 THEN 'cached ' || doc_id ELSE '' END AS body_text FROM documents")
+def cache_restore(spark, d):
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").select(i, i.cast("string").alias("article_id"))
+    status, body = F.when(i % 4 == 0, "ok").otherwise("failed"), F.when(i % 5 > 0, F.concat(F.lit("cached "), i)).otherwise(" ")
+    cache = docs.select("article_id", status.alias("status"), body.alias("body_text"))
+    return N.restore_bodies(docs.select("article_id", F.when(i % 3 == 0, "own").otherwise("").alias("body_text")), cache)
+
+
+@query("SELECT doc_id::VARCHAR AS article_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents")
+def replaced_rows(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "doc_id")
+    new = docs.where("doc_id % 3 = 0").select("article_id", F.lit("new").alias("state"))
+    return N.replace_rows(docs.select("article_id", F.lit("old").alias("state")), new)
+
+
+@query(f"SELECT doc_id, CASE WHEN contains({PADDED.format('text')}, ' of ') THEN 'of' ELSE '' END AS b_bull, CASE WHEN contains({PADDED.format('text')}, ' der ') THEN 'der' ELSE '' END AS b_bear, 0 AS k_unc FROM documents")
+def matched_signals(spark, d):
+    found = table(spark, d, "documents").select("doc_id", N.matched_signals(F.col("text"), WORDS).alias("m"))
+    return found.select("doc_id", F.array_join("m.b_bull", ";").alias("b_bull"), F.array_join("m.b_bear", ";").alias("b_bear"), F.size("m.k_unc").alias("k_unc"))
+
+
+def _entries(spark, d) -> DataFrame:
+    """Documents as entries of three feeds; a third of them repeat an address and title of another feed."""
+    i = F.col("doc_id")
+    names = {"feed": F.concat(F.lit("f"), i % 3), "link": F.concat(F.lit("http://x/"), (i / 2).cast("long")), "title": F.concat(F.lit("t <b>"), (i / 2).cast("long"), F.lit("</b>")), "source": F.when(i % 2 == 0, F.concat(F.lit("p"), i % 4))}
+    plain = {"summary": F.lit(""), "publisher": F.lit(None).cast("string"), "published": F.lit("2024-01-05T00:00:00Z"), "weight": F.lit(1.0), "sector": F.lit(""), "ticker": F.concat(F.lit("T"), i % 5), "place": (i / 3).cast("int"), "max_entries": F.lit(200)}
+    return table(spark, d, "documents").select(*(v.alias(k) for k, v in (names | plain).items()))
+
+
+_ENTRIES = "e AS (SELECT 'http://x/' || doc_id // 2 AS url, 't ' || doc_id // 2 AS title, 'f' || doc_id % 3 AS source, CASE WHEN doc_id % 2 = 0 THEN 'p' || doc_id % 4 ELSE 'f' || doc_id % 3 END AS publisher, 'T' || doc_id % 5 AS ticker, doc_id // 3 AS place FROM documents WHERE doc_id // 3 < 200)"
+
+
+@query(f"WITH {_ENTRIES} SELECT 'rss-' || left(sha1(url || '|' || title), 16) AS article_id, title, source, publisher, '2024-01-05T00:00:00+00:00' AS published_at FROM e")
+def feed_records(spark, d):
+    return K.records(_entries(spark, d), "2024-02-01T00:00:00Z").select("article_id", "title", "source", "publisher", "published_at")
+
+
+@query(f"WITH {_ENTRIES} SELECT url, array_to_string(list_sort(list(DISTINCT source)), ';') AS sources, array_to_string(list_sort(list(DISTINCT ticker)), ';') AS tickers FROM e GROUP BY 1")
+def collected_records(spark, d):
+    rows = K.collected(K.records(_entries(spark, d), "2024-02-01T00:00:00Z"))
+    return rows.select("url", *(F.array_join(F.array_sort(X.split_values(F.col(c))), ";").alias(n) for c, n in (("source", "sources"), ("tickers", "tickers"))))
+
+
+@query("SELECT 'plain' AS feed, 'http://x/all' AS url, '' AS ticker UNION ALL SELECT DISTINCT 'by ticker', 'http://x/T' || c_nationkey, 'T' || c_nationkey FROM customer")
+def feed_expansion(spark, d):
+    told = [{"name": "plain", "kind": "market", "url": "http://x/all"}, {"name": "by ticker", "kind": "ticker", "url": "http://x/{ticker}"}, {"name": "off", "kind": "market", "url": "http://x/off", "enabled": False}]
+    companies = table(spark, d, "customer").select(F.concat(F.lit("T"), "c_nationkey").alias("ticker"), F.lit("s").alias("sector"))
+    return K.expanded(spark, K.checked(told), companies).select("feed", "url", "ticker")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'own' END AS publisher, '1.0' AS source_weight, CASE WHEN doc_id % 3 = 0 THEN 'fulltext' ELSE 'summary' END AS content_level FROM documents")
+def raw_defaults(spark, d):
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select(i, "source", F.when(i % 2 == 0, " ").otherwise("own").alias("publisher"), F.when(i % 3 == 0, "body").alias("body_text"))
+    return K.raw_articles(rows).select("doc_id", "publisher", "source_weight", "content_level")
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' WHEN 2 THEN 'neutral' WHEN 3 THEN 'positive' ELSE '' END AS label, CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN false END AS answer FROM events")
+def label_aliases(spark, d):
+    spelled = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", A.sentiment_of(spelled([" POS ", "负面", "Neu", "positive", "good", ""])).alias("label"), A.answer_of(spelled(["Yes", "n", "maybe", " "])).alias("answer"))
+
+
+@query(
+    f"""WITH {ART}, e AS (SELECT *, count(*) OVER (PARTITION BY event_key) AS reports, row_number() OVER (PARTITION BY event_key ORDER BY agg_weight DESC, article_id) AS place FROM art),
+    p AS (SELECT *, (article_id % 11 = 0)::INT * 8 + (reports > 1 AND place = 1)::INT * 4 + (risk_intensity >= 60)::INT * 2 + (abs(sentiment_score) >= 0.5)::INT AS priority FROM e WHERE day = DATE '2024-01-15'),
+    c AS (SELECT *, row_number() OVER (PARTITION BY user_id % 200 ORDER BY priority DESC, risk_intensity DESC, abs(sentiment_score) DESC, agg_weight DESC, article_id) AS same FROM p
+        WHERE priority > 0 AND article_id % 3 <> 1 AND source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6') AND article_id % 13 <> 0 AND user_id % 200 <> 7)
+    SELECT article_id, priority FROM c WHERE same = 1 ORDER BY priority DESC, risk_intensity DESC, abs(sentiment_score) DESC, agg_weight DESC, article_id LIMIT 30"""
+)
+def reading_list(spark, d):
+    """The articles of one day worth reading whole, the first 30: web pages of allowed sources that no cache holds."""
+    i = F.col("article_id")
+    scheme = F.when(i % 3 == 1, "ftp://x/").otherwise("https://x/")
+    a = articles(spark, d).withColumns({"event_id": F.col("event_key"), "title": F.concat(F.lit("t"), F.col("user_id") % 200), "url": F.concat(scheme, i), "content_level": F.lit("summary"), "published_at": F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss")})
+    cache = a.where(i % 13 == 0).select("article_id", F.lit("").alias("url"), F.lit("").alias("title")).union(spark.createDataFrame([(-1, "", "T7!")], "article_id long, url string, title string"))
+    words = dataclasses.replace(WORDS, fulltext_sources=[f"src{k}" for k in range(1, 7)])
+    return N.fulltext_candidates(a, a.where(i % 11 == 0), cache, F.lit("2024-01-15").cast("date"), words).select("article_id", "priority")
