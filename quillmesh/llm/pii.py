@@ -236,7 +236,7 @@ def scan(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tu
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, list[int]] = {k: [] for k in KINDS}
-        digests, every, extra = [], [], []
+        digests, every, extra, total = [], [], [], []
         for text in batch.column(1).to_pylist():
             base, added = scan(text or "")
             line = ",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in base[k])
@@ -244,14 +244,16 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             more = sum(map(len, added.values()))
             every.append(",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in sorted(base[k] + added[k])) if more else line)
             extra.append(more)
+            total.append(more + sum(map(len, base.values())))
             for k in KINDS:
                 counts[k].append(len(base[k]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(every, pa.string()), pa.array(extra, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_disguised"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(every, pa.string()), pa.array(extra, pa.int64()), pa.array(total, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_disguised", "n_spans"])
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
+    """Plain spans by kind, their digest, all spans, and how many of them are disguised (``n_disguised``) and in all."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(_rows), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long")
+    return rows.mapInArrow(tidy(_rows), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long, n_spans long")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

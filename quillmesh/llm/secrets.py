@@ -121,7 +121,7 @@ def scan(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[int, i
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, list[int]] = {k: [] for k in KINDS}
-        digests, every, extra = [], [], []
+        digests, every, extra, total = [], [], [], []
         for text in batch.column(1).to_pylist():
             base, added = scan(text or "")
             plain = sorted(((s, e, k) for k in KINDS for s, e in base[k]), key=lambda x: (x[0], ORDER[x[2]]))
@@ -129,14 +129,16 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.sha256(line.encode()).hexdigest())
             every.append(",".join(f"{k}:{s}:{e}" for s, e, k in sorted(plain + added, key=lambda x: (x[0], ORDER[x[2]]))) if added else line)
             extra.append(len(added))
+            total.append(len(plain) + len(added))
             for k in KINDS:
                 counts[k].append(len(base[k]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(every, pa.string()), pa.array(extra, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_linked"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(digests, pa.string()), pa.array(every, pa.string()), pa.array(extra, pa.int64()), pa.array(total, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_linked", "n_spans"])
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
+    """Plain spans by kind, their digest, all spans, and how many of them are linked (``n_linked``) and in all."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(_rows), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
+    return rows.mapInArrow(tidy(_rows), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long, n_spans long")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,7 +269,7 @@ class _Model:
                 context = longer
 
 
-OUT_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+OUT_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_per_token double"
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
@@ -295,6 +295,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, ho
     def rows(_: int, t: _Tokens, answers: dict) -> pa.Table:
         m, n = _Model(t, answers, sizes, buckets, gram_buckets, states, depth, hot), len(t)
         per_doc = lambda v: np.bincount(t.doc, v, n)
+        score = per_doc(np.log10(m.prob))
         known_words = per_doc((m.seen[t.token] > 0).astype(np.float64)).astype(np.int64)
         return pa.table(
             {
@@ -304,7 +305,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, depth: int = DEPTH, ho
                 "n_known": pa.array(known_words, pa.int64()),
                 "train_tokens": pa.array(np.full(n, sizes[0]), pa.int64()),
                 "base_score": pa.array(per_doc(np.log10(m.root)), pa.float64()),
-                "score": pa.array(per_doc(np.log10(m.prob)), pa.float64()),
+                "score": pa.array(score, pa.float64()),
+                "score_per_token": pa.array(score / np.maximum(t.lengths, 1), pa.float64()),
             }
         )
 

@@ -37,8 +37,9 @@ def unique(rows):
 def test_pii(docs, odd):
     for frame in (docs, odd):
         texts = sorted((r.doc_id or -99, *brute.pii(r.text)[0], brute.pii(r.text)[1]) for r in frame.collect())
-        got = sorted((r.doc_id or -99, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.find_pii(frame).collect())
-        assert got == texts
+        out = pii.find_pii(frame).collect()
+        assert sorted((r.doc_id or -99, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in out) == texts
+        assert all(r.n_spans == len(r.spans.split(",")) * (r.spans != "") == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_disguised for r in out)
 
 
 @pytest.mark.parametrize(
@@ -65,8 +66,9 @@ def test_clean_prose_gets_no_spans():
 def test_secrets(docs, odd):
     for frame in (docs, odd):
         want = sorted((r.doc_id or -99, *brute.secrets(r.text)[0], brute.secrets(r.text)[1]) for r in frame.collect())
-        got = sorted((r.doc_id or -99, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.find_secrets(frame).collect())
-        assert got == want
+        out = secrets.find_secrets(frame).collect()
+        assert sorted((r.doc_id or -99, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in out) == want
+        assert all(r.n_spans == len(r.spans.split(",")) * (r.spans != "") == r.n_assign + r.n_access + r.n_hex + r.n_linked for r in out)
 
 
 def test_weak_parts_need_each_other():

@@ -34,6 +34,7 @@ def test_scores(spark, docs, odd):
             held, n, known, total, score = base[r.doc_id]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
             assert r.base_score == pytest.approx(score, rel=1e-9) and r.score == pytest.approx(tree[r.doc_id], rel=1e-9)
+            assert r.score_per_token == pytest.approx(r.score / r.n_tokens, rel=1e-12)
 
 
 def test_hot_contexts_are_spread(spark, docs):
