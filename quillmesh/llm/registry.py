@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quillmesh.llm import decontamination, html_extract, jaccard_join, mixing, pii, quality_rules, secrets, suffix_dedup, suffix_tree_lm, token_output
+from quillmesh.llm import decontamination, html_extract, jaccard_join, mixing, pii, quality_rules, secrets, suffix_dedup, suffix_tree_lm, token_output, vector_codes
 
 QUERIES: dict[str, Callable] = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,9 @@ QUERIES: dict[str, Callable] = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_token_output": token_output.op10_token_output,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_vector_codes": vector_codes.sql(),
+}
