@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quillmesh.llm import decontamination, html_extract, jaccard_join, mixing, pii, quality_rules, secrets, suffix_dedup, suffix_tree_lm, token_output, vector_codes
+from quillmesh.llm import decontamination, html_extract, jaccard_join, mixing, pii, quality_rules, ranked_search, secrets, suffix_dedup, suffix_tree_lm, token_output, vector_codes
 
 QUERIES: dict[str, Callable] = {
     "op1_pii": pii.op1_pii,
@@ -18,8 +18,10 @@ QUERIES: dict[str, Callable] = {
     "op9_mixing": mixing.op9_mixing,
     "op10_token_output": token_output.op10_token_output,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
 }
 
 SQL: dict[str, str] = {
     "op11_vector_codes": vector_codes.sql(),
+    "op12_ranked_search": ranked_search.sql(),
 }
