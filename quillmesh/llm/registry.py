@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quillmesh.llm import decontamination, html_extract, jaccard_join, mixing, pii, quality_rules, ranked_search, secrets, suffix_dedup, suffix_tree_lm, token_output, vector_codes
+from quillmesh.llm import decontamination, html_extract, jaccard_join, mixing, pii, quality_rules, ranked_search, secrets, suffix_dedup, suffix_tree_lm, token_output, url_filter, vector_codes
 
 QUERIES: dict[str, Callable] = {
     "op1_pii": pii.op1_pii,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable] = {
     "op10_token_output": token_output.op10_token_output,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_url_filter": url_filter.op13_url_filter,
 }
 
 SQL: dict[str, str] = {
