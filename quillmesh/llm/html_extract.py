@@ -3,11 +3,16 @@
 A page is read into a tree of elements.  For each host a wrapper, a union-free regular expression over such trees, is
 inferred from a few of its pages: runs of siblings of one shape become a repeated group, then pages are aligned with the
 wrapper one after the other; children that a page or the wrapper lacks become optional, texts that differ become slots,
-texts that agree stay constants.  On the wrapper it is decided once per host which part is the article (an article or
-main element, else the part whose slots hold most text) and which are navigation, headers, footers, sidebars, notices,
-adverts, forms or comments.  A page is then matched against its host's wrapper and the article's slots are read out:
-lines that the wrapper has as a constant on every page are dropped.  An element that the wrapper has not seen is judged
-by its own name and classes, and a host with one page has no constants to tell.
+texts that agree stay constants, and so do whole elements that are the same on every page.  On the wrapper it is decided
+once per host which part is the article (an article or main element, else the part whose slots hold most text).  A page
+is then matched against its host's wrapper and read from that part on.
+
+What is left out: elements whose name (nav, footer, form, ...) or a whole class, id or role (``ad``, ``post-comments``,
+but not ``side-effects``) tells that they are no part of an article; a header inside the article stays if it has a
+heading and is not the same on all pages.  Where no article or main element tells the article's borders, the wrapper
+does: elements that are the same on all pages go if they stand before the first or after the last element that differs;
+never headings, nor anything between elements that differ, and nothing where the pages are versions of one text (they
+share half of the text of their paragraphs).  Inside an article or main element nothing that is shared goes.
 
 At most ``PAGES`` pages of a host, chosen by hash, make its wrapper (a documented bound); every page is extracted whole.
 Wrappers are joined to pages by host.
@@ -27,6 +32,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +51,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCK_CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 DROPPED = frozenset("nav header footer aside form script style noscript template button input select textarea iframe svg math dialog menu head title object embed canvas audio video".split())
-_DROPPED_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|side|aside|footer|foot|header|head|masthead|related|recommend\w*|share|sharing|social|comments?|replies|reply|disqus|login|search|widget|toolbar|pagination|pager|skip|toc|tags?)(?:$|[\s_-])", re.IGNORECASE)
+# Words of class names that tell what is no part of an article, and words that may stand beside them.
+_TELLING = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|side|aside|footer|foot|header|head|masthead|related|recommend\w*|share|sharing|social|comments?|replies|reply|disqus|login|search|widgets?|toolbar|pagination|pager|skip|toc|tags?")
+NEUTRAL = frozenset("area article bar block bottom box button buttons column container content entry form global group icons inner item items left line links list main media news outer page panel post posts primary right row secondary section site slot story text top unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Parts of an article that are named like parts of a page.
 _OWN_WORDS = re.compile(r"(?<![a-z])(?:article|post|entry|story|content)[_-](?:header|head|title|headline|body|text)(?![a-z])", re.IGNORECASE)
 _MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|post|story|entry|content|main|body|text)(?:$|[\s_-])", re.IGNORECASE)
@@ -128,14 +137,33 @@ def parse(page: str) -> Node:
     return root
 
 
+def telling(words: str) -> bool:
+    """Whether one of these class names is made of telling words, with neutral ones at most."""
+    for name in words.lower().split():
+        found = [bool(_TELLING.fullmatch(w)) or (None if w in NEUTRAL else False) for w in re.split(r"[_-]+", name) if w]
+        if True in found and False not in found:
+            return True
+    return False
+
+
 def dropped(name: str, words: str, hidden: bool = False) -> bool:
-    return name in DROPPED or hidden or bool(words and name not in ("article", "main") and _DROPPED_WORDS.search(_OWN_WORDS.sub("", words)))
+    return name in DROPPED or hidden or bool(words and name not in ("article", "main") and telling(_OWN_WORDS.sub("", words)))
+
 
+def prints(node: Node, known: dict[int, str] | None = None) -> str:
+    """What an element holds, as a hash."""
+    known = {} if known is None else known
+    if id(node) not in known:
+        parts = ["".join(entities.unescape(c).split()) if isinstance(c, str) else prints(c, known) for c in node.children if isinstance(c, str) or c.name not in RAW]
+        known[id(node)] = xxhash.xxh3_128_hexdigest("\0".join([node.label, *filter(None, parts)]))
+    return known[id(node)]
 
-# --- wrappers: [label, quantifier, children]; a text is ["#", quantifier, constant or None for a slot, characters] ---
 
+# --- wrappers: [label, quantifier, children, hash if the same everywhere]; a text is ["#", quantifier, constant or None for a slot, characters] ---
 
-def _shape(node: Node) -> list:
+
+def _shape(node: Node, known: dict[int, str] | None = None) -> list:
+    known = {} if known is None else known
     kids: list = []
     for c in node.children:
         if isinstance(c, str):
@@ -143,10 +171,10 @@ def _shape(node: Node) -> list:
             if text:
                 _append(kids, ["#", "1", text, len(text)])
         elif c.name not in INLINE:
-            _append(kids, _shape(c))
+            _append(kids, _shape(c, known))
         elif any(isinstance(x, Node) or x.strip() for x in c.children):
-            _append(kids, _shape(c))
-    return [node.label, "1", kids]
+            _append(kids, _shape(c, known))
+    return [node.label, "1", kids, prints(node, known)]
 
 
 def _append(kids: list, item: list) -> None:
@@ -167,7 +195,7 @@ def merge(a: list, b: list) -> list:
     """The least union-free expression of this form that covers both (of one label)."""
     if a[0] == "#":
         return ["#", _quantifier(a[1], b[1]), a[2] if a[2] == b[2] else None, max(a[3], b[3])]
-    return [a[0], _quantifier(a[1], b[1]), align(a[2], b[2])]
+    return [a[0], _quantifier(a[1], b[1]), align(a[2], b[2]), a[3] if a[3] == b[3] else None]
 
 
 def align(x: list, y: list) -> list:
@@ -230,7 +258,7 @@ def infer(pages: list[str]) -> list:
     for page in pages:
         shape = _shape(parse(page))
         wrapper = shape if wrapper is None else merge(wrapper, shape)
-    return wrapper or ["html", "1", []]
+    return wrapper or ["html", "1", [], None]
 
 
 def _split(label: str) -> tuple[str, str]:
@@ -266,84 +294,105 @@ def article_path(wrapper: list, many: bool = True) -> list[str]:
     return max(good, key=lambda f: (f[1], -len(f[2])))[2] if good else []
 
 
-def _bare(text: str) -> str:
-    return "".join(entities.unescape(text).split())
+def _paragraphs(node: Node, found: set[str]) -> set[str]:
+    for c in node.children:
+        if isinstance(c, Node):
+            if c.name in ("p", "blockquote", "pre", "td", "dd"):
+                found.add("".join(_texts(c)))
+            _paragraphs(c, found)
+    return found
 
 
-def _whole(w: list) -> str | None:
-    """The text of a part that is constant throughout and has no blocks in it, without white space."""
-    if w[0] == "#":
-        return None if w[2] is None else _bare(w[2])
-    parts = [_whole(c) if c[1] in "1+" and (c[0] == "#" or _split(c[0])[0] in INLINE) else None for c in w[2]]
-    return None if None in parts else "".join(parts)
+def _texts(node: Node) -> Iterator[str]:
+    for c in node.children:
+        if isinstance(c, str):
+            yield "".join(c.split())
+        elif c.name not in RAW:
+            yield from _texts(c)
 
 
-def _constants(w: list) -> set[str]:
-    """Texts that stand outside slots in a part's own lines, the same on every page of the wrapper, without white space."""
-    found = {_whole(w)}
-    if any(c[0] != "#" and _split(c[0])[0] not in INLINE for c in w[2]):
-        found |= {_whole(c) for c in w[2] if c[1] in "1+" and (c[0] == "#" or _split(c[0])[0] in INLINE)}
-    return found - {None, ""}
+def versions(pages: list[str]) -> bool:
+    """Whether the pages are versions of one text: all share half of the text of a page's paragraphs."""
+    each = [_paragraphs(parse(page), set()) for page in pages]
+    shared = sum(map(len, set.intersection(*each))) if each else 0
+    return len(each) > 1 and shared > 0 and 2 * shared >= min(sum(map(len, e)) for e in each)
 
 
 def extract(page: str, wrapper: list, path: list[str], many: bool = True) -> str:
-    """Main text of a page by its host's wrapper, which ``many`` pages made or one."""
+    """Main text of a page by its host's wrapper, which ``many`` pages of different texts made."""
     root = parse(page)
     start = [root]
     for label in path:
         start = [c for node in start for c in node.children if isinstance(c, Node) and c.label == label]
         at = next((w for w in wrapper[2] if w[0] == label), None)
-        wrapper = at or [label, "1", []]
+        wrapper = at or [label, "1", [], None]
     if not start or not any(_has_text(s) for s in start):
         shape = _shape(root)
-        own, many = article_path(shape, False), False
+        path, many = article_path(shape, False), False
         start, wrapper = [root], shape
-        for label in own:
+        for label in path:
             start = [c for node in start for c in node.children if isinstance(c, Node) and c.label == label]
             wrapper = next(w for w in wrapper[2] if w[0] == label)
     blocks: list[str] = []
     run: list[str] = []
+    known: dict[int, str] = {}
 
-    def flush(ws: list[list]) -> None:
+    def flush() -> None:
         text = " ".join(entities.unescape("".join(run)).split())
         run.clear()
-        if text and not (ws and "".join(text.split()) in constants(ws)):
+        if text:
             blocks.append(text)
 
-    known: dict[tuple[int, ...], set[str]] = {}
-
-    def constants(ws: list[list]) -> set[str]:
-        key = tuple(map(id, ws))
-        if key not in known:
-            known[key] = set().union(*map(_constants, ws))
-        return known[key]
-
-    def read(node: Node, ws: list[list]) -> None:
-        """``ws`` are the parts of the wrapper that ``node`` may stand for and that every page has."""
-        for c in node.children:
+    def same(c: Node, parts: dict[str, list]) -> bool:
+        """Whether a block is the same on all pages of the wrapper."""
+        return many and c.name not in INLINE and any(w[3] and w[3] == prints(c, known) for w in parts.get(c.label, ()))
+
+    def out(c: Node, parts: dict[str, list]) -> bool:
+        if path and not c.hidden and (c.name == "header" or c.name == "div" and "head" in c.words) and _has_heading(c) and not same(c, parts):
+            return False
+        return c.name in RAW or dropped(c.name, c.words, c.hidden)
+
+    def read(node: Node, ws: list[list], lead: bool, trail: bool) -> None:
+        """``ws`` are the parts of the wrapper that ``node`` may stand for and that every page has; ``lead`` and ``trail``:
+        nothing that differs comes before, or after."""
+        below: dict[str, list] = {}
+        for x in (x for w in ws for x in w[2] if x[0] != "#" and x[1] in "1+"):
+            below.setdefault(x[0], []).append(x)
+        kids = [c for c in node.children if isinstance(c, str) or not out(c, below)]
+        if lead or trail:
+            full = [k for k, c in enumerate(kids) if (c.strip() if isinstance(c, str) else _has_text(c))]
+            cut = [k for k in full if isinstance(kids[k], Node) and kids[k].name not in HEADINGS and same(kids[k], below)]
+            rest = sorted(set(full) - set(cut))
+            first, last = (rest[0], rest[-1]) if rest else (-1, len(kids))
+            gone = {k for k in cut if lead and k < first or trail and k > last}
+        else:
+            first, last, gone = -1, len(kids), set()
+        for k, c in enumerate(kids):
             if isinstance(c, str):
                 run.append(c)
-                continue
-            if c.name == "br":
+            elif c.name == "br":
                 run.append(" ")
-                continue
-            if c.name in RAW or dropped(c.name, c.words, c.hidden):
-                continue
-            inner = [x for w in ws for x in w[2] if x[0] == c.label and x[1] in "1+"]
-            if c.name in INLINE:
-                read(c, inner)
-            else:
-                flush(ws)
-                read(c, inner)
-                flush(inner)
-
-    for node in start:
-        ws = [wrapper] if many and _slots(wrapper) else []
-        read(node, ws)
-        flush(ws)
+            elif k not in gone:
+                inner = below.get(c.label, [])
+                edges = (lead and k == first, trail and k == last)
+                if c.name in INLINE:
+                    read(c, inner, *edges)
+                else:
+                    flush()
+                    read(c, inner, *edges)
+                    flush()
+
+    open_ends = many and bool(_slots(wrapper)) and not (path and _split(path[-1])[0] in ("article", "main"))
+    for k, node in enumerate(start):
+        read(node, [wrapper], open_ends and k == 0, open_ends and k == len(start) - 1)
+        flush()
     return "\n".join(blocks)
 
 
+def _has_heading(node: Node) -> bool:
+    return any(isinstance(c, Node) and (c.name in HEADINGS or _has_heading(c)) for c in node.children)
+
+
 def _has_text(node: Node) -> bool:
     return any(c.strip() if isinstance(c, str) else _has_text(c) for c in node.children)
 
@@ -354,8 +403,9 @@ def host_of(url: Column) -> Column:
 
 def _infer(table: pa.Table) -> pa.Table:
     order = sorted(zip(table.column("mark").to_pylist(), table.column("html").to_pylist(), strict=True))
-    wrapper = infer([h for _, h in order])
-    return pa.table({"host": table.column("host")[:1].cast(pa.string()), "wrapper": pa.array([json.dumps([wrapper, article_path(wrapper, len(order) > 1), len(order) > 1])], pa.string())})
+    texts = [h for _, h in order]
+    wrapper, many = infer(texts), len(texts) > 1 and not versions(texts)
+    return pa.table({"host": table.column("host")[:1].cast(pa.string()), "wrapper": pa.array([json.dumps([wrapper, article_path(wrapper, many), many])], pa.string())})
 
 
 def wrappers(pages: DataFrame, most: int = PAGES) -> DataFrame:
@@ -382,7 +432,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if wrapper not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[wrapper] = tuple(json.loads(wrapper)) if wrapper else (["html", "1", []], [], False)
+                known[wrapper] = tuple(json.loads(wrapper)) if wrapper else (["html", "1", [], None], [], False)
             texts.append(extract(page, *known[wrapper]) if page else "")
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -16,6 +16,50 @@ def test_constants_of_a_host_are_dropped(spark):
     assert "Title 9" in got[9] and "Tell your friends now" in got[9]
 
 
+def texts_of(spark, pages):
+    rows = [(n, f"http://host.of/{n}", page) for n, page in enumerate(pages)]
+    return [r.text for r in html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main>{}</main>", '<div class="entry">{}</div>', "<div>{}</div>", "{}"])
+def test_shared_headings_and_bylines_stay(spark, around):
+    page = around.replace("{}", "<h1>t{n}</h1><p class='by'>By our staff</p><h2>Summary</h2><p>a{n}</p><h2>Background</h2><p>b{n}</p><ul><li>one</li></ul><h2>Outlook</h2><p>c{n}</p>")
+    got = texts_of(spark, [page.replace("{n}", str(n)) for n in range(4)])
+    assert got == [f"t{n}\nBy our staff\nSummary\na{n}\nBackground\nb{n}\none\nOutlook\nc{n}" for n in range(4)]
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", '<div class="entry">{}</div>', "<div>{}</div>"])
+def test_versions_of_one_text_stay_whole(spark, around):
+    body = "<h1>Headline</h1><p>The first paragraph of it</p><blockquote>quoted</blockquote><ul><li>x</li><li>y</li></ul><p>Changed {n}</p><p>The end of it all</p>"
+    got = texts_of(spark, [around.replace("{}", body.replace("{n}", str(n))) for n in range(2)])
+    assert got == [f"Headline\nThe first paragraph of it\nquoted\nx\ny\nChanged {n}\nThe end of it all" for n in range(2)]
+
+
+def test_class_words_must_tell(spark):
+    page = '<article><header><h1>T {n}</h1></header><p class="side-effects">Side {n}</p><div class="social-policy">Policy {n}</div><div class="post-comments">says {n}</div><div class="ad">buy {n}</div><p class="search_for_meaning tags-of-war">war {n}</p></article>'
+    assert texts_of(spark, [page.replace("{n}", str(n)) for n in range(3)]) == [f"T {n}\nSide {n}\nPolicy {n}\nwar {n}" for n in range(3)]
+
+
+def test_made_up_hosts_with_unnamed_boilerplate(spark):
+    """Hosts of random articles between boilerplate without telling names; the text is known beforehand."""
+    import random
+
+    rng, pages, want = random.Random(2), [], []
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    line = lambda: " ".join(word() for _ in range(rng.randint(3, 12)))
+    for host in range(6):
+        top, bottom, heads = [line() for _ in range(2)], [line() for _ in range(2)], [line() for _ in range(2)]
+        for page in range(5):
+            paragraphs = [line() for _ in range(rng.randint(3, 6))]
+            blocks = [("h1", line()), ("h2", heads[0]), *(("p", x) for x in paragraphs), ("h2", heads[1]), ("p", line())]
+            inner = "".join(f"<{k}>{x}</{k}>" for k, x in blocks)
+            pages.append((len(pages), f"http://host{host}.org/{page}", f"<body><div><span>{top[0]}</span></div><table><tr><td>{top[1]}</td></tr></table><div class=z>{inner}</div><div>{bottom[0]}</div><section>{bottom[1]}</section></body>"))
+            want.append("\n".join(x for _, x in blocks))
+    got = [r.text for r in html_extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).orderBy("page_id").collect()]
+    assert got == want
+    assert all(html_extract.extract(h, ["html", "1", [], None], []) != w for (_, _, h), w in zip(pages, want, strict=True))
+
+
 def test_odd_pages_in_linear_time(spark):
     import time
 
@@ -26,7 +70,7 @@ def test_odd_pages_in_linear_time(spark):
         wrapper = html_extract.infer([page, page + "<p>end"])
         text = html_extract.extract(page, wrapper, html_extract.article_path(wrapper))
         assert time.process_time() - began < 8, page[:20]
-    assert html_extract.extract(odd[0], ["html", "1", []], [], False) == "deep" and text == "bold"
+    assert html_extract.extract(odd[0], ["html", "1", [], None], [], False) == "deep" and text == "bold"
     rows = [(i, "http://odd.host/x", p, "a", "b") for i, p in enumerate(odd)]
     out = html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, wrapper string, of string"))
     assert out.count() == len(rows) and out.columns == ["page_id", "url", "text", "n_chars"]
@@ -36,7 +80,7 @@ def test_results_come_through_the_wrapper():
     pages = [SHARED.format(n=n) for n in range(4)]
     wrapper = html_extract.infer(pages)
     path = html_extract.article_path(wrapper)
-    bare = ["html", "1", []]
+    bare = ["html", "1", [], None]
     assert html_extract.extract(pages[1], wrapper, path) != html_extract.extract(pages[1], bare, path)
     page = '<article><div class="article-header"><h1>Headline {n}</h1></div><p>Text {n}</p></article>'
     wrapper = html_extract.infer([page.format(n=n) for n in range(3)])
