@@ -4,7 +4,11 @@ The plain scan finds e-mail addresses, IP addresses, card and phone numbers as w
 rewrites the text (homoglyphs and full-width forms to ASCII, zero-width characters away, spelled digits to digits, "at"
 and "dot" disguises to their signs) while it keeps, for every character it writes, the source characters it stands for.
 The same detectors run on what it wrote, and each hit that was touched by a rewrite is mapped back to source characters
-and added unless it overlaps a span of its kind.
+and added, unless it overlaps a plain span of its kind that it does not wholly hold: a plain scan that finds a fragment
+of a disguised address keeps its span, and the whole address is added.
+
+Disguised dots are undone where they join labels to an "@" (bare words only up to a label that hosts end with, and before
+the "@" only if the rest is disguised too; ten labels at most), and between the four numbers of an IP address.
 
 A text that no rewrite rule touches is its own normal form, so only touched texts take the second scan.  Every scan is
 linear in the text.  Spans are code points, end exclusive.
@@ -131,7 +135,14 @@ _LAST_POINT = "|".join(c for c in dict.fromkeys(["com", "org", "net", "edu", "go
 # no pattern looks at a character more than a fixed number of times.
 _BARE = r"(?:dot|punkt|point|punto)"
 _AT = re.compile(rf"(?<!\s)\s*+[\[({{<]\s*+at\s*+[\])}}>]\s*+|(?<!\s)\s++at\s++(?=[a-z0-9-]{{1,63}}(?:\s++{_BARE}\s++[a-z0-9-]{{1,63}}){{0,8}}?\s++(?:(?:dot|punkt|punto)\s++(?:{_LAST})|point\s++(?:{_LAST_POINT}))(?![a-z0-9-]))", re.IGNORECASE)
-_DOT = re.compile(r"(?<!\s)\s*+[\[({<]\s*+(?:dot|punkt|point|punto)\s*+[\])}>]\s*+|(?<!\s)\s++(?:dot|punkt|point|punto)\s++", re.IGNORECASE)
+_DOT = re.compile(r"(?<!\s)\s*+[\[({<]\s*+(?:dot|punkt|point|punto|\.)\s*+[\])}>]\s*+|(?<!\s)\s++(?:dot|punkt|point|punto)\s++", re.IGNORECASE)
+_BETWEEN = r"(?:\s{0,3}[\[({<]\s{0,3}(?:dot|punkt|point|punto|\.)\s{0,3}[\])}>]\s{0,3}|\s{1,3}(?:dot|punkt|point|punto)\s{1,3}|\.)"
+_IP_RUN = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_BETWEEN}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
+_BRACKET_DOT = re.compile(r"[\[({<]\s*+\.\s*+[\])}>]")
+_LABEL = re.compile(r"[A-Za-z0-9-]{1,63}")
+_LAST_LABELS, _LAST_AFTER_POINT = frozenset(_LAST.split("|")), frozenset(_LAST_POINT.split("|"))
+#: Labels that disguised dots join to an "@" on each side.
+LABELS = 10
 _HINTS = ("dot", "punkt", "point", "punto")
 _BRACKET_AT = re.compile(r"[\[({<]\s*at\s*[\])}>]")
 _SPACED = re.compile(r"(?<=[A-Za-z0-9])\s++@\s*+(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@\s++(?=[A-Za-z0-9-]{1,63}\.[A-Za-z0-9])")
@@ -197,39 +208,84 @@ def _spelled(m: re.Match) -> str | None:
 
 def touched(text: str) -> bool:
     low = _lower(text)
-    return bool(_ODD.search(text)) or any(h in low for h in _HINTS) or bool(_BRACKET_AT.search(low)) or ("@" in text and bool(_SPACED.search(text))) or bool(_RUN_HINT.search(low))
+    return bool(_ODD.search(text)) or any(h in low for h in _HINTS) or bool(_BRACKET_AT.search(low)) or bool(_BRACKET_DOT.search(low)) or ("@" in text and bool(_SPACED.search(text))) or bool(_RUN_HINT.search(low))
+
+
+def _joining_dots(form: Rewritten) -> set[int]:
+    """Starts of the disguised dots that belong to an address."""
+    text, found = form.text, set()
+    before = {m.end(): m for m in _DOT.finditer(text)}
+    at = text.find("@")
+    while at >= 0:
+        own, waiting, pos = [], [], at + 1
+        for _ in range(LABELS):
+            label = _LABEL.match(text, pos)
+            if not label:
+                break
+            if waiting and _lower(label[0]) in (_LAST_AFTER_POINT if "point" in _lower(waiting[-1][0]) else _LAST_LABELS):
+                own += waiting
+                waiting = []
+            pos = label.end()
+            dot = _DOT.match(text, pos)
+            if dot:
+                pos = dot.end()
+                if dot[0].strip()[0].isalpha():
+                    waiting.append(dot)
+                else:
+                    own, waiting = own + waiting + [dot], []
+            elif text.startswith(".", pos):
+                pos += 1
+            else:
+                break
+        if own or form.new[at]:
+            pos = at
+            for _ in range(LABELS):
+                start = pos
+                while pos and text[pos - 1] in _LOCAL and start - pos < 64:
+                    pos -= 1
+                dot = before.get(pos)
+                if pos == start or not dot or not dot.start() or text[dot.start() - 1] not in _LOCAL:
+                    break
+                own.append(dot)
+                pos = dot.start()
+        found |= {m.start() for m in own}
+        at = text.find("@", at + 1)
+    return found
+
+
+def _dotted(m: re.Match) -> str | None:
+    parts = re.findall("[0-9]+", m[0])
+    return ".".join(parts) if len(m[0]) > sum(map(len, parts)) + 3 and all(map(_small, parts)) else None
 
 
 def rewrite(text: str) -> Rewritten:
-    out = Rewritten.of(text).sub(_ODD, _plain_char).sub(_RUN, _spelled)
-    before = out
-    out = out.sub(_AT, lambda m: "@")
-    if out is not before or "@" in out.text:
-        out = out.sub(_DOT, lambda m: "." if out.text.find("@", max(0, m.start() - 80), m.end() + 80) >= 0 else None)
-        out = out.sub(_SPACED, lambda m: "@")
+    out = Rewritten.of(text).sub(_ODD, _plain_char).sub(_RUN, _spelled).sub(_IP_RUN, _dotted)
+    out = out.sub(_AT, lambda m: "@").sub(_SPACED, lambda m: "@")
+    if "@" in out.text:
+        dots = _joining_dots(out)
+        out = out.sub(_DOT, lambda m: "." if m.start() in dots else None)
     return out
 
 
 def scan(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
-    """Plain spans, and spans of disguised data that overlap none of their kind."""
+    """Plain spans, and spans of disguised data that hold all of each plain span of their kind that they overlap."""
     base = detect(text)
     added: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if touched(text):
         form = rewrite(text)
         if any(form.new) or len(form.text) != len(text):
-            taken = bytearray(len(text)) if any(base.values()) else None
             for kind, spans in detect(form.text).items():
-                if taken is not None:
-                    for s, e in base[kind]:
-                        taken[s:e] = b"\1" * (e - s)
+                plain, k = base[kind], 0
                 for a, b in spans:
                     s, e = form.starts[a], form.ends[b - 1]
+                    while k < len(plain) and plain[k][1] <= s:
+                        k += 1
+                    hit = k
+                    while hit < len(plain) and plain[hit][0] < e:
+                        hit += 1
                     wrote = any(form.new[a:b]) or e - s != b - a
-                    if wrote and not (taken is not None and any(taken[s:e])):
+                    if wrote and (s, e) not in plain[k:hit] and all(s <= p and q <= e for p, q in plain[k:hit]):
                         added[kind].append((s, e))
-                if taken is not None:
-                    for s, e in base[kind]:
-                        taken[s:e] = bytes(e - s)
     return base, added
 
 

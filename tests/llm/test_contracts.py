@@ -58,6 +58,64 @@ def test_disguised(text, kind, said):
     assert [text[s:e] for s, e in added[kind]] == [said]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "plain", "whole"),
+    [
+        ("write \u0456van@example.com", "email", ["van@example.com"], ["\u0456van@example.com"]),
+        ("write j\u043ehn.doe@example.com now", "email", ["hn.doe@example.com"], ["j\u043ehn.doe@example.com"]),
+        ("to jane@example.com[.]au now", "email", ["jane@example.com"], ["jane@example.com[.]au"]),
+        ("to jane@example [.] com now", "email", [], ["jane@example [.] com"]),
+        ("to jane dot doe at example dot com", "email", [], ["jane dot doe at example dot com"]),
+        ("host 192 dot 168 dot 1 dot 1 here", "ip", [], ["192 dot 168 dot 1 dot 1"]),
+        ("host 192[.]168[.]1[.]1 here", "ip", [], ["192[.]168[.]1[.]1"]),
+        ("host 192.168[.]1.1 here", "ip", [], ["192.168[.]1.1"]),
+        ("j@example.com dot the letter", "email", ["j@example.com"], []),
+        ("connect the dot jane@example.com", "email", ["jane@example.com"], []),
+        ("version 1 dot 2 dot 3 dot 999", "ip", [], []),
+        ("a" * 300 + "@" + "b" * 60 + " dot " + "c" * 60 + " dot org", "email", [], ["a" * 300 + "@" + "b" * 60 + " dot " + "c" * 60 + " dot org"]),
+    ],
+)
+def test_wider_spans(text, kind, plain, whole):
+    base, added = pii.scan(text)
+    assert [text[s:e] for s, e in base[kind]] == plain and [text[s:e] for s, e in added[kind]] == whole
+
+
+def test_recall_of_random_disguises():
+    """Plain identifiers disguised at random: the whole disguised text of nine of ten must be a span."""
+    import random
+
+    rng = random.Random(11)
+    glyph = {v: k for k, v in reversed(pii.HOMOGLYPHS.items()) if v.isalpha()}
+    name = lambda: "".join(rng.choice("abcdehijlmnoprstuxy") for _ in range(rng.randint(3, 8)))
+    words = {v: k for k, v in reversed(pii.SPELLED.items())}
+
+    def email():
+        user, host = [name() for _ in range(rng.randint(1, 2))], [name() for _ in range(rng.randint(1, 2))] + [rng.choice(["com", "org", "de", "fr", "net"])]
+        way = rng.randrange(4)
+        at, dot = [("@", "."), (rng.choice([" at ", " (at) ", "[at]"]), rng.choice([" dot ", "[dot]", " (.) "])), ("@", rng.choice(["[.]", " dot "])), (" @ ", ".")][way]
+        said = dot.join(user) + at + dot.join(host) if way != 2 else ".".join(user) + at + dot.join(host)
+        return "".join(glyph[c] if way == 0 and c in glyph and rng.random() < 0.4 else c for c in said)
+
+    def ip():
+        dot = rng.choice(["[.]", " dot ", " [dot] ", "(.)"])
+        return dot.join(str(rng.randrange(256)) for _ in range(4))
+
+    def phone():
+        return "plus " + " ".join(words[rng.choice("0123456789")] for _ in range(rng.randint(9, 12)))
+
+    found = total = 0
+    for kind, make in (("email", email), ("ip", ip), ("phone", phone)):
+        for _ in range(400):
+            said = make()
+            text = f"Note: reach {said}, or not."
+            base, added = pii.scan(text)
+            if (12, 12 + len(said)) not in base[kind]:
+                total += 1
+                found += (12, 12 + len(said)) in added[kind]
+    print(found, total)
+    assert total > 1000 and found >= 0.9 * total
+
+
 def test_clean_prose_gets_no_spans():
     base, added = pii.scan("They met at the point of no return, one by one, and two of them sat dot by dot at home.")
     assert not any(base.values()) and not any(added.values())
