@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh import config
+from quillmesh.functions import dictionary as L
 from quillmesh.functions import evidence as V
 from quillmesh.functions import scoring as S
 from quillmesh.functions import text as X
@@ -65,7 +66,7 @@ def most_common(values: Column) -> Column:
 
 def keyword_sector(text: Column, sectors: dict[str, list[str]]) -> Column:
     """The sector with most of its keywords as substrings of the text; ties go to the earlier one, none is blank."""
-    return X.best_label(X.collapse(V.filled(text)), {k: [t.lower() for t in v] for k, v in sectors.items() if v}, "") if any(sectors.values()) else F.lit("")
+    return L.best_label(X.collapse(V.filled(text)), {k: [t.lower() for t in v] for k, v in sectors.items() if v}, "") if any(sectors.values()) else F.lit("")
 
 
 def with_mapping(df: DataFrame, text: str, d: Dictionaries, out: str = "map_") -> DataFrame:
@@ -89,7 +90,7 @@ def topic_of(text: Column, topics: list[Topic]) -> Column:
     """(topic, sector hint) by most terms as substrings; the first of equals, else the general topic."""
     if not topics:
         return F.struct(F.lit(GENERAL).alias("topic"), F.lit("").alias("hint"))
-    best = X.best_label(text, {t.name: [w.lower() for w in t.terms] for t in topics}, GENERAL)
+    best = L.best_label(text, {t.name: [w.lower() for w in t.terms] for t in topics}, GENERAL)
     hints = F.create_map(*(x for t in topics for x in (F.lit(t.name), F.lit(t.sector))))
     return F.struct(best.alias("topic"), F.coalesce(F.try_element_at(hints, best), F.lit("")).alias("hint"))
 
@@ -156,7 +157,7 @@ def with_sentiment(df: DataFrame, title: str, text: str, d: Dictionaries, out: s
     without a sentence the title is scored."""
     rows = df.withColumn("told_", X.sentences(V.joined(V.parts(F.col(title), F.col(text)))))
     rows = rows.withColumn("told_", F.when(F.size("told_") > 0, F.col("told_")).otherwise(F.array(V.filled(F.col(title)))))
-    rows = rows.withColumn("scored_", F.transform("told_", lambda s: T.lexicon_sentence(s, d.lexicon)))
+    rows = rows.withColumn("scored_", T.lexicon_sentences(F.col("told_"), d.lexicon))
     rows = rows.withColumn("whole_", T.article_sentiment(F.col("scored_"), F.col(title)))
     whole = F.col("whole_")
     told = F.struct(*(whole[k].alias(k) for k in ("positive", "neutral", "negative", "score", "evidence")), F.greatest(whole["positive"], whole["neutral"], whole["negative"]).alias("confidence"), F.col("scored_").alias("sentences"))

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh import config
+from quillmesh.functions import dictionary as L
 from quillmesh.functions import display as Y
 from quillmesh.functions import evidence as V
 from quillmesh.functions import scoring as S
@@ -795,6 +797,33 @@ def entity_detect(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(T.entities(F.col("text"), KNOWN), lambda e: e["name"]), ";").alias("names"))
 
 
+_BENCH_TERMS = """w AS (SELECT string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM benchmark), terms AS (SELECT DISTINCT term FROM (SELECT unnest(w) AS term FROM w UNION ALL SELECT w[1] || ' ' || w[2] || ' ' || w[3] FROM w) WHERE length(term) > 2)"""
+
+
+def _bench_terms(spark, d) -> DataFrame:
+    """Words of the benchmark, and the first three of each item as a phrase."""
+    words = F.split(X.keyword_form(F.col("text")), " ")
+    return table(spark, d, "benchmark").select(F.explode(F.concat(words, F.array(F.array_join(F.slice(words, 1, 3), " ")))).alias("term")).where("length(term) > 2").distinct()
+
+
+@query(f"WITH {_BENCH_TERMS}, p AS (SELECT doc_id, {PADDED.format('text')} AS p FROM documents) SELECT doc_id, count(*) AS n, min(term) AS first FROM p JOIN terms ON contains(p, ' ' || term || ' ') GROUP BY doc_id")
+def dictionary_terms(spark, d):
+    """Documents with the terms of a dictionary of some thousand, found in one pass."""
+    terms = sorted(r.term for r in L.listed(_bench_terms(spark, d), "term"))
+    found = table(spark, d, "documents").select("doc_id", F.get(L.phrases(F.array(X.padded(F.col("text"))), terms), F.lit(0)).alias("k"))
+    names = F.from_json(F.lit(json.dumps(terms)), "array<string>")
+    return found.where("size(k) > 0").select("doc_id", F.size("k").cast("long").alias("n"), F.get(names, F.col("k")[0]).alias("first"))
+
+
+@query(
+    f"""WITH {_BENCH_TERMS}, t AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents), g AS (SELECT doc_id, w[i] AS one, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS three FROM t, unnest(generate_series(1, len(w))) AS x(i))
+    SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, one AS term FROM g UNION ALL SELECT doc_id, three FROM g) JOIN terms USING (term) GROUP BY ALL"""
+)
+def dictionary_join(spark, d):
+    """The same dictionary as a table of any size, joined by word n-grams."""
+    return L.joined(table(spark, d, "documents"), "doc_id", "text", _bench_terms(spark, d), "term")
+
+
 LEX = f"""{SENTENCES}, q AS (SELECT doc_id, i, lower(x) AS x FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM s)),
 v AS (SELECT doc_id, i, 0.4 + 1.2 * ((length(x) - length(replace(x, 'ing', ''))) // 3) AS a, 0.8 + 0.5 * ((length(x) - length(replace(x, 'or', ''))) // 2) AS b, 0.4 + 1.2 * ((length(x) - length(replace(x, 'ed', ''))) // 2) AS e FROM q),
 c AS (SELECT doc_id, i, exp(a - greatest(a, b, e)) AS a, exp(b - greatest(a, b, e)) AS b, exp(e - greatest(a, b, e)) AS e FROM v),
@@ -803,14 +832,14 @@ l AS (SELECT doc_id, i, a / (a + b + e) AS pos, b / (a + b + e) AS neu, e / (a +
 
 @query(f"WITH {LEX} SELECT doc_id, i AS place, round(pos - neg, 6) AS score, round(greatest(pos, neu, neg), 6) AS confidence FROM l")
 def lexicon_sentence(spark, d):
-    parts = table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("i", "x"))
-    scored = parts.select("doc_id", (F.col("i") + 1).cast("long").alias("place"), T.lexicon_sentence(F.col("x"), LEXICON).alias("s"))
+    parts = table(spark, d, "documents").select("doc_id", F.posexplode(T.lexicon_sentences(X.sentences(F.col("text")), LEXICON)).alias("i", "s"))
+    scored = parts.select("doc_id", (F.col("i") + 1).cast("long").alias("place"), "s")
     return rounded(scored.select("doc_id", "place", "s.score", "s.confidence"))
 
 
 @query(f"WITH {LEX} SELECT doc_id, round(sum(pos * greatest(pos, neu, neg)) / sum(greatest(pos, neu, neg)), 6) AS positive, round(sum((pos - neg) * greatest(pos, neu, neg)) / sum(greatest(pos, neu, neg)), 6) AS score FROM l GROUP BY 1")
 def article_sentiment(spark, d):
-    parts = table(spark, d, "documents").select("doc_id", F.transform(X.sentences(F.col("text")), lambda x: T.lexicon_sentence(x, LEXICON)).alias("s")).where("size(s) > 0")
+    parts = table(spark, d, "documents").select("doc_id", T.lexicon_sentences(X.sentences(F.col("text")), LEXICON).alias("s")).where("size(s) > 0")
     return rounded(parts.select("doc_id", T.article_sentiment(F.col("s"), F.lit("")).alias("a")).select("doc_id", "a.positive", "a.score"))
 
 
