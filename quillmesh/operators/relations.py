@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillmesh import config
 from quillmesh.functions import text as X
+from quillmesh.operators import merging
+from quillmesh.sources.scratch import Scratch
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,46 +94,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def constrained_clusters(edges: DataFrame, nodes: DataFrame, components: DataFrame, span_hours: int = config.SPAN_HOURS) -> DataFrame:
+def constrained_clusters(edges: DataFrame, nodes: DataFrame, components: DataFrame, span_hours: int = config.SPAN_HOURS, scratch: Scratch | None = None) -> DataFrame:
     """Greedy union of edges in the order (time, id) of their ends, refused where a cluster would span too long.
 
     ``components`` (id, component) are the unconstrained components; no edge leaves one, so each is handled alone.
     nodes: (id, at seconds); edges: (a, b), and ``turn`` where some edges come before all others.
     """
-    limit = span_hours * 3600.0
-    ends = edges.join(nodes.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(nodes.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
-    if "turn" not in edges.columns:
-        ends = ends.withColumn("turn", F.lit(0))
-    kind = dict(nodes.dtypes)["id"]
-    grouped = ends.join(components.select(F.col("id").alias("a"), "component"), "a")
-
-    def greedy(f: pd.DataFrame) -> pd.DataFrame:
-        flip = (f.at_a > f.at_b) | ((f.at_a == f.at_b) & (f.a > f.b))
-        f.loc[flip, ["a", "b", "at_a", "at_b"]] = f.loc[flip, ["b", "a", "at_b", "at_a"]].to_numpy()
-        f = f.sort_values(["turn", "at_a", "a", "at_b", "b"])
-        parent: dict = {}
-        low: dict = {}
-        high: dict = {}
-
-        def find(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b, ta, tb in zip(f.a.tolist(), f.b.tolist(), f.at_a, f.at_b, strict=True):
-            for x, t in ((a, ta), (b, tb)):
-                if x not in parent:
-                    parent[x], low[x], high[x] = x, t, t
-            ra, rb = find(a), find(b)
-            if ra != rb and max(high[ra], high[rb]) - min(low[ra], low[rb]) <= limit:
-                keep, gone = min(ra, rb), max(ra, rb)
-                parent[gone] = keep
-                low[keep], high[keep] = min(low[ra], low[rb]), max(high[ra], high[rb])
-        return pd.DataFrame({"id": list(parent), "cluster": [find(x) for x in parent]})
-
-    found = grouped.groupBy("component").applyInPandas(greedy, f"id {kind}, cluster {kind}")
-    return nodes.join(found, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    rows = edges if "turn" in edges.columns else edges.withColumn("turn", F.lit(1))
+    return merging.constrained(rows, nodes, components, span_hours, scratch or Scratch(nodes.sparkSession, "clusters"))
 
 
 def merge_context(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
