@@ -10,29 +10,34 @@ from quillmesh.functions import scoring as S
 from quillmesh.operators import weights as W
 
 
-def attention_window(df: DataFrame) -> DataFrame:
-    """The last seven days before the newest article."""
-    newest = df.agg(F.max("published_at").alias("newest"))
+def attention_window(df: DataFrame, newest: DataFrame | None = None) -> DataFrame:
+    """The last seven days before the newest article, by the time of collection where articles have one."""
+    at = "collected_at" if "collected_at" in df.columns else "published_at"
+    newest = df.agg(F.coalesce(F.max(at), F.max("published_at")).alias("newest")) if newest is None else newest
     return df.crossJoin(F.broadcast(newest)).where(F.col("published_at") >= F.col("newest") - F.expr(f"INTERVAL {config.ATTENTION_DAYS} DAYS")).drop("newest")
 
 
-def attention_volume(spark: SparkSession, df: DataFrame) -> DataFrame:
+def attention_volume(spark: SparkSession, df: DataFrame, newest: DataFrame | None = None) -> DataFrame:
     """Weight of each group's articles in the window; the fallback weight looks at the whole window."""
-    recent = W.with_safe_weight(attention_window(df), [])
-    return W.zero_fill(spark, recent.groupBy("sector").agg(F.sum("w").alias("volume")), config.GROUPS)
+    recent = attention_window(df, newest).groupBy("sector").agg(F.sum(F.greatest(S.number("agg_weight"), F.lit(0.0))).alias("v"), F.count("*").cast("double").alias("n"))
+    volume = W.with_totals(recent, [], total=F.sum("v")).select("sector", F.when(F.col("total") <= 0, F.col("n")).otherwise(F.col("v")).alias("volume"))
+    return W.zero_fill(spark, volume, config.GROUPS)
 
 
 def event_representatives(df: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
-    order = Window.partitionBy(*group, "event_key").orderBy(F.desc(S.number("agg_weight")), "article_id")
-    return df.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
+    """The heaviest article of each event, then the least id, by an aggregate that each task begins for itself."""
+    others = [c for c in df.columns if c not in (*group, "event_key")]
+    first = F.min_by(F.struct(*others), F.struct((-S.number("agg_weight")).alias("o"), "article_id"))
+    return df.groupBy(*group, "event_key").agg(first.alias("f")).select(*(F.col(c) if c in (*group, "event_key") else F.col(f"f.{c}").alias(c) for c in df.columns))
 
 
-def risk_parts(df: DataFrame, group: list[str]) -> DataFrame:
+def risk_parts(df: DataFrame, group: list[str], blocks: int = W.BLOCKS) -> DataFrame:
     """Number, weighted mean and P90 of the risk of each group's event representatives; under three events the P90 is the mean."""
     days = tuple(g for g in group if g != "sector")
-    reps = W.with_safe_weight(event_representatives(df, days), group)
-    mean = reps.groupBy(*group).agg(W.wmean(S.number("risk_intensity")).alias("mean"), F.count("*").alias("events"))
-    p90 = W.weighted_quantile(reps, group, "risk_intensity", 0.9, "p90")
+    needed = list(dict.fromkeys([*group, "event_key", "article_id", "agg_weight", "risk_intensity"]))
+    tied = W.ties(event_representatives(df.select(*needed), days), group, "risk_intensity")
+    mean = tied.groupBy(*group).agg((F.sum(F.col("v") * F.col("vw")) / F.sum("vw")).alias("mean"), F.sum("n").alias("events"))
+    p90 = W.quantile_of(tied, group, 0.9, "p90", blocks)
     return mean.join(p90, group).withColumn("p90", F.when(F.col("events") < 3, F.col("mean")).otherwise(F.col("p90")))
 
 
@@ -46,21 +51,36 @@ def sector_risk(df: DataFrame, weights: dict) -> DataFrame:
 def sector_metrics(spark: SparkSession, df: DataFrame, weights: dict) -> DataFrame:
     """Six metrics of every group of the domain.
 
-    One pass over the articles makes weights and formulas; risk and disagreement aggregate from it, attention from the
-    window.  The joins at the end are on the domain of groups.
+    One aggregate by group and score serves weights, formulas, disagreement and the newest time; events, publishers and
+    the window of attention take one more each.  No window holds a group's articles, and the joins are on the domain.
     """
-    weighed = W.with_safe_weight(df, ["sector"])
-    for name, column in S.article_formulas(weights).items():
-        weighed = weighed.withColumn(name, column)
-    main = weighed.groupBy("sector").agg(*(W.wmean(F.col(d)).alias(d) for d in ("optimism", "fear", "uncertainty")), F.count("*").alias("articles"))
-    publishers = df.select("sector", "publisher").distinct().groupBy("sector").agg(F.count("publisher").alias("publishers"))
-    apart = W.pairwise_distance(weighed, ["sector"], "sentiment_score").select("sector", (100 * F.col("distance")).alias("disagreement"))
-    volume = attention_volume(spark, df)
+    dims, formulas = ("optimism", "fear", "uncertainty"), S.article_formulas(weights)
+    w = F.greatest(S.number("agg_weight"), F.lit(0.0))
+    at = "collected_at" if "collected_at" in df.columns else "published_at"
+    rows = df.withColumns({d: F.coalesce(formulas[d], F.lit(0.0)) for d in dims}).withColumn("w", w)
+    sums = rows.groupBy("sector", S.number("sentiment_score").alias("v")).agg(
+        F.sum("w").alias("vw"), F.sum(F.col("w") * F.col("w")).alias("vw2"), F.count("*").alias("n"), F.max(at).alias("newest"), F.max("published_at").alias("published"),
+        *(F.sum(F.col(d) * F.col("w")).alias(f"w_{d}") for d in dims), *(F.sum(d).alias(f"n_{d}") for d in dims),
+    )
+    mean = lambda d: F.when(F.sum("vw") <= 0, F.sum(f"n_{d}") / F.sum("n")).otherwise(F.sum(f"w_{d}") / F.sum("vw")).alias(d)
+    main = sums.groupBy("sector").agg(*map(mean, dims), F.sum("n").alias("articles"))
+    publishers = df.groupBy("sector").agg(F.count_distinct("publisher").alias("publishers"))
+    apart = W.distance_of(W.safe_ties(sums.select("sector", "v", "vw", "vw2", "n"), ["sector"]), ["sector"]).select("sector", (100 * F.col("distance")).alias("disagreement"))
+    newest = sums.agg(F.coalesce(F.max("newest"), F.max("published")).alias("newest"))
+    volume = attention_volume(spark, df, newest)
     attention = volume.select("sector", (100 * (W.average_rank(F.col("volume"), [F.lit(1)], F.col("volume")) - 0.5) / F.count("*").over(Window.partitionBy(F.lit(1)))).alias("attention"))
     both = main.join(publishers, "sector").join(apart, "sector").join(sector_risk(df, weights), "sector")
     return W.zero_fill(spark, both, config.GROUPS).join(attention, "sector")
 
 
+def output_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(metric, n, lowest, p10, p50, mean, p90, highest) of numeric columns, with exact percentiles."""
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "metric", "v")
+    parts = W.percentiles(long, ["metric"], "v", [0.1, 0.5, 0.9]).groupBy("metric").pivot("label", [0, 1, 2]).agg(F.first("v"))
+    sums = long.groupBy("metric").agg(F.count("v").alias("n"), F.min("v").alias("lowest"), F.avg("v").alias("mean"), F.max("v").alias("highest"))
+    return sums.join(parts, "metric", "left").select("metric", "n", "lowest", F.col("0").alias("p10"), F.col("1").alias("p50"), "mean", F.col("2").alias("p90"), "highest")
+
+
 def market_metrics(spark: SparkSession, df: DataFrame, weights: dict) -> DataFrame:
     return sector_metrics(spark, df, weights).agg(*(F.avg(m).alias(m) for m in config.METRICS))
 

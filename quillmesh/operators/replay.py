@@ -65,7 +65,7 @@ def components(spark: SparkSession, articles: DataFrame, domain: tuple[str, ...]
     plain = ("p_positive", "p_neutral", "p_negative", "b_bull", "b_bear", "g_growth", "s_shock", "k_unc", "entropy_norm")
     mean = weighed.groupBy(*keys).agg(*(W.wmean(S.number(c)).alias(c) for c in plain), F.count("*").alias("articles"), W.polarity_mix(S.number("sentiment_score")).alias("polarity_mix"))
     spread = W.weighted_std(weighed, keys, "sentiment_score")
-    apart = W.pairwise_distance(weighed, keys, "sentiment_score")
+    apart = W.pairwise_distance(weighed, keys, "sentiment_score", blocks=1)
     risk = M.risk_parts(articles, keys).select(*keys, F.col("mean").alias("weighted_mean"), "p90")
     volume = W.with_safe_weight(articles, ["day"]).groupBy(*keys).agg(F.sum("w").alias("volume"))
     days = articles.select("day").distinct()

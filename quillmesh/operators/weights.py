@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions.scoring import number
 
+#: Ranges of values that a group is cut into where its values must be in order; no task orders more than one.
+BLOCKS = 64
+
 
 def with_totals(df: DataFrame, group: list[str], **sums: Column) -> DataFrame:
     """``df`` with aggregates of its groups, aggregated before a shuffle and joined back; the groups are few, so the join
@@ -34,27 +37,92 @@ def weighted_std(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return marked.groupBy(*group).agg(F.when(F.count("*") < 2, 0.0).otherwise(F.sqrt(F.greatest(F.sum(F.col("gap") * F.col("w")) / F.sum("w"), F.lit(0.0)))).alias("weighted_std"))
 
 
-def weighted_quantile(df: DataFrame, group: list[str], value: str, q: float, out: str) -> DataFrame:
-    """Least value whose cumulative weight reaches q of all; weights of equal values are summed before the window."""
-    tied = df.groupBy(*group, number(value).alias("v")).agg(F.sum("w").alias("vw"))
-    run = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    marked = tied.withColumn("cum", F.sum("vw").over(run)).withColumn("total", F.sum("vw").over(Window.partitionBy(*group)))
-    return marked.where(F.col("cum") >= q * F.col("total") - 1e-12).groupBy(*group).agg(F.min("v").alias(out))
+def ties(df: DataFrame, group: list[str], value: str, weight: str = "agg_weight") -> DataFrame:
+    """(group, v, vw, vw2, n): weights, squared weights and rows of equal values, with the safe weight of their group."""
+    w = F.greatest(number(weight), F.lit(0.0))
+    sums = df.groupBy(*group, number(value).alias("v")).agg(F.sum(w).alias("vw"), F.sum(w * w).alias("vw2"), F.count("*").alias("n"))
+    return safe_ties(sums, group)
+
+
+def safe_ties(sums: DataFrame, group: list[str]) -> DataFrame:
+    """Sums of equal values in which a group without positive weight weighs every row 1."""
+    none = F.col("total_") <= 0
+    rows = with_totals(sums, group, total_=F.sum("vw"))
+    return rows.withColumns({"vw": F.when(none, F.col("n").cast("double")).otherwise(F.col("vw")), "vw2": F.when(none, F.col("n").cast("double")).otherwise(F.col("vw2"))}).drop("total_")
+
+
+def in_blocks(tied: DataFrame, group: list[str], blocks: int) -> DataFrame:
+    """``tied`` with ``block``: the place of ``v`` among cuts of its group, so that blocks are ascending ranges of values
+    with about as many distinct values each."""
+    if blocks <= 1:
+        return tied.withColumn("block", F.lit(0))
+    cuts = F.percentile_approx("v", [k / blocks for k in range(1, blocks)], max(10_000, 20 * blocks))
+    return with_totals(tied, group, cuts_=cuts).withColumn("block", F.coalesce(F.size(F.filter("cuts_", lambda c: c < F.col("v"))), F.lit(0))).drop("cuts_")
 
 
-def pairwise_distance(df: DataFrame, group: list[str], value: str, normalization: float = 2.0) -> DataFrame:
+def least_reaching(tied: DataFrame, group: list[str], mass: str, targets: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """(group, label, v): the least value of each group at which the mass of all values up to it reaches ``target``.
+
+    Masses are summed by block, the block that decides is found on these sums, and only its values are put in order.
+    targets: (group, label, target).
+    """
+    rows = in_blocks(tied, group, blocks)
+    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*group, "block").agg(F.sum(mass).alias("mass_")).withColumn("before_", F.coalesce(F.sum("mass_").over(before), F.lit(0)))
+    same = [F.col(f"of_{g}").eqNullSafe(F.col(g)) for g in group]
+    named = lambda df: df.select(*(F.col(g).alias(f"of_{g}") for g in group), *(c for c in df.columns if c not in group))
+    decides = named(targets).join(sums, [*same, F.col("before_") + F.col("mass_") >= F.col("target")]).groupBy(*group, "label", "target").agg(F.min(F.struct("block", "before_")).alias("b_"))
+    chosen = named(decides.select(*group, "label", "target", F.col("b_.block").alias("block_"), F.col("b_.before_").alias("before_")))
+    run = Window.partitionBy(*group, "label", "block_").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.join(chosen, [*same, F.col("block") == F.col("block_")]).withColumn("cum_", F.col("before_") + F.sum(mass).over(run))
+    return inside.where("cum_ >= target").groupBy(*group, "label").agg(F.min("v").alias("v"))
+
+
+def quantile_of(tied: DataFrame, group: list[str], q: float, out: str, blocks: int = BLOCKS) -> DataFrame:
+    """Least value whose cumulative weight reaches q of all."""
+    targets = tied.groupBy(*group).agg((q * F.sum("vw") - 1e-12).alias("target")).withColumn("label", F.lit(0))
+    return least_reaching(tied, group, "vw", targets, blocks).select(*group, F.col("v").alias(out))
+
+
+def weighted_quantile(df: DataFrame, group: list[str], value: str, q: float, out: str, blocks: int = BLOCKS) -> DataFrame:
+    """Least value whose cumulative weight ``w`` reaches q of all; weights of equal values are summed first."""
+    return quantile_of(df.groupBy(*group, number(value).alias("v")).agg(F.sum("w").alias("vw")), group, q, out, blocks)
+
+
+def percentiles(df: DataFrame, group: list[str], value: str, at: list[float], blocks: int = BLOCKS) -> DataFrame:
+    """(group, label, v): exact percentiles ``at[label]`` of non-null values, between neighbours in proportion."""
+    tied = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ranks = tied.groupBy(*group).agg((F.sum("n") - 1).alias("last")).select(*group, F.posexplode(F.array(*(F.lit(float(p)) for p in at))).alias("label", "p"), "last").withColumn("rank", F.col("p") * F.col("last"))
+    ends = ranks.select(*group, F.explode(F.array(F.floor("rank"), F.ceil("rank"))).alias("r")).distinct().select(*group, F.col("r").alias("label"), (F.col("r") + 1).alias("target"))
+    values = least_reaching(tied, group, "n", ends, blocks)
+    same = [F.col(f"of_{g}").eqNullSafe(F.col(g)) for g in group]
+    other = values.select(*(F.col(g).alias(f"of_{g}") for g in group), F.col("label").alias("r"), F.col("v").alias("x"))
+    near = ranks.join(other, [*same, (F.col("r") == F.floor("rank")) | (F.col("r") == F.ceil("rank"))])
+    low, high = F.min(F.struct("r", "x"))["x"], F.max(F.struct("r", "x"))["x"]
+    return near.groupBy(*group, "label", "rank").agg((low + (high - low) * (F.first("rank") - F.floor(F.first("rank")))).alias("v")).drop("rank")
+
+
+def distance_of(tied: DataFrame, group: list[str], normalization: float = 2.0, blocks: int = BLOCKS) -> DataFrame:
     """Weighted mean of |a - b| over all pairs, over ``normalization``, in order n log n from running sums.
 
-    Rows of equal value are summed first, so a window holds distinct values only.
+    Running sums go over the distinct values of a block; what earlier blocks add to a block follows from its sums.
     """
-    tied = df.groupBy(*group, number(value).alias("v")).agg(F.sum("w").alias("vw"), F.sum(F.col("w") * F.col("w")).alias("vw2"), F.count("*").alias("n"))
-    before = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("vw").over(before), F.lit(0.0))
-    moment = F.coalesce(F.sum(F.col("vw") * F.col("v")).over(before), F.lit(0.0))
-    parts = tied.withColumn("part", F.col("vw") * (F.col("v") * below - moment))
-    pairs = (F.pow(F.sum("vw"), 2) - F.sum("vw2")) / 2
+    rows = in_blocks(tied, group, blocks)
+    inside = Window.partitionBy(*group, "block").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0.0))
+    mine = rows.withColumn("part", F.col("vw") * (F.col("v") * running(F.col("vw"), inside) - running(F.col("vw") * F.col("v"), inside)))
+    sums = mine.groupBy(*group, "block").agg(F.sum("part").alias("part"), F.sum("vw").alias("s"), F.sum(F.col("vw") * F.col("v")).alias("m"), F.sum("vw2").alias("q"), F.sum("n").alias("n"))
+    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = sums.withColumn("part", F.col("part") + F.col("m") * running(F.col("s"), before) - F.col("s") * running(F.col("m"), before))
+    pairs = (F.pow(F.sum("s"), 2) - F.sum("q")) / 2
     value_ = F.coalesce(F.try_divide(F.sum("part"), normalization * pairs), F.lit(0.0))
-    return parts.groupBy(*group).agg(F.when(F.sum("n") < 2, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value_))).alias("distance"))
+    return whole.groupBy(*group).agg(F.when(F.sum("n") < 2, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value_))).alias("distance"))
+
+
+def pairwise_distance(df: DataFrame, group: list[str], value: str, normalization: float = 2.0, blocks: int = BLOCKS) -> DataFrame:
+    """``distance_of`` rows with weights ``w``."""
+    tied = df.groupBy(*group, number(value).alias("v")).agg(F.sum("w").alias("vw"), F.sum(F.col("w") * F.col("w")).alias("vw2"), F.count("*").alias("n"))
+    return distance_of(tied, group, normalization, blocks)
 
 
 def polarity_mix(score: Column, threshold: float = 0.15) -> Column:

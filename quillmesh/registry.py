@@ -357,10 +357,7 @@ def sentiment_counts(spark, d):
     SELECT metric, count(*) AS n, round(min(v), 6) AS lowest, round(quantile_cont(v, 0.1), 6) AS p10, round(median(v), 6) AS p50, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.9), 6) AS p90, round(max(v), 6) AS highest FROM u GROUP BY 1"""
 )
 def output_distribution(spark, d):
-    u = articles(spark, d).unpivot([], ["sentiment_score", "risk_intensity", "agg_weight"], "metric", "v")
-    q = F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    a = u.groupBy("metric").agg(F.count("*").alias("n"), F.min("v").alias("lowest"), q.alias("q"), F.avg("v").alias("mean"), F.max("v").alias("highest"))
-    return rounded(a.select("metric", "n", "lowest", F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), "mean", F.col("q")[2].alias("p90"), "highest"))
+    return rounded(M.output_distribution(articles(spark, d), ["sentiment_score", "risk_intensity", "agg_weight"]))
 
 
 @query(f"WITH {ART} SELECT count(*) AS articles, count(DISTINCT sector) AS sectors, count(DISTINCT publisher) AS publishers, count(DISTINCT event_key) AS events, count(*) FILTER (risk_intensity > 0) AS risky, min(day) AS first_day, max(day) AS last_day FROM art")
