@@ -73,11 +73,13 @@ def components(spark: SparkSession, articles: DataFrame, domain: tuple[str, ...]
     filled = days.crossJoin(F.broadcast(names)).join(volume, keys, "left").na.fill(0.0, ["volume"])
     grown = M.growth_series(filled)
     before = Window.partitionBy("sector").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    past = grown.withColumns({"volumes": F.collect_list("volume").over(before), "growths": F.collect_list("growth").over(before)})
-    share = lambda name, now: F.coalesce(F.try_divide(F.size(F.filter(name, lambda x: x <= F.col(now))), F.size(name)), F.lit(0.0))
+    past = grown.withColumns({"volumes": F.count("volume").over(before), "growths": F.count("growth").over(before)})
+    for name in ("volume", "growth"):
+        past = W.counted_before(past, ["sector"], "day", name, f"{name}_below")
+    share = lambda name: F.coalesce(F.try_divide(F.col(f"{name}_below").cast("double"), F.col(f"{name}s")), F.lit(0.0))
     rank = 100 * (W.average_rank(F.col("volume"), ["day"], F.col("volume")) - 0.5) / F.count("*").over(Window.partitionBy("day")) / 100
-    learnt = F.size("volumes") >= history_days
-    attention = past.select(*keys, F.when(learnt, share("volumes", "volume")).otherwise(rank).alias("volume_ecdf"), F.when(learnt, share("growths", "growth")).otherwise(rank).alias("growth_ecdf"))
+    learnt = F.col("volumes") >= history_days
+    attention = past.select(*keys, F.when(learnt, share("volume")).otherwise(rank).alias("volume_ecdf"), F.when(learnt, share("growth")).otherwise(rank).alias("growth_ecdf"))
     out = attention.join(mean, keys, "left").join(spread, keys, "left").join(apart, keys, "left").join(risk, keys, "left")
     numbers = [c for c, kind in out.dtypes if c not in keys and kind in ("double", "bigint")]
     return out.na.fill(0, numbers)

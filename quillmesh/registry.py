@@ -744,8 +744,8 @@ def sensitivity_sweep(spark, d):
 
 @query(f"WITH {_metrics_sql(config.ENHANCED)} SELECT round(avg(optimism), 6) AS optimism, round(avg(risk_intensity), 6) AS risk, arg_max(sector, round(risk_intensity, 6)) AS riskiest, sum(articles)::BIGINT AS articles FROM met")
 def brief_payload(spark, d):
-    m = sector_metrics_enhanced(spark, d)
-    return rounded(m.agg(F.avg("optimism").alias("optimism"), F.avg("risk_intensity").alias("risk"), F.max_by("sector", "risk_intensity").alias("riskiest"), F.sum("articles").alias("articles")))
+    m = M.sector_metrics(spark, articles(spark, d), config.ENHANCED)
+    return rounded(m.agg(F.avg("optimism").alias("optimism"), F.avg("risk_intensity").alias("risk"), F.max_by("sector", F.round("risk_intensity", 6)).alias("riskiest"), F.sum("articles").alias("articles")))
 
 
 @query(f"SELECT * FROM (WITH {_metrics_sql(config.BASELINE)} SELECT 'baseline' AS formula, sector, {_ROUND6} FROM met) UNION ALL SELECT * FROM (WITH {_metrics_sql(config.ENHANCED)} SELECT 'enhanced' AS formula, sector, {_ROUND6} FROM met)")
