@@ -108,3 +108,10 @@ def greatest_weight(names: Column, weights: dict[str, float]) -> Column:
         return F.lit(1.0)
     known = F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))))
     return F.coalesce(F.array_max(F.transform(X.split_values(names), lambda n: F.coalesce(F.try_element_at(known, n), F.lit(1.0)))), F.lit(1.0))
+
+
+def merged_values(*values: Column) -> Column:
+    """Items of ``;`` lists, first spelling kept, case ignored."""
+    every = F.flatten(F.array(*(F.filter(F.transform(F.split(filled(v), ";"), lambda x: F.trim(x)), lambda x: x != "") for v in values)))
+    low = F.transform(every, lambda x: F.lower(x))
+    return F.array_join(F.filter(every, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), ";")

@@ -132,13 +132,6 @@ def merged_tags(summary: Column, full: Column, has_full: Column) -> Column:
     )
 
 
-def merged_values(*values: Column) -> Column:
-    """Items of ``;`` lists, first spelling kept, case ignored."""
-    every = F.flatten(F.array(*(F.filter(F.transform(F.split(V.filled(v), ";"), lambda x: F.trim(x)), lambda x: x != "") for v in values)))
-    low = F.transform(every, lambda x: F.lower(x))
-    return F.array_join(F.filter(every, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), ";")
-
-
 def signals(sentences: Column, d: Dictionaries) -> dict[str, Column]:
     """The five signal components of an array of sentences; blockers take from bull and growth."""
     blockers = d.signals.get("blockers", [])
@@ -242,8 +235,8 @@ def enrich(df: DataFrame, d: Dictionaries, weights: dict = config.ENHANCED) -> D
     first_full = F.get(F.transform(F.col("full_tags")["risks"], lambda r: r["evidence"]), F.lit(0))
     rows = rows.withColumns(
         {
-            "companies": merged_values(F.col("map_")["companies"], F.col("companies")),
-            "tickers": merged_values(F.col("map_")["tickers"], F.col("tickers")),
+            "companies": V.merged_values(F.col("map_")["companies"], F.col("companies")),
+            "tickers": V.merged_values(F.col("map_")["tickers"], F.col("tickers")),
             "publisher": V.first_filled(F.col("publisher"), F.col("source")),
             "content_level": V.first_filled(F.col("content_level"), F.when(has_full, "fulltext").otherwise("summary")),
             "rescored": V.first_filled(F.col("rescored"), F.lit("False")),

@@ -34,6 +34,8 @@ from quillmesh.plans.articles import SQL as ART
 from quillmesh.plans.articles import articles, table
 from quillmesh.sources import feeds as K
 from quillmesh.sources import snapshots as Z
+from quillmesh.sources.scratch import Scratch
+from quillmesh.sources.store import Store
 
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
 STOP = ["the", "and", "of", "that", "with"]
@@ -1234,6 +1236,35 @@ def collected_records(spark, d):
     return rows.select("url", *(F.array_join(F.array_sort(X.split_values(F.col(c))), ";").alias(n) for c, n in (("source", "sources"), ("tickers", "tickers"))))
 
 
+_RUNS = """r AS (SELECT doc_id, 'http://x/' || (doc_id * 7 % 300) AS url, CASE WHEN doc_id % 2 = 0 THEN 'A story' ELSE 'a Story ' END AS title, 'feed' || (doc_id % 7) AS source, 'T' || (doc_id % 5) || ';t' || (doc_id % 3) AS tickers, doc_id * 7 % 300 % 4 AS s, 0.5 + doc_id % 4 / 10.0 AS w, doc_id % 3 = 0 AS later FROM documents)"""
+
+
+@query(
+    f"""WITH {_RUNS}, o AS (SELECT url, source, row_number() OVER (PARTITION BY url, source ORDER BY later, doc_id) AS k, later, doc_id FROM r), l AS (SELECT url, string_agg(source, ';' ORDER BY later, doc_id) AS sources FROM o WHERE k = 1 GROUP BY 1),
+    t AS (SELECT url, lower(t) AS t, later, doc_id, i, t AS spelled, row_number() OVER (PARTITION BY url, lower(t) ORDER BY later, doc_id, i) AS k FROM (SELECT url, later, doc_id, unnest(string_split(tickers, ';')) AS t, unnest([1, 2]) AS i FROM r)), m AS (SELECT url, string_agg(spelled, ';' ORDER BY later, doc_id, i) AS tickers FROM t WHERE k = 1 GROUP BY 1)
+    SELECT url, sources, m.tickers AS tickers, 'S' || any_value(s) AS sector, max(w)::DOUBLE AS weight, arg_min(doc_id, (later::INT, doc_id))::VARCHAR AS article_id, NOT bool_or(NOT later) AS fresh FROM r JOIN l USING (url) JOIN m USING (url) GROUP BY url, sources, m.tickers"""
+)
+def stored_runs(spark, d):
+    """Two collection runs merged into one stored table; records of the second run that are new to it are marked."""
+    i, scratch = F.col("doc_id"), Scratch(spark, "runs")
+    every = table(spark, d, "documents").select(i.cast("string").alias("article_id"), F.concat(F.lit("http://x/"), i * 7 % 300).alias("url"), F.when(i % 2 == 0, "A story").otherwise("a Story ").alias("title"), F.concat(F.lit("feed"), i % 7).alias("source"), F.concat(F.lit("T"), i % 5, F.lit(";t"), i % 3).alias("tickers"), F.concat(F.lit("S"), i * 7 % 300 % 4).alias("sector"), F.format_number(0.5 + i % 4 / 10.0, 1).alias("source_weight"), i.alias("place"))
+    held = Store(spark, scratch.root)
+    for later in (False, True):
+        change = held.begin()
+        new = K.store_run(change, every.where((F.col("place") % 3 == 0) == later))
+        change.commit()
+    rows = held.read("raw").join(new.withColumn("fresh", F.lit(True)), "article_id", "left")
+    return rows.select("url", F.col("source").alias("sources"), "tickers", "sector", F.col("source_weight").cast("double").alias("weight"), "article_id", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5(text) ELSE md5('own') END AS body, CASE WHEN doc_id % 3 = 0 THEN 'fulltext' ELSE 'summary' END AS content_level, CASE WHEN doc_id % 6 = 0 THEN 'yes' WHEN doc_id % 3 = 0 THEN 'True' ELSE 'False' END AS rescored FROM documents WHERE trim(text, ' ') <> ''")
+def full_text_sync(spark, d):
+    docs, i = table(spark, d, "documents").where(F.trim("text") != ""), F.col("doc_id")
+    raw = docs.select(i.alias("article_id"), F.lit("own").alias("body_text"), F.lit("summary").alias("content_level"), F.lit("False").alias("rescored"))
+    processed = docs.where(i % 3 != 2).select(i.alias("article_id"), F.when(i % 3 == 0, F.col("text")).otherwise(" ").alias("body_text"), F.when(i % 6 == 0, "yes").alias("rescored"))
+    return K.with_full_texts(raw, processed).select(F.col("article_id").alias("doc_id"), F.md5("body_text").alias("body"), "content_level", "rescored")
+
+
 @query("SELECT 'plain' AS feed, 'http://x/all' AS url, '' AS ticker UNION ALL SELECT DISTINCT 'by ticker', 'http://x/T' || c_nationkey, 'T' || c_nationkey FROM customer")
 def feed_expansion(spark, d):
     told = [{"name": "plain", "kind": "market", "url": "http://x/all"}, {"name": "by ticker", "kind": "ticker", "url": "http://x/{ticker}"}, {"name": "off", "kind": "market", "url": "http://x/off", "enabled": False}]

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import display
@@ -16,6 +16,7 @@ from quillmesh.functions import text as X
 from quillmesh.functions import times as D
 from quillmesh.operators.relations import merge_context
 from quillmesh.sources import files
+from quillmesh.sources.store import Change, bucket
 from quillmesh.sources.tables import exists
 
 # Kinds of feeds.
@@ -86,6 +87,78 @@ def collected(records_: DataFrame) -> DataFrame:
     return both.withColumns(merged).select(*records_.columns)
 
 
+_LISTS = ("tickers", "companies", "source", "publisher", "time_parse_error", "processing_error")
+BUCKETS = 64
+
+
+def _agreed(first: Column, later: Column) -> Column:
+    """A sector and those of later records in turn: a blank takes the next, another one clears it."""
+    return F.aggregate(later, first, lambda s, x: F.when(s == "", x).when((x == "") | (x == s), s).otherwise(F.lit("")))
+
+
+def merged_run(stored: DataFrame, run: DataFrame) -> DataFrame:
+    """Stored records and those of a collection run (in the order of ``place``), with ``new_`` and ``changed_``.
+
+    Records of one address and title (case and outer blanks aside) are one: the stored record, else the run's first, takes the
+    lists of all (first spelling, case ignored), the greatest weight, and the sector only while sectors agree.  Records
+    of a run without both are left out.  A key has a record per feed that lists it, so its records stay few.
+    """
+    key = F.sha2(F.concat_ws("\0", F.lower(V.filled(F.col("url"))), F.lower(V.filled(F.col("title")))), 256)
+    named = (V.filled(F.col("url")) != "") | (V.filled(F.col("title")) != "")
+    columns = [c for c in run.columns if c != "place"]
+    run = run.withColumns({c: F.lit("") for c in (*_LISTS, "source_weight", "sector") if c not in run.columns})
+    context = F.struct("place", "article_id", *(V.filled(F.col(c)).alias(c) for c in (*_LISTS, "source_weight", "sector")))
+    found = run.where(named).withColumn("key_", key).groupBy("key_").agg(F.min_by(F.struct(*columns), F.struct("place", "article_id")).alias("first_"), F.sort_array(F.collect_list(context)).alias("told_"))
+    every = list(dict.fromkeys([*stored.columns, *columns, *_LISTS, "source_weight", "sector"]))
+    # of stored records with one key the last takes what is new
+    old = stored.withColumns({c: F.lit("") for c in every if c not in stored.columns})
+    last = old.where(named).groupBy(key.alias("key_")).agg(F.max("article_id").alias("taker_"))
+    old = old.withColumn("key_", F.when(named, key)).join(last, "key_", "left").withColumn("key_", F.when(F.col("article_id") == F.col("taker_"), F.col("key_")))
+    both = old.select("key_", F.struct(*every).alias("old_")).join(found, "key_", "full_outer")
+    has, came = F.col("old_").isNotNull(), F.col("told_").isNotNull()
+    base = {c: F.when(has, F.col(f"old_.{c}")).otherwise(F.col(f"first_.{c}") if c in columns else F.lit("")) for c in every}
+    later = F.when(has, F.col("told_")).otherwise(F.slice("told_", 2, 1_000_000))
+    takes = came & (F.size(later) > 0)
+    list_of = lambda c: V.merged_values(base[c], F.array_join(F.transform(later, lambda x: x[c]), ";"))
+    heaviest = F.greatest(F.coalesce(V.filled(base["source_weight"]).try_cast("double"), F.lit(0.0)), F.array_max(F.transform(later, lambda x: F.coalesce(x["source_weight"].try_cast("double"), F.lit(0.0)))), F.lit(1e-9))
+    made = {**{c: list_of(c) for c in _LISTS}, "source_weight": F.format_string("%.3f", heaviest), "sector": _agreed(V.filled(base["sector"]), F.transform(later, lambda x: x["sector"]))}
+    out = {c: F.when(takes, made[c]).otherwise(base[c]) if c in made else base[c] for c in every}
+    shown = ("tickers", "companies", "source", "publisher", "source_weight", "sector")
+    differs = sum((F.coalesce((~made[c].eqNullSafe(base[c])).cast("int"), F.lit(0)) for c in shown), F.lit(0)) > 0
+    return both.select(*(v.alias(c) for c, v in out.items()), (~has).alias("new_"), (has & came & differs).alias("changed_"))
+
+
+def bucket_of(rows: DataFrame) -> Column:
+    """The part of a record in the store, by its address and title."""
+    return bucket(F.concat_ws("\0", F.lower(V.filled(F.col("url"))), F.lower(V.filled(F.col("title")))), BUCKETS)
+
+
+def store_run(change: Change, run: DataFrame, table: str = "raw") -> DataFrame:
+    """Merge a run into the stored records of ``table``, part of a change; returns the ids of new records (article_id)."""
+    kept = [f.name for f in run.schema.fields if f.name != "place"]
+    shape = run.withColumns({c: F.lit("") for c in (*_LISTS, "source_weight", "sector") if c not in run.columns})
+
+    def combine(old: DataFrame, new: DataFrame) -> DataFrame:
+        rows = merged_run(old.drop("run_new_"), new.select(*kept, "place"))
+        return rows.withColumn("run_new_", F.col("new_")).drop("new_", "changed_")
+
+    if table not in change.tables:
+        empty = shape.drop("place").withColumn("run_new_", F.lit(True)).limit(0)
+        change.tables[table] = {"schema": empty.schema.jsonValue(), "parts": {}}
+    touched = run.where((V.filled(F.col("url")) != "") | (V.filled(F.col("title")) != ""))
+    before = set(change.tables[table]["parts"].values())
+    change.merge(table, touched, bucket_of(touched), combine)
+    fresh = {p: f for p, f in change.tables[table]["parts"].items() if f not in before}
+    return change.read(table, list(fresh)).where("run_new_").select("article_id")
+
+
+def with_full_texts(raw: DataFrame, processed: DataFrame) -> DataFrame:
+    """Raw records with the bodies of processed ones, which are then read whole; of repeated ids the greatest body serves."""
+    have = processed.where(V.filled(F.col("body_text")) != "").groupBy("article_id").agg(F.max(F.struct("body_text", F.coalesce("rescored", F.lit("True")).alias("rescored"))).alias("full_"))
+    rows = raw.join(have, "article_id", "left")
+    return rows.withColumns({"body_text": F.coalesce("full_.body_text", "body_text"), "content_level": F.when(F.col("full_").isNotNull(), "fulltext").otherwise(F.col("content_level")), "rescored": F.coalesce("full_.rescored", "rescored")}).drop("full_")
+
+
 def stats(records_: DataFrame, new_ids: DataFrame) -> DataFrame:
     """(source, parsed, new) of a collection run."""
     new = new_ids.select("article_id").distinct().withColumn("new_", F.lit(1))

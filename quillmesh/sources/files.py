@@ -37,14 +37,18 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    _swap(fs, staged, target)
+    _swap(spark, staged, target)
 
 
-def _swap(fs, staged, target) -> None:
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(staged, target):
-        raise OSError(f"cannot rename {staged} to {target}")
+def _swap(spark: SparkSession, staged, target) -> None:
+    """Rename over the target in one step; at no time is there neither the old file nor the new one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    kind = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kind, 1)
+    over[0] = kind.OVERWRITE
+    conf = spark._jsc.hadoopConfiguration()
+    whole = target.getFileSystem(conf).makeQualified(target)
+    hadoop.FileContext.getFileContext(whole.toUri(), conf).rename(staged.getFileSystem(conf).makeQualified(staged), whole, over)
 
 
 def write_csv(spark: SparkSession, df: DataFrame, path: str, columns: list[str] | None = None, backups: str | None = None) -> None:
@@ -61,7 +65,7 @@ def write_csv(spark: SparkSession, df: DataFrame, path: str, columns: list[str]
         fs.mkdirs(keep.getParent())
         fs.rename(target, keep)
         prune(spark, backups, target.getName())
-    _swap(fs, part, target)
+    _swap(spark, part, target)
     fs.delete(made, True)
 
 

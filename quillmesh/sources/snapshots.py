@@ -12,6 +12,7 @@ from quillmesh.functions.evidence import filled, first_filled
 from quillmesh.functions.scoring import number
 from quillmesh.operators import metrics as M
 from quillmesh.sources import tables
+from quillmesh.sources.store import Change, Store
 
 SECTOR = ("snapshot_date", "snapshot_timestamp", "data_source", "formula_version", "pipeline_revision", "sector", "article_count", "event_count", "publisher_count", "attention_volume", *config.METRICS)
 MARKET = tuple(c for c in SECTOR if c not in ("sector", "event_count", "publisher_count", "attention_volume"))
@@ -23,10 +24,11 @@ SENSITIVITY = ("data_source", "dimension", "component", "factor", "day_count", "
 def read(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
     """A snapshot table (Parquet folder or CSV file) with these columns; an empty table where there is none to read."""
     empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
-    if not tables.exists(spark, path):
+    held = tables.stored(spark, path) if not path.endswith(".csv") else None
+    if held is None and not tables.exists(spark, path):
         return empty
     try:
-        df = spark.read.csv(path, header=True, multiLine=True, escape='"') if path.endswith(".csv") else spark.read.parquet(path)
+        df = held if held is not None else spark.read.csv(path, header=True, multiLine=True, escape='"') if path.endswith(".csv") else spark.read.parquet(path)
     except Exception as error:  # a damaged file counts as none, any other failure does not
         if type(error).__name__ not in ("AnalysisException", "UnsupportedOperationException"):
             raise
@@ -73,23 +75,36 @@ def snapshot_rows(spark: SparkSession, df: DataFrame, source: str, now: dt.datet
     made = M.snapshot(spark, df).withColumnRenamed("formula", "formula_version").withColumnRenamed("articles", "article_count").withColumnRenamed("publishers", "publisher_count")
     rows = made.join(events, "sector", "left").join(volume, "sector", "left").na.fill(0, ["event_count", "attention_volume"]).withColumns(head).select(*SECTOR)
     total = rows.groupBy("formula_version").agg(F.sum("article_count").alias("article_count"), *(F.avg(m).alias(m) for m in config.METRICS)).withColumns(head)
-    return rows, total.select(*MARKET)
+    six = {m: F.round(m, 6) for m in config.METRICS}
+    return rows.withColumns(six), total.select(*MARKET).withColumns(six)
 
 
-def write(spark: SparkSession, sector_path: str, market_path: str, df: DataFrame, source: str, now: dt.datetime, revision: str = "r4") -> None:
-    """Upsert a day's rows; rows of other sources, formulas and days stay."""
-    by_sector, by_market = snapshot_rows(spark, df, source, now, revision)
+def _upsert(change: Change, sector_path: str, market_path: str, df: DataFrame, source: str, now: dt.datetime, revision: str) -> None:
+    by_sector, by_market = snapshot_rows(df.sparkSession, df, source, now, revision)
     keys = ["snapshot_date", "data_source", "formula_version"]
-    tables.upsert_days(spark, sector_path, by_sector, [*keys, "sector"])
-    tables.upsert_days(spark, market_path, by_market, keys)
+    tables.upsert_into(change, sector_path, by_sector, [*keys, "sector"])
+    tables.upsert_into(change, market_path, by_market, keys)
 
 
-def write_outputs(spark: SparkSession, folder: str, articles: DataFrame, source: str, now: dt.datetime) -> None:
-    """Articles, those with an error, and the day's snapshots, from one evaluation of the articles."""
-    articles.write.mode("overwrite").parquet(f"{folder}/articles")
-    stored = spark.read.parquet(f"{folder}/articles")
-    stored.where(filled(F.col("processing_error")) != "").write.mode("overwrite").parquet(f"{folder}/errors")
-    write(spark, f"{folder}/sectors", f"{folder}/market", stored, source, now)
+def write(spark: SparkSession, sector_path: str, market_path: str, df: DataFrame, source: str, now: dt.datetime, revision: str = "r4") -> None:
+    """Upsert a day's rows of both tables, which lie in one folder, in one change; rows of other sources, formulas and
+    days stay."""
+    folder = tables.place_of(sector_path)[0]
+    if folder != tables.place_of(market_path)[0]:
+        raise ValueError("both tables must lie in one folder, so that they change together")
+    change = Store(spark, folder).begin()
+    _upsert(change, sector_path, market_path, df, source, now, revision)
+    change.commit()
+
+
+def write_outputs(spark: SparkSession, folder: str, articles: DataFrame, source: str, now: dt.datetime, revision: str = "r4") -> int:
+    """Articles, those with an error, and the day's snapshots, from one evaluation of the articles and in one change."""
+    change = Store(spark, folder).begin()
+    change.replace("articles", articles)
+    held = change.read("articles")
+    change.replace("errors", held.where(filled(F.col("processing_error")) != ""))
+    _upsert(change, f"{folder}/sectors", f"{folder}/market", held, source, now, revision)
+    return change.commit()
 
 
 def has_rows(df: DataFrame) -> bool:

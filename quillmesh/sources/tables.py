@@ -1,6 +1,7 @@
 """Reading and writing of article and snapshot tables.
 
-Tables are Parquet, partitioned by day where they have one, so that a day's upsert rewrites that day alone.
+Tables that are updated are tables of a store (``store.py``), cut by day where they have one, so that a day's upsert
+rewrites that day alone and readers see all of it or nothing.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmesh.sources.store import Change, Store
+
 ARTICLE = T.StructType([T.StructField(n, T.StringType()) for n in ("article_id", "title", "summary", "content", "url", "source", "publisher", "sector", "tickers", "event_id", "risk_category", "published_at", "collected_at", "sentiment_score", "agg_weight", "risk_intensity")])
 NUMBERS = ("sentiment_score", "agg_weight", "risk_intensity")
 TIMES = ("published_at", "collected_at")
@@ -48,20 +51,32 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+def place_of(path: str) -> tuple[str, str]:
+    """The store's folder and the table's name of a path."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return folder, name
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of a store that lies in the folder of ``path``, None where there is none."""
+    folder, name = place_of(path)
+    return Store(spark, folder).read(name)
+
+
+def upsert_into(change: Change, path: str, new: DataFrame, keys: list[str], day: str = "snapshot_date") -> None:
+    """Replace rows with the keys of ``new``; only the days that it has are read and written.  A plain table of older
+    versions at ``path`` is taken over first."""
+    name = place_of(path)[1]
+    if name not in change.tables and exists(new.sparkSession, path):
+        change.replace(name, new.sparkSession.read.parquet(path), day)
+    change.upsert(name, new, keys, day)
+
+
 def upsert_days(spark: SparkSession, path: str, new: DataFrame, keys: list[str], day: str = "snapshot_date") -> None:
-    """Replace rows with the keys of ``new``; only the partitions of its days are written."""
-    if exists(spark, path):
-        days = new.select(day).distinct()
-        old = spark.read.parquet(path).join(F.broadcast(days), day, "left_semi")
-        new = old.join(new, keys, "left_anti").unionByName(new, allowMissingColumns=True)
-        # the files that are read are also those replaced, so the rows are written beside them first
-        staged = f"{path.rstrip('/')}_staged"
-        new.write.mode("overwrite").parquet(staged)
-        new = spark.read.parquet(staged)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
-    if exists(spark, f"{path.rstrip('/')}_staged"):
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}_staged")
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    """``upsert_into`` as a change of its own."""
+    change = Store(spark, place_of(path)[0]).begin()
+    upsert_into(change, path, new, keys, day)
+    change.commit()
 
 
 def write_if_changed(spark: SparkSession, df: DataFrame, path: str) -> bool:

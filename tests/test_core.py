@@ -136,7 +136,7 @@ def test_csv_and_upsert(spark, tmp_path):
     day = lambda rows: spark.createDataFrame(rows, "snapshot_date string, sector string, v double")
     tables.upsert_days(spark, out, day([("2024-01-01", "a", 1.0), ("2024-01-01", "b", 2.0), ("2024-01-02", "a", 3.0)]), ["snapshot_date", "sector"])
     tables.upsert_days(spark, out, day([("2024-01-01", "a", 9.0)]), ["snapshot_date", "sector"])
-    got = sorted((str(r.snapshot_date), r.sector, r.v) for r in spark.read.parquet(out).collect())
+    got = sorted((str(r.snapshot_date), r.sector, r.v) for r in tables.stored(spark, out).collect())
     assert got == [("2024-01-01", "a", 9.0), ("2024-01-01", "b", 2.0), ("2024-01-02", "a", 3.0)]
     one_ = day([("d", "a", 1.0)])
     assert tables.write_if_changed(spark, one_, str(tmp_path / "w")) and not tables.write_if_changed(spark, one_, str(tmp_path / "w"))
