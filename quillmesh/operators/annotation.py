@@ -129,8 +129,14 @@ def blind_and_key(raw: DataFrame, processed: DataFrame, size: int, seed: int) ->
     return blind, key
 
 
-def fingerprint(ids: DataFrame, column: str = "article_id") -> DataFrame:
-    """Digest of the ordered ids of a batch, from digests of its ids, so that no row holds them all."""
-    each = ids.select(F.sha2(F.col(column).cast("string"), 256).alias("h"))
-    parts = each.groupBy(F.substring("h", 1, 3).alias("k")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("p"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]), ""), 256).alias("fingerprint"), F.count("*").alias("parts"))
+def fingerprint(ids: DataFrame, column: str = "article_id", group: tuple[str, ...] = ()) -> DataFrame:
+    """Digest of the ordered ids of a batch, or of each group, from digests of its ids, so that no row holds them all."""
+    each = ids.select(*group, F.sha2(F.col(column).cast("string"), 256).alias("h"))
+    parts = each.groupBy(*group, F.substring("h", 1, 3).alias("k")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("p"))
+    whole = [F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "p"))), lambda x: x["p"]), ""), 256).alias("fingerprint"), F.count("*").alias("parts")]
+    return parts.groupBy(*group).agg(*whole) if group else parts.agg(*whole)
+
+
+def chosen_errors(errors: DataFrame, true: list[str], predicted: list[str]) -> DataFrame:
+    """Errors (true_sentiment, predicted_sentiment, ...) with one of the true and one of the predicted labels."""
+    return errors.where(F.col("true_sentiment").isin(true) & F.col("predicted_sentiment").isin(predicted))

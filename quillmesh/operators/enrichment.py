@@ -311,14 +311,15 @@ def incremental(existing: DataFrame, raw: DataFrame, d: Dictionaries, now: Colum
 def sync_sources(articles: DataFrame, raw: DataFrame) -> DataFrame:
     """Source, publisher and source weight of the raw record with an article's id, where they are not blank."""
     columns = [c for c in ("source", "publisher", "source_weight") if c in articles.columns and c in raw.columns]
-    told = raw.select("article_id", *(F.col(c).alias(f"raw_{c}") for c in columns)).dropDuplicates(["article_id"])
+    # of repeated ids the greatest row serves, whatever the partitions
+    told = raw.groupBy("article_id").agg(F.max(F.struct(*(F.col(c).alias(f"raw_{c}") for c in columns))).alias("t_")).select("article_id", "t_.*")
     rows = articles.join(told, "article_id", "left")
     return rows.withColumns({c: F.when(V.filled(F.col(f"raw_{c}")) != "", F.col(f"raw_{c}").cast(dict(articles.dtypes)[c])).otherwise(F.col(c)) for c in columns}).select(*articles.columns)
 
 
 def restore_bodies(articles: DataFrame, cache: DataFrame) -> DataFrame:
     """Articles without a body get that of a cache (article_id, status, body_text) of good pages."""
-    good = cache.where((F.col("status") == "ok") & (V.filled(F.col("body_text")) != "")).select("article_id", F.col("body_text").alias("cached_")).dropDuplicates(["article_id"])
+    good = cache.where((F.col("status") == "ok") & (V.filled(F.col("body_text")) != "")).groupBy("article_id").agg(F.max("body_text").alias("cached_"))
     rows = articles.join(good, "article_id", "left")
     return rows.withColumn("body_text", V.first_filled(F.col("body_text"), F.col("cached_"))).drop("cached_").select(*articles.columns)
 
@@ -349,6 +350,6 @@ def fulltext_candidates(articles: DataFrame, drivers: DataFrame, cache: DataFram
 
 def rescore(articles: DataFrame, pages: DataFrame, d: Dictionaries, weights: dict = config.ENHANCED, least: int = 200) -> DataFrame:
     """Articles scored anew with the body of landed pages (article_id, body_text) of at least ``least`` characters."""
-    landed = pages.where(F.length(V.filled(F.col("body_text"))) >= least).select("article_id", F.col("body_text").alias("landed_")).dropDuplicates(["article_id"])
+    landed = pages.where(F.length(V.filled(F.col("body_text"))) >= least).groupBy("article_id").agg(F.max("body_text").alias("landed_"))
     own = with_input(articles).join(landed, "article_id").withColumns({"body_text": F.col("landed_"), "content_level": F.lit("fulltext"), "rescored": F.lit("True")}).drop("landed_")
     return replace_rows(articles, enrich(own.select(*articles.columns, *(c for c in INPUT if c not in articles.columns)), d, weights))

@@ -31,9 +31,13 @@ def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, size: int, seed: int) -> DataFrame:
-    """Rows taken round-robin from the strata, in a seeded hash order."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return df.withColumn("round", rank).orderBy("round", F.xxhash64(stratum, F.lit(seed)), stratum).limit(size).drop("round")
+    """Rows taken round-robin from the strata, in the order of seeded digests.
+
+    No stratum gives more than ``size`` rows, so each task passes on its first ``size`` of a stratum at most.
+    """
+    digest = lambda c: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(c).cast("string")))
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(digest(key), key))
+    return df.withColumn("round", rank).where(F.col("round") <= size).orderBy("round", digest(stratum), stratum).limit(size).drop("round")
 
 
 def daily_spearman(df: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from quillmesh import config
 from quillmesh.functions import scoring as S
 from quillmesh.operators import weights as W
 
+#: Members kept with an event.
+MEMBERS = 50
+
 
 def attention_window(df: DataFrame, newest: DataFrame | None = None) -> DataFrame:
     """The last seven days before the newest article, by the time of collection where articles have one."""
@@ -131,6 +134,29 @@ def collapse_events(df: DataFrame) -> DataFrame:
     return events.select("event_key", "f.article_id", "f.sector", "f.published_at", "articles", "sources", boosted.alias("event_score"))
 
 
+def event_members(df: DataFrame, most: int = MEMBERS) -> DataFrame:
+    """(event_key, members): the newest articles of each event, newest first and then by id, as nested rows.
+
+    A task keeps the newest ``most`` of an event before anything moves, so an event of any size stays small.
+    """
+    order = Window.partitionBy("event_key").orderBy(F.desc_nulls_last("published_at"), "article_id")
+    fields = [c for c in ("article_id", "title", "source", "publisher", "published_at", "url", "agg_weight", "content_level", "evidence_sentence", "driver_score") if c in df.columns]
+    kept = df.withColumn("place_", F.row_number().over(order)).where(F.col("place_") <= most)
+    return kept.groupBy("event_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("place_", F.struct(*fields).alias("a")))), lambda x: x["a"]).alias("members"))
+
+
+def event_rows(df: DataFrame, most: int = MEMBERS) -> DataFrame:
+    """``collapse_events`` with each event's members."""
+    return collapse_events(df).join(event_members(df, most), "event_key")
+
+
+def strongest_news(df: DataFrame, negative: bool = False, most: int = 20) -> DataFrame:
+    """The most positive or most negative articles of each group, with their place; equal scores by id."""
+    score = S.number("sentiment_score")
+    order = Window.partitionBy("sector").orderBy(F.asc(score) if negative else F.desc(score), "article_id")
+    return df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
 def top_drivers(df: DataFrame, limit: int = 10, macro: str = "error") -> DataFrame:
     """The top events, with a place kept for the best one of the macro group."""
     events = collapse_events(with_driver_score(df))

@@ -26,11 +26,18 @@ def one_row_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> Data
 
 
 def mark_duplicates(df: DataFrame, url: str, title: str, order: str) -> DataFrame:
-    """duplicate: an earlier row has the url or the normal title (blank keys never match)."""
-    # a blank key is told apart by its row, else all blank rows would be one window
-    own = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(F.concat(F.lit("\0"), F.col(order).cast("string")))
-    seen = lambda c: (F.col(c) != "") & (F.row_number().over(Window.partitionBy(own(c)).orderBy(order)) > 1)
-    return df.withColumn("duplicate", seen(url) | seen(title))
+    """duplicate: an earlier row, by ``order``, has the url or the normal title (blank keys never match).
+
+    The first row of a key is an aggregate over the key's hash, so neither texts nor all rows of a frequent title move to
+    one task; rows of equal order count as one.
+    """
+    rows, marks = df, []
+    for k, c in enumerate((url, title)):
+        hashed = F.when(F.col(c) != "", F.unhex(F.md5(F.col(c))))
+        first = df.where(F.col(c) != "").groupBy(hashed.alias(f"key{k}_")).agg(F.min(order).alias(f"first{k}_"), F.count("*").alias(f"n{k}_")).where(f"n{k}_ > 1").drop(f"n{k}_")
+        rows = rows.withColumn(f"own{k}_", hashed).join(first, F.col(f"own{k}_") == F.col(f"key{k}_"), "left")
+        marks.append(F.coalesce(F.col(order) > F.col(f"first{k}_"), F.lit(False)))
+    return rows.withColumn("duplicate", marks[0] | marks[1]).drop(*(f"{n}{k}_" for n in ("own", "key", "first") for k in (0, 1)))
 
 
 def range_overlap_pairs(df: DataFrame, hours: int = config.WINDOW_HOURS) -> DataFrame:

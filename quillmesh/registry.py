@@ -179,8 +179,9 @@ def range_overlap_pairs(spark, d):
 def prefix_block_pairs(spark, d):
     words = F.slice(F.split(X.normal_title(F.col("text")), " "), 1, 5)
     t = table(spark, d, "documents").select("doc_id", words.alias("p")).where(F.size("p") == 5)
-    first = F.min("doc_id").over(Window.partitionBy("p"))
-    return t.select(F.col("doc_id").alias("later"), first.alias("earlier")).where("earlier < later")
+    key = F.unhex(F.md5(F.array_join("p", " ")))
+    first = t.groupBy(key.alias("k")).agg(F.min("doc_id").alias("earlier"))
+    return t.select(F.col("doc_id").alias("later"), key.alias("own")).join(first, F.col("own") == F.col("k")).where("earlier < later").select("later", "earlier")
 
 
 @query(f"WITH {ART}, v AS (SELECT sector, day, sum(agg_weight) AS x FROM art GROUP BY 1, 2) SELECT c.sector, round(c.x - p.x, 6) AS delta FROM v c JOIN v p ON c.sector = p.sector AND c.day = DATE '2024-01-20' AND p.day = DATE '2024-01-19'")
@@ -335,6 +336,20 @@ def event_collapse(spark, d):
     return rounded(M.collapse_events(M.with_driver_score(articles(spark, d))).select("event_key", "article_id", "sector", "articles", "sources", "event_score"))
 
 
+@query(f"WITH {EVENTS}, m AS (SELECT event_key, article_id, row_number() OVER (PARTITION BY event_key ORDER BY published_at DESC, article_id) AS k FROM sc), g AS (SELECT event_key, string_agg(article_id::VARCHAR, ';' ORDER BY k) AS members FROM m WHERE k <= 3 GROUP BY 1) SELECT event_key, article_id, articles, members FROM ev JOIN g USING (event_key)")
+def event_members(spark, d):
+    """Events with their newest three articles."""
+    rows = M.event_rows(M.with_driver_score(articles(spark, d)), 3)
+    return rows.select("event_key", "article_id", "articles", F.array_join(F.transform("members", lambda m: m["article_id"].cast("string")), ";").alias("members"))
+
+
+@query(f"WITH {ART} SELECT sector, article_id, 'positive' AS side, row_number() OVER (PARTITION BY sector ORDER BY sentiment_score DESC, article_id) AS place FROM art QUALIFY place <= 20 UNION ALL SELECT sector, article_id, 'negative', row_number() OVER (PARTITION BY sector ORDER BY sentiment_score, article_id) AS place FROM art QUALIFY place <= 20")
+def strongest_news(spark, d):
+    a = articles(spark, d)
+    sides = [M.strongest_news(a, side == "negative").select("sector", "article_id", F.lit(side).alias("side"), F.col("place").cast("long").alias("place")) for side in ("positive", "negative")]
+    return sides[0].union(sides[1])
+
+
 @query(
     f"""WITH {EVENTS}, best AS (SELECT * FROM ev WHERE sector = 'error' ORDER BY event_score DESC, article_id LIMIT 1)
     SELECT event_key, article_id, round(event_score, 6) AS event_score FROM ((SELECT * FROM ev WHERE event_key NOT IN (SELECT event_key FROM best) ORDER BY event_score DESC, article_id LIMIT 9) UNION ALL SELECT * FROM best)"""
@@ -557,6 +572,11 @@ def fingerprint_sha256(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.sha2(ids, 256).alias("fingerprint"))
 
 
+@query("WITH h AS (SELECT source, sha256(doc_id::VARCHAR) AS h FROM documents), p AS (SELECT source, left(h, 3) AS k, sha256(string_agg(h, '' ORDER BY h)) AS p FROM h GROUP BY 1, 2) SELECT source, sha256(string_agg(p, '' ORDER BY k)) AS fingerprint, count(*) AS parts FROM p GROUP BY 1")
+def fingerprint_tree(spark, d):
+    return A.fingerprint(table(spark, d, "documents"), "doc_id", ("source",))
+
+
 @query("SELECT page_id, '=HYPERLINK(\"' || replace(url, '\"', '\"\"') || '\",\"Open\")' AS link FROM pages")
 def hyperlink(spark, d):
     return table(spark, d, "pages").select("page_id", X.hyperlink(F.col("url")).alias("link"))
@@ -698,7 +718,7 @@ def error_sample(spark, d):
     return _predicted(spark, d).where("actual <> predicted").select("article_id", "actual", "predicted")
 
 
-@query(None)
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('5720:' || doc_id), doc_id) AS k FROM documents) ORDER BY k, md5('5720:' || source), source LIMIT 100")
 def stratified_sample(spark, d):
     return E.stratified_sample(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 100, 5720)
 
@@ -1066,6 +1086,21 @@ def brief_rankings(spark, d):
     return B.rankings(rows).select("sector", "metric", "score", F.col("place").cast("long").alias("place"))
 
 
+@query(f"WITH {_metrics_sql(config.ENHANCED)}, u AS (SELECT sector, unnest([{', '.join(f"{{'metric': '{m}', 'score': round({m}, 6)}}" for m in config.METRICS)}]) AS u FROM met) SELECT u.metric AS metric, sector FROM u QUALIFY row_number() OVER (PARTITION BY u.metric ORDER BY u.score DESC, sector) <= 5")
+def largest_groups(spark, d):
+    """The five leading groups of each metric."""
+    rows = rounded(M.sector_metrics(spark, articles(spark, d), config.ENHANCED))
+    return B.rankings(rows).where("place <= 5").select("metric", "sector")
+
+
+@query(f"WITH {PRED} SELECT article_id, actual AS true_sentiment, predicted AS predicted_sentiment FROM pr WHERE actual <> predicted AND actual IN ('positive', 'negative') AND predicted = 'neutral'")
+def chosen_errors(spark, d):
+    s, names = F.col("sentiment_score"), ("p_positive", "p_neutral", "p_negative")
+    p, u, n = map(F.col, names)
+    rows = articles(spark, d).select("article_id", F.when(s > 0.05, "positive").when(s < -0.05, "negative").otherwise("neutral").alias("true_sentiment"), F.when((p >= u) & (p >= n), "positive").when(u >= n, "neutral").otherwise("negative").alias("predicted_sentiment"))
+    return A.chosen_errors(rows.where("true_sentiment <> predicted_sentiment"), ["positive", "negative"], ["neutral"])
+
+
 @query(f"SELECT * FROM (WITH {_metrics_sql(config.BASELINE)} SELECT 'baseline' AS formula_version, sum(articles)::BIGINT AS article_count, {', '.join(f'round(avg({m}), 6) AS {m}' for m in config.METRICS)} FROM met) UNION ALL SELECT * FROM (WITH {_metrics_sql(config.ENHANCED)} SELECT 'enhanced', sum(articles)::BIGINT, {', '.join(f'round(avg({m}), 6)' for m in config.METRICS)} FROM met)")
 def market_snapshot(spark, d):
     _, market = Z.snapshot_rows(spark, articles(spark, d), "real", dt.datetime(2024, 2, 1))
@@ -1215,14 +1250,15 @@ def matched_signals(spark, d):
 
 
 def _entries(spark, d) -> DataFrame:
-    """Documents as entries of three feeds; a third of them repeat an address and title of another feed."""
+    """Documents as entries, three feeds for every 600 of them, whose entries are cut at 200; half of them repeat an
+    address and title of another feed."""
     i = F.col("doc_id")
-    names = {"feed": F.concat(F.lit("f"), i % 3), "link": F.concat(F.lit("http://x/"), (i / 2).cast("long")), "title": F.concat(F.lit("t <b>"), (i / 2).cast("long"), F.lit("</b>")), "source": F.when(i % 2 == 0, F.concat(F.lit("p"), i % 4))}
-    plain = {"summary": F.lit(""), "publisher": F.lit(None).cast("string"), "published": F.lit("2024-01-05T00:00:00Z"), "weight": F.lit(1.0), "sector": F.lit(""), "ticker": F.concat(F.lit("T"), i % 5), "place": (i / 3).cast("int"), "max_entries": F.lit(200)}
+    names = {"feed": F.concat(F.lit("f"), F.floor(i / 600) * 3 + i % 3), "link": F.concat(F.lit("http://x/"), (i / 2).cast("long")), "title": F.concat(F.lit("t <b>"), (i / 2).cast("long"), F.lit("</b>")), "source": F.when(i % 2 == 0, F.concat(F.lit("p"), i % 4))}
+    plain = {"summary": F.lit(""), "publisher": F.lit(None).cast("string"), "published": F.lit("2024-01-05T00:00:00Z"), "weight": F.lit(1.0), "sector": F.lit(""), "ticker": F.concat(F.lit("T"), i % 5), "place": (i % 600 / 2).cast("int"), "max_entries": F.lit(200)}
     return table(spark, d, "documents").select(*(v.alias(k) for k, v in (names | plain).items()))
 
 
-_ENTRIES = "e AS (SELECT 'http://x/' || doc_id // 2 AS url, 't ' || doc_id // 2 AS title, 'f' || doc_id % 3 AS source, CASE WHEN doc_id % 2 = 0 THEN 'p' || doc_id % 4 ELSE 'f' || doc_id % 3 END AS publisher, 'T' || doc_id % 5 AS ticker, doc_id // 3 AS place FROM documents WHERE doc_id // 3 < 200)"
+_ENTRIES = "e AS (SELECT 'http://x/' || doc_id // 2 AS url, 't ' || doc_id // 2 AS title, 'f' || (doc_id // 600 * 3 + doc_id % 3) AS source, CASE WHEN doc_id % 2 = 0 THEN 'p' || doc_id % 4 ELSE 'f' || (doc_id // 600 * 3 + doc_id % 3) END AS publisher, 'T' || doc_id % 5 AS ticker, doc_id % 600 // 2 AS place FROM documents WHERE doc_id % 600 // 2 < 200)"
 
 
 @query(f"WITH {_ENTRIES} SELECT 'rss-' || left(sha1(url || '|' || title), 16) AS article_id, title, source, publisher, '2024-01-05T00:00:00+00:00' AS published_at FROM e")

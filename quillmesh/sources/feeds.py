@@ -55,7 +55,7 @@ def expanded(spark: SparkSession, sources: list[dict], companies: DataFrame) ->
     """(feed, kind, url, weight, max_entries, sector, ticker): ticker feeds once for each distinct ticker."""
     told = [(s["name"], s["kind"], s["url"], float(s.get("weight", 1.0)), int(s.get("max_entries", 50)), s.get("sector", "")) for s in sources]
     feeds = spark.createDataFrame(told, "feed string, kind string, url string, weight double, max_entries int, sector string")
-    each = companies.select("ticker", F.col("sector").alias("of")).where(V.filled(F.col("ticker")) != "").dropDuplicates(["ticker"])
+    each = companies.where(V.filled(F.col("ticker")) != "").groupBy("ticker").agg(F.min("sector").alias("of"))
     plain = feeds.where("kind <> 'ticker'").withColumn("ticker", F.lit(""))
     # the feeds are a list of the configuration, so this is a copy of the companies for each of a few feeds
     made = each.crossJoin(F.broadcast(feeds.where("kind = 'ticker'"))).withColumns({"url": F.replace("url", F.lit("{ticker}"), F.col("ticker")), "sector": F.col("of")}).select(*plain.columns)
