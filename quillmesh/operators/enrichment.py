@@ -303,9 +303,13 @@ def batch(raw: DataFrame, d: Dictionaries, now: Column, weights: dict = config.E
 
 def incremental(existing: DataFrame, raw: DataFrame, d: Dictionaries, now: Column, weights: dict = config.ENHANCED) -> DataFrame:
     """Existing articles, with the sources that raw records now have, and scores of the raw records whose ids are new."""
-    known = sync_sources(existing, raw)
-    fresh = mark_factor(D.with_normal_times(with_input(raw), now)).join(existing.select("article_id").where(V.filled(F.col("article_id")) != "").distinct(), "article_id", "left_anti")
-    return known.unionByName(enrich(fresh, d, weights), allowMissingColumns=True)
+    return sync_sources(existing, raw).unionByName(scored_new(existing, raw, d, now, weights), allowMissingColumns=True)
+
+
+def scored_new(existing: DataFrame, raw: DataFrame, d: Dictionaries, now: Column, weights: dict = config.ENHANCED) -> DataFrame:
+    """Scores of the raw records whose ids ``existing`` lacks; repeats are told among all raw records."""
+    known = existing.select("article_id").where(V.filled(F.col("article_id")) != "").distinct()
+    return enrich(mark_factor(D.with_normal_times(with_input(raw), now)).join(known, "article_id", "left_anti"), d, weights)
 
 
 def sync_sources(articles: DataFrame, raw: DataFrame) -> DataFrame:

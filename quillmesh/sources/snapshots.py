@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmesh import config
 from quillmesh.functions.evidence import filled, first_filled
 from quillmesh.functions.scoring import number
+from quillmesh.functions.times import parsed
 from quillmesh.operators import metrics as M
 from quillmesh.sources import tables
 from quillmesh.sources.store import Change, Store
@@ -69,6 +70,7 @@ def attention_history(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 def snapshot_rows(spark: SparkSession, df: DataFrame, source: str, now: dt.datetime, revision: str = "r4") -> tuple[DataFrame, DataFrame]:
     """Rows of both formula versions for every group, and one for the market in each version."""
+    df = _for_metrics(df)
     head = {"snapshot_date": F.lit(now.date()), "snapshot_timestamp": F.lit(now.isoformat(timespec="seconds")), "data_source": F.lit(source), "pipeline_revision": F.lit(revision)}
     events = df.groupBy("sector").agg(F.count_distinct("event_key").alias("event_count"))
     volume = M.attention_volume(spark, df).withColumnRenamed("volume", "attention_volume")
@@ -79,6 +81,14 @@ def snapshot_rows(spark: SparkSession, df: DataFrame, source: str, now: dt.datet
     return rows.withColumns(six), total.select(*MARKET).withColumns(six)
 
 
+def _for_metrics(df: DataFrame) -> DataFrame:
+    """Articles with the event and the typed times that metrics read."""
+    if "event_key" not in df.columns:
+        df = df.withColumn("event_key", first_filled(F.col("event_id"), F.col("article_id")))
+    times = [c for c in ("published_at", "collected_at") if dict(df.dtypes).get(c) == "string"]
+    return df.withColumns({c: parsed(F.col(c)) for c in times})
+
+
 def _upsert(change: Change, sector_path: str, market_path: str, df: DataFrame, source: str, now: dt.datetime, revision: str) -> None:
     by_sector, by_market = snapshot_rows(df.sparkSession, df, source, now, revision)
     keys = ["snapshot_date", "data_source", "formula_version"]
