@@ -13,6 +13,7 @@ from quillmesh.functions.scoring import number
 from quillmesh.functions.times import parsed
 from quillmesh.operators import metrics as M
 from quillmesh.sources import tables
+from quillmesh.sources.scratch import Scratch
 from quillmesh.sources.store import Change, Store
 
 SECTOR = ("snapshot_date", "snapshot_timestamp", "data_source", "formula_version", "pipeline_revision", "sector", "article_count", "event_count", "publisher_count", "attention_volume", *config.METRICS)
@@ -76,6 +77,8 @@ def snapshot_rows(spark: SparkSession, df: DataFrame, source: str, now: dt.datet
     volume = M.attention_volume(spark, df).withColumnRenamed("volume", "attention_volume")
     made = M.snapshot(spark, df).withColumnRenamed("formula", "formula_version").withColumnRenamed("articles", "article_count").withColumnRenamed("publishers", "publisher_count")
     rows = made.join(events, "sector", "left").join(volume, "sector", "left").na.fill(0, ["event_count", "attention_volume"]).withColumns(head).select(*SECTOR)
+    # both tables and their upserts read these few rows, which are many aggregates of the articles
+    rows = Scratch(spark, "snapshot").save(rows, "rows")
     total = rows.groupBy("formula_version").agg(F.sum("article_count").alias("article_count"), *(F.avg(m).alias(m) for m in config.METRICS)).withColumns(head)
     six = {m: F.round(m, 6) for m in config.METRICS}
     return rows.withColumns(six), total.select(*MARKET).withColumns(six)

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quillmesh.operators import clustering as C
+from quillmesh.operators import enrichment as N
 from quillmesh.operators import flow
 from quillmesh.sources.store import Store
 from tests_data import DICTIONARIES, raw_records
@@ -12,18 +13,16 @@ from tests_data import DICTIONARIES, raw_records
 
 def test_two_increments_equal_one_full_run(spark, tmp_path):
     raw, now = raw_records(spark), dt.datetime(2024, 1, 10, tzinfo=dt.UTC)
-    one, two = str(tmp_path / "one"), str(tmp_path / "two")
-    flow.full(spark, one, raw, DICTIONARIES, now, ["its"])
+    two = str(tmp_path / "two")
+    whole = C.cluster_articles(N.batch(raw, DICTIONARIES, F.lit("2024-01-10T00:00:00Z").cast("timestamp")), ["its"])
     flow.increment(spark, two, raw.where("published_at < '2024-01-04'"), DICTIONARIES, now, ["its"])
     assert flow.increment(spark, two, raw, DICTIONARIES, now, ["its"]) == 2
 
-    def told(folder):
-        store = Store(spark, folder)
-        assert {"articles", "errors", "sectors", "market"} == set(store.manifest()["tables"])
-        return {r.article_id: (r.event_id, r.source_count, round(r.sentiment_score, 6)) for r in store.read("articles").collect()}
-
-    first = told(one)
-    assert first == told(two) and len(first) == raw.count() and any(k != v[0] for k, v in first.items())
+    store = Store(spark, two)
+    assert {"articles", "errors", "sectors", "market"} == set(store.manifest()["tables"])
+    told = lambda df: {r.article_id: (r.event_id, r.source_count, round(r.sentiment_score, 6)) for r in df.select("article_id", "event_id", "source_count", "sentiment_score").collect()}
+    first = told(whole)
+    assert first == told(store.read("articles")) and len(first) == raw.count() and any(k != v[0] for k, v in first.items())
 
 
 def test_only_open_events_are_read_in(spark):
