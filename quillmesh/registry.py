@@ -1278,7 +1278,7 @@ _RUNS = """r AS (SELECT doc_id, 'http://x/' || (doc_id * 7 % 300) AS url, CASE W
 @query(
     f"""WITH {_RUNS}, o AS (SELECT url, source, row_number() OVER (PARTITION BY url, source ORDER BY later, doc_id) AS k, later, doc_id FROM r), l AS (SELECT url, string_agg(source, ';' ORDER BY later, doc_id) AS sources FROM o WHERE k = 1 GROUP BY 1),
     t AS (SELECT url, lower(t) AS t, later, doc_id, i, t AS spelled, row_number() OVER (PARTITION BY url, lower(t) ORDER BY later, doc_id, i) AS k FROM (SELECT url, later, doc_id, unnest(string_split(tickers, ';')) AS t, unnest([1, 2]) AS i FROM r)), m AS (SELECT url, string_agg(spelled, ';' ORDER BY later, doc_id, i) AS tickers FROM t WHERE k = 1 GROUP BY 1)
-    SELECT url, sources, m.tickers AS tickers, 'S' || any_value(s) AS sector, max(w)::DOUBLE AS weight, arg_min(doc_id, (later::INT, doc_id))::VARCHAR AS article_id, NOT bool_or(NOT later) AS fresh FROM r JOIN l USING (url) JOIN m USING (url) GROUP BY url, sources, m.tickers"""
+    SELECT url, sources, CASE WHEN count(*) = 1 THEN any_value(r.tickers) ELSE m.tickers END AS tickers, 'S' || any_value(s) AS sector, max(w)::DOUBLE AS weight, arg_min(doc_id, (later::INT, doc_id))::VARCHAR AS article_id, NOT bool_or(NOT later) AS fresh FROM r JOIN l USING (url) JOIN m USING (url) GROUP BY url, sources, m.tickers"""
 )
 def stored_runs(spark, d):
     """Two collection runs merged into one stored table; records of the second run that are new to it are marked."""
