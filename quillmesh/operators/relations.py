@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quillmesh import config
 from quillmesh.functions import text as X
@@ -54,31 +57,76 @@ def range_overlap_pairs(df: DataFrame, hours: int = config.WINDOW_HOURS) -> Data
     return both.select("a", "b").distinct()
 
 
-def similar_reprints(df: DataFrame, threshold: float = config.SIMILAR_TITLE) -> DataFrame:
-    """Rows (ord, title) whose title is like an earlier one with the same first five words.
+_COUNTED = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _bag(texts: pd.Series) -> pd.Series:
+    """How often each counted character stands in a text, and last the number of all others."""
+    counted = np.frombuffer(_COUNTED.encode(), np.uint8)
+
+    def count(text: str) -> np.ndarray:
+        held = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)[counted]
+        return np.append(held, len(text) - held.sum()).astype(np.int32)
 
-    Equal titles are compared once; upper bounds of the ratio (from lengths, then from letters) go before the ratio itself.
+    return texts.map(count)
+
+
+def reprint_candidates(titles: DataFrame, threshold: float) -> DataFrame:
+    """(key, other, score): earlier titles with the same prefix whose lengths and letters allow a ratio of ``threshold``.
+
+    titles: (key, before, prefix, n, bag).  Similar lengths lie in the same or neighbouring bands of their logarithm, so a
+    frequent prefix is cut by band; ``score`` is the greatest ratio that the letters allow.  No text takes part.
     """
-    words = F.split("title", " ")
-    key = F.sha2("title", 256).alias("key")
-    titles = df.where(F.size(words) >= config.PREFIX_TOKENS).groupBy("title").agg(F.min("ord").alias("before"), F.max("ord").alias("last"))
-    keyed = titles.select("title", "before", "last", key, F.length("title").alias("n"), F.array_join(F.slice(words, 1, config.PREFIX_TOKENS), " ").alias("prefix"))
+    band = F.floor(F.log("n") / math.log((2 - threshold) / threshold)) if threshold < 1 else F.col("n")
+    late = titles.withColumn("band", band)
+    near = F.array(*(F.col("band") + k for k in (-1, 0, 1)))
+    early = late.select("prefix", F.explode(near).alias("band"), F.col("key").alias("other"), F.col("before").alias("earlier"), F.col("n").alias("m"), F.col("bag").alias("held"))
+    fits = (F.col("earlier") < F.col("before")) & (2 * F.least("n", "m") >= threshold * (F.col("n") + F.col("m")) - 1e-9)
+    shared = sum((F.least(F.col("bag")[i], F.col("held")[i]) for i in range(len(_COUNTED) + 1)), F.lit(0))
+    pairs = late.join(early, ["prefix", "band"]).where(fits)
+    return pairs.select("key", "other", (2 * shared / (F.col("n") + F.col("m"))).alias("score")).where(F.col("score") >= threshold - 1e-12)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Keys of the pairs (key, other) whose texts (key, title) have the ratio."""
 
     def like(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        least: dict[str, int] = {}
         for f in frames:
-            for k, title, earlier, before in zip(f["key"], f["title"], f["earlier"], f["before"], strict=True):
-                if k not in least or before < least[k]:
-                    m = difflib.SequenceMatcher(None, title, earlier)
-                    if m.quick_ratio() >= threshold and m.ratio() >= threshold:
-                        least[k] = before
-        yield pd.DataFrame({"key": list(least), "before": pd.Series(list(least.values()), dtype="int64")})
-
-    earlier = keyed.select("prefix", "before", F.col("title").alias("earlier"), F.col("n").alias("m"))
-    near = (F.col("before") < F.col("last")) & (2 * F.least("n", "m") >= threshold * (F.col("n") + F.col("m")) - 1e-9)
-    pairs = keyed.drop("before").join(earlier, "prefix").where(near).select("key", "title", "earlier", "before")
-    first = pairs.mapInPandas(like, "key string, before long").groupBy("key").agg(F.min("before").alias("before"))
-    return df.select("ord", key).join(first, "key").where("before < ord").select("ord").distinct()
+            good = [difflib.SequenceMatcher(None, t, e).ratio() >= threshold for t, e in zip(f["title"], f["earlier"], strict=True)]
+            yield f.loc[good, ["key"]]
+
+    other = texts.select(F.col("key").alias("other"), F.col("title").alias("earlier"))
+    return pairs.join(texts, "key").join(other, "other").select("key", "title", "earlier").mapInPandas(like, "key binary").distinct()
+
+
+def similar_reprints(df: DataFrame, threshold: float = config.SIMILAR_TITLE, scratch: Scratch | None = None) -> DataFrame:
+    """Rows (ord, title) whose title is like an earlier one with the same first five words.
+
+    A later copy of a title is like its first, so only distinct titles look for an earlier like one, and one is enough.
+    Signatures (hash, prefix, length, letters) meet first.  Then texts move for the most promising partner of each title,
+    and for the other partners of those titles only that found none so.  Null titles, titles of fewer than five words and
+    rows without ``ord`` are never marked; of equal ``ord`` none is earlier.
+    """
+    work = scratch or Scratch(df.sparkSession, "reprints")
+    title, words = F.col("title"), F.split("title", " ")
+    long_enough = df.where(F.size(words) >= config.PREFIX_TOKENS).withColumn("key", F.unhex(F.sha2(title, 256)))
+    prefix = F.unhex(F.md5(F.array_join(F.slice(words, 1, config.PREFIX_TOKENS), " ")))
+    rows = work.save(long_enough.select("ord", "key", prefix.alias("prefix"), F.length(title).alias("n"), _bag(title).alias("bag")), "rows")
+    titles = work.save(rows.groupBy("key", "prefix", "n", "bag").agg(F.min("ord").alias("before")), "titles")
+    pairs = work.save(reprint_candidates(titles, threshold), "pairs")
+    met = pairs.select("key").union(pairs.select("other")).distinct()
+    firsts = titles.join(met, "key", "left_semi").select("key", F.col("before").alias("ord"))
+    texts = work.save(long_enough.select("ord", "key", "title").join(firsts, ["ord", "key"], "left_semi").dropDuplicates(["key"]).select("key", "title"), "texts")
+    best = work.save(pairs.groupBy("key").agg(F.max_by("other", F.struct("score", "other")).alias("other")), "best")
+    sure = work.save(_alike(best, texts, threshold), "sure")
+    rest = pairs.select("key", "other").join(sure, "key", "left_anti").join(best, ["key", "other"], "left_anti")
+    found = sure.union(_alike(rest, texts, threshold))
+    copies = rows.select("ord", "key").join(titles.select("key", "before"), "key").where("before < ord").select("ord")
+    marked = work.save(copies.union(titles.join(found, "key", "left_semi").select(F.col("before").alias("ord"))).distinct(), "marked")
+    for name in ("rows", "titles", "pairs", "texts", "best", "sure"):
+        work.drop(name)
+    return marked
 
 
 def jaccard_pairs(df: DataFrame, threshold: float) -> DataFrame:
