@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -88,12 +89,45 @@ def reprint_candidates(titles: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("key", "other", (2 * shared / (F.col("n") + F.col("m"))).alias("score")).where(F.col("score") >= threshold - 1e-12)
 
 
+_GRAM = 4
+_AUTOJUNK = 200
+
+
+def _profile(text: str) -> tuple[np.ndarray, ...]:
+    """Hashed runs of ``_GRAM`` characters and the characters of a text, each distinct one with its count."""
+    signs = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    grams = np.zeros(max(len(signs) - _GRAM + 1, 0), np.uint64)
+    for i in range(_GRAM):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + signs[i : i + len(grams)]
+    return *np.unique(grams, return_counts=True), *np.unique(signs, return_counts=True)
+
+
+def _most(title: str, earlier: str, profile: Callable = _profile) -> float:
+    """A number that the ratio of two texts never exceeds.
+
+    In an earlier text of 200 characters or more, a matched block starts at a character that is rare in it (at most one
+    in a hundred, and one more), but for one block at the start of both.  So there are no more blocks than rare characters
+    in common, and one, and a block of s characters has s - 3 runs of four in common.  Hashes that coincide only raise it.
+    """
+    if len(earlier) < _AUTOJUNK:
+        return 1.0
+    grams, n, signs, held = profile(title)
+    other, m, kinds, count = profile(earlier)
+    _, x, y = np.intersect1d(grams, other, assume_unique=True, return_indices=True)
+    shared = int(np.minimum(n[x], m[y]).sum())
+    rare = count <= len(earlier) // 100 + 1
+    _, x, y = np.intersect1d(signs, kinds[rare], assume_unique=True, return_indices=True)
+    blocks = 1 + int(np.minimum(held[x], count[rare][y]).sum())
+    return 2 * (shared + (_GRAM - 1) * blocks) / (len(title) + len(earlier))
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Keys of the pairs (key, other) whose texts (key, title) have the ratio."""
 
     def like(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        profile = functools.lru_cache(16)(_profile)
         for f in frames:
-            good = [difflib.SequenceMatcher(None, t, e).ratio() >= threshold for t, e in zip(f["title"], f["earlier"], strict=True)]
+            good = [_most(t, e, profile) >= threshold and difflib.SequenceMatcher(None, t, e).ratio() >= threshold for t, e in zip(f["title"], f["earlier"], strict=True)]
             yield f.loc[good, ["key"]]
 
     other = texts.select(F.col("key").alias("other"), F.col("title").alias("earlier"))
