@@ -62,7 +62,7 @@ def without_title(sentence: Column, title: Column) -> Column:
     """A sentence without the title it begins with; blank where it is the title."""
     s, t = filled(sentence), filled(title)
     rest = F.regexp_replace(F.substr(s, F.length(t) + 1), r"\A[ .:-]+", "")
-    begins = (t != "") & F.startswith(F.lower(s), F.lower(t)) & (X.keyword_form(rest) != "")
+    begins = (t != "") & (F.lower(F.left(s, F.length(t))) == F.lower(t)) & (X.keyword_form(rest) != "")
     same = (X.keyword_form(t) != "") & (X.keyword_form(s) == X.keyword_form(t))
     return F.when(same, "").when(begins, rest).otherwise(s)
 

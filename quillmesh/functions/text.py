@@ -29,6 +29,16 @@ def keyword_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+# Letters whose upper case is more than one letter, and the single letter that stands for it where there is one.
+_WIDE = {c: "ẞ" if c == "ß" else c.title() for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1 and (c == "ß" or len(c.title()) == 1)}
+
+
+def upper_letters(text: Column) -> Column:
+    """Upper case letter by letter, so that no text gets longer: ß becomes ẞ, and ligatures stay."""
+    single = lambda c: F.when(F.length(F.upper(c)) > 1, F.translate(c, "".join(_WIDE), "".join(_WIDE.values()))).otherwise(F.upper(c))
+    return F.array_join(F.transform(F.split(text, ""), single), "")
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.split(collapse(text), r"(?<=[.!?。！？])\s+"), lambda s: s != "")
 
