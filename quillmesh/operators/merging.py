@@ -21,9 +21,45 @@ from quillmesh.sources.scratch import Scratch
 MOST_EDGES = 500_000
 
 
+#: Ids that a task holds at most while it thins edges.
+MOST_IDS = 1_000_000
+
+
+def forest(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect what ``edges`` connect: each task leaves out those whose ends it has connected already.
+
+    A task that holds more than ``most`` ids begins anew, so it keeps more edges than it must, never fewer.
+    """
+    limit = most or MOST_IDS
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict = {}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for f in frames:
+            kept = []
+            for a, b in zip(f["a"].tolist(), f["b"].tolist(), strict=True):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                x, y = find(a), find(b)
+                if x != y:
+                    parent[y] = x
+                    kept.append((a, b))
+            if len(parent) > limit:
+                parent.clear()
+            yield pd.DataFrame(kept, columns=["a", "b"]).astype(dict(f.dtypes))
+
+    rows = edges.select("a", "b")
+    return rows.mapInPandas(run, rows.schema)
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(id, component) of the ends of edges (a, b); a component is named by its least id."""
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = forest(edges.where("a <> b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before, turn = scratch.save(now, "star-0"), None, 0
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -108,10 +144,16 @@ def merged(rows: DataFrame, limit: float, kind: str) -> DataFrame:
     return sorted_.select("component", "turn", "a", "at_a", "b", "at_b").mapInPandas(run, f"component {key}, id {kind}, cluster {kind}, low double, high double")
 
 
+def timed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with the times of their ends."""
+    return edges.join(nodes.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(nodes.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
+
+
 def constrained(edges: DataFrame, nodes: DataFrame, found: DataFrame, span_hours: float, scratch: Scratch) -> DataFrame:
-    """(id, cluster) of nodes (id, at seconds): edges (a, b, turn) merged where ``found`` (id, component) allows none across."""
+    """(id, cluster) of nodes (id, at seconds): edges (a, b, turn) merged where ``found`` (id, component) allows none across.
+    Edges that do not tell the times of their ends (at_a, at_b) take them from the nodes."""
     kind, limit = dict(nodes.dtypes)["id"], span_hours * 3600.0
-    ends = edges.join(nodes.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(nodes.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
+    ends = edges if "at_a" in edges.columns else timed(edges, nodes)
     flip = (F.col("at_a") > F.col("at_b")) | ((F.col("at_a") == F.col("at_b")) & (F.col("a") > F.col("b")))
     one, two = F.struct("a", F.col("at_a").alias("t")), F.struct(F.col("b").alias("a"), F.col("at_b").alias("t"))
     ordered = ends.select("turn", F.when(flip, two).otherwise(one).alias("x"), F.when(flip, one).otherwise(two).alias("y")).select("turn", F.col("x.a").alias("a"), F.col("x.t").alias("at_a"), F.col("y.a").alias("b"), F.col("y.t").alias("at_b"))
