@@ -22,7 +22,7 @@ def collapse(text: Column) -> Column:
 def normal_title(title: Column) -> Column:
     """Lower case without links, other signs as blanks, blanks collapsed."""
     plain = F.regexp_replace(F.lower(title), r"https?://[^ \t\n\r]+|www\.[^ \t\n\r]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9 \t\n\r]", " "), r"[ \t\n\r]+", " "))
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
 def keyword_form(text: Column) -> Column:

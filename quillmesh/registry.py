@@ -177,11 +177,10 @@ def range_overlap_pairs(spark, d):
     SELECT x.doc_id AS later, min(y.doc_id) AS earlier FROM t x JOIN t y ON x.p = y.p AND y.doc_id < x.doc_id AND len(x.p) = 5 GROUP BY 1"""
 )
 def prefix_block_pairs(spark, d):
-    words = F.slice(F.split(X.normal_title(F.col("text")), " "), 1, 5)
-    t = table(spark, d, "documents").select("doc_id", words.alias("p")).where(F.size("p") == 5)
-    key = F.unhex(F.md5(F.array_join("p", " ")))
-    first = t.groupBy(key.alias("k")).agg(F.min("doc_id").alias("earlier"))
-    return t.select(F.col("doc_id").alias("later"), key.alias("own")).join(first, F.col("own") == F.col("k")).where("earlier < later").select("later", "earlier")
+    words = F.substring_index(X.normal_title(F.col("text")), " ", 5)
+    t = table(spark, d, "documents").select("doc_id", words.alias("p")).select("doc_id", F.when(F.size(F.split("p", " ")) == 5, F.unhex(F.md5("p"))).alias("key"))
+    first = t.groupBy(F.col("key").alias("k")).agg(F.min("doc_id").alias("earlier"), F.count("*").alias("n")).where("n > 1 and k is not null")
+    return t.select(F.col("doc_id").alias("later"), F.col("key").alias("own")).join(first, F.col("own") == F.col("k")).where("earlier < later").select("later", "earlier")
 
 
 @query(f"WITH {ART}, v AS (SELECT sector, day, sum(agg_weight) AS x FROM art GROUP BY 1, 2) SELECT c.sector, round(c.x - p.x, 6) AS delta FROM v c JOIN v p ON c.sector = p.sector AND c.day = DATE '2024-01-20' AND p.day = DATE '2024-01-19'")
