@@ -63,8 +63,8 @@ def in_blocks(tied: DataFrame, group: list[str], blocks: int) -> DataFrame:
 def least_reaching(tied: DataFrame, group: list[str], mass: str, targets: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """(group, label, v): the least value of each group at which the mass of all values up to it reaches ``target``.
 
-    Masses are summed by block, the block that decides is found on these sums, and only its values are put in order.
-    targets: (group, label, target).
+    Masses are summed by block, the block that decides is found on these sums, and only its values are made distinct and
+    put in order.  ``tied`` may hold a value in several rows.  targets: (group, label, target).
     """
     rows = in_blocks(tied, group, blocks)
     before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,7 +74,8 @@ def least_reaching(tied: DataFrame, group: list[str], mass: str, targets: DataFr
     decides = named(targets).join(sums, [*same, F.col("before_") + F.col("mass_") >= F.col("target")]).groupBy(*group, "label", "target").agg(F.min(F.struct("block", "before_")).alias("b_"))
     chosen = named(decides.select(*group, "label", "target", F.col("b_.block").alias("block_"), F.col("b_.before_").alias("before_")))
     run = Window.partitionBy(*group, "label", "block_").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.join(chosen, [*same, F.col("block") == F.col("block_")]).withColumn("cum_", F.col("before_") + F.sum(mass).over(run))
+    held = rows.join(F.broadcast(chosen), [*same, F.col("block") == F.col("block_")]).groupBy(*group, "label", "block_", "before_", "target", "v").agg(F.sum(mass).alias("mass_"))
+    inside = held.withColumn("cum_", F.col("before_") + F.sum("mass_").over(run))
     return inside.where("cum_ >= target").groupBy(*group, "label").agg(F.min("v").alias("v"))
 
 
@@ -85,13 +86,13 @@ def quantile_of(tied: DataFrame, group: list[str], q: float, out: str, blocks: i
 
 
 def weighted_quantile(df: DataFrame, group: list[str], value: str, q: float, out: str, blocks: int = BLOCKS) -> DataFrame:
-    """Least value whose cumulative weight ``w`` reaches q of all; weights of equal values are summed first."""
-    return quantile_of(df.groupBy(*group, number(value).alias("v")).agg(F.sum("w").alias("vw")), group, q, out, blocks)
+    """Least value whose cumulative weight ``w`` reaches q of all; only the values of one block are ever grouped."""
+    return quantile_of(df.select(*group, number(value).alias("v"), F.col("w").alias("vw")), group, q, out, blocks)
 
 
 def percentiles(df: DataFrame, group: list[str], value: str, at: list[float], blocks: int = BLOCKS) -> DataFrame:
     """(group, label, v): exact percentiles ``at[label]`` of non-null values, between neighbours in proportion."""
-    tied = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    tied = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("v"), F.lit(1).cast("long").alias("n"))
     ranks = tied.groupBy(*group).agg((F.sum("n") - 1).alias("last")).select(*group, F.posexplode(F.array(*(F.lit(float(p)) for p in at))).alias("label", "p"), "last").withColumn("rank", F.col("p") * F.col("last"))
     ends = ranks.select(*group, F.explode(F.array(F.floor("rank"), F.ceil("rank"))).alias("r")).distinct().select(*group, F.col("r").alias("label"), (F.col("r") + 1).alias("target"))
     values = least_reaching(tied, group, "n", ends, blocks)
