@@ -6,7 +6,9 @@ Fetching is not done here: entries and pages are read where a collector has land
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,9 +93,56 @@ _LISTS = ("tickers", "companies", "source", "publisher", "time_parse_error", "pr
 BUCKETS = 64
 
 
-def _agreed(first: Column, later: Column) -> Column:
-    """A sector and those of later records in turn: a blank takes the next, another one clears it."""
-    return F.aggregate(later, first, lambda s, x: F.when(s == "", x).when((x == "") | (x == s), s).otherwise(F.lit("")))
+_TURN = ("later_", "place", "article_id")
+
+
+def _all_items(rows: DataFrame) -> DataFrame:
+    """(key_, all_<list>...): the items of a key's ``;`` lists in their order, first spelling, case ignored.
+
+    Only the first place of each different item of a key is brought together, not its rows.
+    """
+    lists = F.filter(F.array(*(F.struct(F.lit(i).alias("list_"), F.col(c).alias("value")) for i, c in enumerate(_LISTS))), lambda x: x["value"] != "")
+    each = rows.select("key_", *_TURN, F.explode(lists).alias("l")).select("key_", *_TURN, "l.list_", F.posexplode(F.split("l.value", ";")).alias("p_", "item_"))
+    each = each.withColumn("item_", F.trim("item_")).where("item_ <> ''")
+    first = each.groupBy("key_", "list_", F.lower("item_").alias("low_")).agg(F.min(F.struct(*_TURN, "p_", "item_")).alias("f_"))
+    joined = lambda i: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("list_") == i, F.col("f_")))), lambda x: x["item_"]), ";")
+    return first.groupBy("key_").agg(*(joined(i).alias(f"all_{c}") for i, c in enumerate(_LISTS)))
+
+
+def _agreed(rows: DataFrame) -> DataFrame:
+    """(key_, agreed_): a key's sectors in turn, where a blank takes the next and another one clears it.
+
+    Rows are dealt by ranges of key and turn, so a key of many rows is cut over tasks.  What a stretch of rows makes of the
+    sector before it is told by a few values: a sector twice in a row settles it, else every row takes or clears in turn.
+    """
+    kinds = dict(rows.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, out = None, []
+        for f in frames:
+            for key, *turn, sector in f.itertuples(index=False, name=None):
+                if now is None or key != now[0]:
+                    out += [now] if now else []
+                    now = [key, *turn, sector, sector, True, None]
+                    continue
+                if sector == now[-3]:
+                    now[-1] = sector
+                elif now[-1] is not None:
+                    now[-1] = "" if now[-1] else sector
+                now[-3], now[-2] = sector, not now[-2]
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        out += [now] if now else []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["key_", *_TURN, "first", "last", "odd", "end"]
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names[:4]) + ", first string, last string, odd boolean, end string"
+    ordered = rows.where("sector <> ''").select("key_", *_TURN, "sector").repartitionByRange("key_", *_TURN).sortWithinPartitions("key_", *_TURN, "sector")
+    parts = ordered.mapInPandas(run, schema).groupBy("key_").agg(F.sort_array(F.collect_list(F.struct(*names[1:]))).alias("parts_"))
+    step = lambda s, x: F.when(x["end"].isNotNull(), x["end"]).when(((s == "") | (s == x["first"])) == x["odd"], x["last"]).otherwise("")
+    return parts.select("key_", F.aggregate("parts_", F.lit(""), step).alias("agreed_"))
 
 
 def merged_run(stored: DataFrame, run: DataFrame) -> DataFrame:
@@ -101,27 +150,30 @@ def merged_run(stored: DataFrame, run: DataFrame) -> DataFrame:
 
     Records of one address and title (case and outer blanks aside) are one: the stored record, else the run's first, takes the
     lists of all (first spelling, case ignored), the greatest weight, and the sector only while sectors agree.  Records
-    of a run without both are left out.  A key has a record per feed that lists it, so its records stay few.
+    of a run without both are left out.  A key's records are never brought together, only its different list items.
     """
     key = F.sha2(F.concat_ws("\0", F.lower(V.filled(F.col("url"))), F.lower(V.filled(F.col("title")))), 256)
     named = (V.filled(F.col("url")) != "") | (V.filled(F.col("title")) != "")
     columns = [c for c in run.columns if c != "place"]
     run = run.withColumns({c: F.lit("") for c in (*_LISTS, "source_weight", "sector") if c not in run.columns})
-    context = F.struct("place", "article_id", *(V.filled(F.col(c)).alias(c) for c in (*_LISTS, "source_weight", "sector")))
-    found = run.where(named).withColumn("key_", key).groupBy("key_").agg(F.min_by(F.struct(*columns), F.struct("place", "article_id")).alias("first_"), F.sort_array(F.collect_list(context)).alias("told_"))
+    keyed = run.where(named).withColumn("key_", key)
+    weight = F.coalesce(V.filled(F.col("source_weight")).try_cast("double"), F.lit(0.0))
+    found = keyed.groupBy("key_").agg(F.min_by(F.struct(*columns), F.struct("place", "article_id")).alias("first_"), F.count(F.lit(1)).alias("told_"), F.max(weight).alias("heaviest_"))
     every = list(dict.fromkeys([*stored.columns, *columns, *_LISTS, "source_weight", "sector"]))
     # of stored records with one key the last takes what is new
     old = stored.withColumns({c: F.lit("") for c in every if c not in stored.columns})
     last = old.where(named).groupBy(key.alias("key_")).agg(F.max("article_id").alias("taker_"))
     old = old.withColumn("key_", F.when(named, key)).join(last, "key_", "left").withColumn("key_", F.when(F.col("article_id") == F.col("taker_"), F.col("key_")))
+    texts = {c: V.filled(F.col(c)).alias(c) for c in (*_LISTS, "sector")}
+    earlier = old.where("key_ is not null").select("key_", F.lit(0).alias("later_"), F.lit(None).cast(dict(run.dtypes)["place"]).alias("place"), "article_id", *texts.values())
+    rows = earlier.union(keyed.select("key_", F.lit(1).alias("later_"), "place", "article_id", *texts.values()))
     both = old.select("key_", F.struct(*every).alias("old_")).join(found, "key_", "full_outer")
+    both = both.join(_all_items(rows), "key_", "left").join(_agreed(rows), "key_", "left")
     has, came = F.col("old_").isNotNull(), F.col("told_").isNotNull()
     base = {c: F.when(has, F.col(f"old_.{c}")).otherwise(F.col(f"first_.{c}") if c in columns else F.lit("")) for c in every}
-    later = F.when(has, F.col("told_")).otherwise(F.slice("told_", 2, 1_000_000))
-    takes = came & (F.size(later) > 0)
-    list_of = lambda c: V.merged_values(base[c], F.array_join(F.transform(later, lambda x: x[c]), ";"))
-    heaviest = F.greatest(F.coalesce(V.filled(base["source_weight"]).try_cast("double"), F.lit(0.0)), F.array_max(F.transform(later, lambda x: F.coalesce(x["source_weight"].try_cast("double"), F.lit(0.0)))), F.lit(1e-9))
-    made = {**{c: list_of(c) for c in _LISTS}, "source_weight": F.format_string("%.3f", heaviest), "sector": _agreed(V.filled(base["sector"]), F.transform(later, lambda x: x["sector"]))}
+    takes = came & (has | (F.col("told_") > 1))
+    heaviest = F.greatest(F.coalesce(V.filled(base["source_weight"]).try_cast("double"), F.lit(0.0)), F.col("heaviest_"), F.lit(1e-9))
+    made = {**{c: F.coalesce(f"all_{c}", F.lit("")) for c in _LISTS}, "source_weight": F.format_string("%.3f", heaviest), "sector": F.coalesce("agreed_", F.lit(""))}
     out = {c: F.when(takes, made[c]).otherwise(base[c]) if c in made else base[c] for c in every}
     shown = ("tickers", "companies", "source", "publisher", "source_weight", "sector")
     differs = sum((F.coalesce((~made[c].eqNullSafe(base[c])).cast("int"), F.lit(0)) for c in shown), F.lit(0)) > 0

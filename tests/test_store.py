@@ -159,3 +159,36 @@ def test_runs_against_plain(spark, tmp_path):
         change.commit()
         got = store.read("raw").select(*names[:-1]).collect()
         assert sorted(map(tuple, got)) == sorted(tuple(r[n] for n in names[:-1]) for r in want), turn
+
+
+def test_run_with_a_key_of_many_records(spark):
+    rng, names = random.Random(9), ["article_id", "url", "title", "source", "tickers", "sector", "source_weight", "place"]
+    schema = ", ".join(f"{n} {'int' if n == 'place' else 'string'}" for n in names)
+    row = lambda i, **own: {"article_id": f"{i:05d}", "url": f"http://{i % 97 % 5}", "title": "T", "source": f"f{i % 400}; F{i % 7}", "tickers": rng.choice(["", f"X{i % 900};y"]), "sector": rng.choice(["", "p", "q", "q", "r"]), "source_weight": rng.choice(["", "0.5", "0.9"]), "place": i} | own
+    stored = [{k: v for k, v in row(i, url=f"http://{i}").items() if k != "place"} for i in range(3)]
+    run = [row(i) for i in range(10, 4000)]
+    for stored_sector in ("", "p"):
+        old = [r | {"sector": stored_sector} for r in stored]
+        rows = feeds.merged_run(spark.createDataFrame([tuple(r.values()) for r in old], schema.rsplit(",", 1)[0]), spark.createDataFrame([tuple(r[n] for n in names) for r in run], schema).repartition(7))
+        want, new = plain_merge(old, run)
+        got = rows.collect()
+        assert sorted(tuple(r[n] for n in names[:-1]) for r in got) == sorted(tuple(r[n] for n in names[:-1]) for r in want)
+        assert sorted(r.article_id for r in got if r.new_) == sorted(new)
+    # what is brought together of a key are its different items, never its records
+    assert "collect_list(struct(place" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sectors_in_turn(spark):
+    rng = random.Random(4)
+    rows = [(str(k), 1, i, f"{i:04d}", rng.choice(["", "a", "b", "c", "a"][: 2 + k % 4])) for k in range(40) for i in range(rng.randint(1, 60))]
+    schema = "key_ string, later_ int, place int, article_id string, sector string"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.key_: r.agreed_ for r in feeds._agreed(spark.createDataFrame(rows, schema).repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for k, _, _, _, x in rows:
+        s = want.get(k, "")
+        want[k] = x if s == "" else s if x in ("", s) else ""
+    assert {k: got.get(k, "") for k in want} == want and len(set(want.values())) > 2
