@@ -35,8 +35,9 @@ from quillmesh.llm.work import Work
 
 SPAN, ANCHOR = 50, 24
 HASH_BITS = 48
-#: Bytes of concatenated text handled at once; positions in it fit the low bits of a sliding key.
-BLOCK = 1 << 19
+#: Bytes of concatenated text handled at once, few enough for a processor's cache; positions in it fit the low bits of a
+#: sliding key.
+BLOCK = 1 << 17
 _POS = np.uint64((1 << 20) - 1)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 SAMPLE, HOT_DOCS = 65_536, 20_000
@@ -101,17 +102,31 @@ def blocks_of(chunk: C.Chunk):
         i = j
 
 
+def runs_of(chunk: C.Chunk):
+    """(first document, place, data, runs of windows with one anchor) of a chunk's blocks that have windows."""
+    for i, base, data, starts, ends in blocks_of(chunk):
+        runs = anchor_runs(data, starts, ends)
+        if len(runs[0]):
+            yield i, base, data, runs
+
+
+def _keys(blocks: list) -> np.ndarray:
+    """Distinct anchor hashes of blocks."""
+    if not blocks:
+        return np.zeros(0, np.uint64)
+    every = np.sort(np.concatenate([runs[4] for _, _, _, runs in blocks]))
+    return every[np.append(True, every[1:] != every[:-1])]
+
+
 def _anchors(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchor hashes of a chunk, and how many of its documents have them (65535: that many or more)."""
     parts = []
-    for i, _, data, starts, ends in blocks_of(chunk):
-        doc, _, _, _, h = anchor_runs(data, starts, ends)
-        if len(h):
-            ids = chunk.ids[doc + i]
-            fresh = np.lexsort((ids, h))
-            h, ids = h[fresh], ids[fresh]
-            keep = np.append(True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]))
-            parts.append((h[keep], ids[keep]))
+    for i, _, _, (doc, _, _, _, h) in runs_of(chunk):
+        ids = chunk.ids[doc + i]
+        fresh = np.lexsort((ids, h))
+        h, ids = h[fresh], ids[fresh]
+        keep = np.append(True, (h[1:] != h[:-1]) | (ids[1:] != ids[:-1]))
+        parts.append((h[keep], ids[keep]))
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint16)
     h, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
@@ -168,7 +183,8 @@ class _Suffixes:
     """A chunk's runs of windows with shared anchors; equal strings once, with the least doc_id that has them."""
 
     def __init__(self, chunk: C.Chunk, buckets: int, answers: dict):
-        keys, _ = _anchors(chunk)
+        blocks = list(runs_of(chunk))
+        keys = _keys(blocks)
         cut = C.bucket_bounds(keys, buckets, HASH_BITS)
         flag, often = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         for b, payload in answers.items():
@@ -182,10 +198,7 @@ class _Suffixes:
         self.strings: dict[tuple[bytes, int, int], int] = {}
         self.least: list[int] = []
         doc_parts, at_parts, string_parts = [], [], []
-        for i, base, data, starts, ends in blocks_of(chunk):
-            doc, first, last, at, h = anchor_runs(data, starts, ends)
-            if not len(h) or not len(shared):
-                continue
+        for i, base, data, (doc, first, last, at, h) in blocks if len(shared) else ():
             where = np.searchsorted(shared, h)
             hit = np.flatnonzero(shared[np.minimum(where, len(shared) - 1)] == h)
             doc, first, last, at = doc[hit], first[hit], last[hit], at[hit]
@@ -241,9 +254,9 @@ def _route(splitters: np.ndarray, fans: np.ndarray, offsets: np.ndarray, strings
 
 
 def _by_range(splitters: np.ndarray, fans: np.ndarray, offsets: np.ndarray, strings) -> np.ndarray:
-    lead = np.array([leading(s[a : a + 8]) for s, a, _ in strings], np.uint64)
-    part = np.searchsorted(splitters, lead, "right")
-    rest = np.array([int.from_bytes(s[a + 8 : a + 16], "little") ^ int.from_bytes(s[a + 16 : a + 24], "little") for s, a, _ in strings], np.uint64)
+    lanes = np.frombuffer(b"".join([s[a : a + ANCHOR] for s, a, _ in strings]), "<u8").reshape(len(strings), 3)
+    part = np.searchsorted(splitters, lanes[:, 0].byteswap(), "right")
+    rest = lanes[:, 1] ^ lanes[:, 2]
     return offsets[part] + (C.mix(rest) % fans[part].astype(np.uint64)).astype(np.int64)
 
 
@@ -409,8 +422,7 @@ def _apply(buckets: int, plan: tuple):
 def _sample(chunk_id: int, chunk: C.Chunk, answers: dict) -> pa.Table:
     """Leading bytes of a few occurrences of anchors, chosen by a hash of their places, with that hash."""
     lead, order = [], []
-    for _, base, data, starts, ends in blocks_of(chunk):
-        _, _, _, at, _ = anchor_runs(data, starts, ends)
+    for _, base, data, (_, _, _, at, _) in runs_of(chunk):
         place = C.mix((at + base).astype(np.uint64) + C.mix(np.full(1, chunk_id, np.int64).view(np.uint64))) >> np.uint64(1)
         few = np.flatnonzero(place % np.uint64(512) == 0)
         lead += [leading(data[a : a + 8]) for a in at[few].tolist()]
