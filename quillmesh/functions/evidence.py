@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as X
@@ -31,10 +31,17 @@ def tickers(value: Column) -> Column:
 
 def parts(*values: Column) -> Column:
     """The values that are not blank; of those with one normal form the first."""
-    every = F.array(*(F.struct(filled(v).alias("value"), X.keyword_form(filled(v)).alias("key")) for v in values))
-    keys = F.transform(every, lambda x: x["key"])
-    first = F.filter(every, lambda x, i: (x["key"] != "") & (F.array_position(keys, x["key"]) == i + 1))
-    return F.transform(first, lambda x: x["value"])
+    return keyed_parts(*((filled(v), X.keyword_form(filled(v))) for v in values))
+
+
+def keyed_parts(*values: tuple[Column, Column]) -> Column:
+    """``parts`` of trimmed values with their normal forms, so that a form that is known already is not made again."""
+    every = F.array(*(F.struct(v.alias("value"), k.alias("key")) for v, k in values))
+
+    def first(every: Column) -> Column:
+        return F.filter(every, lambda x, i: (x["key"] != "") & (F.array_position(every["key"], x["key"]) == i + 1))
+
+    return F.transform(X.let(every, first), lambda x: x["value"])
 
 
 def joined(values: Column) -> Column:
@@ -42,16 +49,38 @@ def joined(values: Column) -> Column:
     return F.array_join(F.transform(values, lambda v: F.when(v.rlike(r"[.!?]\z"), v).otherwise(F.concat(v, F.lit(".")))), " ")
 
 
+def with_variants(df: DataFrame) -> DataFrame:
+    """``df`` with its ``variants``: texts are trimmed and brought to normal form once, and a variant serves the next."""
+    own = ("title", "summary", "content", "body_text")
+    rows = df.withColumns({f"{c}_own_": filled(F.col(c)) for c in own})
+    rows = rows.withColumns({f"{c}_key_": X.keyword_form(F.col(f"{c}_own_")) for c in own})
+    of = lambda *names: joined(keyed_parts(*((F.col(f"{c}_own_"), F.col(f"{c}_key_")) for c in names)))
+    has_body = F.col("body_text_own_") != ""
+    rows = rows.withColumns({"summary_text": of("title", "summary", "content")})
+    rows = rows.withColumns(
+        {
+            "article_text": F.when(has_body, of("title", "summary", "body_text")).otherwise(F.col("summary_text")),
+            "article_body": F.when(has_body, of("body_text", "summary")).otherwise(of("summary", "content")),
+            "sentiment_text": F.when(F.col("content_own_") != "", F.col("content_own_")).otherwise(F.col("summary_own_")),
+            "fulltext": F.col("body_text_own_"),
+        }
+    )
+    return rows.withColumn("mapping_text", F.trim(F.concat_ws(" ", "article_text", _names()))).drop(*(f"{c}_{k}_" for c in own for k in ("own", "key")))
+
+
+def _names() -> Column:
+    return F.concat_ws(" ", *(F.nullif(F.replace(filled(F.col(c)), F.lit(";"), F.lit(" ")), F.lit("")) for c in ("companies", "tickers")))
+
+
 def variants() -> dict[str, Column]:
     """Texts of an article (title, summary, content, body_text, companies, tickers), each for one purpose."""
     title, summary, content, body = (F.col(c) for c in ("title", "summary", "content", "body_text"))
     has_body = filled(body) != ""
     article = F.when(has_body, joined(parts(title, summary, body))).otherwise(joined(parts(title, summary, content)))
-    names = F.concat_ws(" ", *(F.nullif(F.replace(filled(F.col(c)), F.lit(";"), F.lit(" ")), F.lit("")) for c in ("companies", "tickers")))
     return {
         "article_text": article,
         "summary_text": joined(parts(title, summary, content)),
-        "mapping_text": F.trim(F.concat_ws(" ", article, names)),
+        "mapping_text": F.trim(F.concat_ws(" ", article, _names())),
         "article_body": F.when(has_body, joined(parts(body, summary))).otherwise(joined(parts(summary, content))),
         "sentiment_text": first_filled(content, summary),
         "fulltext": filled(body),
@@ -69,8 +98,9 @@ def without_title(sentence: Column, title: Column) -> Column:
 
 def first_sentence(body: Column, title: Column) -> Column:
     """First sentence of a body that is more than the title, else blank."""
-    left = F.filter(F.transform(X.sentences(body), lambda s: without_title(s, title)), lambda s: s != "")
-    return F.coalesce(F.get(left, F.lit(0)), F.lit(""))
+    # later sentences are not looked at once one is found
+    first = F.aggregate(X.sentences(body), F.lit(""), lambda found, s: F.when(found != "", found).otherwise(without_title(s, title)))
+    return F.coalesce(first, F.lit(""))
 
 
 def strongest_in_body(scored: Column, body: Column) -> Column:
@@ -82,9 +112,14 @@ def strongest_in_body(scored: Column, body: Column) -> Column:
     return F.coalesce(F.array_max(ranked)["sentence"], F.lit(""))
 
 
+def said(title: Column, *candidates: Column) -> Column:
+    """The first candidate that says more than the title, else blank; those after it are not looked at."""
+    return F.aggregate(F.array(*candidates), F.lit(""), lambda found, c: F.when(found != "", found).otherwise(filled(without_title(c, title))))
+
+
 def chosen(title: Column, *candidates: Column) -> Column:
     """The first candidate that says more than the title, else the title."""
-    return F.coalesce(F.nullif(first_filled(*(without_title(c, title) for c in candidates)), F.lit("")), filled(title))
+    return F.coalesce(F.nullif(said(title, *candidates), F.lit("")), filled(title))
 
 
 def record_key(url: Column, title: Column) -> Column:

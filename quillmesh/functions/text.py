@@ -69,7 +69,12 @@ def has_phrase(sentence: Column, terms: list[str], blockers: list[str] | None =
 
 def hit_score(parts: Column, terms: list[str], blockers: list[str] | None = None, scale: float = 3.0) -> Column:
     """min(scale * share of sentences with a term and no blocker, 1)."""
-    hit = F.size(F.filter(parts, lambda s: has_phrase(s, terms, blockers)))
+    return padded_score(F.transform(parts, padded), terms, blockers, scale)
+
+
+def padded_score(parts: Column, terms: list[str], blockers: list[str] | None = None, scale: float = 3.0) -> Column:
+    """``hit_score`` of padded keyword forms of sentences."""
+    hit = F.size(F.filter(parts, lambda p: any_term(p, terms) & ~any_term(p, blockers) if blockers else any_term(p, terms)))
     return F.when(F.size(parts) > 0, F.least(hit / F.size(parts) * scale, F.lit(1.0))).otherwise(0.0)
 
 

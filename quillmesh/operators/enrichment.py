@@ -98,12 +98,14 @@ def topic_of(text: Column, topics: list[Topic]) -> Column:
 _NO_RISKS = "cast(array() as array<struct<category:string,severity:double,strength:double,evidence:string>>)"
 
 
-def with_tags(df: DataFrame, text: str, d: Dictionaries, out: str = "tags_") -> DataFrame:
-    """``out``: (topic, hint, risks) of a text.  Steps are columns of their own, so that none is worked out twice."""
-    rows = df.withColumns({"sentences_": X.sentences(F.col(text)), "topic_": topic_of(F.col(text), d.topics)})
-    risks = T.risk_tags(F.col("sentences_"), d.risks) if d.risks else F.expr(_NO_RISKS)
+def with_tags(df: DataFrame, text: str, d: Dictionaries, out: str = "tags_", hits: str = "") -> DataFrame:
+    """``out``: (topic, hint, risks) of a text, and ``hits``, if named, its signals.  Steps are columns of their own, so that
+    none is worked out twice."""
+    rows = df.withColumns({"sentences_": X.sentences(F.col(text)), "topic_": topic_of(F.col(text), d.topics)}).withColumn("padded_", F.transform("sentences_", X.padded))
+    risks = T.risk_tags(F.col("sentences_"), d.risks, F.col("padded_")) if d.risks else F.expr(_NO_RISKS)
     told = F.struct(F.col("topic_")["topic"].alias("topic"), F.col("topic_")["hint"].alias("hint"), risks.alias("risks"))
-    return rows.withColumn(out, told).drop("sentences_", "topic_")
+    found = {hits: F.struct(*(v.alias(k) for k, v in padded_signals(F.col("padded_"), d).items()))} if hits else {}
+    return rows.withColumns({out: told} | found).drop("sentences_", "topic_", "padded_")
 
 
 def merged_tags(summary: Column, full: Column, has_full: Column) -> Column:
@@ -134,8 +136,13 @@ def merged_tags(summary: Column, full: Column, has_full: Column) -> Column:
 
 def signals(sentences: Column, d: Dictionaries) -> dict[str, Column]:
     """The five signal components of an array of sentences; blockers take from bull and growth."""
+    return padded_signals(F.transform(sentences, X.padded), d)
+
+
+def padded_signals(padded: Column, d: Dictionaries) -> dict[str, Column]:
+    """``signals`` of the padded keyword forms of sentences."""
     blockers = d.signals.get("blockers", [])
-    score = lambda name, blocked: X.hit_score(sentences, d.signals[name], blockers if blocked and blockers else None, config.HIT_SCALE) if d.signals.get(name) else F.lit(0.0)
+    score = lambda name, blocked: X.padded_score(padded, d.signals[name], blockers if blocked and blockers else None, config.HIT_SCALE) if d.signals.get(name) else F.lit(0.0)
     return {"b_bull": score("bull", True), "b_bear": score("bear", False), "g_growth": score("growth", True), "s_shock": score("shock", False), "k_unc": score("uncertainty", False)}
 
 
@@ -211,12 +218,11 @@ def positive_number(value: Column, default: Column) -> Column:
 
 def enrich(df: DataFrame, d: Dictionaries, weights: dict = config.ENHANCED) -> DataFrame:
     """Scored articles of records; a row that cannot be scored is kept with neutral values and ``processing_error``."""
-    rows = with_input(df).withColumns({k: v for k, v in V.variants().items()}).withColumn("processing_error", problems(df))
+    rows = V.with_variants(with_input(df)).withColumn("processing_error", problems(df))
     has_full = F.col("fulltext") != ""
     rows = with_mapping(rows, "mapping_text", d)
-    rows = with_tags(with_tags(rows, "summary_text", d, "own_tags"), "fulltext", d, "full_tags")
+    rows = with_tags(with_tags(rows, "summary_text", d, "own_tags", "signals_"), "fulltext", d, "full_tags")
     rows = with_sentiment(with_sentiment(rows, "title", "sentiment_text", d), "title", "fulltext", d, "full_feeling")
-    rows = rows.withColumn("sentences_", X.sentences(F.col("summary_text"))).withColumn("signals_", F.struct(*(v.alias(k) for k, v in signals(F.col("sentences_"), d).items()))).drop("sentences_")
     rows = rows.withColumn("full_feeling", F.when(has_full, F.col("full_feeling"))).withColumn("merged", merged_tags(F.col("own_tags"), F.col("full_tags"), has_full))
     own, hint = V.filled(F.col("sector")), F.col("merged")["hint"]
     unmapped = F.col("map_")["sector"] == UNMAPPED
@@ -233,6 +239,7 @@ def enrich(df: DataFrame, d: Dictionaries, weights: dict = config.ENHANCED) -> D
     title = F.col("title")
     body_evidence = F.when(has_full, V.strongest_in_body(F.col("full_feeling")["sentences"], F.col("fulltext")))
     first_full = F.get(F.transform(F.col("full_tags")["risks"], lambda r: r["evidence"]), F.lit(0))
+    rows = rows.withColumn("said_", V.said(title, F.when(has_full, first_full), body_evidence, F.col("merged")["evidence"], F.col("feeling")["evidence"]))
     rows = rows.withColumns(
         {
             "companies": V.merged_values(F.col("map_")["companies"], F.col("companies")),
@@ -242,11 +249,11 @@ def enrich(df: DataFrame, d: Dictionaries, weights: dict = config.ENHANCED) -> D
             "rescored": V.first_filled(F.col("rescored"), F.lit("False")),
             "topic": F.col("merged")["topic"],
             "risk_category": F.array_join(F.transform(F.col("merged")["risks"], lambda r: r["category"]), ";"),
-            "evidence_sentence": V.chosen(title, F.when(has_full, first_full), body_evidence, F.col("merged")["evidence"], F.col("feeling")["evidence"], V.first_sentence(F.col("article_body"), title)),
+            "evidence_sentence": F.when(F.col("said_") != "", F.col("said_")).otherwise(V.chosen(title, V.first_sentence(F.col("article_body"), title))),
             **{f"{n}_fulltext": F.col("full_feeling")[k] for n, k in (("sentiment_score", "score"), ("p_positive", "positive"), ("p_neutral", "neutral"), ("p_negative", "negative"))},
         }
     )
-    used = [*V.variants(), "map_", "own_tags", "full_tags", "feeling", "full_feeling", "signals_", "merged", "relevance", "own_weight", "factor"]
+    used = [*V.variants(), "map_", "own_tags", "full_tags", "feeling", "full_feeling", "signals_", "merged", "relevance", "own_weight", "factor", "said_"]
     return degraded(rows.drop(*used))
 
 

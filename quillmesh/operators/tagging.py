@@ -55,19 +55,19 @@ def entity_list(names: DataFrame) -> list[Entity]:
     return list(made.values())
 
 
-def risk_tags(parts: Column, rules: list[RiskRule]) -> Column:
+def risk_tags(parts: Column, rules: list[RiskRule], padded: Column | None = None) -> Column:
     """Array of (category, severity, strength, evidence) of the rules that fire.
 
     A rule fires by a strong term, or by enough different weak ones; its strength is the scaled share of sentences with
     a term of the kind that fired it, its evidence the first of them.  One pass over each sentence finds the terms of all
-    rules; only rules with a term in the text are looked at.
+    rules; only rules with a term in the text are looked at.  ``padded``: the sentences' padded keyword forms, where they are known.
     """
     flat = [(i, kind, t) for i, r in enumerate(rules) for kind, ts in ((1, r.strong), (0, r.weak)) for t in ts]
     numbers = lambda of: F.split(F.lit(",".join(map(str, of))), ",").cast("array<int>")
     if not flat:
         return F.expr("cast(array() as array<struct<category:string,severity:double,strength:double,evidence:string>>)")
     rule_of, strong_of = numbers([i for i, _, _ in flat]), numbers([k for _, k, _ in flat])
-    held = L.phrases(F.transform(parts, X.padded), [t for _, _, t in flat])
+    held = L.phrases(F.transform(parts, X.padded) if padded is None else padded, [t for _, _, t in flat])
     told = F.arrays_zip(parts.alias("sentence"), F.transform(held, lambda ks: F.transform(ks, lambda k: F.struct(k.alias("k"), F.get(rule_of, k).alias("rule"), F.get(strong_of, k).alias("strong")))).alias("found"))
     least, severity, category = numbers([max(1, r.least) for r in rules]), F.split(F.lit(",".join(str(float(r.severity)) for r in rules)), ",").cast("array<double>"), F.array(*(F.lit(r.category) for r in rules))
 
