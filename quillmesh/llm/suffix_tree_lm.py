@@ -113,27 +113,42 @@ def _probability(q: np.ndarray) -> np.ndarray:
     return np.exp2(-q.astype(np.float64) / 6)
 
 
+def _in_order(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers below 2**32 as high << 32 | low, ascending, and each pair's number among them.
+
+    Where a pair and its place fit a word together, one sort of words does it, which is faster than hashing or sorting places.
+    """
+    shift, bits = int(low.max(initial=0)).bit_length(), len(low).bit_length()
+    if int(high.max(initial=0)).bit_length() + shift + bits > 64:
+        return np.unique(high.astype(np.uint64) << np.uint64(32) | low, return_inverse=True)
+    key = (high.astype(np.uint64) << np.uint64(shift) | low) << np.uint64(bits) | np.arange(len(low), dtype=np.uint64)
+    key.sort()
+    place, key = (key & np.uint64((1 << bits) - 1)).astype(np.int64), key >> np.uint64(bits)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    number = np.empty(len(key), np.int64)
+    number[place] = np.cumsum(new) - 1
+    key = key[new]
+    return (key >> np.uint64(shift)) << np.uint64(32) | key & np.uint64((1 << shift) - 1), number
+
+
 class _Grams:
     """Distinct contexts and (context, next word) of a chunk, in the order of the contexts' hashes, and what to send.
 
-    ``at`` are the token positions after a possible context, ``context`` a hash for each of them, ``seen`` the context's
-    training count, ``parent`` the probability of the next word in the context's suffix.
+    ``at`` are the token positions after a possible context, ``which`` a number and ``context`` a hash of it for each of
+    them, ``seen`` the context's training count, ``parent`` the probability of the next word in the context's suffix.
     """
 
-    def __init__(self, t: _Tokens, at: np.ndarray, context: np.ndarray, seen: np.ndarray, parent: np.ndarray, buckets: int, hot: int):
+    def __init__(self, t: _Tokens, at: np.ndarray, which: np.ndarray, context: np.ndarray, seen: np.ndarray, parent: np.ndarray, buckets: int, hot: int):
         self.tokens, self.at, self.prob = t, at, parent
-        contexts, ctx = C.numbered(context)
-        n = len(contexts)
-        order = np.argsort(contexts)
-        self.contexts, place = contexts[order], np.empty(n, np.int64)
-        place[order] = np.arange(n)
-        self.of = place[ctx]
-        grams, gram = C.numbered((self.of.astype(np.uint64) << np.uint64(32)) | t.token[at])
-        grams_in_order = np.argsort(grams)
-        rank = np.empty(len(grams), np.int64)
-        rank[grams_in_order] = np.arange(len(grams))
-        self.inverse = rank[gram]
-        self.grams = grams[grams_in_order]
+        hashes = np.zeros(which.max(initial=-1) + 1, np.uint64)
+        hashes[which] = context
+        there = np.flatnonzero(np.bincount(which, minlength=len(hashes)))
+        there = there[np.argsort(hashes[there], kind="stable")]
+        n, place = len(there), np.empty(len(hashes), np.int64)
+        self.contexts, place[there] = hashes[there], np.arange(n)
+        self.of = place[which]
+        self.grams, self.inverse = _in_order(self.of, t.token[at])
         self.ctx = (self.grams >> np.uint64(32)).astype(np.int64)
         self.pairs = np.bincount(self.ctx, minlength=n)
         self.seen = np.zeros(n, np.int64)
@@ -249,12 +264,13 @@ class _Model:
         self.root = (count + 1) / (total + distinct + 1)
         self.prob = self.root.copy()
         word = t.words[t.token]
-        context = word
+        # The number of the context that ends with a token: a context and its next word make the context one longer.
+        context, which = word, t.token.astype(np.int64)
         for k in range(1, depth + 1):
             at = np.flatnonzero(t.before >= k)
             at = at[count[at - 1] >= LEAST]
             seen = count[at - 1]
-            grams = _Grams(t, at, context[at - 1], seen, self.prob[at], gram_buckets, max(hot, total // 1000))
+            grams = _Grams(t, at, which[at - 1], context[at - 1], seen, self.prob[at], gram_buckets, max(hot, total // 1000))
             if k > len(states):
                 self.grams = grams
                 return
@@ -266,7 +282,8 @@ class _Model:
             if k < depth:
                 longer = np.zeros(len(word), np.uint64)
                 longer[k:] = C.mix(word[:-k] * _K[0] + C.mix(context[k:] * _K[1]))
-                context = longer
+                context, which = longer, np.zeros(len(word), np.int64)
+                which[at] = grams.inverse
 
 
 OUT_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, score_per_token double"

@@ -192,3 +192,21 @@ def test_pipeline_stages_take_odd_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, SF)
         assert out.count() <= len(ODD) and stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_context_numbers_without_hashing(monkeypatch):
+    import numpy as np
+
+    for high, low in ((np.array([3, 1, 3, 1, 2]), [5, 9, 5, 8, 0]), (np.array([2**32 - 1, 7, 2**32 - 1, 7]), [2**32 - 1, 1, 2**32 - 1, 0]), (np.zeros(0, np.int64), [])):
+        low = np.array(low, np.uint32)
+        want = np.unique(high.astype(np.uint64) << np.uint64(32) | low, return_inverse=True)
+        assert all((a == b).all() for a, b in zip(suffix_tree_lm._in_order(high, low), want, strict=True))
+    # A chunk's contexts are numbered by sorting alone: hashing every position was most of the operator's time.
+    body = b"a b a c a b d a b a"
+    t = suffix_tree_lm._Tokens(suffix_tree_lm.pack_tokens(np.array([1, 3]), np.array([11, 8]), body))
+    monkeypatch.setattr(suffix_tree_lm.C, "numbered", None)
+    seen = np.full(len(t.words), 9)
+    words = {b: suffix_tree_lm.C.pack_arrays(seen[lo:hi]) for b, (lo, hi) in enumerate(zip(*(lambda c: (c[:-1], c[1:]))(suffix_tree_lm.C.bucket_bounds(t.words, 8, 64)), strict=True))}
+    grams = suffix_tree_lm._Model(t, {"word": words}, (40, 4), 8, 8, [], 3, 100).grams
+    assert (np.diff(grams.contexts.astype(object)) > 0).all() and (grams.contexts[grams.of] == t.words[t.token[grams.at - 1]]).all()
+    assert (t.token[grams.at] == grams.grams[grams.inverse] & np.uint64(0xFFFFFFFF)).all()
