@@ -2,12 +2,14 @@
 
 Components of the pairs come from star contraction, whose rounds grow with the logarithm of the longest chain.  Edges are
 then merged in the order of time, component by component: a task reads its edges as a sorted stream and holds one component's
-open clusters at a time.  A component of more than ``MOST_EDGES`` edges is cut into ranges of time; what a range hands on
+open clusters at a time.  Where kinds of articles tell what is similar, the articles themselves are the stream (``by_kinds``).  A component of more than ``MOST_EDGES`` edges is cut into ranges of time; what a range hands on
 is the clusters that still have an article at or after its border, as no edge of a later range touches any other.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
@@ -144,6 +146,130 @@ def merged(rows: DataFrame, limit: float, kind: str) -> DataFrame:
     return sorted_.select("component", "turn", "a", "at_a", "b", "at_b").mapInPandas(run, f"component {key}, id {kind}, cluster {kind}, low double, high double")
 
 
+class _Cluster:
+    """A cluster with its articles; ``done``: the last article of each kind that has met all others near it."""
+
+    __slots__ = ("low", "high", "name", "ids", "done")
+
+    def __init__(self, name, at: float):
+        self.low, self.high, self.name, self.ids, self.done = at, at, name, [name], {}
+
+
+class Stream:
+    """Greedy merging of articles that come in the order (at, id), where kinds tell which of them are similar.
+
+    An article meets the later ones within ``window`` in their order, once all of them have come.  Two clusters that were
+    refused a union are refused it for ever, as spans only grow.  So an article whose kind has met others from its cluster
+    meets only what lay out of their reach, and no cluster is offered what lies more than ``limit`` after its beginning.
+    Clusters that end before the first article that still has to meet others are given out and forgotten.
+    """
+
+    def __init__(self, window: float, limit: float, links: dict):
+        self.window, self.limit, self.links = window, limit, links
+        self.of: dict = {}
+        self.queue: deque = deque()
+        self.kinds: dict = {}
+        self.head: dict = {}
+        self.out: list[tuple] = []
+        self.wait = self.left = 0
+
+    def add(self, at: float, x, kind) -> None:
+        while self.queue and at - self.queue[0][0] > self.window:
+            self.meet()
+        self.of[x] = _Cluster(x, at)
+        self.queue.append((at, x, kind))
+        self.kinds.setdefault(kind, []).append((at, x))
+
+    def meet(self) -> None:
+        at, x, kind = self.queue.popleft()
+        own = self.of[x]
+        before, met = own.done.get(kind), []
+        for other in self.links.get(kind, ()):
+            rows = self.kinds.get(other)
+            if not rows:
+                continue
+            i = bisect_right(rows, (at, x), self.head.get(other, 0))
+            if before is not None:
+                i = max(i, bisect_right(rows, before + self.window, i, key=lambda r: r[0]))
+                while i < len(rows) and rows[i][0] - before <= self.window:
+                    i += 1
+            while i < len(rows) and rows[i][0] - at <= self.window and rows[i][0] - own.low <= self.limit:
+                met.append(rows[i])
+                i += 1
+        for _, y in sorted(met):
+            own = self.merge(own, self.of[y])
+        own.done[kind] = at
+        rows, head = self.kinds[kind], self.head.get(kind, 0) + 1
+        if 2 * head > len(rows):
+            del rows[:head]
+            head = 0
+            if not rows:
+                del self.kinds[kind]
+        self.head[kind] = head
+        self.wait += 1
+        if self.wait > 1000 + self.left:
+            self.close(self.queue[0][0] if self.queue else at)
+
+    def merge(self, own: _Cluster, other: _Cluster) -> _Cluster:
+        """The cluster of ``own`` after its union with the other, if it is allowed."""
+        if own is other or max(own.high, other.high) - min(own.low, other.low) > self.limit:
+            return own
+        keep, gone = (own, other) if len(own.ids) >= len(other.ids) else (other, own)
+        keep.low, keep.high, keep.name = min(own.low, other.low), max(own.high, other.high), min(own.name, other.name)
+        keep.ids += gone.ids
+        for x in gone.ids:
+            self.of[x] = keep
+        for kind, at in gone.done.items():
+            keep.done[kind] = max(at, keep.done.get(kind, at))
+        return keep
+
+    def close(self, before: float | None = None) -> None:
+        """Give out the clusters that end earlier, without a time all of them."""
+        self.wait, gone = 0, {id(c): c for c in self.of.values() if before is None or c.high < before}
+        for c in gone.values():
+            self.out += ((x, c.name) for x in c.ids)
+            for x in c.ids:
+                del self.of[x]
+        self.left = len(self.of)
+
+    def end(self) -> None:
+        while self.queue:
+            self.meet()
+        self.close()
+
+
+def by_kinds(articles: DataFrame, links: DataFrame, hours: float, span_hours: float) -> DataFrame:
+    """(id, cluster) of articles (component, kind, at, id), all those of linked kinds (component, kind, other) being similar
+    that lie within ``hours``; ``links`` has both directions.  A task holds the links of a component and the articles of
+    some spans of time."""
+    kind = dict(articles.dtypes)["id"]
+    rows = links.select("component", F.lit(0).alias("turn"), F.lit(0.0).alias("at"), F.col("other").alias("id"), "kind").union(articles.select("component", F.lit(1), "at", "id", "kind"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, now, held = None, None, []
+        for f in frames:
+            for c, turn, at, x, k in zip(*(f[n].tolist() for n in ("component", "turn", "at", "id", "kind")), strict=True):
+                if own is None or c != now:
+                    if own is not None:
+                        own.end()
+                        held += own.out
+                    own, now = Stream(hours * 3600.0, span_hours * 3600.0, {}), c
+                if turn:
+                    own.add(at, x, k)
+                else:
+                    own.links.setdefault(k, []).append(x)
+            yield pd.DataFrame(held + own.out if own else held, columns=["id", "cluster"])
+            held = []
+            if own is not None:
+                own.out = []
+        if own is not None:
+            own.end()
+            yield pd.DataFrame(own.out, columns=["id", "cluster"])
+
+    sorted_ = rows.repartition("component").sortWithinPartitions("component", "turn", "at", "id")
+    return sorted_.select("component", "turn", "at", "id", "kind").mapInPandas(run, f"id {kind}, cluster {kind}")
+
+
 def timed(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with the times of their ends."""
     return edges.join(nodes.select(F.col("id").alias("a"), F.col("at").alias("at_a")), "a").join(nodes.select(F.col("id").alias("b"), F.col("at").alias("at_b")), "b")
